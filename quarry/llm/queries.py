@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import _scratch, decontaminate, line_dedup, near_dedup, packing, sstable
+from . import _scratch, decontaminate, language_id, line_dedup, near_dedup, packing, sstable, toxicity
 
 
 def vocabulary(name: str) -> str:
@@ -23,6 +24,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _fold(parts: int, held: int) -> Column:
+    """Whether a document is held out: its crc32 modulo ``parts`` is ``held``."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % parts == held, F.lit(False))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.where(~_fold(4, 2)))
+    return language_id.predict(docs, model).select("doc_id", _fold(4, 2).alias("held_out"), "lang_pred", "score")
+
+
 def op3_bagminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(_table(spark, sf_dir, "documents"))
 
@@ -39,6 +51,12 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op7_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    grammar = toxicity.fit(docs, _table(spark, sf_dir, "labels").where(~_fold(5, 0)))
+    return toxicity.score(docs, grammar).select("doc_id", _fold(5, 0).alias("held_out"), "score", "predicted")
+
+
 def op8_sstable_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     where = _scratch.new_path(spark, "sst")
     return sstable.read(sstable.write(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), 2, where))
