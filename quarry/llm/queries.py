@@ -7,7 +7,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import _scratch, decontaminate, language_id, line_dedup, near_dedup, packing, sstable, toxicity
+from . import _scratch, decontaminate, language_id, line_dedup, lm_scoring, near_dedup, packing, sstable, toxicity
 
 
 def vocabulary(name: str) -> str:
@@ -29,6 +29,11 @@ def _fold(parts: int, held: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % parts == held, F.lit(False))
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm_scoring.score(_table(spark, sf_dir, "documents"), ~_fold(7, 2))
+    return scored.select("doc_id", _fold(7, 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = language_id.fit(docs.where(~_fold(4, 2)))
