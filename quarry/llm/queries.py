@@ -7,7 +7,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import _scratch, decontaminate, language_id, line_dedup, lm_scoring, near_dedup, packing, sstable, toxicity
+from . import _scratch, ann, decontaminate, html_extract, language_id, line_dedup, lm_scoring, near_dedup, packing, sstable, toxicity
 
 
 def vocabulary(name: str) -> str:
@@ -67,6 +67,14 @@ def op8_sstable_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.read(sstable.write(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), 2, where))
 
 
+def op9_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f) and k[2].isdigit()}
 
