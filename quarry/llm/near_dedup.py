@@ -16,10 +16,12 @@ cost one draw.
 Candidates share one of ``BANDS`` bands of ``ROWS`` registers (at similarity 0.8 all but 1 in
 10,000 do). Pairs are not emitted within a band's bucket: first each member is paired
 with four hubs of the bucket, the pairs are verified on exact multiset overlap, and components formed; then
-only buckets whose members are still in different components are compared, in blocks, on
-whole signatures, and pairs across components whose estimate is within five standard errors
-of the threshold are verified. So no candidate link between different classes is lost,
-while a group of copies costs a number of pairs in proportion to its size.
+only buckets whose members are still in different components are looked at again. In a
+small one, pairs across components are verified if their signatures agree in as many registers as is
+likely at the threshold (five standard errors). In a large one, whoever is not in the commonest component is
+compared with all members, exactly, block by block, and a spanning forest of the links is kept. So no
+candidate link between different classes is lost, while a group of copies costs a number of
+pairs in proportion to its size.
 
 Defined results: null texts count as empty; equal texts (empty ones too) are one class; a
 text of one to four words is one shingle. Rows with equal doc_id count as one document, with
@@ -43,7 +45,9 @@ THRESHOLD = 0.8
 BANDS, ROWS = 24, 5
 HUBS = 4
 SMALL_BUCKET = 32
-BLOCK = 256
+BLOCK = 512
+COLUMNS = 8192
+BITMAP_BITS = 1 << 26
 SLACK = 5.0  # standard errors
 
 
@@ -155,11 +159,32 @@ def multiset_similarity(keys: np.ndarray, sides: np.ndarray, rows: np.ndarray, n
     return np.where(high > 0, low / np.maximum(high, 1), 1.0)
 
 
+def _texts(docs: DataFrame, needed: DataFrame) -> DataFrame:
+    """``id, text`` of the documents in ``needed(id)``, written. A bitmap of fixed size
+    (``BITMAP_BITS``), broadcast, lets through the needed identifiers and few others, so
+    texts that are not needed are not shuffled; where it would be over half full, a join decides instead."""
+    text = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    bit = F.pmod(F.xxhash64("id"), F.lit(BITMAP_BITS))
+    words = needed.select((bit / 64).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    table = words.toPandas()  # at most BITMAP_BITS / 64 rows
+    bits = np.zeros(BITMAP_BITS // 64, tx.U64)
+    bits[table["w"].to_numpy(np.int64)] = table["b"].to_numpy(np.int64).view(tx.U64)
+    if np.bitwise_count(bits).sum() > BITMAP_BITS // 2:
+        return _scratch.write_table(text.join(needed, "id", "left_semi"), "texts")
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = tx.column(b, "bit").to_numpy().astype(tx.U64)
+            ok = np.flatnonzero(shared.value[(at >> tx.U64(6)).astype(np.int64)] >> (at & tx.U64(63)) & tx.U64(1))
+            yield b.take(pa.array(ok)).select(["id", "text"])
+
+    return _scratch.write_table(text.withColumn("bit", bit).mapInArrow(pick, "id long, text string"), "texts")
+
+
 def verify(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     """Pairs ``a, b`` whose exact similarity reaches the threshold, with it."""
-    text = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    held = _scratch.write_table(text.join(needed, "id", "left_semi"), "texts")
+    held = _texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     both = pairs.join(held.select(F.col("id").alias("a"), F.col("text").alias("text")), "a").join(held.select(F.col("id").alias("b"), F.col("text").alias("other")), "b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,29 +222,86 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
 
 
-def _across(members: DataFrame, threshold: float) -> DataFrame:
-    """Likely pairs of different labels within ``members(key, doc_id, label, sig, n)``: each
-    bucket is dealt into blocks, and each two blocks meet in a task of their own."""
-    least = _least(threshold)
+def _elements(held: DataFrame) -> DataFrame:
+    """``id, elements``: 32-bit numbers of a text's shingles, each copy of a shingle its own,
+    so that multiset overlap is set overlap."""
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in tx.slices(batches, most=1 << 20):
+            h, bounds = tx.shingles(*tx.words(tx.column(b, "text")), SHINGLE)
+            rows = np.repeat(np.arange(b.num_rows), np.diff(bounds))
+            order = np.lexsort((h, rows))
+            h, rows = h[order], rows[order]
+            fresh = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (rows[1:] != rows[:-1]))))
+            nth = np.arange(len(h)) - np.repeat(fresh, np.diff(np.append(fresh, len(h))))
+            e = (tx.mix64(h + nth.astype(tx.U64) * tx.U64(0x9E3779B97F4A7C15)) >> tx.U64(32)).astype("<u4")
+            yield pa.record_batch([tx.column(b, "id"), pa.array([e[bounds[i] : bounds[i + 1]].tobytes() for i in range(b.num_rows)], pa.binary())], names=["id", "elements"])
+
+    return held.mapInArrow(number, "id long, elements binary")
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of element sets, left x right, by products of 0/1
+    matrices over the elements that both sides hold."""
+    rows_l, rows_r = (np.repeat(np.arange(len(x)), [len(e) for e in x]) for x in (left, right))
+    el, er = np.concatenate(left), np.concatenate(right)
+    common = np.intersect1d(el, er)
+    out = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, len(common), COLUMNS):
+        part = common[at : at + COLUMNS]
+        sides = []
+        for e, rows, n in ((el, rows_l, len(left)), (er, rows_r, len(right))):
+            col = np.minimum(np.searchsorted(part, e), len(part) - 1)
+            hit = part[col] == e
+            x = np.zeros((n, len(part)), np.float32)
+            x[rows[hit], col[hit]] = 1
+            sides.append(x)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def _across(members: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
+    """Links between different labels within the buckets of ``members(key, doc_id, label, n)``.
+
+    Most members of a bucket carry its commonest label; every other member is compared with
+    all members. Others and all are dealt into blocks, each two blocks meet in a task of
+    their own, overlap is exact, and of the links found a spanning forest is emitted."""
+    counts = members.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("top"), F.sum("c").alias("all"), F.max("c").alias("most"))
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int")
+    dealt = members.join(counts, "key").withColumn("nl", blocks(F.col("all") - F.col("most"))).withColumn("nr", blocks(F.col("all")))
+    mine = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    others = dealt.where("label <> top").select("key", "doc_id", "label", F.lit(0).alias("side"), mine("nl").alias("i"), every("nr").alias("j"))
+    all_members = dealt.select("key", "doc_id", "label", F.lit(1).alias("side"), every("nl").alias("i"), mine("nr").alias("j"))
+    rows = others.unionByName(all_members).join(_scratch.write_table(_elements(held), "elements"), F.col("doc_id") == F.col("id"))
 
     def meet(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        ids, labels = table["doc_id"].to_numpy(), table["label"].to_numpy()
-        sig, block = _matrix(table["sig"].combine_chunks()), table["block"].to_numpy()
-        i, j = table["i"][0].as_py(), table["j"][0].as_py()
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        ids, labels, side = (table[c].to_numpy() for c in ("doc_id", "label", "side"))
+        sets = [np.frombuffer(x, "<u4") for x in table["elements"].to_pylist()]
+        size = np.array([len(x) for x in sets])
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        if not len(left) or not len(right):
+            return pa.table({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+        shared = overlaps([sets[k] for k in left], [sets[k] for k in right])
+        union = size[left][:, None] + size[right][None, :] - shared
+        x, y = np.nonzero((shared >= threshold * union - 1e-6) & (labels[left][:, None] != labels[right][None, :]))
+        parent: dict[int, int] = {}
+
+        def root(v: int) -> int:
+            while parent.setdefault(v, v) != v:
+                parent[v] = v = parent[parent[v]]
+            return v
+
         found = []
-        for x in left:
-            other = right[(labels[right] != labels[x]) & ((sig[right] == sig[x]).mean(1) >= least)]
-            found.append(np.stack((np.full(len(other), ids[x]), ids[other]), 1))
-        pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-        pairs.sort(axis=1)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+        for p, q in zip(left[x].tolist(), right[y].tolist(), strict=True):
+            a, b = root(int(labels[p])), root(int(labels[q]))
+            if a != b:
+                parent[a] = b
+                found.append((int(ids[p]), int(ids[q])))
+        return pa.table({"a": np.array([a for a, _ in found], np.int64), "b": np.array([b for _, b in found], np.int64)})
 
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = members.withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks).cast("int")).withColumn("to", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("key", "doc_id", "label", "sig", "block", F.least("block", "to").alias("i"), F.greatest("block", "to").alias("j"))
-    return dealt.groupBy("key", "i", "j").applyInArrow(meet, "a long, b long").distinct()
+    return rows.select("key", "i", "j", "side", "doc_id", "label", "elements").groupBy("key", "i", "j").applyInArrow(meet, "a long, b long")
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -244,10 +326,13 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     open_members = labelled.join(mixed, "key", "left_semi")
     few = open_members.where(F.col("n") <= SMALL_BUCKET).groupBy("key").agg(F.collect_list(F.struct("label", "doc_id")).alias("m"))
     few = few.select(F.explode(F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: y["label"] > x["label"]), lambda y: F.struct(F.least(x["doc_id"], y["doc_id"]).alias("a"), F.greatest(x["doc_id"], y["doc_id"]).alias("b")))))).alias("p")).select("p.a", "p.b").distinct()
-    many = _across(open_members.where(F.col("n") > SMALL_BUCKET).join(reps.select("doc_id", "sig"), "doc_id"), threshold)
-    rest = _likely(few.join(tested, ["a", "b"], "left_anti"), reps, threshold).union(many.join(tested, ["a", "b"], "left_anti")).distinct()
-    more = verify(_scratch.write_table(rest, "pairs"), docs, threshold)
-    final = _components.components(links.select("a", "b").union(more.select("a", "b")))
+    rest = _likely(few.join(tested, ["a", "b"], "left_anti"), reps, threshold)
+    more = verify(_scratch.write_table(rest, "pairs"), docs, threshold).select("a", "b")
+    many = _scratch.write_table(open_members.where(F.col("n") > SMALL_BUCKET), "open")
+    if not many.isEmpty():
+        held = _texts(docs, many.select(F.col("doc_id").alias("id")).distinct())
+        more = more.union(_scratch.write_table(_across(many, held, threshold), "links"))
+    final = _components.components(links.select("a", "b").union(more))
 
     named = rows.select("doc_id", "copy").join(copies, "copy").join(final.withColumnRenamed("node", "rep"), "rep", "left")
     return named.select("doc_id", F.coalesce("label", "rep").alias("class_id"))
