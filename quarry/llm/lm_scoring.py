@@ -169,7 +169,7 @@ class Stats:
     def __init__(self, n: int, v: int, n1: int, n2: int):
         self.n, self.v = n, v
         self.discount = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-        self.lam = np.full(MAX_LEVEL, 0.5)
+        self.lam = np.zeros(MAX_LEVEL)
 
     def unigram(self, value: np.ndarray) -> np.ndarray:
         if not self.n:
@@ -182,6 +182,7 @@ class Stats:
         lower = self.unigram(np.maximum(VALUES[one] - 1, 0))
         upper = np.minimum(1, np.maximum(VALUES[pair] - 1, 0) / np.maximum(VALUES[ctx] - 1, 1))
         total = np.bincount(ctx, times, MAX_LEVEL)
+        self.lam = np.full(MAX_LEVEL, 0.5)
         for _ in range(60):
             mine = self.lam[ctx] * upper
             share = mine / np.maximum(mine + (1 - self.lam[ctx]) * lower, 1e-300)
