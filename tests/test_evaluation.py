@@ -19,7 +19,7 @@ ONE = [(1, 12, 13, "Điều 35", "Điều 35. theo Điều 9"), (2, 20, 20, None
     "expected,want",
     [
         ([("Điều 35", None)], 1), ([("điều 3", None)], 1), ([("Điều 9", None)], 1), ([(None, "13")], 1), ([(None, "20")], 2), ([("Điều 35", "20")], None),
-        ([(None, None)], None), ([("", None)], None), ([(None, "x")], None), ([], None), ([(None, "99"), ("KHÁC", None)], None), ([("", "20")], 2),
+        ([(None, None)], None), ([("", None)], None), ([(None, "x")], None), ([], None), ([(None, "99"), ("KHÁC", None)], 2), ([("", "20")], 2),
     ],
 )
 def test_evidence(spark, expected, want):
