@@ -318,7 +318,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     star = in_bucket.select("doc_id", F.explode(F.array_distinct("hubs")).alias("hub")).where("doc_id <> hub")
     tested = _scratch.write_table(_likely(star.select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct(), reps, threshold), "pairs")
     links = verify(tested, docs, threshold)
-    labels = _components.components(links)
+    short = _components.shortened(links)
+    labels = short.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("label"))
 
     labelled = in_bucket.select("key", "doc_id", "n").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
     labelled = _scratch.write_table(labelled, "labelled")
@@ -332,7 +333,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     if not many.isEmpty():
         held = _texts(docs, many.select(F.col("doc_id").alias("id")).distinct())
         more = more.union(_scratch.write_table(_across(many, held, threshold), "links"))
-    final = _components.components(links.select("a", "b").union(more))
+    final = _components.components(short.toDF("a", "b").union(more))
 
     named = rows.select("doc_id", "copy").join(copies, "copy").join(final.withColumnRenamed("node", "rep"), "rep", "left")
     return named.select("doc_id", F.coalesce("label", "rep").alias("class_id"))

@@ -85,7 +85,7 @@ def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 50)]
     random.Random(1).shuffle(edges)
     got = dict(tuple(r) for r in _components.components(spark.createDataFrame(edges, "a long, b long")).collect())
-    assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 150), 100)}
+    assert got == {**dict.fromkeys(range(1, 41), 0), **dict.fromkeys(range(101, 150), 100)}
 
 
 def brute_lines(texts, window=3, least=10):
