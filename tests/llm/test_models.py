@@ -159,7 +159,9 @@ def test_html_main_text():
     assert html_extract.extract("<div>" * 3000 + "deep") == "deep"
 
 
-def test_html_templates_are_removed_per_host(spark):
+@pytest.mark.parametrize("most", [0, 500_000])
+def test_html_templates_are_removed_per_host(spark, monkeypatch, most):
+    monkeypatch.setattr(html_extract, "BROADCAST_HASHES", most)
     page = lambda i, own: f"<body><div>Welcome to the site</div><p>{own} {i}</p><div>All rights</div></body>"
     rows = [(i, f"http://a.example/{i}", page(i, "story")) for i in range(12)]
     rows += [(100 + i, "https://b.example/x", page(0, "copy")) for i in range(12)]  # copies are no template
