@@ -7,8 +7,9 @@ or comments. By recurrence: block subtrees are hashed, and a subtree that stands
 least ``SHARE`` of a host's distinct pages, and on ``LEAST_PAGES``, is that site's template; copies of
 one page count as one page, so a page that was crawled often is not its own template.
 Counting is by (host, subtree, page content), pre-aggregated in each task; a host can have at most
-1 / SHARE times its pages' mean number of subtrees of templates, so the list that joins its pages is small, and the
-join is salted for hosts with very many pages.
+1 / SHARE times its pages' mean number of subtrees of templates, so the list that joins its pages is small. The
+lists of all hosts are counted: up to ``BROADCAST_HASHES`` hashes they are broadcast, beyond
+that they are joined, salted for hosts with very many pages.
 
 The text is that of ``article`` or ``main`` elements where there are any, else of the body.
 Every block element is one line: references decoded, white space runs one blank, trimmed; empty blocks
@@ -27,11 +28,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import _scratch
 from . import _text as tx
 
 SHARE = 0.5
 LEAST_PAGES = 8
 SALTS = 32
+#: Up to so many hashes of all hosts together (4 MB), the templates are broadcast.
+BROADCAST_HASHES = 500_000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed".split())
@@ -188,7 +192,7 @@ def extract(html: str, template: frozenset[int] | set[int] = frozenset()) -> str
     line: list[str] = []
 
     def flush() -> None:
-        text = " ".join(unescape("".join(line)).split())
+        text = " ".join("".join(line).split())
         if text:
             blocks.append(text)
         line.clear()
@@ -199,7 +203,7 @@ def extract(html: str, template: frozenset[int] | set[int] = frozenset()) -> str
         if node is None:
             flush()
         elif isinstance(node, str):
-            line.append(node)
+            line.append(unescape(node))
         elif node.tag in ("br", "wbr", "img"):
             if node.tag == "br":
                 line.append(" ")
@@ -244,9 +248,15 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` for every row of ``pages(page_id, url, html)``."""
     url = F.col("url").cast("string")
     rows = pages.select("page_id", "url", F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), _HOST, 1)).alias("host"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)))
-    spread = templates(rows).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    joined = salted.join(spread, ["host", "salt"], "left").select("page_id", "url", "html", "template")
+    found = _scratch.write_table(templates(rows), "templates")
+    size = found.agg(F.coalesce(F.sum(F.size("template")), F.lit(0))).first()[0]
+    if size <= BROADCAST_HASHES:
+        joined = rows.join(F.broadcast(found), "host", "left")
+    else:
+        salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)))
+        spread = found.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        joined = salted.join(spread, ["host", "salt"], "left")
+    joined = joined.select("page_id", "url", "html", "template")
     kinds = {f.name: f.dataType.simpleString() for f in joined.schema.fields}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
