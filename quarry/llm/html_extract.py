@@ -239,8 +239,9 @@ def templates(pages: DataFrame) -> DataFrame:
     known = pages.where("host <> '' and html <> ''").select("host", "html")
     found = known.mapInArrow(emit, "host string, page long, subtree long")
     counts = found.groupBy("host", "subtree", "page").count().groupBy("host", "subtree").agg(F.count("*").alias("n"))  # copies of a page once
+    counts = _scratch.write_table(counts.where((F.col("n") >= LEAST_PAGES) | F.col("subtree").isNull()), "subtrees")
     size = counts.where("subtree is null").select("host", F.col("n").alias("pages"))
-    often = counts.where(F.col("subtree").isNotNull() & (F.col("n") >= LEAST_PAGES)).join(size, "host").where(F.col("n") >= SHARE * F.col("pages"))
+    often = counts.where(F.col("subtree").isNotNull()).join(size, "host").where(F.col("n") >= SHARE * F.col("pages"))
     return often.groupBy("host").agg(F.collect_list("subtree").alias("template"))
 
 
