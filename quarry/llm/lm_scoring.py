@@ -142,13 +142,16 @@ BUILT = "block int, bits binary, words long, vocab array<long>, counts array<lon
 class Shard:
     """Consecutive blocks of the filter."""
 
-    def __init__(self, blocks: list):
+    def __init__(self, words: dict[int, int], blocks):
+        """``words``: the blocks' sizes; ``blocks``: (block, bits) in any order."""
         self.at, self.size = np.zeros(1 << BLOCK_BITS, np.int64), np.zeros(1 << BLOCK_BITS, np.int64)
         upto = 0
-        for row in blocks:
-            self.at[row["block"]], self.size[row["block"]] = upto, row["words"]
-            upto += row["words"]
-        self.bits = np.frombuffer(b"".join(bytes(r["bits"]) for r in blocks), tx.U64)
+        for block, n in words.items():
+            self.at[block], self.size[block] = upto, n
+            upto += n
+        self.bits = np.zeros(upto, tx.U64)
+        for block, bits in blocks:
+            self.bits[self.at[block] : self.at[block] + self.size[block]] = np.frombuffer(bits, tx.U64)
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """Quantised counts, by probing level after level; 0 for blocks held elsewhere."""
@@ -213,8 +216,9 @@ def train(docs: DataFrame) -> tuple[DataFrame, Stats, int]:
 
 def _shard(built: DataFrame, k: int, shards: int):
     per = -(-(1 << BLOCK_BITS) // shards)
-    rows = built.where(F.col("block").between(k * per, (k + 1) * per - 1)).select("block", "bits", "words").toLocalIterator()
-    return built.sparkSession.sparkContext.broadcast(Shard(list(rows)))  # about SHARD_BYTES
+    own = built.where(F.col("block").between(k * per, (k + 1) * per - 1))
+    words = {r["block"]: r["words"] for r in own.select("block", "words").collect()}  # at most 4,096 rows
+    return built.sparkSession.sparkContext.broadcast(Shard(words, own.select("block", "bits").toLocalIterator()))  # about SHARD_BYTES
 
 
 def levels(docs: DataFrame, built: DataFrame, shards: int) -> DataFrame:
@@ -251,10 +255,10 @@ def score(docs: DataFrame, train_rows: Column) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(train_rows, F.lit(False)).alias("train"))
     built, stats, shards = train(rows.where("train"))
     vocabulary = built.select(F.explode(F.arrays_zip("vocab", "counts")).alias("x")).select(F.col("x.vocab").alias("key"), F.col("x.counts").alias("c"))
-    hot_rows = vocabulary.where(F.col("c") >= max(1, stats.n >> HOT_SHIFT)).collect()  # at most 2^20, for they share N tokens
-    hot_key = np.array([r["key"] for r in hot_rows], np.int64).view(tx.U64)
+    frequent = vocabulary.where(F.col("c") >= max(1, stats.n >> HOT_SHIFT)).toArrow()  # at most 2^20 rows, for they share N tokens
+    hot_key = frequent["key"].to_numpy().astype(np.int64).view(tx.U64)
     order = np.argsort(hot_key)
-    hot = spark.sparkContext.broadcast((hot_key[order], np.array([r["c"] for r in hot_rows], np.int64)[order]))
+    hot = spark.sparkContext.broadcast((hot_key[order], frequent["c"].to_numpy().astype(np.int64)[order]))
 
     if shards == 1:
         filter_ = _shard(built, 0, 1)
@@ -280,9 +284,9 @@ def score(docs: DataFrame, train_rows: Column) -> DataFrame:
             seen = _added(np.concatenate((seen[0], code)), np.concatenate((seen[1], np.ones(len(code), np.int64))))
         yield pa.record_batch([pa.array(seen[0]), pa.array(seen[1])], names=["code", "n"])
 
-    met = source.where("train").mapInArrow(cells, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()  # combinations of levels
-    if met:
-        code, n = np.array([r["code"] for r in met]), np.array([r["n"] for r in met])
+    met = source.where("train").mapInArrow(cells, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()  # combinations of levels
+    if met.num_rows:
+        code, n = met["code"].to_numpy(), met["n"].to_numpy()
         stats.fit(np.stack((code // MAX_LEVEL**2, code // MAX_LEVEL % MAX_LEVEL, code % MAX_LEVEL, n), 1))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

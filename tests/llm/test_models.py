@@ -44,7 +44,7 @@ def test_lm_filter_never_underestimates_and_rarely_errs():
     counts = np.minimum(rng.zipf(1.5, 20000), 10**6)
     batch = pa.record_batch([pa.array(keys.view(np.int64)), pa.array(counts)], names=["key", "n"])
     blocks = [r for b in lm_scoring._build(iter([batch])) for r in b.to_pylist()]
-    shard = lm_scoring.Shard(blocks)
+    shard = lm_scoring.Shard({r["block"]: r["words"] for r in blocks}, ((r["block"], r["bits"]) for r in blocks))
     level = shard.levels(keys)
     assert (level >= lm_scoring.level_of(counts)).all()
     assert (level != lm_scoring.level_of(counts)).mean() < 0.05
