@@ -8,7 +8,7 @@ closed form. Grams are hashed to ``BUCKETS`` bits for each order, so a batch of
 0/1 matrix, and scoring is matrix products: batch x landmarks, then x languages.
 
 The model is fitted on at most ``PER_LANG`` labelled texts of each language (those with
-the least hash of doc_id; each over its first ``FIT_BYTES`` bytes), of which ``LANDMARKS`` in
+the least hash of doc_id; of each its first ``FIT_CHARS`` characters), of which ``LANDMARKS`` in
 all are landmarks; languages of a corpus are few, but beyond ``MAX_LANGS`` the most frequent
 are learned. Prediction reads whole texts.
 
@@ -31,8 +31,8 @@ from . import _text as tx
 
 ORDERS = (1, 2, 3)
 BUCKETS = 4096
-PER_LANG = 400
-FIT_BYTES = 1 << 14
+PER_LANG = 300
+FIT_CHARS = 1 << 13
 MAX_LANGS = 200
 LANDMARKS = 160
 RIDGE = 1e-3
@@ -98,7 +98,6 @@ class Model:
         self.langs = sorted(set(langs))
         if not texts:
             return
-        x = presence(pa.array(texts, pa.large_string()))
         y = np.where(np.array(langs)[:, None] == np.array(self.langs)[None, :], 1.0, -1.0)
         # landmarks: evenly from the languages, in the given (hash) order
         nth = np.zeros(len(langs), np.int64)
@@ -106,11 +105,12 @@ class Model:
         for i, lang in enumerate(langs):
             nth[i] = met[lang] = met.get(lang, -1) + 1
         chosen = np.argsort(nth, kind="stable")[:LANDMARKS]
-        self.landmarks = x[chosen]
+        self.landmarks = presence(pa.array([texts[i] for i in chosen], pa.large_string()))
         values, vectors = np.linalg.eigh(kernel(self.landmarks, self.landmarks).astype(np.float64))
         good = values > 1e-6 * values.max()
         root = vectors[:, good] / np.sqrt(values[good])
-        z = np.concatenate([kernel(x[i : i + ROWS], self.landmarks) for i in range(0, len(x), ROWS)]).astype(np.float64) @ root
+        parts = (presence(pa.array(texts[i : i + ROWS], pa.large_string())) for i in range(0, len(texts), ROWS))
+        z = np.concatenate([kernel(x, self.landmarks) for x in parts]).astype(np.float64) @ root
         z = np.concatenate((z, np.ones((len(z), 1))), 1)
         balance = np.array([1 / langs.count(lang) for lang in langs])[:, None] * len(langs) / len(self.langs)
         weights = np.linalg.solve(z.T @ (balance * z) + RIDGE * len(z) * np.eye(z.shape[1]), z.T @ (balance * y))
@@ -130,7 +130,7 @@ def fit(labelled: DataFrame) -> Model:
     picked = ids.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= per_lang)
     # the picked rows' hash bounds are few; texts are then fetched by a filter, without a shuffle of texts
     wanted = {(r["doc_id"]) for r in picked.select("doc_id").collect()}
-    rows = named.where(F.col("doc_id").isin(list(wanted))).select("doc_id", "lang", F.substring("text", 1, FIT_BYTES).alias("text")).limit(2 * len(wanted) + 1).collect() if wanted else []
+    rows = named.where(F.col("doc_id").isin(list(wanted))).select("doc_id", "lang", F.substring("text", 1, FIT_CHARS).alias("text")).limit(2 * len(wanted) + 1).collect() if wanted else []
     rows.sort(key=lambda r: (int(tx.mix64(np.array([r["doc_id"] & (1 << 64) - 1], np.uint64))[0]), r["doc_id"], r["lang"], r["text"]))
     rows = [r for r in rows if _LETTER.search(r["text"])]
     return Model([r["text"] for r in rows], [r["lang"] for r in rows])
