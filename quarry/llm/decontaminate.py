@@ -13,8 +13,8 @@ ruled out by one lookup per shingle, before any fingerprint is made. Sums for ne
 sums. At similarity 0.8 the expected distance is 9.7 bits with a deviation of 2.9, so the
 radius of 19 loses about one aligned window in 3,000.
 
-Items are the stated query set: they are taken in blocks of at most ``BLOCK_ITEMS``, and
-each block's index, of bounded size, is sent to all tasks for one pass over the documents.
+Items are the stated query set: they are taken in blocks of about ``BLOCK_ITEMS / 2``, and
+each block's index, of some 40 KB an item, is sent to all tasks for one pass over the documents.
 
 Defined results: null and empty texts, and items without words, match nothing; an item of
 fewer than five words is one shingle. Equal items are all reported. Rows with equal doc_id
@@ -89,17 +89,18 @@ class Index:
                 part = (self.prints[own] >> tx.U64(16 * k)).astype(np.uint16)
                 near = (part[:, None] ^ ball[None, :]).ravel()
                 order = np.argsort(near, kind="stable")
-                self.tables[int(n), k] = (np.searchsorted(near[order], np.arange((1 << 16) + 1)), np.repeat(own, len(ball))[order].astype(np.int32))
+                self.tables[int(n), k] = (near[order], np.repeat(own, len(ball))[order].astype(np.int16))
 
     def near(self, prints: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Window and item numbers within the radius."""
         pairs = []
         for k in range(BLOCKS):
-            begin, entries = self.tables[n, k]
-            part = (prints >> tx.U64(16 * k)).astype(np.uint16).astype(np.int64)
-            count = begin[part + 1] - begin[part]
+            values, entries = self.tables[n, k]
+            part = (prints >> tx.U64(16 * k)).astype(np.uint16)
+            begin = np.searchsorted(values, part, "left")
+            count = np.searchsorted(values, part, "right") - begin
             w = np.repeat(np.arange(len(prints)), count)
-            e = entries[np.arange(len(w)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(begin[part], count)]
+            e = entries[np.arange(len(w)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(begin, count)].astype(np.int64)
             close = np.bitwise_count(prints[w] ^ self.prints[e]) <= RADIUS
             pairs.append(w[close] * len(self.ids) + e[close])
         both = np.unique(np.concatenate(pairs))
