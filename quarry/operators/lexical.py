@@ -34,8 +34,14 @@ def tokenized(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     return docs.select(key, F.coalesce(tx.tokenize(F.col(text)), F.array().cast("array<string>")).alias("tokens"))
 
 
+def _terms(tokens: DataFrame, *carried: str) -> DataFrame:
+    """One row a token. The outer form keeps the optimiser from adding a filter on the array's
+    size, which would cut every text into tokens a second time."""
+    return tokens.select(*carried, F.explode_outer("tokens").alias("term")).where("term is not null")
+
+
 def term_freq(tokens: DataFrame, key: str) -> DataFrame:
-    return tokens.select(key, F.explode("tokens").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    return _terms(tokens, key).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
 def doc_freq(postings: DataFrame) -> DataFrame:
@@ -62,7 +68,7 @@ class LexicalIndex:
     @classmethod
     def build(cls, docs: DataFrame, key: str, text: str = "text") -> LexicalIndex:
         tokens = tokenized(docs, key, text)
-        withs = tokens.select(key, F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term"))
+        withs = _terms(tokens.withColumn("dl", F.size("tokens").cast("long")), key, "dl")
         postings = withs.groupBy(key, "term", "dl").agg(F.count("*").alias("tf"))
         return cls(key, postings, doc_freq(postings), corpus_stats(doc_len(tokens, key)))
 
@@ -90,7 +96,7 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str, text: str = "text", k1:
     if index is None:
         # only the queries' terms are counted; lengths and statistics need every document
         base = tokenized(docs, key, text).withColumn("dl", F.size("tokens").cast("long"))
-        hits = base.select(key, "dl", F.explode("tokens").alias("term")).join(hinted(vocabulary, few), "term", "left_semi")
+        hits = _terms(base, key, "dl").join(hinted(vocabulary, few), "term", "left_semi")
         postings = hits.groupBy(key, "term", "dl").agg(F.count("*").alias("tf"))
         stats = base.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
         frequencies = doc_freq(postings)

@@ -62,9 +62,18 @@ def hybrid_scores(chunks: DataFrame, queries: DataFrame, key: str = "ordinal", w
     few = lexical.is_small(queries.select("query_id"), MANY_QUESTIONS) if few is None else few
     keyword = lexical.bm25(chunks, queries, key, k1=k1, b=b, index=index)
     per_chunk = keyword.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("query_id", "keyword_raw"))).alias("__kw"))  # one entry a question
+    # the extremes: of cosines over vectors alone, of keyword scores over the sparse table,
+    # where chunks that are missing from it score 0
+    cosines = semantic_grid(chunks.select("embedding"), queries, [], few)
+    ends = cosines.groupBy("query_id").agg(F.min("semantic_raw").alias("semantic_raw_lo"), F.max("semantic_raw").alias("semantic_raw_hi"), F.count("*").alias("__n"))
+    met = keyword.groupBy("query_id").agg(F.min("keyword_raw").alias("__lo"), F.max("keyword_raw").alias("__hi"), F.count("*").alias("__m"))
+    all_met = F.coalesce(F.col("__m") == F.col("__n"), F.lit(False))
+    ends = ends.join(met, "query_id", "left").select(
+        "query_id", "semantic_raw_lo", "semantic_raw_hi",
+        F.when(all_met, F.col("__lo")).otherwise(0.0).alias("keyword_raw_lo"), F.coalesce("__hi", F.lit(0.0)).alias("keyword_raw_hi"),
+    )
     grid = semantic_grid(chunks.select(key, "embedding").join(per_chunk, key, "left"), queries, [key, "__kw"], few)
     raw = grid.withColumn("keyword_raw", F.coalesce(F.try_element_at("__kw", F.col("query_id")), F.lit(0.0))).drop("__kw")
-    ends = raw.groupBy("query_id").agg(*(f(c).alias(f"{c}_{n}") for c in ("semantic_raw", "keyword_raw") for n, f in (("lo", F.min), ("hi", F.max))))
     scaled = raw.join(lexical.hinted(ends, few), "query_id")  # one row a question
     semantic, kw = (minmax(F.col(c), F.col(f"{c}_lo"), F.col(f"{c}_hi")) for c in ("semantic_raw", "keyword_raw"))
     return scaled.select("query_id", key, blend(semantic, kw, weight).alias("score"), semantic.alias("semantic_score"), kw.alias("keyword_score"))
