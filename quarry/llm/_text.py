@@ -50,7 +50,7 @@ _inv = np.ones(1, dtype=U64)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _pow, _inv
     if len(_pow) < n:
-        size = max(n, SLICE_BYTES + (SLICE_BYTES >> 1))
+        size = max(n, SLICE_BYTES + (SLICE_BYTES >> 4))
         for_all = np.full(size, _P, dtype=U64)
         for_all[0] = 1
         back = np.full(size, _P_INV, dtype=U64)

@@ -61,8 +61,8 @@ class ChunkTokenizer:
         self.entry = np.full(SLOTS, -1, np.int32)
         self.pool = np.zeros(1 << 16, np.uint32)
         self.used = 0
-        self.begin = np.zeros(1 << 16, np.int64)
-        self.length = np.zeros(1 << 16, np.int64)
+        self.begin = np.zeros(1 << 16, np.int32)
+        self.length = np.zeros(1 << 16, np.int32)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         encode = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
@@ -169,7 +169,7 @@ class ChunkTokenizer:
             self._learn(distinct, [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
             slot[missing] = self._find(keys[missing])
         length = self.length[slot]
-        upto = np.concatenate(([0], np.cumsum(length)))
+        upto = np.concatenate(([0], np.cumsum(length, dtype=np.int64)))
         ids = self.pool[np.arange(upto[-1]) + np.repeat(self.begin[slot] - upto[:-1], length)]
         bounds = upto[np.searchsorted(starts, offsets, "left")]
         if not len(odd):
