@@ -89,7 +89,8 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 def bm25(docs: DataFrame, queries: DataFrame, key: str, text: str = "text", k1: float = K1, b: float = B, index: LexicalIndex | None = None) -> DataFrame:
     """``query_id, key, keyword_raw`` for the documents that hold a query term; all others
-    score 0. Contributions add up in query order, so results repeat to the last bit."""
+    score 0. Contributions are added within each task first; their order is free, so scores may
+    differ in the last bits from run to run."""
     terms = query_terms(queries)
     few = is_small(terms)  # bounds the vocabulary and whatever is joined to it below
     vocabulary = terms.select("term").distinct()
@@ -108,6 +109,5 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str, text: str = "text", k1:
     asked = weighted.where("avgdl > 0").select("query_id", "pos", "term", "avgdl", idf.alias("idf"))
     scale = F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))
     part = F.col("idf") * (F.col("tf") * (k1 + 1)) / scale
-    met = postings.join(hinted(asked, few), "term").select("query_id", key, "pos", part.alias("part"))
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "part")))  # at most one entry a query term
-    return met.groupBy("query_id", key).agg(F.aggregate(ordered, F.lit(0.0), lambda s, x: s + x["part"]).alias("keyword_raw"))
+    met = postings.join(hinted(asked, few), "term").select("query_id", key, part.alias("part"))
+    return met.groupBy("query_id", key).agg(F.sum("part").alias("keyword_raw"))
