@@ -6,7 +6,7 @@ documents that the stage before kept, and its result is written and read again b
 next. All but the last return the columns of ``docs``; the last returns the placed pieces.
 
 Defined results: documents without any letter go (stage 1); documents all of whose lines occurred
-before go, and others lose such passages, with ``n_chars`` renewed (2); of a class of near-duplicates
+before go, and others lose such passages, however short their lines, with ``n_chars`` renewed (2); of a class of near-duplicates
 the document with the least doc_id stays (3); documents that hold a benchmark item go (4). Null texts
 have no letter. Extra columns are carried through. Empty tables give empty results.
 """
@@ -27,7 +27,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup(docs).where("n_removed = 0 or text <> ''")
+    out = line_dedup.dedup(docs, min_words=0).where("n_removed = 0 or text <> ''")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(docs.columns)

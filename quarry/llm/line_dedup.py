@@ -6,7 +6,8 @@ ends as borders the windows inside them are the same wherever they stand. Lines
 compared trimmed; blank ones are skipped. Every window of ``WINDOW`` consecutive lines with
 at least ``MIN_WORDS`` words is hashed to 128 bits; a window that occurs again anywhere
 keeps its first occurrence (by doc_id, then position), and the lines that its later
-occurrences cover go. Overlapping covers merge, so whole repeated passages go.
+occurrences cover go. Overlapping covers merge, so whole repeated passages go. The floor of ``MIN_WORDS`` is that of
+op5's SQL; the pipeline passes 0 and hashes every window.
 
 Defined results: null and empty texts have no lines and come back unchanged, as does a text
 of fewer than ``WINDOW`` lines. Rows without doc_id are not compared. Rows with equal doc_id

@@ -24,3 +24,12 @@ def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_line_dedup_takes_repeated_passages_of_short_lines(spark):
+    passage = "\n".join(f"w{i}!!" for i in range(133))
+    rows = [(0, f"first\n{passage}\nend"), (1, f"other\n{passage}\ntail"), (2, "one\n" * 300), (3, "a\nb"), (4, passage)]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id long, text string, n_chars long")
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.dedup_lines(spark, docs, DATA).collect()}
+    # a text's own first window stays: of 300 equal lines, the later windows cover all but the first
+    assert got == {0: (rows[0][1], len(rows[0][1])), 1: ("other\ntail", 10), 2: ("one", 3), 3: ("a\nb", 3)}
