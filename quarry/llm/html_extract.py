@@ -3,13 +3,14 @@
 Pages are parsed leniently: comments, declarations and raw-text elements are skipped, end tags
 may be missing, attribute values may hold ``>``. Boilerplate goes in two ways. By role: the
 elements whose name or class, id or role says menu, footer, notice, advert, form, sidebar
-or comments. By recurrence: block subtrees are hashed, and a subtree that stands on at
-least ``SHARE`` of a host's distinct pages, and on ``LEAST_PAGES``, is that site's template; copies of
-one page count as one page, so a page that was crawled often is not its own template.
-Counting is by (host, subtree, page content), pre-aggregated in each task; a host can have at most
-1 / SHARE times its pages' mean number of subtrees of templates, so the list that joins its pages is small. The
-lists of all hosts are counted: up to ``BROADCAST_HASHES`` hashes they are broadcast, beyond
-that they are joined, salted for hosts with very many pages.
+or comments. By recurrence: block subtrees are hashed, and a subtree that stands on ``MANY_PAGES``
+distinct pages of a host, whatever the host's size, is that site's template; on a host of few pages,
+so is one on ``SHARE`` of them and on ``LEAST_PAGES``. Copies of one page count as one page, so a
+page that was crawled often is not its own template.
+Hashes are seeded by host, so a template is one number. Counting is by (subtree, page content),
+pre-aggregated in each task. The templates of all hosts are counted: up to ``BROADCAST_HASHES`` they are
+broadcast as one sorted array; beyond that they are joined with the subtrees of each distinct page, so
+what joins a page is bounded by the page, however many templates its host has.
 
 The text is that of ``article`` or ``main`` elements where there are any, else of the body.
 Every block element is one line: references decoded, white space runs one blank, trimmed; empty blocks
@@ -20,9 +21,12 @@ not compared with others; repeated rows get equal texts.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from array import array
+from bisect import bisect_left
+from collections.abc import Container, Iterator
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -31,9 +35,9 @@ from pyspark.sql import functions as F
 from . import _scratch
 from . import _text as tx
 
+MANY_PAGES = 8
 SHARE = 0.5
-LEAST_PAGES = 8
-SALTS = 32
+LEAST_PAGES = 3
 #: Up to so many hashes of all hosts together (4 MB), the templates are broadcast.
 BROADCAST_HASHES = 500_000
 
@@ -170,23 +174,45 @@ def _deep(walk, node: Node) -> None:
         sys.setrecursionlimit(limit)
 
 
-def _hash(html: str, node: Node) -> int:
-    return xxhash.xxh64_intdigest(html[node.start : node.end].encode("utf-8", "surrogatepass")) - (1 << 63)
+def _print(text: str, seed: int = 0) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), seed) - (1 << 63)
 
 
-def subtrees(html: str) -> set[int]:
+def _seed(host: str) -> int:
+    return xxhash.xxh64_intdigest(host)
+
+
+def _hash(html: str, node: Node, seed: int) -> int:
+    return _print(html[node.start : node.end], seed)
+
+
+class Sorted:
+    """A set of 64-bit numbers in a sorted array."""
+
+    def __init__(self, values: array):
+        self.values = values
+
+    def __contains__(self, x: int) -> bool:
+        at = bisect_left(self.values, x)
+        return at < len(self.values) and self.values[at] == x
+
+    def __len__(self) -> int:
+        return len(self.values)
+
+
+def subtrees(html: str, seed: int = 0) -> set[int]:
     """Hashes of the block subtrees that could show in the text."""
     out: set[int] = set()
     todo = list(_contents(parse(html)))
     first = len(todo)
     for i, node in enumerate(todo):
         if i >= first and node.tag in BLOCK and node.tag not in ("html", "body", "article", "main"):
-            out.add(_hash(html, node))
+            out.add(_hash(html, node, seed))
         todo += [c for c in node.children if isinstance(c, Node) and not c.dropped]
     return out
 
 
-def extract(html: str, template: frozenset[int] | set[int] = frozenset()) -> str:
+def extract(html: str, template: Container[int] = frozenset(), seed: int = 0) -> str:
     """The main text without the subtrees in ``template``."""
     blocks: list[str] = []
     line: list[str] = []
@@ -209,7 +235,7 @@ def extract(html: str, template: frozenset[int] | set[int] = frozenset()) -> str
                 line.append(" ")
         elif not node.dropped:
             block = node.tag in BLOCK or node.tag == "#"
-            if block and template and node.tag not in ("html", "body", "article", "main", "#") and _hash(html, node) in template:
+            if block and template and node.tag not in ("html", "body", "article", "main", "#") and _hash(html, node, seed) in template:
                 flush()
                 continue
             if block:
@@ -223,26 +249,42 @@ def extract(html: str, template: frozenset[int] | set[int] = frozenset()) -> str
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """``host, template``: each host's recurring subtrees."""
+    """``subtree``: the recurring subtrees of all hosts."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in tx.slices(batches, "html"):
             hosts, prints, hashes = [], [], []
             for host, html in zip(tx.column(b, "host").to_pylist(), tx.column(b, "html").to_pylist(), strict=True):
-                root_print = xxhash.xxh64_intdigest(extract(html).encode("utf-8", "surrogatepass")) - (1 << 63)
-                for h in [None, *subtrees(html)]:
-                    hosts.append(host)
-                    prints.append(root_print)
+                seed, page = _seed(host), _print(extract(html))
+                for h in [None, *subtrees(html, seed)]:
+                    hosts.append(seed - (1 << 63))
+                    prints.append(page)
                     hashes.append(h)
-            yield pa.record_batch([pa.array(hosts, pa.string()), pa.array(prints, pa.int64()), pa.array(hashes, pa.int64())], names=["host", "page", "subtree"])
+            yield pa.record_batch([pa.array(hosts, pa.int64()), pa.array(prints, pa.int64()), pa.array(hashes, pa.int64())], names=["host", "page", "subtree"])
 
     known = pages.where("host <> '' and html <> ''").select("host", "html")
-    found = known.mapInArrow(emit, "host string, page long, subtree long")
+    found = known.mapInArrow(emit, "host long, page long, subtree long")
     counts = found.groupBy("host", "subtree", "page").count().groupBy("host", "subtree").agg(F.count("*").alias("n"))  # copies of a page once
-    counts = _scratch.write_table(counts.where((F.col("n") >= LEAST_PAGES) | F.col("subtree").isNull()), "subtrees")
+    counts = _scratch.write_table(counts.where((F.col("n") >= min(LEAST_PAGES, MANY_PAGES)) | F.col("subtree").isNull()), "subtrees")
     size = counts.where("subtree is null").select("host", F.col("n").alias("pages"))
-    often = counts.where(F.col("subtree").isNotNull()).join(size, "host").where(F.col("n") >= SHARE * F.col("pages"))
-    return often.groupBy("host").agg(F.collect_list("subtree").alias("template"))
+    small = (F.col("n") >= LEAST_PAGES) & (F.col("n") >= SHARE * F.col("pages"))
+    return counts.where(F.col("subtree").isNotNull()).join(size, "host").where((F.col("n") >= MANY_PAGES) | small).select("subtree")
+
+
+def _of_pages(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """``key, template``: for each distinct page (host and html) that holds templates, which ones."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in tx.slices(batches, "html"):
+            keys, hashes = [], []
+            for key, host, html in zip(tx.column(b, "key").to_pylist(), tx.column(b, "host").to_pylist(), tx.column(b, "html").to_pylist(), strict=True):
+                here = subtrees(html, _seed(host))
+                keys += [key] * len(here)
+                hashes += here
+            yield pa.record_batch([pa.array(keys, pa.string()), pa.array(hashes, pa.int64())], names=["key", "subtree"])
+
+    held = rows.where("host <> '' and html <> ''").select("key", "host", "html").mapInArrow(emit, "key string, subtree long")
+    return held.join(found, "subtree").groupBy("key").agg(F.collect_set("subtree").alias("template"))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
@@ -250,19 +292,21 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     url = F.col("url").cast("string")
     rows = pages.select("page_id", "url", F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), _HOST, 1)).alias("host"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     found = _scratch.write_table(templates(rows), "templates")
-    size = found.agg(F.coalesce(F.sum(F.size("template")), F.lit(0))).first()[0]
-    if size <= BROADCAST_HASHES:
-        joined = rows.join(F.broadcast(found), "host", "left")
+    whole = None
+    if found.count() <= BROADCAST_HASHES:
+        values = np.sort(found.toArrow()["subtree"].to_numpy())
+        whole = rows.sparkSession.sparkContext.broadcast(Sorted(array("q", values.tobytes())))
+        joined = rows.select("page_id", "url", "host", "html")
     else:
-        salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)))
-        spread = found.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-        joined = salted.join(spread, ["host", "salt"], "left")
-    joined = joined.select("page_id", "url", "html", "template")
+        keyed = rows.withColumn("key", F.md5(F.concat_ws("\n", "host", "html")))
+        joined = keyed.join(_of_pages(keyed, found), "key", "left").select("page_id", "url", "host", "html", "template")
     kinds = {f.name: f.dataType.simpleString() for f in joined.schema.fields}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in tx.slices(batches, "html"):
-            texts = [extract(h, set(t) if t else frozenset()) for h, t in zip(tx.column(b, "html").to_pylist(), tx.column(b, "template").to_pylist(), strict=True)]
+            hosts, htmls = tx.column(b, "host").to_pylist(), tx.column(b, "html").to_pylist()
+            lists = [whole.value] * len(htmls) if whole else [frozenset(t or ()) for t in tx.column(b, "template").to_pylist()]
+            texts = [extract(h, t if host else frozenset(), _seed(host)) for host, h, t in zip(hosts, htmls, lists, strict=True)]
             yield pa.record_batch([tx.column(b, "page_id"), tx.column(b, "url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return joined.mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")

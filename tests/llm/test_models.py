@@ -172,3 +172,19 @@ def test_html_templates_are_removed_per_host(spark, monkeypatch, most):
     assert got[104][0] == "Welcome to the site\ncopy 0\nAll rights" and got[200][0].startswith("Welcome")
     assert got[201] == got[202] == ("", 0) and len(got) == len(rows)
     assert html_extract.extract_pages(df.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("most", [0, 500_000])
+def test_html_templates_do_not_hang_on_the_size_of_the_host(spark, monkeypatch, most):
+    monkeypatch.setattr(html_extract, "BROADCAST_HASHES", most)
+    page = lambda i, *parts: "<body>" + "".join(f"<div>{p}</div>" for p in parts) + f"<p>story {i}</p></body>"
+    rows = [(i, f"http://large.example/{i}", page(i, *["Advert"] * (i % 10 < 3), f"Section {i % 5}", *["Quoted"] * (i < 4))) for i in range(100)]
+    rows += [(200 + i, f"http://small.example/{i}", page(i, "Menu here", *["Twice"] * (i < 2))) for i in range(4)]
+    rows += [(300 + i, f"http://other.example/{i}", page(i, "Advert")) for i in range(2)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_pages(df).collect()}
+    assert got == {
+        **{i: "Quoted\n" * (i < 4) + f"story {i}" for i in range(100)},
+        **{200 + i: "Twice\n" * (i < 2) + f"story {i}" for i in range(4)},
+        **{300 + i: f"Advert\nstory {i}" for i in range(2)},
+    }
