@@ -20,8 +20,8 @@ learned path weights turns them into a score.
 The composed machine reads the marked words only: a run of other words is one OTHER symbol
 with its length. It is run once per marked clause, so cost follows matches, not text.
 
-Learning takes at most ``FIT_ROWS`` labelled texts (least hash of doc_id within each label),
-of each its first ``FIT_CHARS`` characters; scoring reads whole texts.
+Learning takes at most ``FIT_ROWS`` labelled texts (least hash of doc_id within each label);
+learning and scoring read whole texts.
 Defined results: null and empty texts have no clause and get the model's base score, as does
 any text if there are no labels of both kinds (0 then). Repeated rows get equal scores.
 """
@@ -35,11 +35,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import _scratch
 from . import _text as tx
 
 FIT_ROWS = 4000
-FIT_CHARS = 1 << 13
-FIT_BATCH = 200
 STEMS = (4, 5, 6)
 MIN_DOCS = 5
 MIN_LOG_ODDS = 2.5
@@ -83,29 +82,16 @@ def tokens(column: pa.Array) -> dict[str, np.ndarray]:
 class Grammar:
     """Lexicon (sorted hashes, symbols, weights) and path weights."""
 
-    def __init__(self, texts: list[str], labels: list[int]):
-        self.ready = 0 < sum(labels) < len(labels)
+    def __init__(self, found: pa.Table | None = None, n1: int = 0, n0: int = 0):
+        """``found``: of the words and stems of ``n1`` toxic and ``n0`` clean texts, how many of each hold them."""
+        self.ready = n1 > 0 and n0 > 0
+        self.path = np.zeros(len(FEATURES) + 1)
         if not self.ready:
             return
-        y = np.array(labels)
-        n1, n0 = y.sum(), len(y) - y.sum()
-        batches = [slice(i, i + FIT_BATCH) for i in range(0, len(texts), FIT_BATCH)]
-        pairs: dict[str, list[np.ndarray]] = {kind: [] for kind in KINDS}
-        for cut in batches:
-            t = tokens(pa.array(texts[cut], pa.string()))
-            for kind in KINDS:
-                pairs[kind].append(np.unique(np.stack((tx.signed(t[kind]), t["rows"] + cut.start)), axis=1))
-        keys, weights, symbols = [], [], []
-        for kind in KINDS:
-            found = np.concatenate(pairs.pop(kind), axis=1)
-            key, inverse = np.unique(found[0], return_inverse=True)
-            toxic = np.bincount(inverse, y[found[1]], len(key))
-            clean = np.bincount(inverse, 1 - y[found[1]], len(key))
-            odds = np.log((toxic + 0.5) / (n1 + 1)) - np.log((clean + 0.5) / (n0 + 1))
-            good = (toxic + clean >= MIN_DOCS) & (odds >= MIN_LOG_ODDS) & (key != 0)
-            keys.append(key[good].view(tx.U64))
-            weights.append(odds[good])
-            symbols.append(np.full(good.sum(), INSULT))
+        key, toxic, clean = (found[c].to_numpy() for c in ("key", "toxic", "clean"))
+        odds = np.log((toxic + 0.5) / (n1 + 1)) - np.log((clean + 0.5) / (n0 + 1))
+        good = (toxic + clean >= MIN_DOCS) & (odds >= MIN_LOG_ODDS) & (key != 0)
+        keys, weights, symbols = [key[good].view(tx.U64)], [odds[good]], [np.full(good.sum(), INSULT)]
         for symbol, words in ((THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)):
             h = np.unique(_hash(words))
             keys.append(h)
@@ -116,7 +102,9 @@ class Grammar:
         key, weight, symbol = key[order], weight[order], symbol[order]
         first = np.concatenate(([True], key[1:] != key[:-1]))
         self.key, self.weight, self.symbol = key[first], weight[first], symbol[first]
-        x = np.concatenate([self.features(tokens(pa.array(texts[c], pa.string())), len(texts[c])) for c in batches])
+
+    def weigh(self, x: np.ndarray, y: np.ndarray) -> None:
+        """Learn the path weights from the texts' features and labels."""
         self.scale = np.maximum(x.std(0), 1e-6)
         self.path = _logistic(x / self.scale, y)
 
@@ -212,17 +200,55 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
     return w
 
 
+def _occurrences(sample: DataFrame) -> DataFrame:
+    """``kind, key, toxic, clean``: how many texts of either label hold a word or stem. Only
+    what could come into the lexicon is given back."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in tx.slices(batches):
+            t, label = tokens(tx.column(b, "text")), np.asarray(tx.column(b, "toxic")).astype(np.int64)
+            for k, kind in enumerate(KINDS):
+                key, row = np.unique(np.stack((tx.signed(t[kind]), t["rows"])), axis=1)
+                key, at = np.unique(key, return_inverse=True)
+                held = [np.bincount(at, v[row], len(key)).astype(np.int64) for v in (label, 1 - label)]
+                yield pa.record_batch([pa.array(np.full(len(key), k, np.int32)), pa.array(key), *map(pa.array, held)], names=["kind", "key", "toxic", "clean"])
+
+    found = sample.mapInArrow(emit, "kind int, key long, toxic long, clean long")
+    sums = found.groupBy("kind", "key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    return sums.where((F.col("toxic") + F.col("clean") >= MIN_DOCS) & (F.col("toxic") > 0))
+
+
+def _features(sample: DataFrame, grammar: Grammar) -> DataFrame:
+    shared = sample.sparkSession.sparkContext.broadcast(grammar)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in tx.slices(batches):
+            x = shared.value.features(tokens(tx.column(b, "text")), b.num_rows)
+            yield pa.record_batch([tx.column(b, "doc_id"), tx.column(b, "toxic"), *(pa.array(c) for c in x.T)], names=["doc_id", "toxic", *FEATURES])
+
+    return sample.mapInArrow(emit, "doc_id long, toxic int, " + ", ".join(f"{c} double" for c in FEATURES))
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Grammar:
-    """Fit on a bounded sample of the labelled rows of ``docs(doc_id, text)``."""
+    """Fit on a bounded sample of the labelled rows of ``docs(doc_id, text)``; its texts are read
+    whole, in the executors, and only lexicon entries and features come to the driver."""
+    spark = docs.sparkSession
     marked = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     order = Window.partitionBy("toxic").orderBy("__h", "doc_id")
     ranked = marked.withColumn("__h", F.xxhash64("doc_id", F.lit(5))).withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= FIT_ROWS // 2)
-    wanted = {r["doc_id"]: r["toxic"] for r in ranked.select("doc_id", "toxic").collect()}
+    wanted = {r["doc_id"]: int(r["toxic"] > 0) for r in ranked.select("doc_id", "toxic").collect()}
     if not wanted:
-        return Grammar([], [])
-    text = docs.where(F.col("doc_id").isin(list(wanted))).select(F.col("doc_id").cast("long").alias("doc_id"), F.substring(F.col("text").cast("string"), 1, FIT_CHARS).alias("text"))
-    rows = sorted((r["doc_id"], r["text"] or "") for r in text.limit(2 * len(wanted)).collect())
-    return Grammar([t for _, t in rows], [int(wanted[i] > 0) for i, _ in rows])
+        return Grammar()
+    text = docs.where(F.col("doc_id").isin(list(wanted))).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    toxic = F.col("doc_id").isin([i for i, label in wanted.items() if label]).cast("int")
+    rows = text.limit(2 * len(wanted)).withColumn("toxic", toxic).repartition(spark.sparkContext.defaultParallelism, "doc_id")
+    sample = _scratch.write_table(rows, "labelled")
+    counts = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    grammar = Grammar(_occurrences(sample).toArrow(), counts.get(1, 0), counts.get(0, 0))
+    if grammar.ready:
+        found = _features(sample, grammar).toArrow().sort_by([("doc_id", "ascending"), *((c, "ascending") for c in FEATURES)])
+        grammar.weigh(np.stack([found[c].to_numpy() for c in FEATURES], 1), found["toxic"].to_numpy().astype(np.float64))
+    return grammar
 
 
 def score(docs: DataFrame, grammar: Grammar) -> DataFrame:

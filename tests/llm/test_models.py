@@ -117,6 +117,14 @@ def test_toxicity_odd_rows(spark, docs):
     assert {r["score"] for r in toxicity.score(df, none).collect()} == {0.0}
 
 
+def test_toxicity_learns_from_whole_texts(spark, docs):
+    filler = "a fine day for all of them. " * 400
+    df = docs(*[filler + "you are an idiot today.", filler + "we walk home today."] * 12)
+    labels = df.select("doc_id", (F.col("doc_id") % 2 == 0).cast("int").alias("toxic"))
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score(df, toxicity.fit(df, labels)).collect()}
+    assert got == {i: int(i % 2 == 0) for i in range(24)}
+
+
 def brute_nearest(ids, vectors, q, k=5):
     v = np.array(vectors, float)
     s = v @ v[q] / (np.linalg.norm(v, axis=1) * np.linalg.norm(v[q]))
