@@ -20,14 +20,15 @@ learned path weights turns them into a score.
 The composed machine reads the marked words only: a run of other words is one OTHER symbol
 with its length. It is run once per marked clause, so cost follows matches, not text.
 
-Learning takes at most ``FIT_ROWS`` labelled texts (least hash of doc_id within each label);
-learning and scoring read whole texts.
+Learning takes at most ``FIT_ROWS`` labelled texts (least hash of doc_id within each label),
+weighted so that the labels keep their ratio in the whole table; learning and scoring read whole texts.
 Defined results: null and empty texts have no clause and get the model's base score, as does
 any text if there are no labels of both kinds (0 then). Repeated rows get equal scores.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -103,10 +104,12 @@ class Grammar:
         first = np.concatenate(([True], key[1:] != key[:-1]))
         self.key, self.weight, self.symbol = key[first], weight[first], symbol[first]
 
-    def weigh(self, x: np.ndarray, y: np.ndarray) -> None:
-        """Learn the path weights from the texts' features and labels."""
-        self.scale = np.maximum(x.std(0), 1e-6)
-        self.path = _logistic(x / self.scale, y)
+    def weigh(self, x: np.ndarray, y: np.ndarray, share: np.ndarray) -> None:
+        """Learn the path weights from the texts' features and labels; a text stands for
+        ``share`` labelled texts."""
+        mean = np.average(x, 0, share)
+        self.scale = np.maximum(np.sqrt(np.average((x - mean) ** 2, 0, share)), 1e-6)
+        self.path = _logistic(x / self.scale, y, share / share.mean())
 
     def _marked(self, t: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Positions, symbols and weights of the words that the lexicon knows; of a word and
@@ -185,14 +188,14 @@ def run_clause(pos: list[int], symbol: list[int], weight: list[float], quoted: l
             threat = p
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
-    """Newton's method; the last weight is the constant."""
+def _logistic(x: np.ndarray, y: np.ndarray, share: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
+    """Newton's method, rows weighted by ``share``; the last weight is the constant."""
     x = np.concatenate((x, np.ones((len(x), 1))), 1)
     w = np.zeros(x.shape[1])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (p - y) / len(y) + ridge * w
-        h = (x * (p * (1 - p))[:, None]).T @ x / len(y) + ridge * np.eye(len(w))
+        g = x.T @ (share * (p - y)) / len(y) + ridge * w
+        h = (x * (share * p * (1 - p))[:, None]).T @ x / len(y) + ridge * np.eye(len(w))
         step = np.linalg.solve(h, g)
         w -= step
         if np.abs(step).max() < 1e-8:
@@ -233,12 +236,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> Grammar:
     """Fit on a bounded sample of the labelled rows of ``docs(doc_id, text)``; its texts are read
     whole, in the executors, and only lexicon entries and features come to the driver."""
     spark = docs.sparkSession
-    marked = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
+    marked = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic").cast("int") > 0).cast("int").alias("toxic"))
     order = Window.partitionBy("toxic").orderBy("__h", "doc_id")
     ranked = marked.withColumn("__h", F.xxhash64("doc_id", F.lit(5))).withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= FIT_ROWS // 2)
-    wanted = {r["doc_id"]: int(r["toxic"] > 0) for r in ranked.select("doc_id", "toxic").collect()}
+    picked = ranked.select("doc_id", "toxic").collect()
+    wanted = {r["doc_id"]: r["toxic"] for r in picked}
     if not wanted:
         return Grammar()
+    taken = Counter(r["toxic"] for r in picked)
+    stands_for = {r["toxic"]: r["count"] / taken[r["toxic"]] for r in marked.groupBy("toxic").count().collect()}
     text = docs.where(F.col("doc_id").isin(list(wanted))).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     toxic = F.col("doc_id").isin([i for i, label in wanted.items() if label]).cast("int")
     rows = text.limit(2 * len(wanted)).withColumn("toxic", toxic).repartition(spark.sparkContext.defaultParallelism, "doc_id")
@@ -247,7 +253,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Grammar:
     grammar = Grammar(_occurrences(sample).toArrow(), counts.get(1, 0), counts.get(0, 0))
     if grammar.ready:
         found = _features(sample, grammar).toArrow().sort_by([("doc_id", "ascending"), *((c, "ascending") for c in FEATURES)])
-        grammar.weigh(np.stack([found[c].to_numpy() for c in FEATURES], 1), found["toxic"].to_numpy().astype(np.float64))
+        y = found["toxic"].to_numpy()
+        grammar.weigh(np.stack([found[c].to_numpy() for c in FEATURES], 1), y.astype(np.float64), np.array([stands_for[k] for k in y.tolist()]))
     return grammar
 
 

@@ -125,6 +125,15 @@ def test_toxicity_learns_from_whole_texts(spark, docs):
     assert got == {i: int(i % 2 == 0) for i in range(24)}
 
 
+@pytest.mark.parametrize("rows", [4000, 20])
+def test_toxicity_keeps_the_ratio_of_the_labels(spark, docs, monkeypatch, rows):
+    monkeypatch.setattr(toxicity, "FIT_ROWS", rows)
+    df = docs(*["a fine day for all"] * 220)
+    labels = df.select("doc_id", (F.col("doc_id") % 11 == 0).cast("int").alias("toxic"))
+    score = toxicity.score(df, toxicity.fit(df, labels)).first()["score"]
+    assert score == pytest.approx(20 / 220, abs=0.01)
+
+
 def brute_nearest(ids, vectors, q, k=5):
     v = np.array(vectors, float)
     s = v @ v[q] / (np.linalg.norm(v, axis=1) * np.linalg.norm(v[q]))
