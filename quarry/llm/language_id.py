@@ -8,9 +8,9 @@ closed form. Grams are hashed to ``BUCKETS`` bits for each order, so a batch of
 0/1 matrix, and scoring is matrix products: batch x landmarks, then x languages.
 
 The model is fitted on at most ``PER_LANG`` labelled texts of each language (those with
-the least hash of doc_id; of each its first ``FIT_CHARS`` characters), of which ``LANDMARKS`` in
-all are landmarks; languages of a corpus are few, but beyond ``MAX_LANGS`` the most frequent
-are learned. Prediction reads whole texts.
+the least hash of doc_id), of which ``LANDMARKS`` in all are landmarks; languages of a corpus are
+few, but beyond ``MAX_LANGS`` the most frequent are learned. Fitting and prediction read whole
+texts; their presence is computed in the executors, and only its bits come to the driver.
 
 Defined results: a null text, and one without any letter, is ``und`` with score 0, as is
 every text if no label can be learned. Rows are predicted each for itself, so repeated rows
@@ -20,6 +20,7 @@ get equal results. Extra columns are ignored by ``predict`` and kept by ``keep_k
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,6 @@ from . import _text as tx
 ORDERS = (1, 2, 3)
 BUCKETS = 4096
 PER_LANG = 300
-FIT_CHARS = 1 << 13
 MAX_LANGS = 200
 LANDMARKS = 160
 RIDGE = 1e-3
@@ -91,29 +91,44 @@ def kernel(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out / len(ORDERS)
 
 
+def packed(x: np.ndarray) -> np.ndarray:
+    """Presence as bits, a row a text."""
+    return np.packbits(x.reshape(len(x), -1).astype(bool), axis=1)
+
+
+def unpacked(bits: np.ndarray) -> np.ndarray:
+    return np.unpackbits(bits, axis=1).reshape(len(bits), len(ORDERS), BUCKETS).astype(np.float32)
+
+
 class Model:
     """Landmark texts' presence and the regression's weights, folded into one matrix."""
 
-    def __init__(self, texts: list[str], langs: list[str]):
-        self.langs = sorted(set(langs))
-        if not texts:
+    def __init__(self, bits: np.ndarray, langs: list[str]):
+        """``bits``: packed presence of the texts, in hash order."""
+        count = Counter(langs)
+        self.langs = sorted(count)
+        if not langs:
             return
-        y = np.where(np.array(langs)[:, None] == np.array(self.langs)[None, :], 1.0, -1.0)
         # landmarks: evenly from the languages, in the given (hash) order
         nth = np.zeros(len(langs), np.int64)
         met: dict[str, int] = {}
         for i, lang in enumerate(langs):
             nth[i] = met[lang] = met.get(lang, -1) + 1
         chosen = np.argsort(nth, kind="stable")[:LANDMARKS]
-        self.landmarks = presence(pa.array([texts[i] for i in chosen], pa.large_string()))
+        self.landmarks = unpacked(bits[chosen])
         values, vectors = np.linalg.eigh(kernel(self.landmarks, self.landmarks).astype(np.float64))
         good = values > 1e-6 * values.max()
         root = vectors[:, good] / np.sqrt(values[good])
-        parts = (presence(pa.array(texts[i : i + ROWS], pa.large_string())) for i in range(0, len(texts), ROWS))
-        z = np.concatenate([kernel(x, self.landmarks) for x in parts]).astype(np.float64) @ root
-        z = np.concatenate((z, np.ones((len(z), 1))), 1)
-        balance = np.array([1 / langs.count(lang) for lang in langs])[:, None] * len(langs) / len(self.langs)
-        weights = np.linalg.solve(z.T @ (balance * z) + RIDGE * len(z) * np.eye(z.shape[1]), z.T @ (balance * y))
+        zz, zy = np.zeros((root.shape[1] + 1,) * 2), np.zeros((root.shape[1] + 1, len(self.langs)))
+        for i in range(0, len(langs), ROWS):
+            here = np.array(langs[i : i + ROWS])
+            y = np.where(here[:, None] == np.array(self.langs)[None, :], 1.0, -1.0)
+            z = kernel(unpacked(bits[i : i + ROWS]), self.landmarks).astype(np.float64) @ root
+            z = np.concatenate((z, np.ones((len(z), 1))), 1)
+            balance = np.array([1 / count[lang] for lang in here.tolist()])[:, None] * len(langs) / len(self.langs)
+            zz += z.T @ (balance * z)
+            zy += z.T @ (balance * y)
+        weights = np.linalg.solve(zz + RIDGE * len(langs) * np.eye(len(zz)), zy)
         self.weights, self.bias = root @ weights[:-1], weights[-1]
 
     def margins(self, column: pa.Array) -> np.ndarray:
@@ -130,10 +145,24 @@ def fit(labelled: DataFrame) -> Model:
     picked = ids.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= per_lang)
     # the picked rows' hash bounds are few; texts are then fetched by a filter, without a shuffle of texts
     wanted = {(r["doc_id"]) for r in picked.select("doc_id").collect()}
-    rows = named.where(F.col("doc_id").isin(list(wanted))).select("doc_id", "lang", F.substring("text", 1, FIT_CHARS).alias("text")).limit(2 * len(wanted) + 1).collect() if wanted else []
-    rows.sort(key=lambda r: (int(tx.mix64(np.array([r["doc_id"] & (1 << 64) - 1], np.uint64))[0]), r["doc_id"], r["lang"], r["text"]))
-    rows = [r for r in rows if _LETTER.search(r["text"])]
-    return Model([r["text"] for r in rows], [r["lang"] for r in rows])
+    rows = _bits(named.where(F.col("doc_id").isin(list(wanted))), 2 * len(wanted) + 1).collect() if wanted else []
+    rows.sort(key=lambda r: (int(tx.mix64(np.array([r["doc_id"] & (1 << 64) - 1], np.uint64))[0]), r["doc_id"], r["lang"], r["bits"]))
+    bits = np.frombuffer(b"".join(bytes(r["bits"]) for r in rows), np.uint8).reshape(len(rows), -1) if rows else np.zeros((0, 1), np.uint8)
+    return Model(bits, [r["lang"] for r in rows])
+
+
+def _bits(named: DataFrame, most: int) -> DataFrame:
+    """``doc_id, lang, bits``: packed presence of whole texts that have a letter, ``most`` rows at most."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in tx.slices(batches):
+            for at in range(0, big.num_rows, ROWS):
+                b = big.slice(at, ROWS)
+                b = b.filter(pa.array([_LETTER.search(t) is not None for t in tx.column(b, "text").to_pylist()], pa.bool_()))
+                bits = packed(presence(tx.column(b, "text")))
+                yield pa.record_batch([tx.column(b, "doc_id"), tx.column(b, "lang"), pa.array([r.tobytes() for r in bits], pa.binary())], names=["doc_id", "lang", "bits"])
+
+    return named.select("doc_id", "lang", "text").mapInArrow(emit, "doc_id long, lang string, bits binary").limit(most)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

@@ -75,6 +75,13 @@ def test_language_id_odd_rows(spark, docs):
     assert {r["lang_pred"] for r in language_id.predict(df, nothing).collect()} == {"und"}
 
 
+def test_language_id_is_fitted_on_whole_texts(spark, docs):
+    far = "1 " * 5000
+    df = docs(*[far + "the cat and the dog", far + "der Hund und die Katze"] * 4).withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "en").otherwise("de"))
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.predict(docs("the the and of", "und die der das"), language_id.fit(df)).collect()}
+    assert got == {0: "en", 1: "de"}
+
+
 def test_presence_kernel_is_the_blended_spectrum():
     texts = ["Abc abd", "abd xyz", "é 12 É"]
     x = language_id.presence(pa.array(texts))
