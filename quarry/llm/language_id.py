@@ -8,9 +8,10 @@ closed form. Grams are hashed to ``BUCKETS`` bits for each order, so a batch of
 0/1 matrix, and scoring is matrix products: batch x landmarks, then x languages.
 
 The model is fitted on at most ``PER_LANG`` labelled texts of each language (those with
-the least hash of doc_id), of which ``LANDMARKS`` in all are landmarks; languages of a corpus are
-few, but beyond ``MAX_LANGS`` the most frequent are learned. Fitting and prediction read whole
-texts; their presence is computed in the executors, and only its bits come to the driver.
+the least hash of doc_id; fewer, but 20 at least, beyond 66 languages), of which ``LANDMARKS`` in all
+are landmarks, or one a language where there are more languages. Every label is learned. Fitting and
+prediction read whole texts; their presence is computed in the executors, and only its bits come to
+the driver.
 
 Defined results: a null text, and one without any letter, is ``und`` with score 0, as is
 every text if no label can be learned. Rows are predicted each for itself, so repeated rows
@@ -33,7 +34,6 @@ from . import _text as tx
 ORDERS = (1, 2, 3)
 BUCKETS = 4096
 PER_LANG = 300
-MAX_LANGS = 200
 LANDMARKS = 160
 RIDGE = 1e-3
 SHARPNESS = 6.0
@@ -114,7 +114,7 @@ class Model:
         met: dict[str, int] = {}
         for i, lang in enumerate(langs):
             nth[i] = met[lang] = met.get(lang, -1) + 1
-        chosen = np.argsort(nth, kind="stable")[:LANDMARKS]
+        chosen = np.argsort(nth, kind="stable")[: max(LANDMARKS, len(self.langs))]
         self.landmarks = unpacked(bits[chosen])
         values, vectors = np.linalg.eigh(kernel(self.landmarks, self.landmarks).astype(np.float64))
         good = values > 1e-6 * values.max()
@@ -138,10 +138,10 @@ class Model:
 def fit(labelled: DataFrame) -> Model:
     """Fit on a bounded sample of ``labelled(doc_id, text, lang)``."""
     named = labelled.where("lang is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    langs = [r["lang"] for r in named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()]
+    langs = [r["lang"] for r in named.select("lang").distinct().collect()]
     per_lang = min(PER_LANG, max(20, 20_000 // max(1, len(langs))))
     order = Window.partitionBy("lang").orderBy("__h", "doc_id")
-    ids = named.where(F.col("lang").isin(langs)).select("lang", "doc_id", F.xxhash64("doc_id", F.lit(11)).alias("__h"))
+    ids = named.select("lang", "doc_id", F.xxhash64("doc_id", F.lit(11)).alias("__h"))
     picked = ids.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= per_lang)
     # the picked rows' hash bounds are few; texts are then fetched by a filter, without a shuffle of texts
     wanted = {(r["doc_id"]) for r in picked.select("doc_id").collect()}
@@ -171,7 +171,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def _score(docs: DataFrame, carried: list[str], model: Model, schema: str) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # LANDMARKS x BUCKETS and MAX_LANGS columns at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # landmarks x BUCKETS, and a column a language
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value

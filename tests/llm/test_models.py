@@ -82,6 +82,15 @@ def test_language_id_is_fitted_on_whole_texts(spark, docs):
     assert got == {0: "en", 1: "de"}
 
 
+def test_language_id_learns_every_label(spark):
+    own = lambda k: "".join(chr(0x4E00 + 7 * k + i) for i in range(7))
+    rows = [(3 * k + i, " ".join([own(k)] * (i + 1)), f"l{k:03}") for k in range(205) for i in range(3)]
+    rows += [(1000 + i, own(0), "l000") for i in range(40)]  # rarer labels than this one are learned as well
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.predict(df, language_id.fit(df)).collect()}
+    assert {i: v for i, _, v in rows if got[i] != v} == {}
+
+
 def test_presence_kernel_is_the_blended_spectrum():
     texts = ["Abc abd", "abd xyz", "é 12 É"]
     x = language_id.presence(pa.array(texts))
