@@ -1,5 +1,6 @@
 import math
 import os
+import random
 import re
 import zlib
 from collections import Counter
@@ -152,13 +153,14 @@ def test_toxicity_keeps_the_ratio_of_the_labels(spark, docs, monkeypatch, rows):
 
 def brute_nearest(ids, vectors, q, k=5):
     v = np.array(vectors, float)
-    s = v @ v[q] / (np.linalg.norm(v, axis=1) * np.linalg.norm(v[q]))
+    s = np.round((v * v[q]).sum(1) / (np.linalg.norm(v, axis=1) * np.linalg.norm(v[q])), 12)
     order = sorted((i for i in range(len(ids)) if ids[i] != ids[q]), key=lambda i: (-s[i], ids[i]))
     return [ids[i] for i in order[:k]]
 
 
-def test_ann_recall_and_scores(spark, monkeypatch):
-    monkeypatch.setattr(ann, "LEAST", 50)
+@pytest.mark.parametrize("block", [1 << 15, 7])
+def test_ann_recall_and_scores(spark, monkeypatch, block):
+    monkeypatch.setattr(ann, "QUERY_BLOCK", block)
     rng = np.random.default_rng(2)
     vectors = rng.standard_normal((1500, 24))
     ids = list(range(1500))
@@ -172,6 +174,39 @@ def test_ann_recall_and_scores(spark, monkeypatch):
     assert s == pytest.approx(float(a @ vectors[b] / np.sqrt(a @ a) / np.sqrt(vectors[b] @ vectors[b])), abs=1e-14)
 
 
+def test_ann_copies_and_repeated_rows(spark):
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((6, 17))
+    vectors = [base[i % 6] if i % 3 else rng.standard_normal(17) for i in range(600)]
+    vectors[50 : 50 + 33] = [vectors[100]] * 33  # exact copies, more than k
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    rows += [rows[100], rows[100], rows[150], (200, (vectors[200] + 1).tolist())]  # queries that occur again, once with another vector
+    random.Random(1).shuffle(rows)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    got = {}
+    for r in ann.search(df, F.col("vec_id") % 50 == 0).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert set(got) == set(range(0, 600, 50))
+    for q, found in got.items():
+        assert [x[0] for x in sorted(found)] == [1, 2, 3, 4, 5]
+    ids, matrix = [r[0] for r in rows], np.array([r[1] for r in rows])
+    for q in (100, 50):  # 32 or more equal neighbours: the smallest vec_id win
+        assert [x[1] for x in sorted(got[q])] == brute_nearest(ids, matrix, ids.index(q))
+        assert len({x[2] for x in got[q]}) == 1
+    hits = sum(len({x[1] for x in found} & set(brute_nearest(ids, matrix, ids.index(q)))) for q, found in got.items() if q != 200)
+    assert hits >= 0.9 * sum(len(set(brute_nearest(ids, matrix, ids.index(q)))) for q in got if q != 200)
+
+
+def test_ann_scores_equal_vectors_alike():
+    rng = np.random.default_rng(3)
+    for dim in (3, 8, 64, 65, 200):
+        vectors = rng.standard_normal((400, dim))
+        vectors[7:300:9] = vectors[7]
+        forest = ann.Forest(np.arange(400), vectors)
+        ((_, found, score),) = forest.nearest(np.array([7]), vectors[7:8], 20, 0.1)
+        assert found.tolist() == list(range(16, 300, 9))[:20] and len(set(score.tolist())) == 1
+
+
 def test_ann_odd_vectors(spark):
     rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [3.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [1.0, None]), (7, [1.0]), (50, [0.0, 1.0]), (100, [0.0, 0.0]), (8, []), (None, [1.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
