@@ -88,10 +88,10 @@ marked as (select *, contains(substr(raw, length(word) + 1), chr(10)) as broken,
   contains(substr(raw, length(word) + 1), chr(10)) or (substr(raw, length(word) + 1, 1) = ' ' and right(word, 1) in ('.', '!', '?')) as ends from split),
 numbered as (select *, coalesce(sum(ends::int) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as k from marked),
 lines as (select doc_id, k, string_agg(raw, '' order by i) as raw, regexp_replace(string_agg(raw, '' order by i), '[\x09-\x0D\x20]+$', '') as line,
-  count(*) as n, arg_max(broken, i) as broken from numbered group by 1, 2),
-ahead as (select *, lead(line) over w as l2, lead(line, 2) over w as l3, n + lead(n) over w + lead(n, 2) over w as total, coalesce(lag(broken) over w, false) as fresh
+  arg_max(broken, i) as broken from numbered group by 1, 2),
+ahead as (select *, lead(line) over w as l2, lead(line, 2) over w as l3, coalesce(lag(broken) over w, false) as fresh
   from lines window w as (partition by doc_id order by k)),
-later as (select doc_id, k, total >= 10 and row_number() over (partition by total >= 10, line, l2, l3 order by doc_id, k) > 1 as again from ahead where l3 is not null),
+later as (select doc_id, k, row_number() over (partition by line, l2, l3 order by doc_id, k) > 1 as again from ahead where l3 is not null),
 covered as (select a.*, exists (select 1 from later b where b.again and b.doc_id = a.doc_id and b.k between a.k - 2 and a.k) as gone from ahead a),
 kept as (select *, lag(k) over w as k0, lag(raw) over w as raw0, lag(line) over w as line0, sum(fresh::int) over (partition by doc_id order by k) as breaks from covered window w as (partition by doc_id, gone order by k)),
 joined as (select doc_id, k, gone, line, case when gone or k0 is null then '' when k0 = k - 1 then substr(raw0, length(line0) + 1)

@@ -1,8 +1,10 @@
 import random
+import re
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.llm import _components, decontaminate, line_dedup, near_dedup
 from quarry.llm import _text as tx
@@ -72,8 +74,6 @@ def test_near_dedup_equals_brute_force(spark, docs, monkeypatch, small_bucket):
 
 
 def test_keep_one_and_odd_tables(spark, docs):
-    from pyspark.sql import functions as F
-
     df = docs("p q r s t u", "p q r s t u", "other words here").withColumn("__extra", F.lit(1))
     assert sorted(r["doc_id"] for r in near_dedup.keep_one(df).collect()) == [0, 2]
     nulls = spark.createDataFrame([(None, "x", None)], df.schema.add("q", "string").fieldNames() and "doc_id long, text string, lang string")
@@ -88,10 +88,8 @@ def test_components_of_a_path_and_a_star(spark):
     assert got == {**dict.fromkeys(range(1, 41), 0), **dict.fromkeys(range(101, 150), 100)}
 
 
-def brute_lines(texts, window=3, least=10):
-    import re
-
-    split = [[s.strip() for s in re.split(r"\n|(?<=[.!?]) ", t or "") if s.strip()] for t in texts]
+def brute_lines(texts, window=3, least=0, border=r"\n|(?<=[.!?]) "):
+    split = [[s.strip() for s in re.split(border, t or "") if s.strip()] for t in texts]
     seen, gone = set(), [set() for _ in texts]
     for i, lines in enumerate(split):
         for k in range(len(lines) - window + 1):
@@ -103,15 +101,16 @@ def brute_lines(texts, window=3, least=10):
     return [[x for k, x in enumerate(lines) if k not in gone[i]] for i, lines in enumerate(split)], [len(g) for g in gone]
 
 
-def test_line_dedup_equals_brute_force(spark, docs):
+@pytest.mark.parametrize("least, sentences", [(0, True), (10, True), (0, False)])
+def test_line_dedup_equals_brute_force(spark, docs, least, sentences):
     rng = random.Random(2)
     pool = [" ".join(words(rng, 5)) + "." for _ in range(40)]
     texts = ["".join(rng.choice(pool) + rng.choice([" ", "\n", "\n\n"]) for _ in range(rng.randrange(12))) for _ in range(120)]
     passage = " ".join(pool[:5])
-    texts += [None, "", " \n", f"begin {passage} end of it", f"other {passage} tail", "A. B. C. " * 4]
-    df = docs(*texts).withColumnRenamed("lang", "n_lines")
-    got = {r["doc_id"]: r for r in line_dedup.dedup(df).collect()}
-    kept, removed = brute_lines(texts)
+    texts += [None, "", " \n", f"begin {passage} end of it", f"other {passage} tail", "A. B. C. " * 4, "w. " * 60000, "same\n" * 9]
+    df = docs(*texts).withColumnRenamed("lang", "n_lines").withColumnRenamed("source", "gone")
+    got = {r["doc_id"]: r for r in line_dedup.dedup(df, min_words=least, sentences=sentences).collect()}
+    kept, removed = brute_lines(texts, least=least, border=r"\n|(?<=[.!?]) " if sentences else r"\n")
     for i, t in enumerate(texts):
         assert got[i]["n_removed"] == removed[i]
         assert (got[i]["text"] or "").split() == " ".join(kept[i]).split()
@@ -120,6 +119,16 @@ def test_line_dedup_equals_brute_force(spark, docs):
     assert line_dedup.dedup(df.where("false")).count() == 0
 
 
+def test_line_dedup_of_odd_rows_and_clashing_columns(spark):
+    rows = [(None, "a\nb\nc\nd"), (None, "a\nb\nc\nd"), (1, "a\nb\nc\nd"), (1, "a\nb\nc\nd"), (1, "x"), (2, "p\na\nb\nc"), (3, "a\nb\nc"), (4, None), (5, ""), (6, "a\nb")]
+    df = spark.createDataFrame([(i, t, 7, 8, 9, 10) for i, t in rows], "doc_id long, text string, __id int, __gone int, n_lines int, n_chars long")
+    df = df.withColumn("n_removed", F.lit("kept")).withColumn("c0", F.lit(1)).withColumn("id", F.lit(2))
+    out = line_dedup.clean(df)
+    assert out.columns == df.columns and {(r["n_lines"], r["n_removed"], r["__gone"], r["c0"], r["id"]) for r in out.collect()} == {(9, "kept", 8, 1, 2)}
+    got = sorted(((r["doc_id"] or 0, r["text"], r["n_chars"]) for r in out.collect()), key=str)
+    assert got == sorted([(0, "a\nb\nc\nd", 10), (1, "a\nb\nc\nd", 10)] * 2 + [(1, "x", 10), (2, "p", 1), (4, None, 10), (5, "", 10), (6, "a\nb", 10)], key=str)
+
+
 def test_line_dedup_keeps_the_first_and_merges_covers(spark, docs):
     passage = "One two three four. Five six seven eight. Nine ten eleven twelve. More words stand here."
     out = line_dedup.dedup(docs(f"Start here. {passage}\nEnd.", f"Else.\n{passage} Done now.")).orderBy("doc_id").collect()
