@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import _scratch
+from . import _sample, _scratch
 from . import _text as tx
 
 TREES = 96
@@ -163,10 +163,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     rows = valid(vectors)
     spark = rows.sparkSession
     queries = rows.where(is_query).groupBy("vec_id").agg(F.min("vector").alias("vector")).select("vec_id", F.size("vector").alias("dim"), "vector")
-    n = queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     dealt = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
-    sample = _arrays(rows.orderBy(F.xxhash64("vec_id", F.lit(3)), "vec_id").limit(SAMPLE).toArrow())
+    sample = _arrays(_sample.least_hashed(rows, SAMPLE, rows.count(), 3, "vec_id").toArrow())
     shares = {d: fit_share(i, v, k) for d, (i, v) in sample.items()}
     usual = max(shares.values(), default=1.0)  # for lengths that the sample misses
 

@@ -1,6 +1,6 @@
 """Language identification with a string kernel.
 
-A text is the set of its character n-grams of each order in ``ORDERS`` (lower-cased, words
+A text is the set of its character n-grams of each order in ``ORDERS`` (ASCII and Latin-1 letters lower-cased, words
 padded by blanks; presence, not counts). The blended-spectrum presence kernel of two texts is the mean over
 orders of |A n B| / sqrt(|A| |B|). Nystroem landmarks turn it into explicit features
 K(x, L) K(L, L)^(-1/2), on which one-versus-rest kernel ridge regression is solved in
@@ -9,13 +9,19 @@ closed form. Grams are hashed to ``BUCKETS`` bits for each order, so a batch of
 
 The model is fitted on at most ``PER_LANG`` labelled texts of each language (those with
 the least hash of doc_id; fewer, but 20 at least, beyond 66 languages), of which ``LANDMARKS`` in all
-are landmarks, or one a language where there are more languages. Every label is learned. Fitting and
+are landmarks, or one a language where there are more languages. Every label is learned. Of rows that share a
+doc_id, the one with the least hash of its text is fitted, so repeated rows change nothing. Fitting and
 prediction read whole texts; their presence is computed in the executors, and only its bits come to
 the driver.
 
+A text is recognised unless most of its distinct characters, and ``STRANGE`` at least, stand in no landmark
+text: then it is in a script that was not learned, and the regressions say nothing about it.
+``keep_known`` drops what is not recognised, and fills in ``lang`` where it is null.
+
 Defined results: a null text, and one without any letter, is ``und`` with score 0, as is
 every text if no label can be learned. Rows are predicted each for itself, so repeated rows
-get equal results. Extra columns are ignored by ``predict`` and kept by ``keep_known``.
+get equal results. Extra columns are ignored by ``predict`` and kept by ``keep_known``, which
+goes by letters alone if no label can be learned.
 """
 
 from __future__ import annotations
@@ -38,6 +44,7 @@ LANDMARKS = 160
 RIDGE = 1e-3
 SHARPNESS = 6.0
 ROWS = 256
+STRANGE = 5
 UND = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -130,9 +137,13 @@ class Model:
             zy += z.T @ (balance * y)
         weights = np.linalg.solve(zz + RIDGE * len(langs) * np.eye(len(zz)), zy)
         self.weights, self.bias = root @ weights[:-1], weights[-1]
+        self.characters = self.landmarks[:, 0].any(0)
 
-    def margins(self, column: pa.Array) -> np.ndarray:
-        return kernel(presence(column), self.landmarks) @ self.weights + self.bias
+    def margins(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Texts x languages, and whether a text is in a script that was learned."""
+        x = presence(column)
+        strange = x[:, 0, ~self.characters].sum(1)
+        return kernel(x, self.landmarks) @ self.weights + self.bias, (strange < STRANGE) | (2 * strange < x[:, 0].sum(1))
 
 
 def fit(labelled: DataFrame) -> Model:
@@ -141,18 +152,18 @@ def fit(labelled: DataFrame) -> Model:
     langs = [r["lang"] for r in named.select("lang").distinct().collect()]
     per_lang = min(PER_LANG, max(20, 20_000 // max(1, len(langs))))
     order = Window.partitionBy("lang").orderBy("__h", "doc_id")
-    ids = named.select("lang", "doc_id", F.xxhash64("doc_id", F.lit(11)).alias("__h"))
+    ids = named.select("lang", "doc_id").distinct().withColumn("__h", F.xxhash64("doc_id", F.lit(11)))
     picked = ids.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= per_lang)
-    # the picked rows' hash bounds are few; texts are then fetched by a filter, without a shuffle of texts
+    # the picked identifiers are few; texts are then fetched by a filter, without a shuffle of texts
     wanted = {(r["doc_id"]) for r in picked.select("doc_id").collect()}
-    rows = _bits(named.where(F.col("doc_id").isin(list(wanted))), 2 * len(wanted) + 1).collect() if wanted else []
-    rows.sort(key=lambda r: (int(tx.mix64(np.array([r["doc_id"] & (1 << 64) - 1], np.uint64))[0]), r["doc_id"], r["lang"], r["bits"]))
+    rows = _bits(named.where(F.col("doc_id").isin(list(wanted)))).collect() if wanted else []
+    rows.sort(key=lambda r: (int(tx.mix64(np.array([r["doc_id"] & (1 << 64) - 1], np.uint64))[0]), r["doc_id"]))
     bits = np.frombuffer(b"".join(bytes(r["bits"]) for r in rows), np.uint8).reshape(len(rows), -1) if rows else np.zeros((0, 1), np.uint8)
     return Model(bits, [r["lang"] for r in rows])
 
 
-def _bits(named: DataFrame, most: int) -> DataFrame:
-    """``doc_id, lang, bits``: packed presence of whole texts that have a letter, ``most`` rows at most."""
+def _bits(named: DataFrame) -> DataFrame:
+    """``doc_id, lang, bits``: packed presence of whole texts that have a letter, one row a doc_id."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in tx.slices(batches):
@@ -160,47 +171,50 @@ def _bits(named: DataFrame, most: int) -> DataFrame:
                 b = big.slice(at, ROWS)
                 b = b.filter(pa.array([_LETTER.search(t) is not None for t in tx.column(b, "text").to_pylist()], pa.bool_()))
                 bits = packed(presence(tx.column(b, "text")))
-                yield pa.record_batch([tx.column(b, "doc_id"), tx.column(b, "lang"), pa.array([r.tobytes() for r in bits], pa.binary())], names=["doc_id", "lang", "bits"])
+                yield pa.record_batch([tx.column(b, "doc_id"), tx.column(b, "lang"), tx.column(b, "h"), pa.array([r.tobytes() for r in bits], pa.binary())], names=["doc_id", "lang", "h", "bits"])
 
-    return named.select("doc_id", "lang", "text").mapInArrow(emit, "doc_id long, lang string, bits binary").limit(most)
+    made = named.select("doc_id", "lang", "text", F.xxhash64("text").alias("h")).mapInArrow(emit, "doc_id long, lang string, h long, bits binary")
+    return made.groupBy("doc_id").agg(F.min(F.struct("h", "lang", "bits")).alias("x")).select("doc_id", "x.lang", "x.bits")
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, lang_pred, score`` for every row."""
-    return _score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), ["doc_id"], model, "doc_id long")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return _score(slim, ["doc_id"], "text", model, "doc_id long").drop("recognised")
 
 
-def _score(docs: DataFrame, carried: list[str], model: Model, schema: str) -> DataFrame:
+def _score(docs: DataFrame, carried: list[str], text: str, model: Model, schema: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # landmarks x BUCKETS, and a column a language
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for big in tx.slices(batches):
+        for big in tx.slices(batches, text):
             for at in range(0, big.num_rows, ROWS):
                 b = big.slice(at, ROWS)
-                texts = tx.column(b, "text")
+                texts = tx.column(b, text)
                 lettered = np.array([bool(t) and _LETTER.search(t) is not None for t in texts.to_pylist()], bool)
                 if m.langs:
-                    margin = m.margins(texts)
+                    margin, known = m.margins(texts)
                     p = np.exp(SHARPNESS * (margin - margin.max(1, keepdims=True)))
                     p /= p.sum(1, keepdims=True)
                     best = p.argmax(1)
                     lang = [m.langs[k] if ok else UND for k, ok in zip(best, lettered, strict=True)]
                     value = np.where(lettered, p[np.arange(len(best)), best], 0.0)
+                    known &= lettered
                 else:
-                    lang, value = [UND] * b.num_rows, np.zeros(b.num_rows)
-                yield pa.record_batch([*(tx.column(b, c) for c in carried), pa.array(lang, pa.string()), pa.array(value.astype(np.float64))], names=[*carried, "lang_pred", "score"])
+                    lang, value, known = [UND] * b.num_rows, np.zeros(b.num_rows), lettered
+                yield pa.record_batch([*(tx.column(b, c) for c in carried), pa.array(lang, pa.string()), pa.array(value.astype(np.float64)), pa.array(known)], names=[*carried, "lang_pred", "score", "recognised"])
 
-    return docs.mapInArrow(score, f"{schema}, lang_pred string, score double")
+    return docs.mapInArrow(score, f"{schema}, lang_pred string, score double, recognised boolean")
 
 
 def keep_known(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` without the texts in no language (``und``); all its columns as they are."""
-    base = docs.withColumn("text", F.col("text").cast("string"))
-    names = base.columns
-    kinds = {f.name: f.dataType.simpleString() for f in base.schema.fields}
-    renamed = base.toDF(*(n if n == "text" else f"__{i}" for i, n in enumerate(names)))
-    carried = renamed.columns
-    schema = ", ".join(f"`{c}` {kinds[n]}" for c, n in zip(carried, names, strict=True))
-    scored = _score(renamed, carried, model, schema)
-    return scored.where(F.col("lang_pred") != UND).select(*(F.col(f"`{c}`").alias(n) for c, n in zip(carried, names, strict=True)))
+    """``docs`` without the texts that are recognised in no language. A null ``lang``, where there is
+    that column, becomes the predicted one; all else stays as it is."""
+    names = docs.columns
+    text, lang = f"c{names.index('text')}", f"c{names.index('lang')}" if "lang" in names else None
+    base = docs.toDF(*(f"c{i}" for i in range(len(names)))).withColumn(text, F.col(f"c{names.index('text')}").cast("string"))
+    scored = _score(base, base.columns, text, model, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in base.schema.fields)).where("recognised")
+    if lang:
+        scored = scored.withColumn(lang, F.coalesce(lang, F.nullif("lang_pred", F.lit(UND)).cast(base.schema[lang].dataType)))
+    return scored.select(*base.columns).toDF(*names)

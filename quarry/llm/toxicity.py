@@ -1,49 +1,53 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words are classified by a weighted lexicon into the symbols of a small alphabet: insult,
-threat, target, negation, report, link and other. Insults and their weights are learned from labelled texts
-(whole words, and word stems for inflected roots); threats, targets, negations and words of
-reported speech are closed classes. Transducers over these symbols, composed left to right
-within a clause, turn the words into matched patterns:
-
-    insult     INSULT                                  its own weight
-    stacked    INSULT within reach of an INSULT        both, as one pattern
-    directed   TARGET ... INSULT, or the reverse       raised
-    threat     TARGET ... THREAT, or THREAT ... TARGET counted
-    negated    NEGATION ... (any of these)             lowered
-    reported   REPORT or an open quotation ... (any)   lowered
-
-A clause ends at ``. ! ? ; :`` or a newline. Each clause yields the weight of its patterns;
-a text's features are sums and maxima over its clauses by pattern, and a logistic model with
-learned path weights turns them into a score.
-
-The composed machine reads the marked words only: a run of other words is one OTHER symbol
-with its length. It is run once per marked clause, so cost follows matches, not text.
-
-Learning takes at most ``FIT_ROWS`` labelled texts (least hash of doc_id within each label),
+A weighted lexicon classifies words as insult, threat, target, negation or report. Insults and
+their weights are learned from labelled texts (whole words, and word stems for inflected
+roots); threats, targets, negations and words of reported speech are closed classes. A clause
+(up to ``. ! ? ; :`` or a newline) becomes a list of symbols: its marked words, quotation marks that
+open and close around them, and between two marked words a gap, near (``NEGATION_REACH`` words), short
+(``REACH``) or long. Five transducers over such lists are composed into one machine:
+
+    negation   deletes negations; a harm after one, linked by near gaps, is negated (-)
+    report     deletes reports and quotation marks; harms after or between them are reported (")
+    target     deletes targets; a harm linked to one by short gaps, before or after, is directed (>)
+    insult     deletes gaps; an insult linked to another by short gaps is stacked (+)
+    threat     deletes threats that are not directed
+
+What it writes are the clause's patterns, such as an insult that is directed and reported.
+Where a clause has several readings (a harm need not wait for a target) the path of least weight in the
+tropical semiring is taken: leaving a harm undirected costs 1. Each pattern adds its
+lexicon weight to the text's features, whose learned path weights a logistic model turns into a score. Readings
+are kept by symbol list, so cost follows the distinct marked clauses, not the text.
+
+Learning takes at most ``FIT_ROWS`` labelled documents (least hash of doc_id within each label),
 weighted so that the labels keep their ratio in the whole table; learning and scoring read whole texts.
 Defined results: null and empty texts have no clause and get the model's base score, as does
-any text if there are no labels of both kinds (0 then). Repeated rows get equal scores.
+any text if there are no labels of both kinds (0 then). Repeated rows get equal scores. A document
+is labelled toxic if any of its labels says so; of several texts with its doc_id, the one with the least hash is learned.
+Labels that are null, or without a doc_id, are ignored.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import _scratch
+from . import _sample, _scratch
 from . import _text as tx
+from ._wfst import EPS, Transducer
 
 FIT_ROWS = 4000
 STEMS = (4, 5, 6)
 MIN_DOCS = 5
 MIN_LOG_ODDS = 2.5
-REACH = 6
+REACH, NEGATION_REACH = 6, 3
+READINGS = 50_000
 KINDS = ("word", *(f"stem{k}" for k in STEMS))
 INSULT, THREAT, TARGET, NEGATION, REPORT = range(1, 6)
 
@@ -148,44 +152,113 @@ class Grammar:
         return 1 / (1 + np.exp(-np.clip(x @ self.path[:-1] + self.path[-1], -30, 30)))
 
 
+NEAR, SHORT, LONG, OPEN, CLOSE = "near", "short", "long", "open", "close"
+GAPS = (NEAR, SHORT, LONG)
+WORDS = {INSULT: "I", THREAT: "T", TARGET: "G", NEGATION: "N", REPORT: "R"}
+
+
+def _with(harms: list[str], flag: str) -> list[str]:
+    return [h + flag for h in harms]
+
+
+def _same(state: int, symbols, to: int | None = None) -> list[tuple]:
+    return [(state, x, x, state if to is None else to) for x in symbols]
+
+
+def _marks(state: int, harms: list[str], flag: str, to: int | None = None) -> list[tuple]:
+    return [(state, h, h + flag, state if to is None else to) for h in harms]
+
+
+def parts() -> list[Transducer]:
+    """The transducers, in the order in which they are composed."""
+    harms = ["I", "T"]
+    others = ["G", "R", OPEN, CLOSE]
+    negation = Transducer.of(
+        [*_same(0, [*harms, *others, *GAPS]), (0, "N", EPS, 1), (1, "N", EPS, 1), *_marks(1, harms, "-"), *_same(1, [*others, NEAR]), *_same(1, [SHORT, LONG], 0)], [0, 1]
+    )
+    harms += _with(harms, "-")
+    plain = ["G", *GAPS]
+    report = Transducer.of(
+        [
+            *_same(0, [*harms, *plain]), (0, "R", EPS, 1), (0, OPEN, EPS, 2), (0, CLOSE, EPS, 0),
+            *_marks(1, harms, '"'), *_same(1, plain), *((1, x, EPS, 1) for x in ("R", OPEN, CLOSE)),
+            *_marks(2, harms, '"'), *_same(2, plain), (2, "R", EPS, 1), (2, OPEN, EPS, 2), (2, CLOSE, EPS, 0),
+        ],
+        [0, 1, 2],
+    )
+    harms += _with(harms, '"')
+    target = Transducer.of(
+        [
+            # 0: no target near; 1: a target near; 2: a directed harm waits for its target
+            *((0, h, h, 0, 1.0) for h in harms), *_marks(0, harms, ">", 2), (0, "G", EPS, 1), *_same(0, GAPS),
+            *_marks(1, harms, ">"), (1, "G", EPS, 1), *_same(1, [NEAR, SHORT]), *_same(1, [LONG], 0),
+            *_marks(2, harms, ">"), (2, "G", EPS, 1), *_same(2, [NEAR, SHORT]),
+        ],
+        [0, 1],
+    )
+    harms += _with(harms, ">")
+    insults, threats = ([h for h in harms if h[0] == x] for x in "IT")
+    insult = Transducer.of(
+        [*_same(0, insults, 1), *_same(0, threats), *((0, g, EPS, 0) for g in GAPS), *_marks(1, insults, "+"), *_same(1, threats), (1, NEAR, EPS, 1), (1, SHORT, EPS, 1), (1, LONG, EPS, 0)], [0, 1]
+    )
+    insults += _with(insults, "+")
+    threat = Transducer.of([*_same(0, insults), *((0, h, h if ">" in h else EPS, 0) for h in threats)], [0])
+    return [negation, report, target, insult, threat]
+
+
+@cache
+def machine() -> Transducer:
+    """All of them, composed."""
+    out, *rest = parts()
+    for part in rest:
+        out = out.then(part)
+    return out
+
+
+_readings: dict[tuple[str, ...], list[str]] = {}
+
+
+def read(symbols: tuple[str, ...]) -> list[str]:
+    """The patterns that the composed machine writes, symbol by symbol."""
+    if symbols not in _readings:
+        if len(_readings) >= READINGS:
+            _readings.clear()
+        _readings[symbols] = machine().best(symbols)
+    return _readings[symbols]
+
+
+def symbols_of(pos: list[int], symbol: list[int], quoted: list[bool]) -> tuple[list[str], list[int]]:
+    """The symbol list of a clause, and the place in it of each marked word."""
+    out, at, before, speech = [], [], None, False
+    for p, s, q in zip(pos, symbol, quoted, strict=True):
+        if before is not None:
+            out.append(NEAR if p - before <= NEGATION_REACH else SHORT if p - before <= REACH else LONG)
+        if q != speech:
+            out.append(OPEN if q else CLOSE)
+            speech = q
+        at.append(len(out))
+        out.append(WORDS[s])
+        before = p
+    return out, at
+
+
 def run_clause(pos: list[int], symbol: list[int], weight: list[float], quoted: list[bool], out: np.ndarray) -> None:
-    """The composed machine over one clause. State: where the last target, insult, threat
-    and negation stand, and whether speech is being reported."""
-    far = -10 * REACH
-    target = insult = threat = negation = far
-    reported = False
-    held = 0.0
-    for p, s, w, q in zip(pos, symbol, weight, quoted):
-        if s == TARGET:
-            if p - insult <= REACH:
-                out[2] += held
-            if p - threat <= REACH:
-                out[3] += 1
-            target = p
-        elif s == NEGATION:
-            negation = p
-        elif s == REPORT:
-            reported = True
-        elif s == INSULT:
+    """Add the patterns of one clause to a text's features."""
+    symbols, at = symbols_of(pos, symbol, quoted)
+    patterns = read(tuple(symbols))
+    for k, w in zip(at, weight, strict=True):
+        pattern = patterns[k]
+        if not pattern:
+            continue
+        if pattern[0] == "I":
             out[0] += w
             out[6] = max(out[6], w)
-            if p - insult <= REACH:
-                out[1] += min(w, held)
-            if p - target <= REACH:
-                out[2] += w
-            if p - negation <= 3:
-                out[4] += w
-            if reported or q:
-                out[5] += w
-            insult, held = p, w
+            out[1] += w * ("+" in pattern)
+            out[2] += w * (">" in pattern)
         else:
-            if p - target <= REACH:
-                out[3] += 1
-            if p - negation <= 3:
-                out[4] += 1
-            if reported or q:
-                out[5] += 1
-            threat = p
+            out[3] += 1
+        out[4] += w * ("-" in pattern)
+        out[5] += w * ('"' in pattern)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, share: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
@@ -235,26 +308,28 @@ def _features(sample: DataFrame, grammar: Grammar) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame) -> Grammar:
     """Fit on a bounded sample of the labelled rows of ``docs(doc_id, text)``; its texts are read
     whole, in the executors, and only lexicon entries and features come to the driver."""
-    spark = docs.sparkSession
-    marked = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic").cast("int") > 0).cast("int").alias("toxic"))
-    order = Window.partitionBy("toxic").orderBy("__h", "doc_id")
-    ranked = marked.withColumn("__h", F.xxhash64("doc_id", F.lit(5))).withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= FIT_ROWS // 2)
-    picked = ranked.select("doc_id", "toxic").collect()
-    wanted = {r["doc_id"]: r["toxic"] for r in picked}
+    marked = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("toxic").cast("int") > 0).cast("int")).alias("toxic"))
+    marked = _scratch.write_table(marked, "labels")
+    every = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
+    wanted = {}
+    for label, total in every.items():
+        wanted |= dict.fromkeys((r["doc_id"] for r in _sample.least_hashed(marked.where(F.col("toxic") == label), FIT_ROWS // 2, total, 5, "doc_id").select("doc_id").collect()), label)
+    _scratch.drop_table(marked)
     if not wanted:
         return Grammar()
-    taken = Counter(r["toxic"] for r in picked)
-    stands_for = {r["toxic"]: r["count"] / taken[r["toxic"]] for r in marked.groupBy("toxic").count().collect()}
-    text = docs.where(F.col("doc_id").isin(list(wanted))).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    taken = Counter(wanted.values())
+    stands_for = {label: every[label] / taken[label] for label in taken}
+    text = docs.where(F.col("doc_id").cast("long").isin(list(wanted))).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    one = text.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
     toxic = F.col("doc_id").isin([i for i, label in wanted.items() if label]).cast("int")
-    rows = text.limit(2 * len(wanted)).withColumn("toxic", toxic).repartition(spark.sparkContext.defaultParallelism, "doc_id")
-    sample = _scratch.write_table(rows, "labelled")
+    sample = _scratch.write_table(one.withColumn("toxic", toxic), "labelled")
     counts = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     grammar = Grammar(_occurrences(sample).toArrow(), counts.get(1, 0), counts.get(0, 0))
     if grammar.ready:
         found = _features(sample, grammar).toArrow().sort_by([("doc_id", "ascending"), *((c, "ascending") for c in FEATURES)])
         y = found["toxic"].to_numpy()
         grammar.weigh(np.stack([found[c].to_numpy() for c in FEATURES], 1), y.astype(np.float64), np.array([stands_for[k] for k in y.tolist()]))
+    _scratch.drop_table(sample)
     return grammar
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.llm import ann, html_extract, language_id, lm_scoring, queries, toxicity
+from quarry.llm import _wfst, ann, html_extract, language_id, lm_scoring, queries, toxicity
 
 DATA = "/root/testdata/sf0.01"
 needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
@@ -74,6 +74,21 @@ def test_language_id_odd_rows(spark, docs):
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, 1, 5, 6, 7] and "lang_pred" in kept.columns
     nothing = language_id.fit(df.where("false"))
     assert {r["lang_pred"] for r in language_id.predict(df, nothing).collect()} == {"und"}
+    assert sorted(r["doc_id"] for r in language_id.keep_known(df, nothing).collect()) == [0, 1, 5, 6, 7]
+    assert language_id.predict(df.where("false"), model).count() == 0 == language_id.keep_known(df.where("false"), model).count()
+
+
+def test_language_id_rejects_scripts_that_were_not_learned_and_names_the_rest(spark, docs):
+    df = docs("the cat and the dog", "der Hund und die Katze", "\u4f60\u597d\u4e16\u754c\u518d\u89c1 ok", "the the and of", "word and " * 100_000).withColumn("lang", F.when(F.col("doc_id") == 0, "en").when(F.col("doc_id") == 1, "de"))
+    kept = language_id.keep_known(df.withColumn("c0", F.lit(1)).withColumn("recognised", F.lit(2)), language_id.fit(df)).orderBy("doc_id").collect()
+    assert [(r["doc_id"], r["lang"], r["c0"], r["recognised"]) for r in kept] == [(0, "en", 1, 2), (1, "de", 1, 2), (3, "en", 1, 2), (4, "en", 1, 2)]
+
+
+def test_language_id_fit_does_not_change_with_repeated_rows(spark, docs):
+    df = docs("the cat and the dog", "der Hund und die Katze", "a cat", "ein Hund").withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "en").otherwise("de"))
+    more = df.union(df).union(df.where("doc_id = 2")).union(df)
+    scores = [sorted((r["doc_id"], r["lang_pred"], round(r["score"], 9)) for r in language_id.predict(df, language_id.fit(x.repartition(3))).collect()) for x in (df, more)]
+    assert scores[0] == scores[1]
 
 
 def test_language_id_is_fitted_on_whole_texts(spark, docs):
@@ -125,6 +140,68 @@ def test_grammar_patterns():
     assert run((0, t, 1, False), (1, g, 1, False))["threat"] == 1
 
 
+def paths(machine, symbols, state=0):
+    """All paths of a machine over a symbol list: outputs and weight."""
+    if not symbols:
+        return [((), machine.semiring.one)] if state in machine.finals else []
+    return [((out, *rest), machine.semiring.times(w, more)) for out, w, to in machine.arcs[state].get(symbols[0], ()) for rest, more in paths(machine, symbols[1:], to)]
+
+
+@pytest.mark.parametrize("semiring", [_wfst.TROPICAL, _wfst.COUNTING])
+def test_composition_equals_enumeration_of_paths(semiring):
+    rng = random.Random(6)
+    machine = lambda inputs, outputs: _wfst.Transducer.of(
+        [(rng.randrange(3), rng.choice(inputs), rng.choice([*outputs, _wfst.EPS]), rng.randrange(3), rng.randrange(1, 5)) for _ in range(14)], [0, 2], semiring
+    )
+    met = 0
+    for _ in range(60):
+        first, second = machine("abc", "xy"), machine("xy", "uv")
+        both = first.then(second)
+        symbols = tuple(rng.choice("abc") for _ in range(rng.randrange(5)))
+        want = Counter()
+        for middle, w in paths(first, symbols):
+            kept = tuple(x for x in middle if x)
+            for out, w2 in paths(second, kept):
+                spread = iter(out)
+                want[tuple(next(spread) if x else _wfst.EPS for x in middle), semiring.times(w, w2)] += 1
+        assert Counter(paths(both, symbols)) == want
+        weights = [w for (_, w), n in want.items() for _ in range(n)]
+        assert both.total(symbols) == (min(weights, default=semiring.zero) if semiring is _wfst.TROPICAL else sum(weights))
+        if weights and semiring is _wfst.TROPICAL:
+            met += 1
+            assert (tuple(both.best(symbols)), min(weights)) in want
+    assert met or semiring is _wfst.COUNTING
+
+
+def test_the_grammar_takes_the_cheapest_reading_of_every_clause():
+    rng = random.Random(4)
+    alphabet = [*toxicity.WORDS.values(), *toxicity.GAPS, toxicity.OPEN, toxicity.CLOSE]
+    machine = toxicity.machine()
+    for _ in range(300):
+        symbols = tuple(rng.choice(alphabet) for _ in range(rng.randrange(9)))
+        rows = [(symbols, tuple(range(len(symbols))), 0.0)]  # outputs of the whole cascade, enumerated part by part
+        for part in toxicity.parts():
+            nxt = []
+            for line, places, w in rows:
+                for out, w2 in paths(part, line):
+                    kept = [(x, p) for x, p in zip(out, places) if x]
+                    nxt.append((tuple(x for x, _ in kept), tuple(p for _, p in kept), w + w2))
+            rows = nxt
+        got = machine.best(symbols)
+        best = min(w for _, _, w in rows)
+        mine = (tuple(x for x in got if x), tuple(i for i, x in enumerate(got) if x))
+        assert machine.total(symbols) == best and mine in {(line, places) for line, places, w in rows if w == best}
+
+
+def test_toxicity_with_repeated_and_conflicting_rows(spark, docs):
+    df = docs(*["you are an idiot today", "a fine day for all"] * 12, "word " * 200_000)
+    labels = df.select("doc_id", (F.col("doc_id") % 2 == 0).cast("int").alias("toxic")).where("doc_id < 24")
+    want = sorted((r["doc_id"], round(r["score"], 9)) for r in toxicity.score(df, toxicity.fit(df, labels)).collect())
+    again = labels.union(labels).union(labels.where("doc_id = 4").withColumn("toxic", F.lit(0))).union(labels.where("doc_id = 0").withColumn("toxic", F.lit(None).cast("int")))
+    more = toxicity.fit(df.union(df).union(df.where("doc_id < 3")), again)
+    assert sorted((r["doc_id"], round(r["score"], 9)) for r in toxicity.score(df, more).collect()) == want
+
+
 def test_toxicity_odd_rows(spark, docs):
     df = docs(*["you are an idiot today", "a fine day for all"] * 12, None, "", "IDIOT!")
     labels = df.select("doc_id", (F.col("doc_id") % 2 == 0).cast("int").alias("toxic")).where("doc_id < 20")
