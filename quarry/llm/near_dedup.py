@@ -309,8 +309,9 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     its least doc_id."""
     rows = _scratch.write_table(signed_rows(docs), "signatures")
     copies = rows.groupBy("copy").agg(F.min("doc_id").alias("rep"))
-    reps = rows.join(copies.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    reps = _scratch.write_table(reps.select("doc_id", "sig", "bands"), "representatives")
+    reps = rows.join(copies.select("copy", F.col("rep").alias("doc_id")), ["doc_id", "copy"], "left_semi")
+    reps = reps.groupBy("doc_id").agg(F.min_by(F.struct("sig", "bands"), "copy").alias("x")).select("doc_id", "x.*")
+    reps = _scratch.write_table(reps, "representatives")
     members = reps.select("doc_id", F.explode("bands").alias("key"))
     chosen = [F.min("doc_id"), *(F.min_by("doc_id", F.xxhash64("doc_id", F.lit(k))) for k in range(1, HUBS))]
     buckets = members.groupBy("key").agg(F.count("*").alias("n"), F.array(*chosen).alias("hubs")).where("n > 1")
@@ -323,25 +324,65 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     labelled = in_bucket.select("key", "doc_id", "n").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
     labelled = _scratch.write_table(labelled, "labelled")
+    _scratch.drop_table(in_bucket)
     mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
     open_members = labelled.join(mixed, "key", "left_semi")
     few = open_members.where(F.col("n") <= SMALL_BUCKET).groupBy("key").agg(F.collect_list(F.struct("label", "doc_id")).alias("m"))
     few = few.select(F.explode(F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: y["label"] > x["label"]), lambda y: F.struct(F.least(x["doc_id"], y["doc_id"]).alias("a"), F.greatest(x["doc_id"], y["doc_id"]).alias("b")))))).alias("p")).select("p.a", "p.b").distinct()
     rest = _likely(few.join(tested, ["a", "b"], "left_anti"), reps, threshold)
-    more = verify(_scratch.write_table(rest, "pairs"), docs, threshold).select("a", "b")
+    rest = _scratch.write_table(rest, "pairs")
+    found = verify(rest, docs, threshold)
+    more = found.select("a", "b")
     many = _scratch.write_table(open_members.where(F.col("n") > SMALL_BUCKET), "open")
     if not many.isEmpty():
         held = _texts(docs, many.select(F.col("doc_id").alias("id")).distinct())
         more = more.union(_scratch.write_table(_across(many, held, threshold), "links"))
+        _scratch.drop_table(held)
+    for read in (reps, tested, rest, labelled, many):
+        _scratch.drop_table(read)
     final = _components.components(short.toDF("a", "b").union(more))
+    for read in (links, found, short):
+        _scratch.drop_table(read)
 
     named = rows.select("doc_id", "copy").join(copies, "copy").join(final.withColumnRenamed("node", "rep"), "rep", "left")
     return named.select("doc_id", F.coalesce("label", "rep").alias("class_id"))
 
 
-def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def keep_one(docs: DataFrame, threshold: float = THRESHOLD, whole: DataFrame | None = None) -> DataFrame:
     """``docs`` with one document of each class: the one with the least doc_id. Rows without
-    doc_id stay."""
-    kept = classes(docs, threshold).where("doc_id = class_id").select(F.col("doc_id").alias("__id")).distinct()
-    known = docs.join(kept, docs["doc_id"].cast("long") == kept["__id"], "left_semi")
-    return known.union(docs.where(F.col("doc_id").isNull()))
+    doc_id stay. ``whole(doc_id, text)`` gives texts of some of the documents as they were before they were
+    cut: then whoever is a near-duplicate by those goes first, and of the rest, by the texts that they have."""
+    if whole is not None and not whole.isEmpty():
+        uncut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(whole.select("doc_id").distinct(), "doc_id", "left_anti")
+        docs = _scratch.write_table(_firsts(docs, classes(uncut.unionByName(whole.select("doc_id", "text")), threshold)), "kept")
+    return _firsts(docs, classes(docs, threshold))
+
+
+def _firsts(docs: DataFrame, found: DataFrame) -> DataFrame:
+    kept = found.where("doc_id = class_id").select("doc_id").distinct()
+    at = docs.columns.index("doc_id")
+    numbered = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    known = numbered.join(kept, numbered[f"c{at}"].cast("long") == kept["doc_id"], "left_semi")
+    return known.union(numbered.where(F.col(f"c{at}").isNull())).toDF(*docs.columns)
+
+
+def before_cuts(docs: DataFrame, originals: DataFrame) -> DataFrame:
+    """``doc_id, text`` of the documents whose text is what is left of their original: it differs
+    from that of the same doc_id in ``originals``, and its words, one at least, stand there in the same order."""
+    text = lambda df, name: df.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias(name))
+    now = text(docs, "left")
+    changed = now.select("id", F.md5("left").alias("h")).join(text(originals, "t").select("id", F.md5("t").alias("h0")), "id").where("h <> h0").select("id").distinct()
+    changed = _scratch.write_table(changed, "changed")
+    both = _texts(originals, changed).join(now, "id")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = []
+            for i, (left, original) in enumerate(zip(tx.column(b, "left").to_pylist(), tx.column(b, "text").to_pylist(), strict=True)):
+                words, ahead = left.split(), iter(original.split())
+                if words and left != original and all(word in ahead for word in words):
+                    ok.append(i)
+            yield b.take(pa.array(ok, pa.int64())).select(["id", "text"])
+
+    out = both.select("id", "text", "left").mapInArrow(cut, "id long, text string")
+    return _scratch.write_table(out.withColumnRenamed("id", "doc_id"), "whole")

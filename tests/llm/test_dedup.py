@@ -81,6 +81,31 @@ def test_keep_one_and_odd_tables(spark, docs):
     assert near_dedup.classes(docs("a").where("false")).count() == 0
 
 
+def test_keep_one_goes_by_whole_texts_where_texts_were_cut(spark, docs):
+    rng = random.Random(3)
+    base, other = words(rng, 60), words(rng, 50)
+    first, copy = " ".join(base), " ".join(["edited", *base[1:]])
+    originals = docs(first, copy, " ".join(other), "same rest " + " ".join(words(rng, 40)), "same rest " + " ".join(words(rng, 40)), None)
+    cut = docs(first, "edited", " ".join(other), "same rest", "same rest", None)
+    assert sorted(r["doc_id"] for r in near_dedup.keep_one(cut).collect()) == [0, 1, 2, 3, 5]
+    whole = near_dedup.before_cuts(cut, originals)
+    assert sorted(tuple(r) for r in whole.collect()) == sorted((r["doc_id"], r["text"]) for r in originals.where("doc_id in (1, 3, 4)").collect())
+    assert sorted(r["doc_id"] for r in near_dedup.keep_one(cut, whole=whole).collect()) == [0, 2, 3, 5]
+    unrelated = docs("not what was cut", "nor this", None, "", "x", "y")
+    assert near_dedup.before_cuts(cut, unrelated).count() == 0
+
+
+def test_near_dedup_of_repeated_rows_and_clashing_columns(spark, docs):
+    rng = random.Random(11)
+    a, b = " ".join(words(rng, 30)), " ".join(words(rng, 30))
+    rows = [(5, a), (5, a), (5, b), (7, b), (9, a), (None, a), (None, a)]
+    df = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in rows], "doc_id long, text string, c0 int, __id int, class_id int")
+    found = {(r["doc_id"], r["class_id"]) for r in near_dedup.classes(df).collect()}
+    assert found == {(5, 5), (7, 5), (9, 5)}
+    kept = near_dedup.keep_one(df)
+    assert kept.columns == df.columns and sorted((r["doc_id"] or 0, r["c0"], r["__id"], r["class_id"]) for r in kept.collect()) == [(0, 1, 2, 3)] * 2 + [(5, 1, 2, 3)] * 3
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 50)]
     random.Random(1).shuffle(edges)
