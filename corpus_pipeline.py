@@ -5,16 +5,17 @@ decontamination, packing.
 documents that the stage before kept, and its result is written and read again before the
 next. All but the last return the columns of ``docs``; the last returns the placed pieces.
 
-Defined results: documents without any letter go (stage 1); documents all of whose lines occurred
-before go, and others lose such passages, however short their lines, with ``n_chars`` renewed (2); of a class of near-duplicates
-the document with the least doc_id stays (3); documents that hold a benchmark item go (4). Null texts
-have no letter. Extra columns are carried through. Empty tables give empty results.
+Defined results: documents without any letter, or in a script that was not learned, go, and a null lang becomes the
+predicted one (stage 1; with no label at all to learn from, only texts without a letter go); documents all of whose lines
+occurred before go, and others lose such passages, however short their lines, with ``n_chars`` renewed (2); of a class of
+near-duplicates the document with the least doc_id stays (3): copies are known by their texts before stage 2 cut them, else
+what it leaves of a copy would pass for a document, and then by the texts they have; documents that hold a
+benchmark item go (4). Null texts have no letter. Extra columns are carried through, whatever their names. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quarry.llm import _scratch, decontaminate, language_id, line_dedup, near_dedup, packing
 from quarry.llm.queries import vocabulary
@@ -23,22 +24,20 @@ ORACLE_SQL = None
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return language_id.keep_known(docs, language_id.fit(docs)).select(docs.columns)
+    return language_id.keep_known(docs, language_id.fit(docs))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup(docs, min_words=0).where("n_removed = 0 or text <> ''")
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(docs.columns)
+    return line_dedup.clean(docs)
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_dedup.keep_one(docs).select(docs.columns)
+    whole = near_dedup.before_cuts(docs, spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_dedup.keep_one(docs, whole=whole)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(docs.columns)
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
