@@ -1,21 +1,31 @@
 """Main text of web pages, with site templates removed.
 
 Pages are parsed leniently: comments, declarations and raw-text elements are skipped, end tags
-may be missing, attribute values may hold ``>``. Boilerplate goes in two ways. By role: the
-elements whose name or class, id or role says menu, footer, notice, advert, form, sidebar
-or comments. By recurrence: block subtrees are hashed, and a subtree that stands on ``MANY_PAGES``
-distinct pages of a host, whatever the host's size, is that site's template; on a host of few pages,
-so is one on ``SHARE`` of them and on ``LEAST_PAGES``. Copies of one page count as one page, so a
-page that was crawled often is not its own template.
-Hashes are seeded by host, so a template is one number. Counting is by (subtree, page content),
-pre-aggregated in each task. The templates of all hosts are counted: up to ``BROADCAST_HASHES`` they are
+may be missing, attribute values may hold ``>``. Every element subtree is hashed, bottom-up in one pass,
+seeded by its host, and the hashes are counted over the distinct pages of that host:
+
+    exact     element, class and id (digits as one), and the texts (white space as one) of block
+              subtrees outside ``article`` and ``main``, or anywhere if a page has neither
+    menu      the same place; element, class and id, and the set of those of its subtrees, without any text, of block
+              subtrees whose text is links for four fifths and more (three links at least)
+    marked    element, class and id of subtrees that name themselves menu, footer, notice, advert, form,
+              sidebar, comments or the like
+
+A subtree is a template of its host, and goes, from ``MANY_PAGES`` pages, whatever the host's size (a marked
+one from ``MARKED_PAGES``); on a host of few pages, from ``SHARE`` of them and ``LEAST_PAGES``. Pages of equal main text count
+as one, so a page that was crawled often is not its own template. What recurs inside an article is its text, unless it is marked.
+
+Where counts say nothing, names decide. Elements that hold no article text in HTML (``nav``, ``footer``,
+``form``, ``script`` and so on) always go; on hosts of less than ``MANY_PAGES`` distinct pages, so does whatever is marked. A class
+or id marks if all its words are in ``NAMES`` or ``NEUTRAL`` and one is in ``NAMES``: ``share price`` marks nothing.
+
+Counting is pre-aggregated in each task. The templates of all hosts are counted: up to ``BROADCAST_HASHES`` they are
 broadcast as one sorted array; beyond that they are joined with the subtrees of each distinct page, so
 what joins a page is bounded by the page, however many templates its host has.
 
-The text is that of ``article`` or ``main`` elements where there are any, else of the body.
-Every block element is one line: references decoded, white space runs one blank, trimmed; empty blocks
-are left out. ``br`` is white space. Defined results: null or empty html gives an empty text; a page without a host is
-not compared with others; repeated rows get equal texts.
+The text is all that is left of the page. Every block element is one line: references decoded, white space runs one blank,
+trimmed; empty blocks are left out. ``br`` is white space. Defined results: null or empty html gives an empty text; a page without a host is
+not compared with others; repeated rows get equal texts; depth is not limited.
 """
 
 from __future__ import annotations
@@ -23,6 +33,7 @@ from __future__ import annotations
 import re
 from array import array
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Container, Iterator
 from html import unescape
 
@@ -36,61 +47,71 @@ from . import _scratch
 from . import _text as tx
 
 MANY_PAGES = 8
+MARKED_PAGES = 2
 SHARE = 0.5
 LEAST_PAGES = 3
+MENU_LINKS, MENU_SHARE = 3, 0.8
 #: Up to so many hashes of all hosts together (4 MB), the templates are broadcast.
 BROADCAST_HASHES = 500_000
+#: Kinds of counted things; a host of many pages is one.
+HOST, EXACT, MENU, MARKED = range(4)
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
-DROPPED = frozenset("nav aside footer form script style noscript template iframe button select textarea input svg math object embed canvas audio video dialog head title menu search xmp noembed".split())
-NAMES = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar side-bar aside footer masthead site-header page-header topbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login search comment comments commentlist comment-list reader-comments disqus replies respond discussion share sharing social related recommended pagination pager toolbar widget skip-link".split())
+DROPPED = frozenset("nav aside footer form script style noscript template iframe button select textarea input object embed canvas audio video dialog head title menu search xmp noembed".split())
+NAMES = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead topbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login search comment comments commentlist disqus replies respond discussion share sharing social related recommended pagination pager toolbar widget skip".split())
+NEUTRAL = frozenset("left right top bottom main primary secondary wrapper wrap container box block inner outer area section site page global bar list item items row links link icons reader user the and by".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
+WHOLE = frozenset("html body article main #".split())
 #: A start tag of the key ends an open element named in the value.
 ENDS = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
     "option": ("option",), "tbody": ("thead", "tbody", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th"),
 }
+UNSEEN = frozenset("script style head title template noscript iframe".split())
 SCOPES = frozenset("ul ol dl table select body html article section div".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?[a-zA-Z][^<]*\Z|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+_WORD, _DIGITS = re.compile(r"[^\W_]+"), re.compile(r"\d+")
 _HOST = r"^(?i)[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
 
 
 class Node:
-    __slots__ = ("tag", "start", "end", "children", "dropped")
+    __slots__ = ("tag", "dropped", "marked", "shape", "children", "exact", "frame", "size", "linked", "links")
 
-    def __init__(self, tag: str, start: int, dropped: bool):
-        self.tag, self.start, self.end, self.dropped = tag, start, -1, dropped
+    def __init__(self, tag: str, dropped: bool = False, marked: bool = False, shape: str = ""):
+        self.tag, self.dropped, self.marked, self.shape = tag, dropped, marked, shape
         self.children: list[Node | str] = []
 
 
-def _is_boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
-    if tag in DROPPED or (tag == "header" and not in_article):
-        return True
-    if tag in ("html", "body", "article", "main") and not (tag == "article" and attributes) or "=" not in attributes:
-        return False
+def _named(tag: str, attributes: str, in_article: bool) -> tuple[bool, str]:
+    """Whether class, id or role mark the element, and the shape of class and id."""
+    if "=" not in attributes:
+        return False, ""
+    marked, shape = False, []
     for name, value in _ATTRIBUTE.findall(attributes):
-        for word in value.strip("\"'").lower().replace("_", "-").split():
-            if word in ROLES if name.lower() == "role" else word in NAMES or (word == "header" and not in_article):
-                return True
-    return False
+        value = value.strip("\"'").lower()
+        parts = _WORD.findall(value)
+        if name.lower() == "role":
+            marked |= any(x in ROLES for x in value.split())
+            continue
+        shape.append(_DIGITS.sub("0", " ".join(sorted(value.split()))))
+        names = NAMES if in_article else NAMES | {"header"}
+        marked |= any(x in names for x in parts) and all(x in names or x in NEUTRAL or x.isdecimal() for x in parts)
+    return marked and tag not in WHOLE - {"article"}, "|".join(shape)
 
 
 def parse(html: str) -> Node:
-    """The page as a tree; nodes know their place in the source."""
-    root = Node("#", 0, False)
+    """The page as a tree."""
+    root = Node("#")
     stack, at, n = [root], 0, len(html)
-    articles = 0
+    opened: Counter = Counter()
 
-    def close(to: int, end: int) -> None:
-        nonlocal articles
+    def close(to: int) -> None:
         while len(stack) > to:
-            node = stack.pop()
-            node.end = end
-            articles -= node.tag in ("article", "main")
+            opened[stack.pop().tag] -= 1
 
     while at < n:
         m = _TAG.search(html, at)
@@ -105,75 +126,39 @@ def parse(html: str) -> Node:
             continue
         tag = tag.lower()
         if slash:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    stack[k].end = at
-                    close(k + 1, m.start())
-                    node = stack.pop()
-                    articles -= node.tag in ("article", "main")
-                    break
-                if stack[k].tag in ("article", "main", "body", "html") and tag not in BLOCK:
-                    break
+            if opened[tag]:
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k].tag == tag:
+                        close(k)
+                        break
+                    if stack[k].tag in WHOLE and tag not in BLOCK:
+                        break
             continue
         if tag in BLOCK:
             for k in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph
                 if stack[k].tag == "p":
-                    close(k, m.start())
+                    close(k)
                     break
                 if stack[k].tag in BLOCK:
                     break
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in ENDS.get(tag, ()):
-                    close(k, m.start())
+            for k in range(len(stack) - 1, 0, -1) if tag in ENDS else ():
+                if stack[k].tag in ENDS[tag]:
+                    close(k)
                 elif stack[k].tag in SCOPES:
                     break
-        node = Node(tag, m.start(), _is_boilerplate(tag, attributes, articles > 0))
+        in_article = opened["article"] + opened["main"] > 0
+        marked, shape = _named(tag, attributes, in_article)
+        node = Node(tag, tag in DROPPED or (tag == "header" and not in_article), marked, shape)
         stack[-1].children.append(node)
-        if tag in VOID or attributes.endswith("/") and tag not in BLOCK:
-            node.end = at
-        elif tag in RAW:
+        if tag in RAW:
             over = re.compile(f"</{re.escape(tag)}\\s*>", re.I).search(html, at)
             at = over.end() if over else n
-            node.end = at
-        else:
-            articles += tag in ("article", "main")
+        elif tag not in VOID and not (attributes.endswith("/") and tag not in BLOCK):
+            opened[tag] += 1
             stack.append(node)
-    close(0, n)
     return root
 
 
-def _contents(root: Node) -> list[Node]:
-    """The outermost article and main elements, or the whole page."""
-    found: list[Node] = []
-
-    def walk(node: Node) -> None:
-        for child in node.children:
-            if isinstance(child, Node) and not child.dropped:
-                if child.tag in ("article", "main"):
-                    found.append(child)
-                else:
-                    walk(child)
-
-    _deep(walk, root)
-    if len(found) == 1 and found[0].tag == "main":  # articles inside main are the narrower choice
-        inner: list[Node] = []
-        found, outer = inner, found
-        _deep(walk, outer[0])
-        found = inner or outer
-    return found or [root]
-
-
-def _deep(walk, node: Node) -> None:
-    import sys
-
-    limit = sys.getrecursionlimit()
-    sys.setrecursionlimit(max(limit, 200_000))
-    try:
-        walk(node)
-    finally:
-        sys.setrecursionlimit(limit)
-
-
 def _print(text: str, seed: int = 0) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), seed) - (1 << 63)
 
@@ -182,8 +167,9 @@ def _seed(host: str) -> int:
     return xxhash.xxh64_intdigest(host)
 
 
-def _hash(html: str, node: Node, seed: int) -> int:
-    return _print(html[node.start : node.end], seed)
+def host_mark(seed: int) -> int:
+    """What stands among the templates for a host of many pages."""
+    return _print("host", seed)
 
 
 class Sorted:
@@ -200,20 +186,61 @@ class Sorted:
         return len(self.values)
 
 
-def subtrees(html: str, seed: int = 0) -> set[int]:
-    """Hashes of the block subtrees that could show in the text."""
-    out: set[int] = set()
-    todo = list(_contents(parse(html)))
-    first = len(todo)
-    for i, node in enumerate(todo):
-        if i >= first and node.tag in BLOCK and node.tag not in ("html", "body", "article", "main"):
-            out.add(_hash(html, node, seed))
-        todo += [c for c in node.children if isinstance(c, Node) and not c.dropped]
+def digest(root: Node, seed: int) -> list[Node]:
+    """All nodes, parents first, with their hashes, text sizes and links filled in."""
+    nodes = [root]
+    for node in nodes:  # grows while it is read
+        nodes += [c for c in node.children if isinstance(c, Node)]
+    for node in reversed(nodes):
+        texts, frames = [], set()
+        size = linked = links = 0
+        for c in node.children:
+            if isinstance(c, str):
+                text = " ".join(c.split())
+                if text:
+                    texts.append(text)
+                    size += len(text)
+            else:
+                texts.append(f"\1{c.exact}")
+                size, linked, links = size + c.size, linked + c.linked, links + c.links
+                if c.tag in BLOCK or c.tag == "a":
+                    frames.add(c.frame)
+        if node.tag == "a":
+            linked, links = size, 1
+        node.size, node.linked, node.links = size, linked, links
+        node.exact = _print("\0".join((node.tag, node.shape, *texts)), seed)
+        own = () if node.marked or node.dropped else sorted(frames)
+        node.frame = _print("\2".join((node.tag, node.shape, *map(str, own))), seed)
+    return nodes
+
+
+def counted(nodes: list[Node]) -> list[tuple[int, int, Node]]:
+    """Kind, hash and node of the subtrees that may be templates."""
+    root, out = nodes[0], []
+    has_article = any(x.tag in ("article", "main") for x in nodes)
+    todo = [(root, False)]
+    while todo:
+        node, inside = todo.pop()
+        inside = inside or has_article and node.tag in ("article", "main")
+        if node.dropped or node.marked:
+            out.append((MARKED, node.frame, node))
+        if node.dropped:
+            continue
+        if node.tag in BLOCK and node.tag not in WHOLE and not inside and node.size and not any(isinstance(c, Node) and c.tag in WHOLE for c in node.children):
+            out.append((EXACT, node.exact, node))
+            if node.links >= MENU_LINKS and node.linked >= MENU_SHARE * node.size:
+                out.append((MENU, node.frame, node))
+        todo += [(c, inside) for c in node.children if isinstance(c, Node)]
     return out
 
 
-def extract(html: str, template: Container[int] = frozenset(), seed: int = 0) -> str:
-    """The main text without the subtrees in ``template``."""
+def subtrees(html: str, seed: int = 0) -> set[tuple[int, int]]:
+    """Kind and hash of the subtrees that may be templates."""
+    return {(kind, h) for kind, h, _ in counted(digest(parse(html), seed))}
+
+
+def _lines(root: Node, gone: Container[int]) -> str:
+    """The text of a tree without the nodes whose ``id`` is in ``gone``."""
     blocks: list[str] = []
     line: list[str] = []
 
@@ -223,52 +250,63 @@ def extract(html: str, template: Container[int] = frozenset(), seed: int = 0) ->
             blocks.append(text)
         line.clear()
 
-    todo: list = list(reversed(_contents(parse(html))))
+    todo: list = [root]
     while todo:
         node = todo.pop()
         if node is None:
             flush()
         elif isinstance(node, str):
             line.append(unescape(node))
-        elif node.tag in ("br", "wbr", "img"):
-            if node.tag == "br":
-                line.append(" ")
-        elif not node.dropped:
+        elif node.tag == "br":
+            line.append(" ")
+        else:
             block = node.tag in BLOCK or node.tag == "#"
-            if block and template and node.tag not in ("html", "body", "article", "main", "#") and _hash(html, node, seed) in template:
+            if block:
                 flush()
+            if id(node) in gone:
                 continue
             if block:
-                flush()
                 todo.append(None)
             todo += reversed(node.children)
-        elif node.tag in BLOCK:
-            flush()
     flush()
     return "\n".join(blocks)
 
 
+def extract(html: str, template: Container[int] = frozenset(), seed: int = 0, names: bool | None = None) -> str:
+    """The main text without the subtrees in ``template``. ``names``: whether whatever is marked goes,
+    and what holds no article text in HTML; by default the latter, and the former unless the host is known to be one of
+    many pages. False leaves all to the templates but what no reader sees."""
+    nodes = digest(parse(html), seed)
+    gone = {id(node) for _, h, node in counted(nodes) if h in template}
+    marked = names is not False and host_mark(seed) not in template
+    for node in nodes:
+        if node.tag in UNSEEN or (names is not False and node.dropped) or (marked and node.marked):
+            gone.add(id(node))
+    return _lines(nodes[0], gone)
+
+
 def templates(pages: DataFrame) -> DataFrame:
-    """``subtree``: the recurring subtrees of all hosts."""
+    """``subtree``: the recurring subtrees of all hosts, and the marks of hosts of many pages."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in tx.slices(batches, "html"):
-            hosts, prints, hashes = [], [], []
+            rows: list[tuple[int, int, int, int]] = []
             for host, html in zip(tx.column(b, "host").to_pylist(), tx.column(b, "html").to_pylist(), strict=True):
-                seed, page = _seed(host), _print(extract(html))
-                for h in [None, *subtrees(html, seed)]:
-                    hosts.append(seed - (1 << 63))
-                    prints.append(page)
-                    hashes.append(h)
-            yield pa.record_batch([pa.array(hosts, pa.int64()), pa.array(prints, pa.int64()), pa.array(hashes, pa.int64())], names=["host", "page", "subtree"])
+                seed = _seed(host)
+                nodes = digest(parse(html), seed)
+                page = _print(_lines(nodes[0], {id(x) for x in nodes if x.dropped or x.marked}))
+                rows += [(seed - (1 << 63), page, kind, h) for kind, h in {(HOST, host_mark(seed)), *((kind, h) for kind, h, _ in counted(nodes))}]
+            columns = list(zip(*rows, strict=True)) or [()] * 4
+            yield pa.record_batch([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int64())], names=["host", "page", "kind", "subtree"])
 
     known = pages.where("host <> '' and html <> ''").select("host", "html")
-    found = known.mapInArrow(emit, "host long, page long, subtree long")
-    counts = found.groupBy("host", "subtree", "page").count().groupBy("host", "subtree").agg(F.count("*").alias("n"))  # copies of a page once
-    counts = _scratch.write_table(counts.where((F.col("n") >= min(LEAST_PAGES, MANY_PAGES)) | F.col("subtree").isNull()), "subtrees")
-    size = counts.where("subtree is null").select("host", F.col("n").alias("pages"))
-    small = (F.col("n") >= LEAST_PAGES) & (F.col("n") >= SHARE * F.col("pages"))
-    return counts.where(F.col("subtree").isNotNull()).join(size, "host").where((F.col("n") >= MANY_PAGES) | small).select("subtree")
+    found = known.mapInArrow(emit, "host long, page long, kind int, subtree long")
+    counts = found.groupBy("host", "kind", "subtree", "page").count().groupBy("host", "kind", "subtree").agg(F.count("*").alias("n"))  # copies of a page once
+    counts = _scratch.write_table(counts.where((F.col("n") >= min(LEAST_PAGES, MARKED_PAGES, MANY_PAGES)) | (F.col("kind") == HOST)), "subtrees")
+    size = counts.where(F.col("kind") == HOST).select("host", F.col("n").alias("pages"))
+    small = (F.col("kind") != HOST) & (F.col("n") >= LEAST_PAGES) & (F.col("n") >= SHARE * F.col("pages"))
+    many = (F.col("n") >= MANY_PAGES) | ((F.col("kind") == MARKED) & (F.col("n") >= MARKED_PAGES))
+    return counts.join(size, "host").where(many | small).select("subtree").distinct()
 
 
 def _of_pages(rows: DataFrame, found: DataFrame) -> DataFrame:
@@ -278,7 +316,7 @@ def _of_pages(rows: DataFrame, found: DataFrame) -> DataFrame:
         for b in tx.slices(batches, "html"):
             keys, hashes = [], []
             for key, host, html in zip(tx.column(b, "key").to_pylist(), tx.column(b, "host").to_pylist(), tx.column(b, "html").to_pylist(), strict=True):
-                here = subtrees(html, _seed(host))
+                here = {host_mark(_seed(host)), *(h for _, h in subtrees(html, _seed(host)))}
                 keys += [key] * len(here)
                 hashes += here
             yield pa.record_batch([pa.array(keys, pa.string()), pa.array(hashes, pa.int64())], names=["key", "subtree"])

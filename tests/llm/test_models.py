@@ -304,6 +304,58 @@ def test_html_main_text():
     assert html_extract.extract("<div>" * 3000 + "deep") == "deep"
 
 
+def test_html_drops_nothing_but_boilerplate():
+    assert html_extract.extract('<p>Intro outside.</p><article><p>Area is <math><mi>pi</mi></math> units.<svg><text>1</text></svg><p class="share price">Up</article>') == "Intro outside.\nArea is pi units.1\nUp"
+    assert html_extract.extract('<div class="cookie-notice">a</div><div id="reader_comments">b</div><div role="search">c</div><div class="content main">d</div><h1 class="header">e</h1>') == "d"
+    assert html_extract.extract("<div>" * 250_000 + "deep" + "</b>" * 1000) == "deep"
+    assert html_extract.extract("<p>" + "word " * 300_000).count("word") == 300_000
+
+
+def brute_templates(rows):
+    """The counting of subtrees, page by page."""
+    pages, seen = {}, {}
+    for url, html in rows:
+        host = re.match(r"https?://([^/]+)", url)[1]
+        page = html_extract.extract(html)
+        pages.setdefault(host, set()).add(page)
+        for key in html_extract.subtrees(html, html_extract._seed(host)):
+            seen.setdefault((host, *key), set()).add(page)
+    out = {html_extract.host_mark(html_extract._seed(h)) for h, p in pages.items() if len(p) >= 8}
+    for (host, kind, subtree), p in seen.items():
+        if len(p) >= 8 or (kind == html_extract.MARKED and len(p) >= 2) or (len(p) >= 3 and len(p) >= len(pages[host]) / 2):
+            out.add(subtree)
+    return out
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test data")
+def test_html_templates_of_the_given_pages(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("url", "html")
+    listed = [tuple(r) for r in rows.collect()]
+    found = {r["subtree"] for r in html_extract.templates(rows.withColumn("host", F.regexp_extract("url", "//([^/]+)", 1))).collect()}
+    assert found == brute_templates(listed) and len(found) > 100
+    by_template = withheld = 0
+    for url, html in listed[:300]:
+        seed = html_extract._seed(re.match(r"https?://([^/]+)", url)[1])
+        if html_extract.host_mark(seed) not in found:
+            continue
+        article = html_extract.extract(re.search(r"<article>.*</article>", html, re.S)[0])
+        # on a host of many pages the templates alone leave the article, and without them more is left
+        by_template += html_extract.extract(html, found, seed, names=False) == html_extract.extract(html, found, seed) == article
+        withheld += html_extract.extract(html, {html_extract.host_mark(seed)}, seed) != article
+    assert by_template == withheld > 200
+
+
+@pytest.mark.parametrize("most", [0, 500_000])
+def test_html_menus_and_marked_blocks_go_by_count_on_large_hosts(spark, monkeypatch, most):
+    monkeypatch.setattr(html_extract, "BROADCAST_HASHES", most)
+    menu = lambda i: "<div class=x9><ul>" + "".join(f"<li><a href=/{k}>entry {i} {k}</a>" for k in range(3 + i % 4)) + "</ul></div>"
+    page = lambda i: f"{menu(i)}<p>story {i} with <a href=/>a link</a></p><ul><li>point {i}</ul><div class=ad>offer {i}</div>" + "<div class=notice>once</div>" * (i == 5)
+    rows = [(i, f"http://large.example/{i}", page(i)) for i in range(20)] + [(100, "http://small.example/", page(5))]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"story {i} with a link\npoint {i}" + "\nonce" * (i == 5) for i in range(20))
+    assert got[100] == "entry 5 0\nentry 5 1\nentry 5 2\nentry 5 3\nstory 5 with a link\npoint 5"
+
+
 @pytest.mark.parametrize("most", [0, 500_000])
 def test_html_templates_are_removed_per_host(spark, monkeypatch, most):
     monkeypatch.setattr(html_extract, "BROADCAST_HASHES", most)
