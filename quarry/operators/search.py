@@ -1,22 +1,20 @@
 """Hybrid top-k search of a batch of questions.
 
-Every chunk is scored against every question (min-max scaling sees them all). The questions,
-where few enough, are broadcast, and a chunk carries its sparse keyword scores in its row, so the grid of
-scores is never shuffled: what moves is one minimum and maximum for each question and task,
-and then at most k rows for each question and task.
+Every chunk is scored against every question (min-max scaling sees them all), in the chunk's own
+row: see ``grid``. What moves is a minimum and a maximum for each question and task, and then at
+most k rows for each question and task.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import lexical
-from .embedding import cosine, norm
+from . import grid, lexical
 
 SEMANTIC_WEIGHT = 0.7
-#: Up to so many questions, they and their top results are broadcast.
-MANY_QUESTIONS = 10_000
 
 
 def minmax(value: Column, low: Column, high: Column) -> Column:
@@ -47,43 +45,41 @@ def top_k(scored: DataFrame, k: int, score: Column, *ties: str, by: str = "query
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def semantic_grid(chunks: DataFrame, queries: DataFrame, carried: list[str], few: bool) -> DataFrame:
-    """Every (question, chunk) with ``semantic_raw``; vectors are cast to double.
-    ``few``: the questions may be broadcast."""
-    left = chunks.select(*carried, F.col("embedding").cast("array<double>").alias("__v")).withColumn("__n", norm(F.col("__v")))
-    right = queries.select("query_id", F.col("query_embedding").cast("array<double>").alias("__q")).withColumn("__m", norm(F.col("__q")))
-    grid = left.crossJoin(lexical.hinted(right, few))
-    return grid.withColumn("semantic_raw", cosine(F.col("__v"), F.col("__q"), F.col("__n"), F.col("__m"))).drop("__v", "__q", "__n", "__m")
+def _scored(chunks: DataFrame, queries: DataFrame, key: str, kind: str, k: int | None, digits: int | None, index: lexical.LexicalIndex | None = None, weight: float = SEMANTIC_WEIGHT, k1: float = lexical.K1, b: float = lexical.B) -> DataFrame:
+    """Block after block of questions; ``key`` is called ``key`` here."""
+
+    def block(asked: grid.Questions) -> DataFrame:
+        if kind == "semantic":
+            none = F.array().cast("array<int>")
+            rows = chunks.select(F.col(key).alias("key"), F.lit(0).cast("long").alias("dl"), none.alias("term"), none.alias("tf"), F.col("embedding").cast("array<double>").alias("embedding"))
+        elif index is None:
+            rows = grid.hits(chunks, key, asked)
+            grid.weigh(rows, asked)
+        else:
+            rows = grid.from_postings(chunks, key, index.postings, asked)
+            stats = index.stats.first()
+            grid.weigh(rows, asked, (stats["n"], stats["avgdl"]))
+        return grid.scores(rows, asked, kind, k, digits, weight, k1, b)
+
+    return reduce(DataFrame.unionByName, (block(grid.Questions.collect(q)) for q in grid.blocks_of(queries)))
+
+
+def best(chunks: DataFrame, queries: DataFrame, k: int, key: str, kind: str = "hybrid", round_to: int | None = None, **kwargs) -> DataFrame:
+    """``query_id, rank, key, score, semantic_score, keyword_score``: the ``k`` best chunks of each question by ``kind``
+    (``hybrid``, ``semantic``, or ``keyword``, which leaves out chunks without a term of the question). Ties go to the lesser key.
+    ``round_to`` ranks on rounded scores."""
+    found = top_k(_scored(chunks, queries, key, kind, k, round_to, **kwargs), k, F.col("ranked"), "key")
+    return found.select("query_id", "rank", F.col("key").alias(key), "score", "semantic_score", "keyword_score")
 
 
-def hybrid_scores(chunks: DataFrame, queries: DataFrame, key: str = "ordinal", weight: float = SEMANTIC_WEIGHT, k1: float = lexical.K1, b: float = lexical.B, index: lexical.LexicalIndex | None = None, few: bool | None = None) -> DataFrame:
+def hybrid_scores(chunks: DataFrame, queries: DataFrame, key: str = "ordinal", **kwargs) -> DataFrame:
     """``query_id, key, score, semantic_score, keyword_score`` for every pair of
     ``queries(query_id, question, query_embedding)`` and ``chunks(key, text, embedding)``."""
-    few = lexical.is_small(queries.select("query_id"), MANY_QUESTIONS) if few is None else few
-    keyword = lexical.bm25(chunks, queries, key, k1=k1, b=b, index=index)
-    per_chunk = keyword.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("query_id", "keyword_raw"))).alias("__kw"))  # one entry a question
-    # the extremes: of cosines over vectors alone, of keyword scores over the sparse table,
-    # where chunks that are missing from it score 0
-    cosines = semantic_grid(chunks.select("embedding"), queries, [], few)
-    ends = cosines.groupBy("query_id").agg(F.min("semantic_raw").alias("semantic_raw_lo"), F.max("semantic_raw").alias("semantic_raw_hi"), F.count("*").alias("__n"))
-    met = keyword.groupBy("query_id").agg(F.min("keyword_raw").alias("__lo"), F.max("keyword_raw").alias("__hi"), F.count("*").alias("__m"))
-    all_met = F.coalesce(F.col("__m") == F.col("__n"), F.lit(False))
-    ends = ends.join(met, "query_id", "left").select(
-        "query_id", "semantic_raw_lo", "semantic_raw_hi",
-        F.when(all_met, F.col("__lo")).otherwise(0.0).alias("keyword_raw_lo"), F.coalesce("__hi", F.lit(0.0)).alias("keyword_raw_hi"),
-    )
-    grid = semantic_grid(chunks.select(key, "embedding").join(per_chunk, key, "left"), queries, [key, "__kw"], few)
-    raw = grid.withColumn("keyword_raw", F.coalesce(F.try_element_at("__kw", F.col("query_id")), F.lit(0.0))).drop("__kw")
-    scaled = raw.join(lexical.hinted(ends, few), "query_id")  # one row a question
-    semantic, kw = (minmax(F.col(c), F.col(f"{c}_lo"), F.col(f"{c}_hi")) for c in ("semantic_raw", "keyword_raw"))
-    return scaled.select("query_id", key, blend(semantic, kw, weight).alias("score"), semantic.alias("semantic_score"), kw.alias("keyword_score"))
+    return _scored(chunks, queries, key, "hybrid", None, None, **kwargs).select("query_id", F.col("key").alias(key), "score", "semantic_score", "keyword_score")
 
 
 def search(chunks: DataFrame, queries: DataFrame, k: int = 5, key: str = "ordinal", round_to: int | None = None, **kwargs) -> DataFrame:
     """``query_id, rank, score, semantic_score, keyword_score`` and the chunk's columns (its
     vector left out); ties keep chunk order. ``round_to`` ranks on rounded scores."""
-    few = lexical.is_small(queries.select("query_id"), MANY_QUESTIONS)
-    scored = hybrid_scores(chunks, queries, key, few=few, **kwargs)
-    score = F.round("score", round_to) if round_to else F.col("score")
-    best = top_k(scored, k, score, key)
-    return lexical.hinted(best, few).join(chunks.drop("embedding"), key)
+    few = lexical.is_small(queries.select("query_id"), grid.QUESTIONS)
+    return lexical.hinted(best(chunks, queries, k, key, round_to=round_to, **kwargs), few).join(chunks.drop("embedding"), key)

@@ -6,14 +6,12 @@ one), benchmark items play questions, assistant turns play answers, labels play
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import chunking, embedding, evaluation, generation, lexical, search
-from ..sources import pdf, tables
+from ..sources import pdf, shared, tables
 from . import report
 
 K = 5
@@ -81,8 +79,7 @@ def chunks(spark, d):
 
 
 def index_roundtrip(spark, d):
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quarry-")
-    path = f"{shared.rstrip('/')}/index-roundtrip-{spark.sparkContext.applicationId}-{abs(hash(d)) % 10**9}"
+    path = shared.new_path(spark, "index")
     made = chunks(spark, d).withColumn("embedding", F.lit(None).cast("array<double>"))
     tables.save_index(made, path, {"pdf": d, "chunk_size": MAX_CHARS, "overlap": OVERLAP})
     return tables.load_index(spark, path)[1].drop("embedding")
@@ -116,9 +113,9 @@ def _questions(spark, d):
 
 
 def bm25_topk(spark, d):
-    scored = lexical.bm25(_docs(spark, d), _questions(spark, d), "doc_id")
-    best = search.top_k(scored.withColumn("s", F.round("keyword_raw", DIGITS)), K, F.col("s"), "doc_id")
-    return best.select("query_id", "rank", "doc_id", F.round("keyword_raw", 6).alias("score"))
+    asked = _questions(spark, d).select("query_id", "question")
+    found = search.best(_docs(spark, d).select("doc_id", "text"), asked, K, "doc_id", "keyword", DIGITS)
+    return found.select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
 
 
 def _indexed(spark, d):
@@ -127,11 +124,9 @@ def _indexed(spark, d):
 
 
 def cosine_topk(spark, d):
-    vectors = _read(spark, d, "embeddings")
-    asked = _questions(spark, d).where(F.col("query_embedding").isNotNull())
-    grid = search.semantic_grid(vectors, asked, ["vec_id"], lexical.is_small(asked.select("query_id"), search.MANY_QUESTIONS))
-    best = search.top_k(grid.withColumn("s", F.round("semantic_raw", DIGITS)), K, F.col("s"), "vec_id")
-    return best.select("query_id", "rank", "vec_id", F.round("semantic_raw", 6).alias("score"))
+    asked = _questions(spark, d).where(F.col("query_embedding").isNotNull()).select("query_id", "query_embedding")
+    found = search.best(_read(spark, d, "embeddings").select("vec_id", "embedding"), asked, K, "vec_id", "semantic", DIGITS)
+    return found.select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
 
 
 def minmax_scores(spark, d):
