@@ -58,15 +58,19 @@ def tokenize(col: Column) -> Column:
     return F.regexp_extract_all(normalize(col), F.lit(f"([{TOKEN_CLASS}]+)"), F.lit(1))
 
 
+#: What WS matches under (?U).
+SPACES = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(col: Column) -> Column:
-    return F.regexp_replace(col, rf"(?U)\A{WS}+|{WS}+\z", "")
+    return F.btrim(col, F.lit(SPACES))
 
 
 def clean_text(col: Column) -> Column:
     """Line ends to newlines, runs of blanks and tabs to one blank, no blank lines, no white
     space at line starts or at either end."""
-    out = F.regexp_replace(F.translate(col, "\f", "\n"), r"\r\n?", "\n")
-    out = F.regexp_replace(out, r"[ \t]+", " ")
+    out = F.regexp_replace(F.replace(col, F.lit("\f"), F.lit("\n")), r"\r\n?", "\n")
+    out = F.regexp_replace(out, r" *\t[ \t]*| {2,}", " ")
     out = F.regexp_replace(out, rf"(?mdU)^{WS}+", "")
     return strip(out)
 
@@ -94,16 +98,19 @@ def find_articles(col: Column, spellings: tuple[str, ...] = ARTICLE_SPELLINGS, n
     return F.zip_with(numbers, titles, lambda n, t: F.struct(F.concat(F.lit(name), n).alias("article"), F.nullif(strip(t), F.lit("")).alias("title")))
 
 
-def last_article(col: Column, **kwargs) -> Column:
-    """The last header of a text, or null."""
-    return F.try_element_at(find_articles(col, **kwargs), F.lit(-1))
+def last_article(col: Column, spellings: tuple[str, ...] = ARTICLE_SPELLINGS, name: str = ARTICLE_NAME) -> Column:
+    """The last header of a text, or null. The text is searched once, for whole headers."""
+    pattern = article_pattern(spellings)
+    line = F.try_element_at(F.regexp_extract_all(col, F.lit(pattern), F.lit(0)), F.lit(-1))
+    number, title = (F.regexp_extract(line, pattern, g) for g in (1, 2))
+    return F.when(line.isNotNull(), F.struct(F.concat(F.lit(name), number).alias("article"), F.nullif(strip(title), F.lit("")).alias("title")))
 
 
 def paragraphs(col: Column) -> Column:
     """Array of cleaned, non-empty paragraphs of a cleaned text: it breaks at blank lines and
     after lines that end in a full stop."""
-    parts = F.split(col, rf"(?U)\n{WS}*\n|(?<=\.)\n")
-    return F.filter(F.transform(parts, clean_text), lambda p: p != "")
+    parts = F.split(col, rf"(?U)(?<=\.)\n|\n{WS}*\n")
+    return F.filter(F.transform(parts, strip), lambda p: p != "")
 
 
 def citation(page_start: Column, page_end: Column, article: Column) -> Column:

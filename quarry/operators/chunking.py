@@ -1,4 +1,8 @@
-"""Section-aware chunking of pages, as one native plan partitioned by document.
+"""Section-aware chunking of pages, as one native plan.
+
+A page is packed and split within its own row. What runs across pages, the article that is running
+and the numbers of chunks, is settled by windows over slim rows, one a page, so no text is sorted or
+gathered by document, however large or frequent that is.
 
 Paragraphs are packed greedily into groups of at most ``max_chars`` (counting two characters
 between paragraphs), never across pages. The article of a group is the last header within it,
@@ -12,22 +16,34 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..sources import shared
 
 GAP = 2
 
 
-def pack_groups(lengths: Column, max_chars: int) -> Column:
-    """Group number of each of the ``lengths`` (array<int>) under greedy packing."""
-    start = F.struct(F.lit(0).alias("group"), F.lit(-1).alias("used"), F.array().cast("array<int>").alias("out"))
+def pack_starts(lengths: Column, max_chars: int) -> Column:
+    """First number (from 0) of each group of the ``lengths`` (array<int>) under greedy packing."""
+    start = F.struct(F.lit(0).alias("at"), F.lit(-1).alias("used"), F.array().cast("array<int>").alias("starts"))
 
     def step(acc: Column, n: Column) -> Column:
-        first = acc["used"] < 0
-        fits = ~first & (acc["used"] + GAP + n <= max_chars)
-        group = F.when(first | fits, acc["group"]).otherwise(acc["group"] + 1)
+        fits = (acc["used"] >= 0) & (acc["used"] + GAP + n <= max_chars)
         used = F.when(fits, acc["used"] + GAP + n).otherwise(n)
-        return F.struct(group.alias("group"), used.alias("used"), F.array_append(acc["out"], group).alias("out"))
+        starts = F.when(fits, acc["starts"]).otherwise(F.array_append(acc["starts"], acc["at"]))
+        return F.struct((acc["at"] + 1).alias("at"), used.alias("used"), starts.alias("starts"))
 
-    return F.aggregate(lengths, start, step, lambda acc: acc["out"])
+    return F.aggregate(lengths, start, step, lambda acc: acc["starts"])
+
+
+def spans(starts: Column, n: Column) -> Column:
+    """(first, size) of each group, from their starts and the number of all."""
+    ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.array(n))
+    return F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("first"), (b - a).alias("size")))
+
+
+def pack_groups(lengths: Column, max_chars: int) -> Column:
+    """Group number of each of the ``lengths`` (array<int>) under greedy packing."""
+    groups = F.transform(spans(pack_starts(lengths, max_chars), F.size(lengths)), lambda x, i: F.array_repeat(i, x["size"]))
+    return F.when(F.size(lengths) > 0, F.flatten(groups)).otherwise(F.array().cast("array<int>"))
 
 
 def check_window(max_chars: int, overlap: int) -> None:
@@ -57,33 +73,39 @@ def paragraph_rows(pages: DataFrame, spellings=tx.ARTICLE_SPELLINGS, name: str =
 def build_chunks(pages: DataFrame, max_chars: int = 1800, overlap: int = 250, spellings=tx.ARTICLE_SPELLINGS, name: str = tx.ARTICLE_NAME, lookahead: bool = True) -> DataFrame:
     """Chunks of ``pages(doc_id, page_number, text)``: ``doc_id, ordinal, id, text,
     page_start, page_end, article, title``. ``lookahead=False`` gives a flushed group the
-    article of its own last paragraph instead of that of the paragraph that flushed it."""
+    article of its own last paragraph instead of that of the paragraph that flushed it. A page
+    is one row: the (doc_id, page_number) pairs must differ."""
     check_window(max_chars, overlap)
-    paras = paragraph_rows(pages, spellings, name)
-    item = F.struct("para_idx", "para", "current")
-    per_page = paras.groupBy("doc_id", "page_number").agg(F.array_sort(F.collect_list(item)).alias("items"))  # one page's paragraphs
-    groups = per_page.withColumn("groups", pack_groups(F.transform("items", lambda x: F.length(x["para"])), max_chars))
-    rows = groups.select("doc_id", "page_number", F.explode(F.arrays_zip("items", "groups")).alias("z")).select("doc_id", "page_number", "z.groups", "z.items.*")
-    packed = rows.groupBy("doc_id", "page_number", "groups").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("para_idx", "para"))), lambda x: x["para"]), "\n").alias("text"),
-        F.min_by("current", "para_idx").alias("at_first"),
-        F.max_by("current", "para_idx").alias("at_last"),
-    )
-    by_page = Window.partitionBy("doc_id", "page_number").orderBy("groups")
-    is_last = F.lead("groups").over(by_page).isNull()
-    carried = F.when(is_last, F.col("at_last")).otherwise(F.lead("at_first").over(by_page)) if lookahead else F.col("at_last")
-    emitted = packed.withColumn("carried", carried).withColumn("final", F.coalesce(tx.last_article(F.col("text"), spellings=spellings, name=name), "carried"))
-    parts = emitted.select("doc_id", "page_number", "groups", "final", F.posexplode(split_long(F.col("text"), max_chars, overlap)).alias("part", "text"))
-    order = Window.partitionBy("doc_id").orderBy("page_number", "groups", "part")
-    return parts.withColumn("ordinal", F.row_number().over(order)).select(
+    header = lambda x: tx.last_article(x, spellings=spellings, name=name)
+    none = F.lit(None).cast("struct<article:string,title:string>")
+    last = lambda xs: F.try_element_at(F.filter(xs, lambda x: x.isNotNull()), F.lit(-1))
+    cleaned = pages.select("doc_id", "page_number", tx.clean_text(F.coalesce("text", F.lit(""))).alias("text")).where("text <> ''")
+    paras = cleaned.select("doc_id", "page_number", tx.paragraphs(F.col("text")).alias("paras"))
+    found = paras.withColumn("found", F.transform("paras", header)).withColumn("starts", pack_starts(F.transform("paras", F.length), max_chars))
+
+    def group(x: Column) -> Column:
+        end = x["first"] + x["size"]
+        seen = F.when(end < F.size("paras"), end + 1).otherwise(end) if lookahead else end
+        return F.struct(F.array_join(F.slice("paras", x["first"] + 1, x["size"]), "\n").alias("text"), F.coalesce(last(F.slice("found", 1, seen)), none).alias("running"))
+
+    groups = found.select("doc_id", "page_number", F.coalesce(last(F.col("found")), none).alias("last"), F.transform(spans(F.col("starts"), F.size("paras")), group).alias("groups"))
+    headed = groups.withColumn("groups", F.transform("groups", lambda g: F.struct(F.coalesce(header(g["text"]), g["running"]).alias("own"), split_long(g["text"], max_chars, overlap).alias("texts"))))
+    part = lambda g: F.transform(g["texts"], lambda p: F.struct(p.alias("text"), g["own"].alias("own")))
+    made = shared.write_table(headed.select("doc_id", "page_number", "last", F.flatten(F.transform("groups", part)).alias("parts")), "chunks")
+    before = Window.partitionBy("doc_id").orderBy("page_number").rowsBetween(Window.unboundedPreceding, -1)
+    slim = made.select("doc_id", "page_number", "last", F.size("parts").alias("n"))
+    ahead = slim.select("doc_id", "page_number", F.last("last", ignorenulls=True).over(before).alias("carried"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    rows = made.drop("last").join(ahead, ["doc_id", "page_number"]).select("doc_id", "page_number", "carried", "base", F.posexplode("parts").alias("at", "part"))
+    final = F.coalesce("part.own", "carried")
+    return rows.withColumn("ordinal", (F.col("base") + F.col("at") + 1).cast("int")).select(
         "doc_id",
         "ordinal",
         F.format_string("p%03d-c%04d", "page_number", "ordinal").alias("id"),
-        "text",
+        F.col("part.text").alias("text"),
         F.col("page_number").alias("page_start"),
         F.col("page_number").alias("page_end"),
-        F.col("final.article").alias("article"),
-        F.col("final.title").alias("title"),
+        final["article"].alias("article"),
+        final["title"].alias("title"),
     )
 
 

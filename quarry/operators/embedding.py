@@ -9,6 +9,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,27 +46,21 @@ class LocalHashEmbedder(Embedder):
     def embed(self, df: DataFrame, text: str = "text", out: str = "embedding") -> DataFrame:
         dims = self.dimensions
 
-        @F.pandas_udf("array<double>")
-        def hashed(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        @F.arrow_udf("array<double>")
+        def hashed(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
             known: dict[str, int] = {}
             for column in columns:
-                rows = []
-                for tokens in column:
-                    vector = np.zeros(dims)
-                    if tokens is not None and len(tokens):
-                        if len(known) > CACHE_TOKENS:
-                            known.clear()
-                        for t in tokens:
-                            if t not in known:
-                                known[t] = _bucket(t)
-                        values = [known[t] for t in tokens]
-                        where = np.array([v % dims for v in values])
-                        sign = np.array([-1.0 if v & 1 else 1.0 for v in values])
-                        vector = np.bincount(where, sign, dims)
-                        norm = np.sqrt(vector @ vector)
-                        vector = vector / norm if norm else vector
-                    rows.append(vector)
-                yield pd.Series(rows)
+                coded = column.flatten().dictionary_encode()
+                if len(known) > CACHE_TOKENS:
+                    known.clear()
+                value = np.array([known.get(t) if t in known else known.setdefault(t, _bucket(t)) for t in coded.dictionary.to_pylist()], np.uint64)
+                bucket, sign = (value % np.uint64(dims)).astype(np.int64), np.where(value & np.uint64(1), -1.0, 1.0)
+                size = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+                token = coded.indices.to_numpy(zero_copy_only=False)
+                made = np.bincount(np.repeat(np.arange(len(column)), size) * dims + bucket[token], sign[token], len(column) * dims).astype(np.float64).reshape(-1, dims)
+                length = np.sqrt((made * made).sum(1, keepdims=True))
+                made = np.divide(made, length, out=made, where=length > 0)
+                yield pa.ListArray.from_arrays(pa.array(np.arange(len(column) + 1) * dims, pa.int32()), pa.array(made.ravel()))
 
         return df.withColumn(out, hashed(tx.tokenize(F.col(text))))
 
