@@ -44,8 +44,8 @@ def build_parser() -> argparse.ArgumentParser:
 
 
 def ocr_summary(pages) -> list[str]:
-    total = tables.page_quality(pages).first()
-    lines = [f"Pages: {total['pages']} | characters: {total['chars']}"]
+    total = tables.page_quality(pages).withColumn("line", tables.quality_line()).first()
+    lines = [total["line"]]
     if total["low_pages"]:
         shown = ", ".join(map(str, tables.low_pages(pages, 12)))
         lines.append(f"Warning: little text on pages {shown}{'...' if total['low_pages'] > 12 else ''}")

@@ -23,30 +23,63 @@ ARTICLE_NAME = "Điều "
 REFUSALS = ("khong tim thay can cu", "khong du can cu", "khong co thong tin", "ngoai pham vi")
 
 
+HANGUL, LEADS, VOWELS, TAILS = 0xAC00, range(0x1100, 0x1113), range(0x1161, 0x1176), range(0x11A7, 0x11C3)
+
+
 @cache
-def _folding() -> tuple[str, str]:
+def _folding() -> tuple[str, str, dict[str, str]]:
     """Arguments of ``translate``: characters that decompose to one base letter, then all
-    nonspacing marks, which have no counterpart and are deleted."""
-    source, target, marks = [], [], []
-    for code in range(0x80, min(sys.maxunicode, 0xFFFF) + 1):
-        if 0xD800 <= code < 0xE000:
-            continue
+    nonspacing marks, which have no counterpart and are deleted; and what decomposes to several
+    letters, Hangul syllables left out."""
+    source, target, marks, several = [], [], [], {}
+    for code in (*range(0x80, 0xD800), *range(0xE000, sys.maxunicode + 1)):
         ch = chr(code)
+        if HANGUL <= code < HANGUL + 11172:
+            continue
         if unicodedata.category(ch) == "Mn":
             marks.append(ch)
             continue
         base = "".join(c for c in unicodedata.normalize("NFD", ch) if unicodedata.category(c) != "Mn")
-        if len(base) == 1 and base != ch:
+        if len(base) > 1:
+            several[ch] = base
+        elif base != ch:
             source.append(ch)
             target.append(base)
     source += ["đ", "Đ"]
     target += ["d", "D"]
-    return "".join(source + marks), "".join(target)
+    return "".join(source + marks), "".join(target), several
+
+
+def _letters(ch: Column) -> Column:
+    """What one character decomposes to, where that is several letters."""
+    several = _folding()[2]
+    listed = lambda codes: F.array(*(F.lit(chr(c)) for c in codes))
+    at = F.ascii(ch) - HANGUL  # the code point
+    tail = F.when(at % 28 == 0, "").otherwise(F.get(listed(TAILS), at % 28))
+    syllable = F.concat(F.get(listed(LEADS), F.floor(at / 588).cast("int")), F.get(listed(VOWELS), F.floor(at % 588 / 28).cast("int")), tail)
+    table = F.create_map(*(F.lit(x) for pair in several.items() for x in pair))
+    return F.when(at.between(0, 11171), syllable).otherwise(F.coalesce(F.try_element_at(table, ch), ch))
 
 
 def strip_accents(col: Column) -> Column:
-    """Canonical decomposition without nonspacing marks; đ and Đ become d and D."""
-    return F.translate(col, *_folding())
+    """Canonical decomposition without nonspacing marks; đ and Đ become d and D. Texts with characters that
+    decompose to several letters (Hangul, vowel signs of two parts and the like) are taken character by character."""
+    source, target, several = _folding()
+    spelled = F.array_join(F.transform(F.regexp_extract_all(col, F.lit("(?s)(.)"), F.lit(1)), _letters), "")
+    rare = F.regexp(col, F.lit(f"[{_ranges([*several, chr(HANGUL), chr(HANGUL + 11171)])}]"))
+    ascii_only = F.octet_length(col) == F.length(col)
+    return F.when(ascii_only, col).otherwise(F.translate(F.when(rare, spelled).otherwise(col), source, target))
+
+
+def _ranges(characters: list[str], gap: int = 0x400) -> str:
+    """Few ranges of a character class that hold them all, and others near them."""
+    out: list[list[int]] = []
+    for code in sorted(map(ord, characters)):
+        if out and (code - out[-1][1] < gap or HANGUL <= out[-1][1] and code < HANGUL + 11172):
+            out[-1][1] = code
+        else:
+            out.append([code, code])
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in out)
 
 
 def normalize(col: Column) -> Column:
@@ -69,10 +102,11 @@ def strip(col: Column) -> Column:
 def clean_text(col: Column) -> Column:
     """Line ends to newlines, runs of blanks and tabs to one blank, no blank lines, no white
     space at line starts or at either end."""
-    out = F.regexp_replace(F.replace(col, F.lit("\f"), F.lit("\n")), r"\r\n?", "\n")
-    out = F.regexp_replace(out, r" *\t[ \t]*| {2,}", " ")
-    out = F.regexp_replace(out, rf"(?mdU)^{WS}+", "")
-    return strip(out)
+    has = lambda x, part: F.contains(x, F.lit(part))  # noqa: E731  a search of bytes, so that most texts meet no pattern
+    out = F.replace(col, F.lit("\f"), F.lit("\n"))
+    out = F.when(has(out, "\r"), F.regexp_replace(out, r"\r\n?", "\n")).otherwise(out)
+    out = F.when(has(out, "\t") | has(out, "  "), F.regexp_replace(out, r" *\t[ \t]*| {2,}", " ")).otherwise(out)
+    return strip(F.regexp_replace(out, rf"(?U)\n{WS}+", "\n"))
 
 
 def short_text(col: Column, limit: int = 220) -> Column:

@@ -24,16 +24,13 @@ class Engine:
     def ingest(self, pages: DataFrame, embedder: Embedder, provider: str = "", chunk_size: int = 1800, overlap: int = 250, source: str = "", path: str | None = None) -> dict:
         """Chunk and embed ``pages(doc_id, page_number, text)``, and write the index; its
         metadata comes back."""
-        chunks = chunking.build_chunks(pages, chunk_size, overlap)
+        chunks = chunking.require_chunks(chunking.build_chunks(pages, chunk_size, overlap))
         meta = {
             "pdf": source, "ocr_lang": self.settings.ocr_lang, "ocr_dpi": self.settings.ocr_dpi, "embedding_provider": provider,
             "embedding_model": embedder.model_name, "chunk_size": chunk_size, "overlap": overlap,
         }
         path = path or self.settings.index_path
-        made = tables.save_index(embedder.embed(chunks).select([f.name for f in tables.schemas.CHUNKS.fields]), path, meta)
-        if not made["chunk_count"]:
-            raise RuntimeError("no chunk could be made from the page texts")
-        return made
+        return tables.save_index(embedder.embed(chunks).select([f.name for f in tables.schemas.CHUNKS.fields]), path, meta)
 
     def open_index(self, local: bool = False, path: str | None = None) -> tuple[DataFrame, Embedder]:
         """The chunks (with one order over all documents) and the embedder that made them."""

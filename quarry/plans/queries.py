@@ -240,6 +240,62 @@ def usable_text_layers(spark, d):
     return pdf.usable_documents(_page_rows(spark, d), 2500)
 
 
+def image_numbers(spark, d):
+    n = F.col("page_id").cast("string")
+    name = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("scan-a-"), n)).when(F.col("page_id") % 3 == 1, F.concat(F.lit("dir-7/page-"), n, F.lit(".png"))).otherwise(F.concat(n, F.lit("-x.png")))
+    return _read(spark, d, "pages").select("page_id", name.alias("name"), pdf.image_order(name).alias("number"))
+
+
+def page_cache(spark, d):
+    path = shared.new_path(spark, "pages")
+    page = _page_rows(spark, d).select("doc_id", F.col("page_number").cast("int"), F.lit("").alias("text"), F.col("char_count").cast("int"), F.lit("fixture").alias("source"), "warnings")
+    tables.save_pages(page, path, d)
+    return tables.load_pages(spark, path).select("doc_id", "page_number", "char_count", "source", F.array_join("warnings", ",").alias("warnings"))
+
+
+def quality_lines(spark, d):
+    return page_quality(spark, d).select("doc_id", tables.quality_line().alias("line"))
+
+
+def report_metrics(spark, d):
+    s = evaluation.summary(_cases(spark, d), K, "toxic")
+    return s.select("toxic", report.metric(F.col(f"recall_at_{K}")).alias("recall"), report.metric(F.col("mrr")).alias("mrr"), report.metric(F.lit(None).cast("double")).alias("none"))
+
+
+def wire_rows(spark, d):
+    listed = evaluation.results_by_query(_results(spark, d).withColumn("id", F.lit("c")).withColumn("title", F.lit(None).cast("string")))
+    x = listed.select("query_id", F.explode(report.wire_results(F.col("results"))).alias("x"))
+    return x.select("query_id", "x.rank", "x.score", "x.semantic_score", "x.keyword_score", "x.chunk.page_start", "x.chunk.article", "x.chunk.title")
+
+
+def prompts(spark, d):
+    asked = _questions(spark, d).select("query_id", "question").join(context_blocks(spark, d), "query_id", "left")
+    return asked.select("query_id", generation.prompt(F.col("question"), F.col("context")).alias("prompt"))
+
+
+def _odd_client():
+    def ask(system, user):
+        if len(user) % 2:
+            raise ValueError("odd")
+        return f" {len(user)} "
+
+    return ask
+
+
+def answer_errors(spark, d):
+    asked = _read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"), F.lit(None).cast("string").alias("context"))
+    return generation.answers(asked, _odd_client).select("query_id", "answer", "answer_error")
+
+
+def default_topk(spark, d):
+    asked = _questions(spark, d).where(F.col("query_embedding").isNotNull()).select("query_id", "query_embedding")
+    return search.best(_read(spark, d, "embeddings"), asked, search.effective_top_k(0, 3), "vec_id", "semantic", DIGITS).select("query_id", "rank", "vec_id")
+
+
+def first_cases(spark, d):
+    return search.first_rows(_read(spark, d, "labels"), 10, "doc_id").select("doc_id", "quality", "toxic")
+
+
 # ------------------------------------------------------------------ SQL
 
 _NORM = "lower(replace(replace(strip_accents({0}), 'đ', 'd'), 'Đ', 'D'))"
@@ -321,6 +377,18 @@ scored as (select *, s * 0.7::double + k * (1.0::double - 0.7::double) as score
 hybrid as (select *, row_number() over (partition by query_id order by round(score, {DIGITS}) desc, doc_id) as rank from scored qualify rank <= {K})"""
 
 
+_CONTEXT = f"""string_agg('[C' || rank || '] Trang ' || doc_id || ', ' || source || chr(10) || printf('score=%.3f semantic=%.3f keyword=%.3f', score, s, k) || chr(10) || {_STRIP.format('substr(text, 1, 200)')}, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by rank)"""
+
+
+def _prompt(question: str, context: str) -> str:
+    tail = "Requirements:\n- answer briefly and in the question's language\n- cite page and article for each claim\n- if the context does not suffice, say so".replace("'", "''")
+    return f"""'Question:' || chr(10) || {question} || chr(10) || chr(10) || 'Context passages:' || chr(10) || {context} || chr(10) || chr(10) || '{tail}'"""
+
+
+def _short(x: str, n: int) -> str:
+    return f"case when length({x}) <= {n} then {x} else regexp_replace(substr({x}, 1, {n - 3}), '\\s+$', '') || '...' end"
+
+
 def oracle_sql() -> dict[str, str]:
     norm_answer = _NORM.format("answer")
     answers = f"""(select conv_id, turn, conv_id % 2 = 0 as answerable, text || case turn % 3 when 0 then ' [Trang 3]' when 1 then ' Không có thông tin.' else '' end as answer from conversations where role = 'assistant')"""
@@ -360,6 +428,19 @@ def oracle_sql() -> dict[str, str]:
         "eval_summary": f"select {summary}",
         "eval_breakdown": f"select toxic, {summary} group by rollup (toxic)",
         "page_quality": f"select source as doc_id, count(*) as pages, cast(sum(n_chars) as bigint) as chars, {low} as low_pages from documents group by 1",
+        "case_lines": f"""with a as (select *, {flat.replace('text', 'answer')} as f, (case when not answerable then ({refusal}) end) as ref, regexp_matches(answer, '(?i)\\[(?:trang|page)\\s+\\d+') as cit from {answers})
+            select conv_id, turn, '| C' || conv_id || ' | - | ' || case when answer <> '' then {hit} || ' of 4' else 'skipped' end || ' | ' || case when cit then 'yes' else 'no' end || ' | ' || coalesce(case when ref then 'yes' when not ref then 'no' end, '-') || ' | chat | ' || replace({_short('f', 120)}, '|', '\\|') || ' |' as line,
+            '  evidence -, answer ' || case when answer <> '' then 'made' else 'skipped' end || ': ' || {_short('f', 100)} as console from a""",
+        "offline_answers": f"with {_HYBRID} select item_id as query_id, coalesce({_STRIP.format("split_part(" + _STRIP.format('substr(d.text, 1, 200)') + ", chr(10), 1) || ' [Trang ' || doc_id || ', ' || source || ']'")}, '') as answer, cast(null as varchar) as answer_error from benchmark b left join hybrid h on h.query_id = b.item_id and h.rank = 1 left join documents d using (doc_id)",
+        "prompts": f"with {_HYBRID}, ctx as (select query_id, {_CONTEXT} as context from hybrid join documents using (doc_id) group by 1) select item_id as query_id, {_prompt('text', "coalesce(context, '')")} as prompt from benchmark left join ctx on query_id = item_id",
+        "answer_errors": f"select item_id as query_id, case when n % 2 = 1 then '' else cast(n as varchar) end as answer, case when n % 2 = 1 then 'answer_generation error: ValueError: odd' end as answer_error from (select item_id, length({_prompt('text', "''")}) as n from benchmark)",
+        "image_numbers": "select page_id, case page_id % 3 when 0 then 'scan-a-' || page_id when 1 then 'dir-7/page-' || page_id || '.png' else page_id || '-x.png' end as name, cast(case when page_id % 3 = 2 then 0 else page_id end as int) as number from pages",
+        "page_cache": "select source as doc_id, cast(doc_id as int) as page_number, cast(n_chars as int) as char_count, 'fixture' as source, case when n_chars < 80 then 'low_ocr_text' else '' end as warnings from documents",
+        "quality_lines": "select source as doc_id, 'Pages: ' || count(*) || ' | characters: ' || sum(n_chars) as line from documents group by 1",
+        "report_metrics": f"select toxic, case when recall_at_{K} is null then 'n/a' else printf('%.3f', recall_at_{K}) end as recall, case when mrr is null then 'n/a' else printf('%.3f', mrr) end as mrr, 'n/a' as none from (select toxic, {summary} group by toxic)",
+        "wire_rows": f"with {_HYBRID} select query_id, cast(rank as int) as rank, round(score, 6) as score, round(s, 6) as semantic_score, round(k, 6) as keyword_score, cast(doc_id as int) as page_start, source as article, cast(null as varchar) as title from hybrid join documents using (doc_id)",
+        "default_topk": f"with q as (select item_id as query_id, cast(embedding as double[]) as qv from benchmark join embeddings on vec_id = item_id), e as (select vec_id, cast(embedding as double[]) as v from embeddings), g as (select query_id, vec_id, {_COS.format(a='v', b='qv')} as s from q cross join e) select query_id, cast(rank as int) as rank, vec_id from (select *, row_number() over (partition by query_id order by round(s, {DIGITS}) desc, vec_id) as rank from g) where rank <= 3",
+        "first_cases": "select doc_id, quality, toxic from labels order by doc_id limit 10",
         "usable_text_layers": "select source as doc_id from documents group by 1 having avg(n_chars) >= 2500 and count(*) filter (n_chars >= 100) >= greatest(3, count(*) // 2)",
     }
 
@@ -370,5 +451,6 @@ QUERIES = {
         hybrid_topk, norm_text, tokenize, clean_text, short_text, paragraphs, pack_chunks, split_windows, article_carry, chunks, index_roundtrip,
         term_freq, doc_freq, doc_len, corpus_stats, bm25_topk, cosine_topk, minmax_scores, hash_embed, hash_embed_md5, citations, context_blocks,
         offline_answers, evidence_rank, rule_checks, case_lines, eval_summary, eval_breakdown, page_quality, usable_text_layers,
+        image_numbers, page_cache, quality_lines, report_metrics, wire_rows, prompts, answer_errors, default_topk, first_cases,
     )
 }

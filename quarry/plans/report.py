@@ -21,26 +21,33 @@ def format_metric(value: object) -> str:
     return f"{value:.3f}" if isinstance(value, float) else str(value)
 
 
-def note() -> Column:
-    """What the answer column says: the error, or the answer."""
+def metric(value: Column) -> Column:
+    """``format_metric`` of a number with decimals, as an expression."""
+    return F.when(value.isNull(), "n/a").otherwise(F.format_string("%.3f", value))
+
+
+def remark() -> Column:
+    """The error of a case, else its answer."""
     return F.coalesce("answer_error", "answer", F.lit(""))
 
 
+def _place() -> Column:
+    return F.coalesce(F.concat(F.lit("#"), F.col("first_evidence_rank").cast("string")), F.lit("-"))
+
+
+def _state(answered: Column) -> Column:
+    return F.when(F.col("answer_error").isNotNull(), "failed").when(F.coalesce("answer", F.lit("")) != "", answered).otherwise("skipped")
+
+
 def case_line(limit: int = 100) -> Column:
     """A console line for a case."""
-    retrieval = F.coalesce(F.concat(F.lit("rank="), F.col("first_evidence_rank").cast("string")), F.lit("miss"))
-    status = F.when(F.col("answer_error").isNotNull(), "error").when(F.coalesce("answer", F.lit("")) != "", "generated").otherwise("skipped")
-    return F.concat(F.lit("  retrieval="), retrieval, F.lit(" answer="), status, F.lit(" "), tx.short_text(note(), limit))
+    return F.concat(F.lit("  evidence "), _place(), F.lit(", answer "), _state(F.lit("made")), F.lit(": "), tx.short_text(remark(), limit))
 
 
 def table_line() -> Column:
-    """A row of the Markdown result table."""
-    retrieval = F.coalesce(F.concat(F.lit("rank "), F.col("first_evidence_rank").cast("string")), F.lit("miss"))
-    cited = F.when(F.col("citation_present"), "citation").otherwise("no citation")
-    refusal = F.coalesce(F.concat(F.lit(", refusal="), F.initcap(F.col("unanswerable_refusal").cast("string"))), F.lit(""))
-    made = F.concat(F.format_string("keywords %d/%d, ", "keyword_hit_count", "keyword_total"), cited, refusal)
-    checks = F.when(F.col("answer_error").isNotNull(), "error").when(F.coalesce("answer", F.lit("")) != "", made).otherwise("not generated")
-    cells = ["id", "category", retrieval, checks, tx.escape_cell(note())]
+    """A row of the Markdown table of cases: id, evidence, keywords, citation, refusal, category, remark."""
+    yes_no = lambda c: F.coalesce(F.when(F.col(c), "yes").when(~F.col(c), "no"), F.lit("-"))
+    cells = ["id", _place(), _state(F.format_string("%d of %d", "keyword_hit_count", "keyword_total")), yes_no("citation_present"), yes_no("unanswerable_refusal"), "category", tx.escape_cell(remark())]
     return F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
 
 
@@ -57,27 +64,19 @@ def report_rows(rows: DataFrame) -> list[dict]:
     return [r.asDict(recursive=True) for r in shaped.orderBy("ordinal").collect()]
 
 
+HEAD = ("Case", "Evidence", "Keywords", "Cites", "Refuses", "Category", "Remark")
+
+
 def markdown(rows: list[dict], summary: dict, top_k: int) -> str:
-    out = [
-        "# Retrieval evaluation", "", "## Summary", "",
-        f"- Cases: {summary['case_count']}",
-        f"- Answerable cases: {summary['answerable_case_count']}",
-        f"- Recall@{top_k}: {format_metric(summary[f'recall_at_{top_k}'])}",
-        f"- MRR: {format_metric(summary['mrr'])}",
-        f"- Unanswerable cases answered without refusal: {summary['unanswerable_non_refusal_count']}",
-        "", "## Results", "", "| ID | Category | Retrieval | Answer checks | Notes |", "| --- | --- | --- | --- | --- |",
-        *(r["line"] for r in rows), "", "## Cases", "",
-    ]
+    """The measures as one table, the cases as another, then each case with what was found for it."""
+    measures = {f"Recall@{top_k}": summary[f"recall_at_{top_k}"], "Mean reciprocal rank": summary["mrr"], "Cases": summary["case_count"], "of these answerable": summary["answerable_case_count"], "Answers where a refusal was due": summary["unanswerable_non_refusal_count"]}
+    out = ["# Evaluation of retrieval and answers", "", "| Measure | Value |", "|-|-|", *(f"| {name} | {format_metric(value)} |" for name, value in measures.items()), ""]
+    out += [f"| {' | '.join(HEAD)} |", "|" + "-|" * len(HEAD), *(r["line"] for r in rows)]
     for r in rows:
-        m = r["metrics"]
-        out += [f"### {r['case']['id']}: {r['case']['question']}", "", f"- Answerable: {r['case']['answerable']}", f"- First evidence rank: {format_metric(m['first_evidence_rank'])}", f"- Keyword hit ratio: {format_metric(m['keyword_hit_ratio'])}", "", "Top contexts:", ""]
-        out += [f"- C{x['rank']} score={x['score']} page {x['chunk']['page_start']}, {x['chunk']['article'] or 'n/a'}" for x in r["retrieval"]]
-        if r["answer"]:
-            out += ["", "Answer:", "", r["answer"].strip()]
-        if r["answer_error"]:
-            out += ["", "Generation error:", "", r["answer_error"]]
-        out.append("")
-    return "\n".join(out).strip() + "\n"
+        out += ["", f"## {r['case']['id']}", "", f"> {r['case']['question']}", ""]
+        out += [f"{x['rank']}. page {x['chunk']['page_start']}, {x['chunk']['article'] or 'no article'} ({x['score']})" for x in r["retrieval"]] or ["Nothing was found."]
+        out += ["", r["answer_error"] or r["answer"].strip() or "No answer was made."]
+    return "\n".join(out) + "\n"
 
 
 def save_reports(folder: str | Path, rows: list[dict], summary: dict, top_k: int, prefix: str = "eval") -> tuple[Path, Path]:

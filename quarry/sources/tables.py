@@ -6,7 +6,7 @@ import json
 from datetime import UTC, datetime
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -122,6 +122,11 @@ def page_quality(pages: DataFrame, *by: str) -> DataFrame:
     return pages.groupBy(*by).agg(F.count("*").alias("pages"), F.coalesce(F.sum("char_count"), F.lit(0)).alias("chars"), F.count_if(low).alias("low_pages"))
 
 
+def quality_line() -> Column:
+    """A line about the ``pages`` and ``chars`` of ``page_quality``."""
+    return F.concat(F.lit("Pages: "), F.col("pages").cast("string"), F.lit(" | characters: "), F.col("chars").cast("string"))
+
+
 def low_pages(pages: DataFrame, n: int) -> list[int]:
     low = F.array_contains("warnings", "low_ocr_text") | (F.col("char_count") < 80)
     return [r[0] for r in pages.where(low).orderBy("doc_id", "page_number").select("page_number").limit(n).collect()]

@@ -61,7 +61,7 @@ def test_ingest_ask_and_evaluate(spark, engine, pages, tmp_path):
     data = json.loads(as_json.read_text(encoding="utf-8"))
     assert [c["case"]["id"] for c in data["cases"]] == ["A1", "A2", "A3"] and "embedding" not in str(data)
     text = as_md.read_text(encoding="utf-8")
-    assert "- Recall@2: 1.000" in text and "| A1 | direct | rank 1 |" in text
+    assert "| Recall@2 | 1.000 |" in text and "| A1 | #1 |" in text and "## A3" in text
 
 
 def test_failing_generation_stays_in_its_row(spark):
@@ -107,7 +107,7 @@ def test_cli_round_trip(spark, pages, tmp_path, monkeypatch, capsys):
     assert "[C1] Trang 2, Điều 2" in capsys.readouterr().out
     assert cli.main(["eval", "--cases", str(tmp_path / "cases.yaml"), "--skip-generation", "--limit", "2"], spark) == 0
     out = capsys.readouterr().out
-    assert "recall_at_5: 1.0" in out and "answer=skipped" in out and len(list(Path(tmp_path / "r").iterdir())) == 2
+    assert "recall_at_5: 1.0" in out and "answer skipped" in out and len(list(Path(tmp_path / "r").iterdir())) == 2
     assert cli.main(["ingest", "--pages", str(tmp_path / "pages"), "--local-embeddings", "--overlap", "1800"], spark) == 1
 
 
@@ -145,6 +145,44 @@ def test_pdf_fallback_and_cache(spark, tmp_path):
     assert {r["source"] for r in load(force_ocr=True).collect()} == {"tesseract_ocr"}
 
 
+def test_ocr_renders_in_the_tasks_folder(monkeypatch):
+    made = []
+
+    def run(command):
+        if command[0] == "pdftoppm":
+            assert Path(command[4]).read_bytes() == b"pdf" and command[3] == "200"
+            for n in (10, 9):
+                Path(f"{command[5]}-{n}.png").touch()
+        else:
+            made.append(command)
+            return Path(command[1]).name
+        return ""
+
+    monkeypatch.setattr(pdf, "run_command", run)
+    monkeypatch.setattr(pdf, "command_exists", lambda name: True)
+    assert pdf.ocr_texts(200, "eng")(b"pdf") == ["p-9.png", "p-10.png"] and made[0][4] == "eng"
+    monkeypatch.setattr(pdf, "run_command", lambda command: "")
+    with pytest.raises(RuntimeError):
+        pdf.ocr_texts(200, "eng")(b"pdf")
+    monkeypatch.setattr(pdf, "command_exists", lambda name: False)
+    with pytest.raises(RuntimeError):
+        pdf.ocr_image("x.png", "eng")
+
+
+def test_an_empty_ingest_leaves_the_index(spark, engine, pages):
+    from pyspark.sql import functions as F
+
+    engine.ingest(pages, LocalHashEmbedder(), "local", source="law.pdf")
+    with pytest.raises(RuntimeError):
+        engine.ingest(pages.withColumn("text", F.lit(" \n")), LocalHashEmbedder(), "local")
+    assert engine.open_index()[0].count() == 2
+
+
+def test_the_cases_that_come_along(spark):
+    path = Path(__file__).parents[1] / "eval/test_cases.yaml"
+    assert tables.load_cases(spark, path).where("not answerable").count() == 2
+
+
 def test_image_numbers_and_commands():
     assert [pdf.image_number(x) for x in ("a/page-10.png", "page-2.png", "page-x.png", "page.png")] == [10, 2, 0, 0]
     assert pdf.command_exists("sh") and not pdf.command_exists("no-such-command-here")

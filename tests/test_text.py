@@ -1,3 +1,4 @@
+import re
 import unicodedata
 
 import pytest
@@ -75,3 +76,18 @@ def test_citation_string(spark):
 def test_keyword_hits_count_repeats_and_empty(spark):
     row = spark.range(1).select(tx.keyword_hits(F.lit("48 giờ"), F.array(F.lit("8 GIỜ"), F.lit("8 gio"), F.lit(""), F.lit("ngày")))).first()
     assert row[0] == ["8 gio", "8 gio", ""]
+
+
+def test_folding_is_canonical_decomposition(apply):
+    import unicodedata
+
+    want = lambda t: "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn").replace("đ", "d").replace("Đ", "D")
+    texts = ["한국어 각 가 힣", "\u09cb\u0bca x", "\U0001d15e note", "\U0002f800", "Điều é Å ﬁ", "\U0001f600 가", "\u0344a", "plain"]
+    assert apply(tx.strip_accents, *texts) == [want(t) for t in texts]
+    assert apply(tx.tokenize, "한국 ab") == [[want("한국"), "ab"]]
+
+
+def test_cleaning_and_stripping_know_all_white_space(apply):
+    odd = [chr(c) for c in range(0x3001) if re.match(r"[\s\x1c-\x1f]", chr(c))]
+    assert sorted(odd) == sorted(tx.SPACES)
+    assert apply(tx.clean_text, "".join(odd) + "a \t b\r\n\xa0 c\fd  e" + "".join(odd), None) == ["a b\nc\nd e", None]
