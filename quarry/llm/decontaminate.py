@@ -13,12 +13,14 @@ ruled out by one lookup per shingle, before any fingerprint is made. Sums for ne
 sums. At similarity 0.8 the expected distance is 9.7 bits with a deviation of 2.9, so the
 radius of 19 loses about one aligned window in 3,000.
 
-Items are the stated query set: they are taken in blocks of about ``BLOCK_ITEMS / 2``, and
-each block's index, of some 40 KB an item, is sent to all tasks for one pass over the documents.
+Items are the stated query set: they are taken in blocks of about ``BLOCK_ITEMS / 2``, each with an
+index of some 40 KB an item, one block after another: a block's matches are written and its broadcast is freed
+before the next is made. Where there are several, the corpus is read once: a bitmap of all items' shingles
+(``BITMAP_BITS``) lets through the documents that may hold one, and the blocks read those.
 
 Defined results: null and empty texts, and items without words, match nothing; an item of
-fewer than five words is one shingle. Equal items are all reported. Rows with equal doc_id
-are reported as one.
+fewer than five words is one shingle. Equal items are all reported, rows that repeat an item once. Rows with equal doc_id
+are reported as one. Without items, or documents, there is no row.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import _scratch
 from . import _text as tx
 from .near_dedup import multiset_similarity
 
@@ -40,6 +43,7 @@ RADIUS = 19
 BLOCKS = 4
 BLOCK_ITEMS = 1024
 CHUNK = 1 << 15
+BITMAP_BITS = 1 << 28
 FOUND = "doc_id long, item_id long, start_word int, n_words int, similarity double, hamming int"
 
 
@@ -89,7 +93,7 @@ class Index:
                 part = (self.prints[own] >> tx.U64(16 * k)).astype(np.uint16)
                 near = (part[:, None] ^ ball[None, :]).ravel()
                 order = np.argsort(near, kind="stable")
-                self.tables[int(n), k] = (near[order], np.repeat(own, len(ball))[order].astype(np.int16))
+                self.tables[int(n), k] = (near[order], np.repeat(own, len(ball))[order].astype(np.int32))
 
     def near(self, prints: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Window and item numbers within the radius."""
@@ -168,7 +172,7 @@ def _union(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
 
 
 def _index(items: list) -> list[Index]:
-    h, bounds = tx.words(pa.array([r["text"] for r in items], pa.string()), tx.NOT_ALNUM, fold=True)
+    h, bounds = _words(items)
     by_width: dict[int, list] = {}
     for i, r in enumerate(items):
         n = int(bounds[i + 1] - bounds[i])
@@ -177,14 +181,46 @@ def _index(items: list) -> list[Index]:
     return [Index(x, width) for width, x in sorted(by_width.items())]
 
 
+def _words(items: list) -> tuple[np.ndarray, np.ndarray]:
+    return tx.words(pa.array([r["text"] for r in items], pa.string()), tx.NOT_ALNUM, fold=True)
+
+
+def _may_match(slim: DataFrame, blocks: Iterator[list]) -> DataFrame:
+    """The documents that share a shingle with an item, and few others, written."""
+    bits, widths = np.zeros(BITMAP_BITS // 64, tx.U64), set()
+    shift = tx.U64(64 - BITMAP_BITS.bit_length() + 1)
+    for items in blocks:
+        h, bounds = _words(items)
+        size = np.diff(bounds)
+        widths |= set(np.unique(np.minimum(size[size > 0], SHINGLE)).tolist())
+        at = tx.shingles(h, bounds, SHINGLE)[0] >> shift
+        np.bitwise_or.at(bits, (at >> tx.U64(6)).astype(np.int64), tx.U64(1) << (at & tx.U64(63)))
+    shared = slim.sparkSession.sparkContext.broadcast(bits)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in tx.slices(batches):
+            h, bounds = tx.words(tx.column(b, "text"), tx.NOT_ALNUM, fold=True)
+            rows = [np.zeros(0, np.int64)]
+            for width in widths:
+                grams, upto = tx.shingles(h, bounds, width)
+                at = grams >> shift
+                hit = np.flatnonzero(shared.value[(at >> tx.U64(6)).astype(np.int64)] >> (at & tx.U64(63)) & tx.U64(1))
+                rows.append(np.searchsorted(upto, hit, "right") - 1)
+            yield b.take(pa.array(np.unique(np.concatenate(rows))))
+
+    return _scratch.write_table(slim.mapInArrow(pick, "doc_id long, text string"), "may-match")
+
+
 def matches(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, item_id`` and the most similar window of each such pair: ``start_word,
     n_words, similarity, hamming``. The rows are the contaminated documents' only."""
     spark = docs.sparkSession
-    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
+    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
     n_blocks = max(1, -(-items.count() // (BLOCK_ITEMS // 2)))
     keyed = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)))
     slim = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    if n_blocks > 1:
+        slim = _may_match(slim, (keyed.where(F.col("block") == k).collect() for k in range(n_blocks)))
 
     def one_block(k: int) -> DataFrame:
         index = spark.sparkContext.broadcast(_index(keyed.where(F.col("block") == k).collect()))  # about BLOCK_ITEMS / 2 rows
@@ -199,7 +235,12 @@ def matches(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) ->
                             names=["doc_id", "item_id", "start_word", "n_words", "similarity", "hamming"],
                         )
 
-        return slim.mapInArrow(search, FOUND)
+        matched = slim.mapInArrow(search, FOUND)
+        if n_blocks == 1:
+            return matched
+        matched = _scratch.write_table(matched, "matches")
+        index.destroy()
+        return matched
 
     found = reduce(DataFrame.unionByName, (one_block(k) for k in range(n_blocks)))
     best = F.max_by(F.struct("start_word", "n_words", "similarity", "hamming"), F.struct("similarity", -F.col("start_word"), -F.col("hamming")))

@@ -181,7 +181,9 @@ def test_decontamination_finds_exact_and_edited_passages_only(spark, docs):
     assert decontaminate.matches(docs("a").where("false"), items(spark, *bench)).count() == 0
 
 
-def test_decontamination_equals_brute_force_over_windows(spark, docs):
+@pytest.mark.parametrize("block_items", [1024, 4])
+def test_decontamination_equals_brute_force_over_windows(spark, docs, monkeypatch, block_items):
+    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", block_items)
     rng = random.Random(9)
     bench = [" ".join(words(rng, rng.randrange(12, 40), 60)) for _ in range(6)]
     texts = []
@@ -198,8 +200,16 @@ def test_decontamination_equals_brute_force_over_windows(spark, docs):
             best = max(similarity(" ".join(w[s : s + n]), b) for s in range(max(1, len(w) - n + 1)))
             if best >= 0.8:
                 want[i, j] = pytest.approx(best)
-    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontaminate.matches(docs(*texts), items(spark, *bench)).collect()}
-    assert got == want
+    texts.append("word " * 200_000)
+    repeated = items(spark, *bench).union(items(spark, *bench))
+    got = [(r["doc_id"], r["item_id"], r["similarity"]) for r in decontaminate.matches(docs(*texts).withColumn("__id", F.lit(1)), repeated).collect()]
+    assert {(d, i): s for d, i, s in got} == want and len(got) == len(want)
+
+
+def test_an_index_of_many_equal_items_is_small_and_right(spark, docs):
+    same = spark.range(40_000).select((F.col("id") % 2).alias("item_id"), F.lit("one two three four five six").alias("text"))
+    got = sorted((r["doc_id"], r["item_id"]) for r in decontaminate.matches(docs("x one two three four five six y", "none"), same).collect())
+    assert got == [(0, 0), (0, 1)]
 
 
 def test_index_finds_every_fingerprint_within_the_radius():
