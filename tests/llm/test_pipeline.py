@@ -33,3 +33,21 @@ def test_line_dedup_takes_repeated_passages_of_short_lines(spark):
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.dedup_lines(spark, docs, DATA).collect()}
     # a text's own first window stays: of 300 equal lines, the later windows cover all but the first
     assert got == {0: (rows[0][1], len(rows[0][1])), 1: ("other\ntail", 10), 2: ("one", 3), 3: ("a\nb", 3)}
+
+
+def test_language_stage_keeps_an_unlabelled_corpus_and_fills_in_labels(spark):
+    rows = [(0, "the cat", None), (1, None, None), (2, "12 !", None), (3, "", None), (4, "the cat", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs, DATA).collect()) == [0, 4]
+
+
+def test_line_and_near_stages_carry_clashing_columns(spark, tmp_path):
+    passage = "\n".join(f"line {i} of the passage stands here" for i in range(12))
+    rows = [(0, passage), (1, passage.replace("line 5", "row 5")), (2, "a text of its own\nwith two lines"), (3, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), 1, 2, 3) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, n_lines int, n_removed int, __id int")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    cut = corpus_pipeline.dedup_lines(spark, docs, str(tmp_path))
+    assert cut.columns == docs.columns and {(r["n_lines"], r["n_removed"], r["__id"]) for r in cut.collect()} == {(1, 2, 3)}
+    left = corpus_pipeline.dedup_near(spark, cut, str(tmp_path))
+    # what line dedup leaves of the near copy is no document
+    assert left.columns == docs.columns and sorted(r["doc_id"] for r in left.collect()) == [0, 2, 3]
