@@ -12,8 +12,12 @@ A shard holds the documents of one key range, ascending. Layout, little-endian:
 
 A key is one tag byte (0: null identifier, 1: any other), the identifier as a big-endian
 64-bit number with its sign bit flipped, and a big-endian 32-bit ordinal that tells apart
-repeated identifiers. Key order is byte order. Lookup tests the filter, finds the block by
-binary search of the index, and reads that block alone.
+the rows of a repeated identifier in a shard. Key order is byte order. Lookup tests the filter,
+finds the block by binary search of the index, and reads that block alone.
+
+Shards are ranges of identifier, hash of the text and place among equal rows, so that a repeated
+identifier may go on in the next shard; there are as many as keep a shard near ``SHARD_TEXT``
+bytes of text.
 
 Each task writes its shard under a name of its own; the manifest names the files of the
 tasks that were committed, so a task that is run again harms nothing. Spark's shared folder
@@ -40,6 +44,8 @@ MAGIC = b"QRYSST01"
 FOOTER = struct.Struct("<QQQQIIBB6x8s")
 INDEX = struct.Struct("<13sQII")
 BLOCK_BYTES = 16 << 10
+SHARD_TEXT = 128 << 20
+EQUAL_WAYS = 4096  # ways to deal equal rows
 BITS_PER_KEY, HASHES = 10, 7
 MANIFEST = "shard int, path string, entries long, n_ids long"
 ENTRIES = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -182,14 +188,20 @@ class Reader:
         return found
 
 
+def shard_count(docs: DataFrame) -> int:
+    """Shards of about ``SHARD_TEXT`` bytes of text, and as many as the session's partitions at least."""
+    n_bytes = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // SHARD_TEXT))
+
+
 def write(docs: DataFrame, tokenizer_path: str, end_id: int, where: str, shards: int | None = None) -> DataFrame:
     """Tokenise ``docs`` and write shards below ``where`` (a URI that all executors
     share); the manifest, one row per shard, is written and read back.
 
     Defined results: a null or empty text has the end id alone; repeated identifiers are
-    kept, ordered by text; null identifiers sort first; an empty table makes no shard."""
+    kept, ordered by a hash of the text; null identifiers sort first; an empty table makes no shard."""
     spark = docs.sparkSession
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = shards or shard_count(docs)
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -215,7 +227,9 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, where: str, shards:
             yield pa.record_batch([pa.array([shard], pa.int32()), pa.array([uri]), pa.array([len(writer.ids)]), pa.array([writer.n_ids])], names=["shard", "path", "entries", "n_ids"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = slim.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    placed = slim.select("*", F.xxhash64("text").alias("h"), (F.monotonically_increasing_id() % EQUAL_WAYS).alias("way"))
+    order = F.col("doc_id").asc_nulls_first(), F.col("h"), F.col("way")
+    ordered = placed.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "text")
     return _scratch.write_table(ordered.mapInArrow(put, MANIFEST), "manifest")
 
 

@@ -97,6 +97,23 @@ def test_sstable_round_trip_and_lookup(spark, docs):
     assert sstable.read(empty).count() == 0
 
 
+def test_sstable_shards_by_bytes_and_one_identifier_over_many(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(sstable, "SHARD_TEXT", 100)
+    df = spark.range(0, 400, 1, 4).select(F.lit(7).alias("doc_id"), F.when(F.col("id") < 300, "same text").otherwise(F.concat(F.lit("own "), "id")).alias("text"))
+    assert sstable.shard_count(df) > 30
+    manifest = sstable.write(df, vocabulary("word_bpe_49k.json"), 2, _scratch.new_path(spark, "test-sst"))
+    assert manifest.count() > 5 and manifest.agg(F.max("entries")).first()[0] < 200
+    got = sstable.read(manifest).orderBy("start").collect()
+    assert len(got) == 400 and {r["doc_id"] for r in got} == {7}
+    assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(got, got[1:]))
+    tok = ChunkTokenizer(vocabulary("word_bpe_49k.json")).tok
+    same = [*tok.encode("same text", add_special_tokens=False).ids, 2]
+    found = sstable.lookup(manifest, 7)
+    assert len(found) == 400 and sum(x.tolist() == same for x in found) == 300
+
+
 def test_sstable_null_ids_sort_first(spark):
     df = spark.createDataFrame([(None, "a"), (-5, "b"), (7, "c")], "doc_id long, text string")
     manifest = sstable.write(df, vocabulary("word_bpe_49k.json"), 2, _scratch.new_path(spark, "test-sst"), shards=2)
