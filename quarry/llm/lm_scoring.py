@@ -13,13 +13,17 @@ on leave-one-out counts of all training tokens, which only needs how often each
 of levels occurs.
 
 Counting adds up within each task, then moves each n-gram once a task to the block of
-the filter that its hash names; blocks are sized by what falls into them, and are built
-where they fall. The filter is broadcast in shards of at most ``SHARD_BYTES``: a larger
-one is probed shard by shard, with the levels found so far written between passes.
+the filter that its hash names. There are as many blocks as the training text asks for
+(``BLOCK_TEXT`` bytes each, 4,096 at least); they are built one at a time where they fall.
+A filter of at most ``SHARD_BYTES`` is broadcast. A larger one is cut into shards of that
+size, and the probes travel instead: each piece of the corpus (some megabytes of text) sends
+each shard its distinct n-grams once and gets their levels back, so the work stays in
+proportion to the corpus however many shards there are.
 
 The exact add-one baseline needs exact unigram counts. Tokens with at least N / 2^20
 occurrences (so at most 2^20 of them) are broadcast with their counts; for all rarer ones
-(text, token) pairs are joined with the vocabulary.
+(text, token) pairs are joined with the vocabulary, but for those that the filter does not
+hold, for it holds every token of the training texts.
 
 Defined results: a null or empty text is the end alone. Equal rows get equal scores. With no
 training text every token is unknown and all scores are 0. Rows without doc_id are scored.
@@ -27,6 +31,7 @@ training text every token is unknown and all scores are 0. Rows without doc_id a
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,8 +45,12 @@ from . import _text as tx
 BASE = 1.3
 BITS_PER_ENTRY = 12
 PROBES = 5
-BLOCK_BITS = 12  # 4,096 blocks
+BLOCK_BITS = 12  # 4,096 blocks at least
+BLOCK_TEXT = 4 << 20
+TASK_TEXT = 64 << 20
 SHARD_BYTES = 192 << 20
+CHUNK = 16 << 10  # bytes of a block in one row
+ASKED = 1024  # keys in one row
 HOT_SHIFT = 20
 FLUSH = 1 << 20
 MAX_LEVEL = 200
@@ -83,7 +92,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of n-grams, added up over a task as far as memory allows."""
 
     def rows(keys, counts):
-        return pa.record_batch([pa.array((keys >> tx.U64(64 - BLOCK_BITS)).astype(np.int32)), pa.array(tx.signed(keys)), pa.array(counts)], names=["block", "key", "n"])
+        return pa.record_batch([pa.array(tx.signed(keys)), pa.array(counts)], names=["key", "n"])
 
     keys, counts, fresh, waiting = np.zeros(0, tx.U64), np.zeros(0, np.int64), [], 0
     for b in tx.slices(batches):
@@ -111,27 +120,47 @@ def _word_and_mask(keys: np.ndarray, level: np.ndarray | int, size: np.ndarray)
     return word.astype(np.int64), mask
 
 
-def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def block_bits(n_bytes: int) -> int:
+    """Bits of a key that name its block, for so many bytes of training text."""
+    return min(31, max(BLOCK_BITS, (max(n_bytes, 1) // BLOCK_TEXT).bit_length()))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Keys and counts, a block at a time, of rows that come block by block."""
+    current, held = None, []
+    for b in batches:
+        keys, counts = _added(tx.column(b, "key").to_numpy().view(tx.U64), tx.column(b, "n").to_numpy())
+        block = (keys >> tx.U64(64 - bits)).astype(np.int64)
+        for i, j in _runs(block):
+            if block[i] != current and held:
+                yield current, *_added(*map(np.concatenate, zip(*held, strict=True)))
+                held = []
+            current = int(block[i])
+            held.append((keys[i:j], counts[i:j]))
+    if held:
+        yield current, *_added(*map(np.concatenate, zip(*held, strict=True)))
+
+
+def _runs(values: np.ndarray) -> list[tuple[int, int]]:
+    """Borders of the runs of equal values."""
+    borders = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), len(values)] if len(values) else [0]
+    return list(zip(borders[:-1], borders[1:], strict=True))
+
+
+def _build(batches: Iterator[pa.RecordBatch], bits: int = BLOCK_BITS) -> Iterator[pa.RecordBatch]:
     """The filter blocks of a partition, and the exact counts of its unigrams."""
-    held = [(tx.column(b, "key").to_numpy().view(tx.U64), tx.column(b, "n").to_numpy()) for b in batches]
-    if not held:
-        return
-    keys, counts = _added(np.concatenate([k for k, _ in held]), np.concatenate([n for _, n in held]))
-    block = (keys >> tx.U64(64 - BLOCK_BITS)).astype(np.int64)
-    borders = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(keys)]
-    for a, b in zip(borders[:-1], borders[1:], strict=True):
-        k, c = keys[a:b], counts[a:b]
+    for block, k, c in _blocks(batches, bits):
         levels = level_of(c)
         entries = np.repeat(k, levels)
         nth = np.arange(len(entries)) - np.repeat(np.cumsum(levels) - levels, levels) + 1
         words = max(1, -(-len(entries) * BITS_PER_ENTRY // 64))
         word, mask = _word_and_mask(entries, nth, np.full(len(entries), words))
-        bits = np.zeros(words, tx.U64)
-        np.bitwise_or.at(bits, word, mask)
+        filled = np.zeros(words, tx.U64)
+        np.bitwise_or.at(filled, word, mask)
         one = (k & tx.U64(1)) == 0
         own = c[one]
         yield pa.record_batch(
-            [pa.array([int(block[a])], pa.int32()), pa.array([bits.tobytes()], pa.binary()), pa.array([words], pa.int64()), pa.array([tx.signed(k[one])], pa.list_(pa.int64())), pa.array([own], pa.list_(pa.int64())), *(pa.array([int(x)], pa.int64()) for x in (own.sum(), len(own), (own == 1).sum(), (own == 2).sum()))],
+            [pa.array([block], pa.int32()), pa.array([filled.tobytes()], pa.binary()), pa.array([words], pa.int64()), pa.array([tx.signed(k[one])], pa.list_(pa.int64())), pa.array([own], pa.list_(pa.int64())), *(pa.array([int(x)], pa.int64()) for x in (own.sum(), len(own), (own == 1).sum(), (own == 2).sum()))],
             names=["block", "bits", "words", "vocab", "counts", "n", "v", "n1", "n2"],
         )
 
@@ -142,23 +171,27 @@ BUILT = "block int, bits binary, words long, vocab array<long>, counts array<lon
 class Shard:
     """Consecutive blocks of the filter."""
 
-    def __init__(self, words: dict[int, int], blocks):
-        """``words``: the blocks' sizes; ``blocks``: (block, bits) in any order."""
-        self.at, self.size = np.zeros(1 << BLOCK_BITS, np.int64), np.zeros(1 << BLOCK_BITS, np.int64)
+    def __init__(self, words: dict[int, int], blocks, bits: int = BLOCK_BITS):
+        """``words``: the blocks' sizes; ``blocks``: (block, bits) in any order; ``bits``: of a key that name its block."""
+        self.shift, self.low = tx.U64(64 - bits), min(words, default=0)
+        held = max(words, default=-1) - self.low + 1
+        self.at, self.size = np.zeros(held, np.int64), np.zeros(held, np.int64)
         upto = 0
         for block, n in words.items():
-            self.at[block], self.size[block] = upto, n
+            self.at[block - self.low], self.size[block - self.low] = upto, n
             upto += n
         self.bits = np.zeros(upto, tx.U64)
-        for block, bits in blocks:
-            self.bits[self.at[block] : self.at[block] + self.size[block]] = np.frombuffer(bits, tx.U64)
+        for block, filled in blocks:
+            at = self.at[block - self.low]
+            self.bits[at : at + len(filled) // 8] = np.frombuffer(filled, tx.U64)
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """Quantised counts, by probing level after level; 0 for blocks held elsewhere."""
         distinct, inverse = np.unique(keys, return_inverse=True)
-        block = (distinct >> tx.U64(64 - BLOCK_BITS)).astype(np.int64)
+        block = (distinct >> self.shift).astype(np.int64) - self.low
         out = np.zeros(len(distinct), np.uint8)
-        left = np.flatnonzero(self.size[block])
+        left = np.flatnonzero((block >= 0) & (block < len(self.size)))
+        left = left[self.size[block[left]] > 0]
         for q in range(1, MAX_LEVEL):
             if not len(left):
                 break
@@ -204,47 +237,119 @@ def _context(one: np.ndarray, first: np.ndarray, begin: int) -> np.ndarray:
     return ctx
 
 
-def train(docs: DataFrame) -> tuple[DataFrame, Stats, int]:
-    """The written filter with the exact vocabulary, the statistics, and how many shards."""
-    spark = docs.sparkSession
-    counts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_counts, "block int, key long, n long")
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    built = _scratch.write_table(counts.repartition(n_parts, "block").mapInArrow(_build, BUILT), "filter")
+def _partitions(docs: DataFrame, n_bytes: int) -> int:
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_bytes // TASK_TEXT)
+
+
+def train(docs: DataFrame, n_bytes: int) -> tuple[DataFrame, Stats, int, int]:
+    """The written filter with the exact vocabulary, the statistics, how many shards, and the
+    bits of a key that name its block; ``n_bytes``: the size of the texts."""
+    bits = block_bits(n_bytes)
+    counts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_counts, "key long, n long")
+    block = F.shiftrightunsigned("key", 64 - bits)
+    dealt = counts.repartition(_partitions(docs, n_bytes), block).sortWithinPartitions(block)
+    built = _scratch.write_table(dealt.mapInArrow(lambda batches: _build(batches, bits), BUILT), "filter")
     s = built.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "n1", "n2", "words"))).first()
-    return built, Stats(s["n"], s["v"], s["n1"], s["n2"]), max(1, -(-s["words"] * 8 // SHARD_BYTES))
-
-
-def _shard(built: DataFrame, k: int, shards: int):
-    per = -(-(1 << BLOCK_BITS) // shards)
-    own = built.where(F.col("block").between(k * per, (k + 1) * per - 1))
-    words = {r["block"]: r["words"] for r in own.select("block", "words").collect()}  # at most 4,096 rows
-    return built.sparkSession.sparkContext.broadcast(Shard(words, own.select("block", "bits").toLocalIterator()))  # about SHARD_BYTES
-
-
-def levels(docs: DataFrame, built: DataFrame, shards: int) -> DataFrame:
-    """``docs`` with ``__levels``: per token its unigram and bigram levels. Only used where
-    the filter has several shards; a written pass for each."""
-    out = docs.withColumn("__levels", F.lit(None).cast("binary"))
-    names = docs.columns
-
-    for k in range(shards):
-        shard = _shard(built, k, shards)
-
-        def probe(batches: Iterator[pa.RecordBatch], shard=shard) -> Iterator[pa.RecordBatch]:
-            for b in tx.slices(batches):
-                one, two, _, upto = tokens(tx.column(b, "text"))
-                found = np.stack((shard.value.levels(one), shard.value.levels(two)))
-                for i, old in enumerate(tx.column(b, "__levels").to_pylist()):
-                    if old is not None:
-                        part = found[:, upto[i] : upto[i + 1]]
-                        np.maximum(part, np.frombuffer(old, np.uint8).reshape(2, -1), out=part)
-                mixed = [found[:, upto[i] : upto[i + 1]].tobytes() for i in range(b.num_rows)]
-                yield pa.record_batch([*(tx.column(b, c) for c in names), pa.array(mixed, pa.binary())], names=[*names, "__levels"])
-
-        nxt = _scratch.write_table(out.mapInArrow(probe, out.schema), "levels")
-        _scratch.drop_table(out)
-        shard.destroy()
-        out = nxt
+    return built, Stats(s["n"], s["v"], s["n1"], s["n2"]), max(1, -(-s["words"] * 8 // SHARD_BYTES)), bits
+
+
+def _whole(built: DataFrame, bits: int):
+    """The filter of one shard, broadcast."""
+    words = {r["block"]: r["words"] for r in built.select("block", "words").collect()}  # a word at least each, of SHARD_BYTES
+    return built.sparkSession.sparkContext.broadcast(Shard(words, built.select("block", "bits").toLocalIterator(), bits))
+
+
+def _lists(values: np.ndarray, borders: list[tuple[int, int]]) -> pa.ListArray:
+    """Runs that follow each other, as lists."""
+    return pa.ListArray.from_arrays(pa.array([0, *(j for _, j in borders)], pa.int32()), pa.array(values))
+
+
+def _ask(batches: Iterator[pa.RecordBatch], shift: int, per: int) -> Iterator[pa.RecordBatch]:
+    """The distinct n-grams of a piece, in rows of one shard and at most ``ASKED`` of them."""
+    for b in tx.slices(batches):
+        one, two, _, upto = tokens(tx.column(b, "text"))
+        of = np.repeat(tx.column(b, "piece").to_numpy(), np.diff(upto))
+        for piece in np.unique(of):
+            mine = of == piece
+            keys = np.unique(np.concatenate((one[mine], two[mine])))
+            shard = (keys >> tx.U64(shift)).astype(np.int64) // per
+            borders = [(k, min(k + ASKED, j)) for i, j in _runs(shard) for k in range(i, j, ASKED)]
+            yield pa.record_batch(
+                [pa.array(shard[[i for i, _ in borders]].astype(np.int32)), pa.array(np.full(len(borders), piece)), _lists(tx.signed(keys), borders)],
+                names=["shard", "piece", "keys"],
+            )
+
+
+def _answer(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """Levels of the n-grams asked for. Rows come shard by shard, the filter's before the others."""
+    current, words, parts, table = None, {}, {}, None
+    for b in batches:
+        shard = tx.column(b, "shard").to_numpy()
+        for i, j in _runs(shard):
+            if shard[i] != current:
+                current, words, parts, table = shard[i], {}, {}, None
+            run = b.slice(i, j - i)
+            asked = run.filter(tx.column(run, "piece").is_valid())
+            held = run.slice(0, run.num_rows - asked.num_rows)
+            for block, n, chunk in zip(*(tx.column(held, c).to_pylist() for c in ("block", "words", "chunk")), strict=True):
+                words[block] = n
+                parts.setdefault(block, []).append(chunk)
+            if asked.num_rows:
+                if table is None:
+                    table, parts = Shard(words, ((k, b"".join(v)) for k, v in parts.items()), bits), {}
+                keys = tx.column(asked, "keys")
+                found = table.levels(keys.flatten().to_numpy().view(tx.U64))
+                upto = np.concatenate(([0], np.cumsum(keys.value_lengths().to_numpy()))).astype(np.int32)
+                levels = pa.Array.from_buffers(pa.binary(), len(keys), [None, pa.py_buffer(upto), pa.py_buffer(found)])
+                yield pa.record_batch([tx.column(asked, "piece"), keys, levels], names=["piece", "keys", "found"])
+
+
+def _settle(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Texts with the levels of their tokens. Rows come piece by piece, answers before texts."""
+    current, keys, found, known = None, [], [], None
+    for b in batches:
+        piece = tx.column(b, "piece").to_numpy()
+        for i, j in _runs(piece):
+            if piece[i] != current:
+                current, keys, found, known = piece[i], [], [], None
+            run = b.slice(i, j - i)
+            texts = run.filter(tx.column(run, "is_text"))
+            answers = run.slice(0, run.num_rows - texts.num_rows)
+            if answers.num_rows:
+                keys.append(tx.column(answers, "keys").flatten().to_numpy().view(tx.U64))
+                found += tx.column(answers, "found").to_pylist()
+            for t in tx.slices(iter([texts])):
+                if known is None:
+                    k, q = np.concatenate(keys), np.frombuffer(b"".join(found), np.uint8)
+                    order = np.argsort(k)
+                    known, keys, found = (k[order], q[order]), [], []
+                one, two, _, upto = tokens(tx.column(t, "text"))
+                both = np.stack([known[1][np.searchsorted(known[0], x)] for x in (one, two)])
+                mixed = [both[:, upto[r] : upto[r + 1]].tobytes() for r in range(t.num_rows)]
+                yield pa.record_batch([*(tx.column(t, c) for c in names), pa.array(mixed, pa.binary())], names=[*names, "__levels"])
+
+
+def levels(docs: DataFrame, built: DataFrame, shards: int, bits: int, n_bytes: int) -> DataFrame:
+    """``docs(doc_id, text, train)`` with ``__levels``: per token its unigram and bigram levels. Only
+    used where the filter has several shards."""
+    names, per, parts = docs.columns, -(-(1 << bits) // shards), _partitions(docs, n_bytes)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in tx.slices(batches):
+            piece = pa.array(np.full(b.num_rows, uuid.uuid4().int >> 65, np.int64))  # written, so a task that is run again is of no matter
+            yield pa.record_batch([*(tx.column(b, c) for c in names), piece], names=[*names, "piece"])
+
+    pieces = _scratch.write_table(docs.mapInArrow(cut, docs.withColumn("piece", F.lit(0).cast("long")).schema), "pieces")
+    asked = pieces.select("text", "piece").mapInArrow(lambda batches: _ask(batches, 64 - bits, per), "shard int, piece long, keys array<long>")
+    held = built.select((F.col("block") / per).cast("int").alias("shard"), "block", "words", "bits", F.explode(F.sequence(F.lit(0), F.col("words").cast("int") * 8 - 1, F.lit(CHUNK))).alias("at"))
+    held = held.select("shard", "block", "words", "at", F.substring("bits", F.col("at") + 1, F.lit(CHUNK)).alias("chunk"))
+    met = held.unionByName(asked, allowMissingColumns=True).repartition(max(parts, shards), "shard")
+    met = met.sortWithinPartitions("shard", F.col("piece").asc_nulls_first(), "block", "at")
+    answers = met.mapInArrow(lambda batches: _answer(batches, bits), "piece long, keys array<long>, found binary")
+    back = answers.withColumn("is_text", F.lit(False)).unionByName(pieces.withColumn("is_text", F.lit(True)), allowMissingColumns=True)
+    back = back.repartition(parts, "piece").sortWithinPartitions("piece", "is_text")
+    out = _scratch.write_table(back.mapInArrow(lambda batches: _settle(batches, names), docs.withColumn("__levels", F.lit(None).cast("binary")).schema), "levels")
+    _scratch.drop_table(pieces)
     return out
 
 
@@ -253,7 +358,8 @@ def score(docs: DataFrame, train_rows: Column) -> DataFrame:
     base_score, score``. The model learns from the rows where ``train_rows`` holds."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(train_rows, F.lit(False)).alias("train"))
-    built, stats, shards = train(rows.where("train"))
+    learnt = rows.where("train").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    built, stats, shards, bits = train(rows.where("train"), learnt["bytes"])
     vocabulary = built.select(F.explode(F.arrays_zip("vocab", "counts")).alias("x")).select(F.col("x.vocab").alias("key"), F.col("x.counts").alias("c"))
     frequent = vocabulary.where(F.col("c") >= max(1, stats.n >> HOT_SHIFT)).toArrow()  # at most 2^20 rows, for they share N tokens
     hot_key = frequent["key"].to_numpy().astype(np.int64).view(tx.U64)
@@ -261,19 +367,19 @@ def score(docs: DataFrame, train_rows: Column) -> DataFrame:
     hot = spark.sparkContext.broadcast((hot_key[order], frequent["c"].to_numpy().astype(np.int64)[order]))
 
     if shards == 1:
-        filter_ = _shard(built, 0, 1)
+        filter_ = _whole(built, bits)
         source = rows
 
-        def find(b: pa.RecordBatch, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            return filter_.value.levels(one), filter_.value.levels(two)
+        def find(b: pa.RecordBatch, *keys: np.ndarray) -> list[np.ndarray]:
+            return [filter_.value.levels(x) for x in keys]
     else:
-        source = levels(rows, built, shards)
+        source = levels(rows, built, shards, bits, rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
 
-        def find(b: pa.RecordBatch, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            got = [np.frombuffer(x, np.uint8).reshape(2, -1) for x in tx.column(b, "__levels").to_pylist()]
-            return tuple(np.concatenate(got, axis=1))
+        def find(b: pa.RecordBatch, *keys: np.ndarray) -> list[np.ndarray]:
+            got = [np.frombuffer(x, np.uint8).reshape(2, -1)[: len(keys)] for x in tx.column(b, "__levels").to_pylist()]
+            return list(np.concatenate(got, axis=1))
 
-    begin = int(level_of(np.array([max(1, int(rows.where("train").count()))]))[0])
+    begin = int(level_of(np.array([max(1, learnt["n"])]))[0])
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -307,7 +413,7 @@ def score(docs: DataFrame, train_rows: Column) -> DataFrame:
             one, _, _, upto = tokens(tx.column(b, "text"))
             keys = _text_keys(b)
             row = np.repeat(np.arange(b.num_rows), np.diff(upto))
-            cold = np.flatnonzero(_hot_counts(one, *hot.value) == 0)
+            cold = np.flatnonzero((_hot_counts(one, *hot.value) == 0) & (find(b, one)[0] > 0))
             pair = tx.mix64(row[cold].astype(tx.U64)) ^ one[cold]
             _, first, times = np.unique(pair, return_index=True, return_counts=True)
             at = cold[first]
@@ -316,7 +422,7 @@ def score(docs: DataFrame, train_rows: Column) -> DataFrame:
             yield pa.record_batch([pa.array(out[0]), pa.array(out[1]), pa.array(out[2].astype(np.int32))], names=["key", "k", "times"])
 
     main = source.mapInArrow(scored, "doc_id long, k long, n_tokens long, hot_known long, hot_log double, score double")
-    pairs = rows.select("doc_id", "text").mapInArrow(rare, "key long, k long, times int")
+    pairs = source.mapInArrow(rare, "key long, k long, times int")
     joined = pairs.join(vocabulary, "key", "left")
     equal_rows = F.count(F.when(F.col("times") == 0, 1))
     known_times = F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)

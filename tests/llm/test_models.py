@@ -52,6 +52,31 @@ def test_lm_filter_never_underestimates_and_rarely_errs():
     assert (shard.levels(rng.integers(0, 2**63, 20000).astype(np.uint64) * np.uint64(2)) > 0).mean() < 0.05
 
 
+def test_lm_shards_probed_by_travelling_keys_give_the_broadcast_scores(spark, docs, monkeypatch):
+    rng = np.random.default_rng(7)
+    words = [f"w{i}" for i in range(3000)] + ["the"] * 1500
+    texts = [" ".join(rng.choice(words, n)) for n in [0, 1, 2, 5000, *rng.integers(5, 200, 150)]]
+    df = docs(*texts, None).withColumn("k", F.lit(1))
+    df = df.union(df.where("doc_id % 9 = 0"))
+    rows = lambda: sorted(tuple(r) for r in lm_scoring.score(df, F.col("doc_id") % 7 != 2).collect())
+    want = rows()
+    for name, value in (("SHARD_BYTES", 4000), ("BLOCK_TEXT", 16), ("CHUNK", 8), ("ASKED", 3)):
+        monkeypatch.setattr(lm_scoring, name, value)
+    assert lm_scoring.block_bits(100_000) > lm_scoring.BLOCK_BITS
+    got = rows()
+    assert [r[:4] for r in got] == [r[:4] for r in want]
+    assert [r[4] for r in got] == pytest.approx([r[4] for r in want])
+    assert np.mean(np.isclose([r[5] for r in got], [r[5] for r in want], rtol=0.03)) > 0.95  # other blocks, other rare errors of the filter
+
+
+def test_lm_blocks_come_one_at_a_time():
+    keys = np.sort(np.random.default_rng(5).integers(0, 2**63, 5000).astype(np.uint64) * np.uint64(2))
+    batches = [pa.record_batch([pa.array(k.view(np.int64)), pa.array(np.full(len(k), 2))], names=["key", "n"]) for k in np.array_split(np.repeat(keys, 2), 37)]
+    got = [r for b in lm_scoring._build(iter(batches), 5) for r in b.to_pylist()]
+    assert [r["block"] for r in got] == list(range(32))
+    assert sum(r["v"] for r in got) == 5000 and sum(r["n"] for r in got) == 20000
+
+
 def test_lm_without_training_text(spark, docs):
     r = lm_scoring.score(docs("a b"), F.lit(False)).first()
     assert (r["n_known"], r["train_tokens"], r["base_score"], r["score"]) == (0, 0, 0.0, 0.0)
