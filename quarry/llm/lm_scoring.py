@@ -52,6 +52,7 @@ CHUNK = 16 << 10  # bytes of a block in one row
 ASKED = 1024  # keys in one row
 HOT_SHIFT = 20
 FLUSH = 1 << 20
+SENT = 1 << 16  # rows in one batch to the JVM
 MAX_LEVEL = 200
 END, BEGIN = np.uint64(0x454E44), np.uint64(0x424547)
 
@@ -91,7 +92,8 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of n-grams, added up over a task as far as memory allows."""
 
     def rows(keys, counts):
-        return pa.record_batch([pa.array(tx.signed(keys)), pa.array(counts)], names=["key", "n"])
+        for at in range(0, len(keys), SENT):
+            yield pa.record_batch([pa.array(tx.signed(keys[at : at + SENT])), pa.array(counts[at : at + SENT])], names=["key", "n"])
 
     keys, counts, fresh, waiting = np.zeros(0, tx.U64), np.zeros(0, np.int64), [], 0
     for b in tx.slices(batches):
@@ -103,10 +105,10 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys, counts = _added(np.concatenate((keys, k)), np.concatenate((counts, np.ones(len(k), np.int64))))
             fresh, waiting = [], 0
             if len(keys) >= 4 * FLUSH:
-                yield rows(keys, counts)
+                yield from rows(keys, counts)
                 keys, counts = keys[:0], counts[:0]
     k = np.concatenate([keys, *fresh])
-    yield rows(*_added(k, np.concatenate((counts, np.ones(len(k) - len(counts), np.int64)))))
+    yield from rows(*_added(k, np.concatenate((counts, np.ones(len(k) - len(counts), np.int64)))))
 
 
 def _word_and_mask(keys: np.ndarray, level: np.ndarray | int, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
