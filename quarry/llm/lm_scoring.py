@@ -82,12 +82,19 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 
 
 def _added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys)
+    order = np.argsort(keys, kind="stable")  # which merges what is sorted already
     keys, counts = keys[order], counts[order]
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
+def _occurrences(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and how often each occurs; sorts ``keys`` in place."""
+    keys.sort()
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.diff(np.append(first, len(keys)))
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of n-grams, added up over a task as far as memory allows."""
 
@@ -96,19 +103,22 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(tx.signed(keys[at : at + SENT])), pa.array(counts[at : at + SENT])], names=["key", "n"])
 
     keys, counts, fresh, waiting = np.zeros(0, tx.U64), np.zeros(0, np.int64), [], 0
+
+    def merged():
+        k, n = _occurrences(np.concatenate(fresh) if fresh else np.zeros(0, tx.U64))
+        return _added(np.concatenate((keys, k)), np.concatenate((counts, n)))
+
     for b in tx.slices(batches):
         one, two, _, _ = tokens(tx.column(b, "text"))
         fresh += [one, two]
         waiting += len(one) + len(two)
         if waiting >= FLUSH:
-            k = np.concatenate(fresh)
-            keys, counts = _added(np.concatenate((keys, k)), np.concatenate((counts, np.ones(len(k), np.int64))))
+            keys, counts = merged()
             fresh, waiting = [], 0
-            if len(keys) >= 4 * FLUSH:
+            if len(keys) >= 3 * FLUSH:
                 yield from rows(keys, counts)
-                keys, counts = keys[:0], counts[:0]
-    k = np.concatenate([keys, *fresh])
-    yield from rows(*_added(k, np.concatenate((counts, np.ones(len(k) - len(counts), np.int64)))))
+                keys, counts = keys[:0].copy(), counts[:0].copy()
+    yield from rows(*merged())
 
 
 def _word_and_mask(keys: np.ndarray, level: np.ndarray | int, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
