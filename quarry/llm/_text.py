@@ -60,12 +60,12 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and row offsets (int64, from 0) of a string column; nulls are empty."""
+    """Bytes and row offsets (int64, from 0) of a string or binary column; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:
         column = column.fill_null("")
-    column = column.cast(pa.large_string())
+    column = column.cast(pa.large_binary())
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
     data = column.buffers()[2]
     if data is None or not len(column):

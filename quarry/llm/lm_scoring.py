@@ -20,6 +20,9 @@ size, and the probes travel instead: each piece of the corpus (some megabytes of
 each shard its distinct n-grams once and gets their levels back, so the work stays in
 proportion to the corpus however many shards there are.
 
+The corpus is probed once: the levels of its tokens, two bytes a token, are written, and both
+the weights and the scores come from them.
+
 The exact add-one baseline needs exact unigram counts. Tokens with at least N / 2^20
 occurrences (so at most 2^20 of them) are broadcast with their counts; for all rarer ones
 (text, token) pairs are joined with the vocabulary.
@@ -179,6 +182,9 @@ def _build(batches: Iterator[pa.RecordBatch], bits: int = BLOCK_BITS) -> Iterato
 BUILT = "block int, bits binary, words long, vocab array<long>, counts array<long>, n long, v long, n1 long, n2 long"
 
 
+FOUND = "doc_id long, k long, train boolean, n_tokens long, hot_known long, hot_log double, ones binary, twos binary"
+
+
 class Shard:
     """Consecutive blocks of the filter."""
 
@@ -242,6 +248,11 @@ class Stats:
         return np.log10(np.maximum(lam * upper + (1 - lam) * self.unigram(VALUES[one]), 1e-300))
 
 
+def _cut(levels: np.ndarray, upto: np.ndarray) -> pa.Array:
+    """Levels, a byte each, as one value a row."""
+    return pa.Array.from_buffers(pa.binary(), len(upto) - 1, [None, pa.py_buffer(upto.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(levels, np.uint8))])
+
+
 def _context(one: np.ndarray, first: np.ndarray, begin: int) -> np.ndarray:
     ctx = np.concatenate(([0], one[:-1])).astype(np.int64)
     ctx[first] = begin
@@ -390,34 +401,45 @@ def score(docs: DataFrame, train_rows: Column) -> DataFrame:
             got = [np.frombuffer(x, np.uint8).reshape(2, -1)[: len(keys)] for x in tx.column(b, "__levels").to_pylist()]
             return list(np.concatenate(got, axis=1))
 
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in tx.slices(batches):
+            one, two, _, upto = tokens(tx.column(b, "text"))
+            c = _hot_counts(one, *hot.value)
+            logs = np.where(c > 0, np.log10(c + 1.0), 0.0)
+            yield pa.record_batch(
+                [tx.column(b, "doc_id"), pa.array(_text_keys(b)), tx.column(b, "train"), pa.array(np.diff(upto)), pa.array(np.add.reduceat((c > 0).astype(np.int64), upto[:-1])), pa.array(np.add.reduceat(logs, upto[:-1])), *(_cut(q, upto) for q in find(b, one, two))],
+                names=["doc_id", "k", "train", "n_tokens", "hot_known", "hot_log", "ones", "twos"],
+            )
+
+    found = _scratch.write_table(source.mapInArrow(look, FOUND), "found")
+    if shards > 1:
+        _scratch.drop_table(source)
     begin = int(level_of(np.array([max(1, learnt["n"])]))[0])
 
+    def looked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Rows with the levels of their contexts, bigrams and unigrams, and their bounds."""
+        for b in tx.slices(batches, "ones", tx.SLICE_BYTES >> 2):
+            (q1, upto), (q2, _) = (tx.text_buffer(tx.column(b, c)) for c in ("ones", "twos"))
+            first = np.zeros(len(q1), bool)
+            first[upto[:-1]] = True  # every text has its end
+            yield b, _context(q1, first, begin), q2.astype(np.int64), q1.astype(np.int64), upto
+
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for b in tx.slices(batches):
-            one, two, first, _ = tokens(tx.column(b, "text"))
-            q1, q2 = find(b, one, two)
-            code = (_context(q1, first, begin) * MAX_LEVEL + q2) * MAX_LEVEL + q1
-            seen = _added(np.concatenate((seen[0], code)), np.concatenate((seen[1], np.ones(len(code), np.int64))))
+        for _, ctx, q2, q1, _ in looked(batches):
+            code, times = _occurrences((ctx * MAX_LEVEL + q2) * MAX_LEVEL + q1)
+            seen = _added(np.concatenate((seen[0], code)), np.concatenate((seen[1], times)))
         yield pa.record_batch([pa.array(seen[0]), pa.array(seen[1])], names=["code", "n"])
 
-    met = source.where("train").mapInArrow(cells, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()  # combinations of levels
+    met = found.where("train").select("ones", "twos").mapInArrow(cells, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()  # combinations of levels
     if met.num_rows:
         code, n = met["code"].to_numpy(), met["n"].to_numpy()
         stats.fit(np.stack((code // MAX_LEVEL**2, code // MAX_LEVEL % MAX_LEVEL, code % MAX_LEVEL, n), 1))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in tx.slices(batches):
-            one, two, first, upto = tokens(tx.column(b, "text"))
-            q1, q2 = find(b, one, two)
-            p = stats.log10(_context(q1, first, begin), q2, q1)
-            c = _hot_counts(one, *hot.value)
-            logs = np.where(c > 0, np.log10(c + 1.0), 0.0)
-            add = lambda x: np.add.reduceat(x, upto[:-1])  # noqa: E731  every text has its end
-            yield pa.record_batch(
-                [tx.column(b, "doc_id"), pa.array(_text_keys(b)), pa.array(np.diff(upto)), pa.array(add((c > 0).astype(np.int64))), pa.array(add(logs)), pa.array(add(p))],
-                names=["doc_id", "k", "n_tokens", "hot_known", "hot_log", "score"],
-            )
+        for b, ctx, q2, q1, upto in looked(batches):
+            p = np.add.reduceat(stats.log10(ctx, q2, q1), upto[:-1])
+            yield pa.record_batch([*(tx.column(b, c) for c in names), pa.array(p)], names=[*names, "score"])
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in tx.slices(batches):
@@ -432,7 +454,8 @@ def score(docs: DataFrame, train_rows: Column) -> DataFrame:
             out = np.concatenate((tx.signed(one[at]), mark)), np.concatenate((keys[row[at]], keys)), np.concatenate((times, np.zeros(len(keys), np.int64)))
             yield pa.record_batch([pa.array(out[0]), pa.array(out[1]), pa.array(out[2].astype(np.int32))], names=["key", "k", "times"])
 
-    main = source.mapInArrow(scored, "doc_id long, k long, n_tokens long, hot_known long, hot_log double, score double")
+    names = ["doc_id", "k", "n_tokens", "hot_known", "hot_log"]
+    main = found.select(*names, "ones", "twos").mapInArrow(scored, "doc_id long, k long, n_tokens long, hot_known long, hot_log double, score double")
     pairs = rows.select("doc_id", "text").mapInArrow(rare, "key long, k long, times int")
     joined = pairs.join(vocabulary, "key", "left")
     equal_rows = F.count(F.when(F.col("times") == 0, 1))
