@@ -7,7 +7,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import _scratch, ann, decontaminate, html_extract, language_id, line_dedup, lm_scoring, near_dedup, packing, sstable, toxicity
+from . import _scratch, ann, conversation, decontaminate, html_extract, language_id, line_dedup, lm_scoring, near_dedup, packing, resampling, sharding, sql, sstable, toxicity
 
 
 def vocabulary(name: str) -> str:
@@ -75,6 +75,20 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(_table(spark, sf_dir, "pages"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.draw(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations")
+    return conversation.repair(turns, conversation.damage(turns))
+
+
+def op13_consistent_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.assign(_table(spark, sf_dir, "documents"), shards=16)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f) and k[2].isdigit()}
 
@@ -103,4 +117,9 @@ from documents d left join made using (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": _OP5}
+    return {
+        "op5_line_dedup": _OP5,
+        "op11_importance_resampling": sql.resampling(),
+        "op12_conversation_repair": sql.repair(),
+        "op13_consistent_sharding": sql.sharding(),
+    }
