@@ -1,12 +1,15 @@
 """Scores of all chunks against a block of questions, as matrix products over Arrow batches.
 
-Each text is cut into tokens once, on the JVM side, and only the counts of the questions' terms are
-kept, in the chunk's own row (``hits``). A batch of rows then is a matrix of term counts and one of
-vectors; multiplied with the questions' term weights and vectors they give every score of the batch, of which at most
-k a question leave the task. Scores are never shuffled; corpus statistics and score extremes are one row a task.
+A text is cut into tokens once, on the JVM side, and counted in its own row (``counted``): terms and how often each occurs. Every block of
+questions reads those counts and the vectors, no text. A batch of rows is a matrix of term counts and one of
+vectors; multiplied with the questions' term weights and vectors they give every score of the batch. Scores are never shuffled.
 
-Questions are taken in blocks of ``QUESTIONS``, one pass over the texts each; a block's terms and vectors are broadcast,
-so what is broadcast is bounded by the block.
+Hybrid scores are scaled by extremes over all chunks, which are known at the end only. So a task keeps, for each question, the *k-skyband* of its
+(semantic, keyword) pairs: those that fewer than k others are at least as good as on both counts. Whatever the
+scaling, the k best are among them; bands of tasks merge like sets, and the extremes come along. One pass over the counts is
+enough, and a few rows a question and task move.
+
+Questions are taken in blocks of at most ``QUESTIONS`` and so that terms times questions stay within ``CELLS``.
 """
 
 from __future__ import annotations
@@ -21,18 +24,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import schemas
 from ..functions import text as tx
 from ..sources import shared
 
 QUESTIONS = 1024
-#: Cells of the largest matrix of a batch.
+#: Cells of the largest matrix.
 CELLS = 1 << 22
-COUNTS = "dl long, term array<int>, tf array<int>, embedding array<double>"
+#: Steps of the staircase that rows must pass to be looked at, and rows that are compared at once.
+STEPS, ROWS = 8, 512
 
 
 def blocks_of(queries: DataFrame) -> Iterator[DataFrame]:
-    """``queries`` in blocks of about ``QUESTIONS`` rows."""
-    n = max(1, -(-queries.count() // QUESTIONS))
+    """``queries`` in blocks of about ``QUESTIONS`` rows, fewer where they are long."""
+    size = F.coalesce(F.size(tx.tokenize(F.col("question"))), F.lit(0)) if "question" in queries.columns else F.lit(0)
+    rows, tokens, longest = queries.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.max(size), F.lit(0))).first()
+    most = 4 * CELLS
+    n = max(1, -(-rows // QUESTIONS), int((tokens * rows / most) ** 0.5) + 1 if tokens * rows > most else 1, min(rows, -(-longest * rows // most)))
     for k in range(n):
         yield queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == k) if n > 1 else queries
 
@@ -85,49 +93,59 @@ class Questions:
         self.weights = np.log(1 + (n - frequency + 0.5) / (frequency + 0.5))[:, None] * self.repeats
         self.average = average
 
+    def named(self, spark) -> DataFrame:
+        """``q, query_id``."""
+        schema = T.StructType([T.StructField("q", T.LongType()), T.StructField("query_id", T._parse_datatype_string(_ddl(self.ids.type)))])
+        return spark.createDataFrame(list(enumerate(self.ids.to_pylist())), schema)
 
-def hits(chunks: DataFrame, key: str, asked: Questions) -> DataFrame:
-    """``key, dl, term, tf, embedding``: the counts of the questions' terms in each chunk, written."""
-    vocabulary = chunks.sparkSession.sparkContext.broadcast(asked.vocabulary)
-    vector = F.col("embedding") if "embedding" in chunks.columns else F.lit(None)
-    tokens = chunks.select(F.col(key).alias("key"), F.coalesce(tx.tokenize(F.col("text")), F.array().cast("array<string>")).alias("tokens"), vector.cast("array<double>").alias("embedding"))
-    schema = T.StructType([tokens.schema["key"], *T.StructType.fromDDL(COUNTS).fields])
+
+def term_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The columns of ``docs`` but ``text``, and ``dl``, ``terms`` and ``tf``: each text counted in its own row."""
+    tokens = F.coalesce(tx.tokenize(F.col(text)), F.array().cast("array<string>"))
+    rows = docs.select(*[c for c in docs.columns if c != text], tokens.alias("__tokens"))
+    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in rows.schema.fields[:-1]), *schemas.COUNTS.fields])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = vocabulary.value
         for b in batches:
-            listed = b.column(1)
+            listed = b.column(b.num_columns - 1)
             dl = pc.list_value_length(listed).to_numpy(zero_copy_only=False).astype(np.int64)
-            rows = np.repeat(np.arange(b.num_rows), dl)
-            at = pc.fill_null(pc.index_in(listed.flatten(), value_set=words), -1).to_numpy(zero_copy_only=False)
-            met = at >= 0
-            code, times = np.unique(rows[met] * max(1, len(words)) + at[met], return_counts=True)
-            bounds = pa.array(np.searchsorted(code, np.arange(b.num_rows + 1) * max(1, len(words))), pa.int32())
-            term, tf = (pa.ListArray.from_arrays(bounds, pa.array(x, pa.int32())) for x in (code % max(1, len(words)), times))
-            yield pa.record_batch([b.column(0), pa.array(dl), term, tf, b.column(2)], names=schema.names)
-
-    return shared.write_table(tokens.mapInArrow(count, schema), "hits")
-
-
-def from_postings(chunks: DataFrame, key: str, postings: DataFrame, asked: Questions) -> DataFrame:
-    """The same, from an index' ``postings(key, term, tf, dl)`` instead of texts."""
-    spark = chunks.sparkSession
-    numbers = spark.createDataFrame(list(enumerate(asked.vocabulary.to_pylist())), "number int, term string")
-    met = postings.join(F.broadcast(numbers), "term").groupBy(key).agg(F.max("dl").alias("dl"), F.collect_list(F.struct("number", F.col("tf").cast("int").alias("tf"))).alias("x"))  # a chunk's own terms
+            coded = listed.flatten().dictionary_encode()
+            words = max(1, len(coded.dictionary))
+            code, times = np.unique(np.repeat(np.arange(b.num_rows), dl) * words + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+            bounds = pa.array(np.searchsorted(code, np.arange(b.num_rows + 1) * words), pa.int32())
+            terms = pa.ListArray.from_arrays(bounds, coded.dictionary.take(pa.array(code % words)))
+            tf = pa.ListArray.from_arrays(bounds, pa.array(times, pa.int32()))
+            yield pa.record_batch([*b.columns[:-1], pa.array(dl), terms, tf], names=schema.names)
+
+    return rows.mapInArrow(count, schema)
+
+
+def counted(chunks: DataFrame, key: str) -> DataFrame:
+    """``key, dl, terms, tf, embedding`` of every chunk, written: once a corpus, for all questions."""
     vector = F.col("embedding") if "embedding" in chunks.columns else F.lit(None)
-    rows = chunks.select(F.col(key), vector.cast("array<double>").alias("embedding")).join(met, key, "left")
-    none = F.array().cast("array<int>")
-    return shared.write_table(rows.select(F.col(key).alias("key"), F.coalesce("dl", F.lit(0)).cast("long").alias("dl"), F.coalesce("x.number", none).alias("term"), F.coalesce("x.tf", none).alias("tf"), "embedding"), "hits")
+    rows = shared.spread(chunks.select(F.col(key).alias("key"), vector.cast("array<double>").alias("embedding"), "text"))
+    return shared.write_table(term_counts(rows).select("key", "dl", "terms", "tf", "embedding"), "counts")
 
 
 def weigh(rows: DataFrame, asked: Questions, stats: tuple[int, float] | None = None) -> None:
-    """Corpus statistics of written hits, for the questions' weights."""
+    """Corpus statistics of counted rows, for the questions' weights."""
     if stats is None:
         s = rows.agg(F.count("*"), F.coalesce(F.avg("dl"), F.lit(0.0))).first()
         stats = s[0], s[1]
+    vocabulary = rows.sparkSession.sparkContext.broadcast(asked.vocabulary)
+
+    def holds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(len(vocabulary.value), np.int64)
+        for b in batches:
+            at = pc.index_in(b.column(0).flatten(), value_set=vocabulary.value).drop_null().to_numpy()
+            n += np.bincount(at, minlength=len(n))
+        met = np.flatnonzero(n)
+        yield pa.record_batch([pa.array(met), pa.array(n[met])], names=["t", "n"])
+
     df = np.zeros(len(asked.vocabulary))
-    for r in rows.select(F.explode("term").alias("t")).groupBy("t").count().collect():  # the questions' terms
-        df[r["t"]] = r["count"]
+    for t, n in rows.select("terms").mapInArrow(holds, "t long, n long").groupBy("t").agg(F.sum("n")).collect():  # the questions' terms
+        df[t] = n
+    vocabulary.destroy()
     asked.weigh(stats[0], stats[1], df)
 
 
@@ -136,11 +154,13 @@ def _keyword(b: pa.RecordBatch, asked: Questions, k1: float, b_: float) -> np.nd
     out = np.zeros((n, m))
     if asked.weights is None or not len(asked.vocabulary) or not asked.average > 0:
         return out
-    term, tf, dl = b.column(2), b.column(3), b.column(1).to_numpy()
-    size = pc.list_value_length(term).to_numpy(zero_copy_only=False).astype(np.int64)
-    rows, terms, times = np.repeat(np.arange(n), size), term.flatten().to_numpy(), tf.flatten().to_numpy().astype(np.float64)
+    listed, dl = b.column(2), b.column(1).to_numpy()
+    size = pc.list_value_length(listed).to_numpy(zero_copy_only=False).astype(np.int64)
+    terms = pc.fill_null(pc.index_in(listed.flatten(), value_set=asked.vocabulary), -1).to_numpy(zero_copy_only=False)
+    met = terms >= 0
+    rows, terms, times = np.repeat(np.arange(n), size)[met], terms[met], b.column(3).flatten().to_numpy()[met].astype(np.float64)
     part = times * (k1 + 1) / (times + k1 * (1 - b_ + b_ * dl[rows] / asked.average))
-    bounds = np.concatenate(([0], np.cumsum(size)))
+    bounds = np.searchsorted(rows, np.arange(n + 1))
     step = max(1, CELLS // len(asked.vocabulary))
     for at in range(0, n, step):
         end = min(n, at + step)
@@ -164,9 +184,8 @@ def _semantic(b: pa.RecordBatch, asked: Questions) -> np.ndarray:
     return out
 
 
-def _order(keys: pa.Array) -> np.ndarray:
+def _order(rows: list) -> np.ndarray:
     """Place of each key in ascending order, nulls first."""
-    rows = keys.to_pylist()
     plain = [tuple((x is not None, x) for x in (r.values() if isinstance(r, dict) else (r,))) for r in rows]
     out = np.empty(len(rows), np.int64)
     out[sorted(range(len(rows)), key=plain.__getitem__)] = np.arange(len(rows))
@@ -183,7 +202,7 @@ def _best(r: np.ndarray, keys: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray
             least = np.partition(s, len(s) - k)[len(s) - k]
             found = np.flatnonzero(s >= least)
             if len(found) > k:
-                order = _order(keys) if order is None else order
+                order = _order(keys.to_pylist()) if order is None else order
                 found = found[np.lexsort((order[found], -s[found]))[:k]]
         found = found[s[found] > -np.inf]
         rows.append(found)
@@ -191,34 +210,109 @@ def _best(r: np.ndarray, keys: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(rows), np.concatenate(columns)
 
 
-def extremes(rows: DataFrame, asked: Questions, k1: float, b: float) -> np.ndarray:
-    """Least and greatest semantic and keyword score of each question over all rows (4 x questions)."""
-    held = rows.sparkSession.sparkContext.broadcast(asked)
+@dataclass
+class Band:
+    """The k-skyband of the pairs seen so far for one question. A pair counts as better than another if it is no less on both
+    counts and either above it by a margin, so that it stays above when scores are scaled and rounded, or of a lesser key."""
+
+    k: int
+    margin: tuple[float, float]
+    s: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    w: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    keys: list = field(default_factory=list)
+    steps: np.ndarray | None = None
+
+    def add(self, s: np.ndarray, w: np.ndarray, keys: list) -> None:
+        s, w, keys = np.concatenate((self.s, s)), np.concatenate((self.w, w)), self.keys + keys
+        order = _order(keys)
+        sum_order = np.lexsort((order, -w, -s))
+        s, w, order = s[sum_order], w[sum_order], order[sum_order]
+        stays = np.zeros(len(s), bool)
+        for at in range(0, len(s), ROWS):  # whatever beats a pair comes before it in this order, or is equal to it
+            own = slice(at, at + ROWS)
+            held = np.concatenate((np.flatnonzero(stays[:at]), np.arange(at, min(len(s), at + ROWS))))
+            no_less = (s[held] >= s[own, None]) & (w[held] >= w[own, None])
+            above = (s[held] >= s[own, None] + self.margin[0]) | (w[held] >= w[own, None] + self.margin[1]) | (order[held] < order[own, None])
+            stays[own] = (no_less & above).sum(1) < self.k
+        self.s, self.w, self.keys = s[stays], w[stays], [keys[i] for i in sum_order[stays]]
+        self._staircase()
+
+    def _staircase(self) -> None:
+        if len(self.s) >= self.k:
+            counts = np.unique(np.linspace(self.k, len(self.s), STEPS).astype(int))
+            self.steps = np.array([(self.s[c - 1], np.partition(self.w[:c], c - self.k)[c - self.k]) for c in counts])
+
+
+def _under(s: np.ndarray, w: np.ndarray, bands: list[Band]) -> np.ndarray:
+    """Which pairs (rows x questions) k others are better than, as far as the staircases tell."""
+    out = np.zeros(s.shape, bool)
+    high_s, high_w = np.full((STEPS, len(bands)), -np.inf), np.full((STEPS, len(bands)), -np.inf)
+    ds, dw = (np.array([b.margin[i] for b in bands]) for i in (0, 1))
+    for q, b in enumerate(bands):
+        if b.steps is not None:
+            high_s[: len(b.steps), q], high_w[: len(b.steps), q] = b.steps.T
+    for a, c in zip(high_s, high_w, strict=True):
+        out |= (s <= a) & (w <= c) & ((s <= a - ds) | (w <= c - dw))
+    return out
+
+
+def hybrid(rows: DataFrame, asked: Questions, k: int, digits: int | None, weight: float, k1: float, b: float) -> DataFrame:
+    """``query_id, key, ranked, score, semantic_score, keyword_score`` of candidates that hold the ``k`` best of each
+    question: blends of both scores, each scaled to its extremes over all rows."""
+    spark, key = rows.sparkSession, rows.schema["key"]
+    held = spark.sparkContext.broadcast(asked)
+    unit = 10.0 ** -(digits or 12)
+    most = asked.weights.sum(0) * (k1 + 1) if asked.weights is not None and len(asked.weights) else np.zeros(len(asked.ids))
+    wide = lambda share, span: 1.01 * unit * span / share + 1e-12 * span if share > 0 and span > 0 else np.inf
+    margins = [(wide(weight, 2.0), wide(1.0 - weight, float(x))) for x in most]
+    schema = T.StructType([T.StructField("q", T.LongType()), T.StructField("key", key.dataType), *T.StructType.fromDDL("s double, w double, extreme boolean").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ends = None
-        for x in batches:
-            if x.num_rows:
-                s, w = _semantic(x, held.value), _keyword(x, held.value, k1, b)
-                here = np.stack((s.min(0), s.max(0), w.min(0), w.max(0)))
-                ends = here if ends is None else np.stack([f(a, c) for f, a, c in zip((np.minimum, np.maximum) * 2, ends, here, strict=True)])
+        q = held.value
+        bands, ends, upto = [Band(k, m) for m in margins], None, 64  # few rows first, for a staircase
+        for whole in batches:
+            at = 0
+            while at < whole.num_rows and len(q.ids):
+                size = max(64, min(CELLS // len(q.ids), upto))
+                x = whole.slice(at, size)
+                at, upto = at + size, 2 * upto
+                s, w = _semantic(x, q), _keyword(x, q, k1, b)
+                here = np.stack((s.min(0), w.min(0), s.max(0), w.max(0)))
+                ends = here if ends is None else np.concatenate((np.minimum(ends[:2], here[:2]), np.maximum(ends[2:], here[2:])))
+                row, column = np.nonzero(~_under(s, w, bands))
+                by = np.argsort(column, kind="stable")
+                row, column = row[by], column[by]
+                seen, keys = np.unique(row), {}
+                if len(seen):
+                    keys = dict(zip(seen.tolist(), x.column(0).take(pa.array(seen)).to_pylist(), strict=True))
+                bounds = np.searchsorted(column, np.arange(len(bands) + 1))
+                for c in np.unique(column).tolist():
+                    own = row[bounds[c] : bounds[c + 1]]
+                    bands[c].add(s[own, c], w[own, c], [keys[i] for i in own.tolist()])
         if ends is not None:
-            yield pa.record_batch([pa.array(np.arange(ends.shape[1])), *map(pa.array, ends)], names=["q", "s0", "s1", "w0", "w1"])
-
-    found = rows.mapInArrow(run, "q long, s0 double, s1 double, w0 double, w1 double").groupBy("q").agg(F.min("s0"), F.max("s1"), F.min("w0"), F.max("w1")).orderBy("q").toArrow()
+            n = [len(x.s) for x in bands]
+            kind = x.schema.field(0).type
+            flat = lambda name: pa.array(np.concatenate([getattr(x, name) for x in bands]))
+            yield pa.record_batch([pa.array(np.repeat(np.arange(len(bands)), n)), pa.array([v for x in bands for v in x.keys], kind), flat("s"), flat("w"), pa.array(np.zeros(sum(n), bool))], names=schema.names)
+            for low in (0, 2):
+                yield pa.record_batch([pa.array(np.arange(len(bands))), pa.nulls(len(bands), kind), pa.array(ends[low]), pa.array(ends[low + 1]), pa.array(np.ones(len(bands), bool))], names=schema.names)
+
+    found = shared.write_table(rows.select("key", "dl", "terms", "tf", "embedding").mapInArrow(run, schema), "bands")
     held.destroy()
-    return np.stack([c.to_numpy() for c in found.columns[1:]]) if found.num_rows else np.zeros((4, len(asked.ids)))
-
-
-def _scaled(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    return np.where(high > low, (x - low) / np.where(high > low, high - low, 1), 0.0)
-
-
-def scores(rows: DataFrame, asked: Questions, kind: str, k: int | None, digits: int | None, weight: float = 0.7, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """``query_id, key, ranked, score, semantic_score, keyword_score`` of the ``k`` best rows of each batch for each
-    question (all, if None), by ``ranked``: the score, rounded to ``digits`` if given. ``kind``: ``semantic`` scores
-    are cosines, ``keyword`` those of rows that hold a term, ``hybrid`` blends both, each scaled to its extremes."""
-    ends = extremes(rows, asked, k1, b) if kind == "hybrid" else None
+    ends = found.where("extreme").groupBy("q").agg(F.min("s").alias("s0"), F.max("s").alias("s1"), F.min("w").alias("w0"), F.max("w").alias("w1"))
+    pairs = found.where("not extreme").join(F.broadcast(ends), "q").join(F.broadcast(asked.named(spark)), "q")  # a block's questions
+    scaled = lambda x, low, high: F.when(high > low, (x - low) / (high - low)).otherwise(0.0)
+    pairs = pairs.withColumn("semantic_score", scaled(F.col("s"), F.col("s0"), F.col("s1"))).withColumn("keyword_score", scaled(F.col("w"), F.col("w0"), F.col("w1")))
+    pairs = pairs.withColumn("score", F.col("semantic_score") * F.lit(float(weight)) + F.col("keyword_score") * F.lit(1.0 - weight))
+    return pairs.select("query_id", "key", (F.round("score", digits) if digits else F.col("score")).alias("ranked"), "score", "semantic_score", "keyword_score")
+
+
+def scores(rows: DataFrame, asked: Questions, kind: str, k: int, digits: int | None, weight: float = 0.7, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """``query_id, key, ranked, score, semantic_score, keyword_score`` of rows that hold the ``k`` best for each
+    question, by ``ranked``: the score, rounded to ``digits`` if given. ``kind``: ``semantic`` scores
+    are cosines, ``keyword`` those of rows that hold a term, ``hybrid`` blends both."""
+    if kind == "hybrid":
+        return hybrid(rows, asked, k, digits, weight, k1, b)
     held = rows.sparkSession.sparkContext.broadcast(asked)
     key = rows.schema["key"]
     names = ["query_id", "key", "ranked", "score", "semantic_score", "keyword_score"]
@@ -229,18 +323,14 @@ def scores(rows: DataFrame, asked: Questions, kind: str, k: int | None, digits:
         for x in batches:
             if not x.num_rows or not len(q.ids):
                 continue
-            s = _semantic(x, q) if kind != "keyword" else np.zeros((x.num_rows, len(q.ids)))
-            w = _keyword(x, q, k1, b) if kind != "semantic" else np.zeros((x.num_rows, len(q.ids)))
-            if kind == "hybrid":
-                s, w = _scaled(s, ends[0], ends[1]), _scaled(w, ends[2], ends[3])
-                total = s * weight + w * (1.0 - weight)
-            else:
-                total = s if kind == "semantic" else np.where(w > 0, w, -np.inf)
+            s = _semantic(x, q) if kind == "semantic" else np.zeros((x.num_rows, len(q.ids)))
+            w = _keyword(x, q, k1, b) if kind == "keyword" else np.zeros((x.num_rows, len(q.ids)))
+            total = s if kind == "semantic" else np.where(w > 0, w, -np.inf)
             ranked = np.round(total, digits) if digits else total
-            row, column = _best(ranked, x.column(0), x.num_rows if k is None else k)
+            row, column = _best(ranked, x.column(0), k)
             yield pa.record_batch([q.ids.take(pa.array(column)), x.column(0).take(pa.array(row)), *(pa.array(v[row, column]) for v in (ranked, total, s, w))], names=names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.select("key", "dl", "terms", "tf", "embedding").mapInArrow(run, schema)
 
 
 def _ddl(kind: pa.DataType) -> str:

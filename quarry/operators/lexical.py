@@ -1,23 +1,35 @@
-"""BM25 over plain DataFrames.
+"""Term statistics, and a keyword index whose blocks can be skipped.
 
-The index is four tables: postings, document lengths, document frequencies and corpus
-statistics. Scoring a batch of queries touches the postings of the queries' terms only: they
-meet by an equi-join on the term, with the (few) query terms broadcast where their number
-allows, and contributions are added per (query, document).
+Texts are counted in their own rows (``grid.term_counts``), so no statistic shuffles tokens. The index keeps, for each term, *blocks* of
+postings: up to ``BLOCK`` consecutive chunks in one row, made where the chunks lie and sorted by term over ranges, so
+that a term's blocks are read without the others. A block also holds its *tops*, the pairs of (times, length)
+that no other pair of it beats with more times and less length: whatever the corpus' mean length, k1 and b, the
+highest impact in the block is that of one of them.
+
+A top-k search reads the tops of the questions' terms first, which bound what a block can add up to. The k most promising blocks of each
+question are scored; the k-th best score found so bounds the rest, and blocks that can't reach it are never opened. Blocks that
+can are scored too, so the result is exact.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import text as tx
+from . import grid
 
 K1, B = 1.5, 0.75
 #: Tables with at most so many rows are broadcast.
 BROADCAST_ROWS = 200_000
+#: Chunks in a block, as a power of two.
+BLOCK_BITS = 8
+POSTINGS = "term string, block long, n long, at array<int>, tf array<int>, dl array<int>, top_tf array<int>, top_dl array<int>"
 
 
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
@@ -30,84 +42,133 @@ def hinted(df: DataFrame, few: bool) -> DataFrame:
     return F.broadcast(df) if few else df
 
 
-def tokenized(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    return docs.select(key, F.coalesce(tx.tokenize(F.col(text)), F.array().cast("array<string>")).alias("tokens"))
-
-
-def _terms(tokens: DataFrame, *carried: str) -> DataFrame:
-    """One row a token. The outer form keeps the optimiser from adding a filter on the array's
-    size, which would cut every text into tokens a second time."""
-    return tokens.select(*carried, F.explode_outer("tokens").alias("term")).where("term is not null")
-
+def term_freq(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """``key, term, tf``; a text is one row."""
+    counts = grid.term_counts(docs.select(key, text), text)
+    return counts.select(key, F.explode(F.arrays_zip("terms", "tf")).alias("x")).select(key, F.col("x.terms").alias("term"), F.col("x.tf").cast("long").alias("tf"))
 
-def term_freq(tokens: DataFrame, key: str) -> DataFrame:
-    return _terms(tokens, key).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
+def doc_freq(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``term, df``."""
+    return grid.term_counts(docs.select(text), text).select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
-def doc_freq(postings: DataFrame) -> DataFrame:
-    return postings.groupBy("term").agg(F.count("*").alias("df"))
 
-
-def doc_len(tokens: DataFrame, key: str) -> DataFrame:
-    return tokens.select(key, F.size("tokens").cast("long").alias("dl"))
+def doc_len(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    return grid.term_counts(docs.select(key, text), text).select(key, "dl")
 
 
 def corpus_stats(lengths: DataFrame) -> DataFrame:
     return lengths.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
 
 
-@dataclass
-class LexicalIndex:
-    """``postings(key, term, tf, dl)``, ``frequencies(term, df)``, ``stats(n, avgdl)``."""
+def numbered(rows: DataFrame, first_block: int = 0) -> DataFrame:
+    """``rows`` with ``block`` and ``at``: consecutive rows of a task make a block. Write them before they are read twice."""
+    place = F.monotonically_increasing_id()
+    return rows.withColumn("block", F.shiftright(place, BLOCK_BITS) + F.lit(first_block)).withColumn("at", place.bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).cast("int"))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings of the blocks of each batch; a block that two batches share makes two rows a term."""
+    for b in batches:
+        block, at, dl = (b.column(i).to_numpy() for i in range(3))
+        listed = b.column(3)
+        size = pc.list_value_length(listed).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = listed.flatten().dictionary_encode()
+        if not len(coded):
+            continue
+        rows = np.repeat(np.arange(b.num_rows), size)
+        tf, length = b.column(4).flatten().to_numpy(), dl[rows]
+        blocks, number = np.unique(block, return_inverse=True)
+        group = number[rows] * len(coded.dictionary) + coded.indices.to_numpy(zero_copy_only=False)
+        by_place, by_top = np.argsort(group, kind="stable"), np.lexsort((length, -tf, group))
+        groups, starts = np.unique(group[by_place], return_index=True)
+        bounds = np.append(starts, len(group))
+        own = np.repeat(np.arange(len(groups)), np.diff(bounds))
+        low = length[by_top] - own * (int(dl.max()) + 1)  # falls from group to group, so one running minimum serves all
+        least = np.minimum.accumulate(low)
+        top = np.ones(len(low), bool)
+        top[1:] = low[1:] < least[:-1]
+        lists = lambda values, ends: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))
+        ends = np.concatenate(([0], np.cumsum(np.bincount(own[top], minlength=len(groups)))))
+        yield pa.record_batch(
+            [
+                coded.dictionary.take(pa.array(groups % len(coded.dictionary))), pa.array(blocks[groups // len(coded.dictionary)]), pa.array(np.diff(bounds)),
+                lists(at[rows][by_place], bounds), lists(tf[by_place], bounds), lists(length[by_place], bounds), lists(tf[by_top][top], ends), lists(length[by_top][top], ends),
+            ], names=[c.split()[0] for c in POSTINGS.split(", ")],
+        )
+
+
+def postings(rows: DataFrame) -> DataFrame:
+    """Blocks of postings of ``rows(block, at, dl, terms, tf)``, sorted by term over ranges."""
+    made = rows.select("block", "at", "dl", "terms", "tf").mapInArrow(_blocks, POSTINGS)
+    return made.repartitionByRange("term", "block").sortWithinPartitions("term", "block")
 
-    key: str
-    postings: DataFrame
-    frequencies: DataFrame
-    stats: DataFrame
 
-    @classmethod
-    def build(cls, docs: DataFrame, key: str, text: str = "text") -> LexicalIndex:
-        tokens = tokenized(docs, key, text)
-        withs = _terms(tokens.withColumn("dl", F.size("tokens").cast("long")), key, "dl")
-        postings = withs.groupBy(key, "term", "dl").agg(F.count("*").alias("tf"))
-        return cls(key, postings, doc_freq(postings), corpus_stats(doc_len(tokens, key)))
+@dataclass
+class KeywordIndex:
+    """``rows(key, block, at)`` and their ``postings``, number and sum of lengths; ``gone(block, at, dl, terms)`` are rows that later
+    ones replace."""
 
-    def write(self, path: str) -> None:
-        self.postings.write.mode("overwrite").parquet(f"{path}/postings")
-        self.frequencies.write.mode("overwrite").parquet(f"{path}/frequencies")
-        self.stats.write.mode("overwrite").parquet(f"{path}/stats")
+    rows: DataFrame
+    blocks: DataFrame
+    n: int
+    tokens: int
+    gone: DataFrame | None = None
 
     @classmethod
-    def read(cls, spark, path: str, key: str) -> LexicalIndex:
-        return cls(key, *(spark.read.parquet(f"{path}/{t}") for t in ("postings", "frequencies", "stats")))
-
-
-def query_terms(queries: DataFrame) -> DataFrame:
-    """``query_id, pos, term`` of ``queries(query_id, question)``; repeats stay."""
-    return queries.select("query_id", F.posexplode(tx.tokenize(F.col("question"))).alias("pos", "term"))
-
-
-def bm25(docs: DataFrame, queries: DataFrame, key: str, text: str = "text", k1: float = K1, b: float = B, index: LexicalIndex | None = None) -> DataFrame:
-    """``query_id, key, keyword_raw`` for the documents that hold a query term; all others
-    score 0. Contributions are added within each task first; their order is free, so scores may
-    differ in the last bits from run to run."""
-    terms = query_terms(queries)
-    few = is_small(terms)  # bounds the vocabulary and whatever is joined to it below
-    vocabulary = terms.select("term").distinct()
-    if index is None:
-        # only the queries' terms are counted; lengths and statistics need every document
-        base = tokenized(docs, key, text).withColumn("dl", F.size("tokens").cast("long"))
-        hits = _terms(base, key, "dl").join(hinted(vocabulary, few), "term", "left_semi")
-        postings = hits.groupBy(key, "term", "dl").agg(F.count("*").alias("tf"))
-        stats = base.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
-        frequencies = doc_freq(postings)
-    else:
-        postings, stats = index.postings.join(hinted(vocabulary, few), "term", "left_semi"), index.stats
-        frequencies = index.frequencies.join(hinted(vocabulary, few), "term", "left_semi")
-    weighted = terms.join(frequencies, "term").crossJoin(F.broadcast(stats))  # one row of statistics
-    idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    asked = weighted.where("avgdl > 0").select("query_id", "pos", "term", "avgdl", idf.alias("idf"))
-    scale = F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))
-    part = F.col("idf") * (F.col("tf") * (k1 + 1)) / scale
-    met = postings.join(hinted(asked, few), "term").select("query_id", key, part.alias("part"))
-    return met.groupBy("query_id", key).agg(F.sum("part").alias("keyword_raw"))
+    def of(cls, rows: DataFrame, blocks: DataFrame, gone: DataFrame | None = None) -> KeywordIndex:
+        count = lambda df: tuple(df.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first())
+        (n, tokens), (m, less) = count(rows), count(gone) if gone is not None else (0, 0)
+        return cls(rows, blocks, n - m, tokens - less, gone)
+
+    def weigh(self, asked: grid.Questions) -> DataFrame:
+        """Term weights from the index' own frequencies; the blocks of the questions' terms come back, ``term`` numbered."""
+        spark = self.blocks.sparkSession
+        words = asked.vocabulary.to_pylist()
+        numbers = F.broadcast(spark.createDataFrame(list(enumerate(words)), "number int, term string"))  # a block's terms
+        mine = (self.blocks.where(F.col("term").isin(words)) if len(words) <= BROADCAST_ROWS // 1000 else self.blocks).join(numbers, "term").drop("term")
+        counts = mine.groupBy("number").agg(F.sum("n").alias("n"))
+        if self.gone is not None:
+            less = self.gone.select(F.explode("terms").alias("term")).join(numbers, "term").groupBy("number").agg((-F.count("*")).alias("n"))
+            counts = counts.unionByName(less)
+        df = np.zeros(len(words))
+        for number, n in counts.groupBy("number").agg(F.sum("n")).collect():
+            df[number] = n
+        asked.weigh(self.n, self.tokens / self.n if self.n else 0.0, df)
+        return mine
+
+    def search(self, asked: grid.Questions, k: int, digits: int | None = None, k1: float = K1, b: float = B) -> tuple[DataFrame, DataFrame]:
+        """``query_id, key, ranked, score`` of rows that hold the k best of each question, and the blocks opened (``q, block``)."""
+        spark, mine = self.blocks.sparkSession, self.weigh(asked)
+        q, number = np.nonzero(asked.repeats.T)
+        share = [float(asked.weights[t, i]) for t, i in zip(number, q, strict=True)]
+        weights = F.broadcast(spark.createDataFrame(list(zip(q.tolist(), number.tolist(), share, strict=True)), "q long, number int, weight double"))  # cells of a block of questions
+        if not asked.average > 0:
+            weights = weights.where("false")
+
+        def impact(tf: Column, dl: Column) -> Column:
+            return tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / F.lit(float(asked.average or 1.0))))
+
+        top = F.array_max(F.zip_with("top_tf", "top_dl", impact))
+        heads = mine.groupBy("number", "block").agg(F.max(top).alias("top"))
+        bounds = heads.join(weights, "number").groupBy("q", "block").agg(F.sum(F.col("weight") * F.col("top")).alias("bound"))
+        from ..sources import shared
+
+        bounds = shared.write_table(bounds, "bounds")
+        first = bounds.withColumn("i", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("bound"), "block"))).where(F.col("i") <= k).select("q", "block")
+
+        def score(pairs: DataFrame) -> DataFrame:
+            met = mine.join(pairs, "block").join(weights, ["q", "number"])
+            each = met.select("q", "block", "weight", F.explode(F.arrays_zip("at", "tf", "dl")).alias("x"))
+            part = F.col("weight") * impact(F.col("x.tf"), F.col("x.dl"))
+            out = each.groupBy("q", "block", F.col("x.at").alias("at")).agg(F.sum(part).alias("score"))
+            return out if self.gone is None else out.join(F.broadcast(self.gone.select("block", "at")) if is_small(self.gone) else self.gone.select("block", "at"), ["block", "at"], "left_anti")
+
+        found = shared.write_table(score(first), "first_blocks")
+        ranked = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score")))
+        bar = found.withColumn("i", ranked).where(F.col("i") == k).select("q", (F.col("score") - 1e-9 * F.abs("score") - (10.0**-digits if digits else 0.0)).alias("bar"))
+        rest = bounds.join(first, ["q", "block"], "left_anti").join(F.broadcast(bar), "q", "left").where(F.col("bar").isNull() | (F.col("bound") >= F.col("bar"))).select("q", "block")  # a row a question
+        rest = shared.write_table(rest, "rest_blocks")
+        able = found.unionByName(score(rest)).join(F.broadcast(bar), "q", "left").where(F.col("bar").isNull() | (F.col("score") >= F.col("bar")))
+        out = able.join(self.rows.select("block", "at", "key"), ["block", "at"]).join(F.broadcast(asked.named(spark)), "q")
+        return out.select("query_id", "key", (F.round("score", digits) if digits else F.col("score")).alias("ranked"), "score"), first.union(rest)

@@ -1,8 +1,7 @@
 """Hybrid top-k search of a batch of questions.
 
 Every chunk is scored against every question (min-max scaling sees them all), in the chunk's own
-row: see ``grid``. What moves is a minimum and a maximum for each question and task, and then at
-most k rows for each question and task.
+row and once: see ``grid``. What moves is the extremes and the k-skyband of each question and task.
 """
 
 from __future__ import annotations
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 from . import grid, lexical
 
 SEMANTIC_WEIGHT = 0.7
+FOUND = "query_id {}, rank int, key {}, score double, semantic_score double, keyword_score double"
 
 
 def minmax(value: Column, low: Column, high: Column) -> Column:
@@ -45,37 +45,32 @@ def top_k(scored: DataFrame, k: int, score: Column, *ties: str, by: str = "query
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _scored(chunks: DataFrame, queries: DataFrame, key: str, kind: str, k: int | None, digits: int | None, index: lexical.LexicalIndex | None = None, weight: float = SEMANTIC_WEIGHT, k1: float = lexical.K1, b: float = lexical.B) -> DataFrame:
-    """Block after block of questions; ``key`` is called ``key`` here."""
-
-    def block(asked: grid.Questions) -> DataFrame:
+def best(chunks: DataFrame, queries: DataFrame, k: int, key: str, kind: str = "hybrid", round_to: int | None = None, rows: DataFrame | None = None, stats: tuple[int, float] | None = None, weight: float = SEMANTIC_WEIGHT, k1: float = lexical.K1, b: float = lexical.B) -> DataFrame:
+    """``query_id, rank, key, score, semantic_score, keyword_score``: the ``k`` best chunks of each question by ``kind``
+    (``hybrid``, ``semantic``, or ``keyword``, which leaves out chunks without a term of the question). Ties go to the lesser key.
+    ``round_to`` ranks on rounded scores. ``rows`` are the chunks' counts where an index has them, and ``stats`` their
+    number and mean length; else texts are counted, once for all blocks of questions."""
+    if rows is None:
         if kind == "semantic":
-            none = F.array().cast("array<int>")
-            rows = chunks.select(F.col(key).alias("key"), F.lit(0).cast("long").alias("dl"), none.alias("term"), none.alias("tf"), F.col("embedding").cast("array<double>").alias("embedding"))
-        elif index is None:
-            rows = grid.hits(chunks, key, asked)
-            grid.weigh(rows, asked)
+            none = lambda kind: F.array().cast(kind)
+            rows = chunks.select(F.col(key).alias("key"), F.lit(0).cast("long").alias("dl"), none("array<string>").alias("terms"), none("array<int>").alias("tf"), F.col("embedding").cast("array<double>").alias("embedding"))
         else:
-            rows = grid.from_postings(chunks, key, index.postings, asked)
-            stats = index.stats.first()
-            grid.weigh(rows, asked, (stats["n"], stats["avgdl"]))
-        return grid.scores(rows, asked, kind, k, digits, weight, k1, b)
-
-    return reduce(DataFrame.unionByName, (block(grid.Questions.collect(q)) for q in grid.blocks_of(queries)))
+            rows = grid.counted(chunks, key)
 
+    def block(asked: grid.Questions) -> DataFrame:
+        if kind != "semantic":
+            grid.weigh(rows, asked, stats)
+        return grid.scores(rows, asked, kind, k, round_to, weight, k1, b)
 
-def best(chunks: DataFrame, queries: DataFrame, k: int, key: str, kind: str = "hybrid", round_to: int | None = None, **kwargs) -> DataFrame:
-    """``query_id, rank, key, score, semantic_score, keyword_score``: the ``k`` best chunks of each question by ``kind``
-    (``hybrid``, ``semantic``, or ``keyword``, which leaves out chunks without a term of the question). Ties go to the lesser key.
-    ``round_to`` ranks on rounded scores."""
-    found = top_k(_scored(chunks, queries, key, kind, k, round_to, **kwargs), k, F.col("ranked"), "key")
+    scored = reduce(DataFrame.unionByName, (block(grid.Questions.collect(q)) for q in grid.blocks_of(queries)))
+    found = top_k(scored, k, F.col("ranked"), "key")
     return found.select("query_id", "rank", F.col("key").alias(key), "score", "semantic_score", "keyword_score")
 
 
-def hybrid_scores(chunks: DataFrame, queries: DataFrame, key: str = "ordinal", **kwargs) -> DataFrame:
-    """``query_id, key, score, semantic_score, keyword_score`` for every pair of
-    ``queries(query_id, question, query_embedding)`` and ``chunks(key, text, embedding)``."""
-    return _scored(chunks, queries, key, "hybrid", None, None, **kwargs).select("query_id", F.col("key").alias(key), "score", "semantic_score", "keyword_score")
+def keyword_best(index: lexical.KeywordIndex, queries: DataFrame, k: int, round_to: int | None = None) -> DataFrame:
+    """``query_id, rank, key, score``: the ``k`` best rows of a keyword index that hold a term of the question."""
+    found = (index.search(grid.Questions.collect(q.select("query_id", "question")), k, round_to)[0] for q in grid.blocks_of(queries))
+    return top_k(reduce(DataFrame.unionByName, found), k, F.col("ranked"), "key").select("query_id", "rank", "key", "score")
 
 
 def search(chunks: DataFrame, queries: DataFrame, k: int = 5, key: str = "ordinal", round_to: int | None = None, **kwargs) -> DataFrame:

@@ -5,46 +5,75 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import chunking, evaluation, generation, search
+from ..operators import chunking, evaluation, generation, lexical, search
 from ..operators.embedding import Embedder, make_embedder
-from ..sources import tables
+from ..sources import snapshots, tables
 from ..sources.config import Settings
 
+#: Up to so many questions, the documents found are named in the filter that reads them.
+FEW = 16
 Client = Callable[[], Callable[[str, str], str]]
 
 
+def _key() -> Column:
+    """One order over the chunks of all documents."""
+    return F.struct("doc_id", "ordinal")
+
+
 @dataclass
 class Engine:
     spark: SparkSession
     settings: Settings = field(default_factory=Settings.from_env)
 
-    def ingest(self, pages: DataFrame, embedder: Embedder, provider: str = "", chunk_size: int = 1800, overlap: int = 250, source: str = "", path: str | None = None) -> dict:
+    def ingest(self, pages: DataFrame, embedder: Embedder, provider: str = "", chunk_size: int = 1800, overlap: int = 250, source: str = "", path: str | None = None, upsert: bool = False) -> dict:
         """Chunk and embed ``pages(doc_id, page_number, text)``, and write the index; its
-        metadata comes back."""
+        metadata comes back. With ``upsert`` the pages' documents replace those of the same
+        doc_id in the index, and nothing else is read or written again."""
         chunks = chunking.require_chunks(chunking.build_chunks(pages, chunk_size, overlap))
         meta = {
             "pdf": source, "ocr_lang": self.settings.ocr_lang, "ocr_dpi": self.settings.ocr_dpi, "embedding_provider": provider,
             "embedding_model": embedder.model_name, "chunk_size": chunk_size, "overlap": overlap,
         }
         path = path or self.settings.index_path
-        return tables.save_index(embedder.embed(chunks).select([f.name for f in tables.schemas.CHUNKS.fields]), path, meta)
+        return tables.save_index(embedder.embed(chunks).select([f.name for f in tables.schemas.CHUNKS.fields]), path, meta, upsert)
 
     def open_index(self, local: bool = False, path: str | None = None) -> tuple[DataFrame, Embedder]:
-        """The chunks (with one order over all documents) and the embedder that made them."""
-        meta, chunks = tables.load_index(self.spark, path or self.settings.index_path)
+        """The chunks (with one order over all documents, and their term counts) and the embedder that made them."""
+        meta, chunks = tables.open_index(self.spark, path or self.settings.index_path)
         provider = "local" if local else meta.get("embedding_provider") or self.settings.embedding_provider
         model = meta.get("embedding_model") or self.settings.embedding_model
-        return chunks.withColumn("key", F.struct("doc_id", "ordinal")), make_embedder(provider, model)
+        return chunks.withColumn("key", _key()), make_embedder(provider, model)
 
     def search(self, chunks: DataFrame, queries: DataFrame, embedder: Embedder, top_k: int | None = None, **kwargs) -> DataFrame:
-        """Ranked results of ``queries(query_id, question)``."""
+        """Ranked results of ``queries(query_id, question)``. Chunks of an index are scored by their counts and vectors; only
+        those found are read."""
         k = search.effective_top_k(top_k, self.settings.top_k)
         asked = embedder.embed(queries.select("query_id", "question"), "question", "query_embedding")
+        if "terms" in chunks.columns:
+            kwargs.setdefault("rows", chunks.select("key", "dl", "terms", "tf", "embedding"))
+            chunks = chunks.drop("dl", "terms", "tf", "block", "at")
+        if lexical.is_small(asked.select("query_id"), FEW):
+            found = search.best(chunks, asked, k, "key", **kwargs).collect()  # at most FEW * k rows
+            schema = search.FOUND.format(asked.schema["query_id"].dataType.simpleString(), chunks.schema["key"].dataType.simpleString())
+            docs = sorted({r["key"]["doc_id"] for r in found if r["key"]["doc_id"] is not None})
+            return self.spark.createDataFrame(found, schema).join(chunks.drop("embedding").where(F.col("doc_id").isin(docs)), "key")
         return search.search(chunks, asked, k, key="key", **kwargs)
 
+    def keyword_search(self, queries: DataFrame, top_k: int | None = None, path: str | None = None, round_to: int | None = None) -> DataFrame:
+        """Ranked results of ``queries(query_id, question)`` by BM25 alone, from the index' postings; blocks that can't
+        hold one of them are not opened."""
+        path = path or self.settings.index_path
+        data = snapshots.manifest(self.spark, path)
+        if not data:
+            raise FileNotFoundError(f"no index at {path}; ingest first")
+        index = snapshots.keyword_index(self.spark, path, data, _key())
+        found = search.keyword_best(index, queries, search.effective_top_k(top_k, self.settings.top_k), round_to)
+        chunks = snapshots.stored(self.spark, path, data).withColumn("key", _key()).select("key", *[c for c in tables.schemas.CHUNKS.names if c != "embedding"])
+        return found.join(chunks, "key")
+
     def ask(self, chunks: DataFrame, queries: DataFrame, embedder: Embedder, make_client: Client, top_k: int | None = None) -> DataFrame:
         """``query_id, question, context, answer, answer_error``."""
         found = self.search(chunks, queries, embedder, top_k)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import chunking, embedding, evaluation, generation, lexical, search
+from ..operators import chunking, embedding, evaluation, generation, grid, lexical, search
 from ..sources import pdf, shared, tables
 from . import report
 
@@ -89,15 +89,15 @@ def index_roundtrip(spark, d):
 
 
 def term_freq(spark, d):
-    return lexical.term_freq(lexical.tokenized(_docs(spark, d), "doc_id"), "doc_id")
+    return lexical.term_freq(shared.spread(_docs(spark, d)), "doc_id")
 
 
 def doc_freq(spark, d):
-    return lexical.doc_freq(term_freq(spark, d))
+    return lexical.doc_freq(shared.spread(_docs(spark, d)))
 
 
 def doc_len(spark, d):
-    return lexical.doc_len(lexical.tokenized(_docs(spark, d), "doc_id"), "doc_id")
+    return lexical.doc_len(shared.spread(_docs(spark, d)), "doc_id")
 
 
 def corpus_stats(spark, d):
@@ -118,6 +118,15 @@ def bm25_topk(spark, d):
     return found.select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
 
 
+def postings_topk(spark, d):
+    """The same by an index of postings, blocks of which are skipped."""
+    rows = lexical.numbered(grid.term_counts(shared.spread(_docs(spark, d).select(F.col("doc_id").alias("key"), "text"))))
+    rows = shared.write_table(rows, "index_rows")
+    index = lexical.KeywordIndex.of(rows, shared.write_table(lexical.postings(rows), "index_postings"))
+    found = search.keyword_best(index, _questions(spark, d).select("query_id", "question"), K, DIGITS)
+    return found.select("query_id", "rank", F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
 def _indexed(spark, d):
     vectors = _read(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     return _docs(spark, d).join(vectors, "doc_id", "left")
@@ -417,6 +426,7 @@ def oracle_sql() -> dict[str, str]:
         "doc_len": f"with {_TF} select doc_id, cast(len(t) as bigint) as dl from tok",
         "corpus_stats": f"with {_TF} select count(*) as n, round(avg(len(t)), 6) as avgdl from tok",
         "bm25_topk": f"with {_BM25} select query_id, cast(rank as int) as rank, doc_id, round(kw, 6) as score from (select *, row_number() over (partition by query_id order by round(kw, {DIGITS}) desc, doc_id) as rank from bm) where rank <= {K}",
+        "postings_topk": f"with {_BM25} select query_id, cast(rank as int) as rank, doc_id, round(kw, 6) as score from (select *, row_number() over (partition by query_id order by round(kw, {DIGITS}) desc, doc_id) as rank from bm) where rank <= {K}",
         "cosine_topk": f"with q as (select item_id as query_id, cast(embedding as double[]) as qv from benchmark join embeddings on vec_id = item_id), e as (select vec_id, cast(embedding as double[]) as v from embeddings), g as (select query_id, vec_id, {_COS.format(a='v', b='qv')} as s from q cross join e), r as (select *, row_number() over (partition by query_id order by round(s, {DIGITS}) desc, vec_id) as rank from g) select query_id, cast(rank as int) as rank, vec_id, round(s, 6) as score from r where rank <= {K}",
         "minmax_scores": "select vec_id, label, round(case when hi = lo then 0.0 else (x - lo) / (hi - lo) end, 6) as scaled from (select vec_id, label, x, min(x) over (partition by label) as lo, max(x) over (partition by label) as hi from (select vec_id, label, cast(embedding[1] as double) as x from embeddings))",
         "hybrid_topk": f"with {_HYBRID} select query_id, cast(rank as int) as rank, doc_id, round(score, 6) as score, round(s, 6) as semantic_score, round(k, 6) as keyword_score from hybrid",
@@ -449,7 +459,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         hybrid_topk, norm_text, tokenize, clean_text, short_text, paragraphs, pack_chunks, split_windows, article_carry, chunks, index_roundtrip,
-        term_freq, doc_freq, doc_len, corpus_stats, bm25_topk, cosine_topk, minmax_scores, hash_embed, hash_embed_md5, citations, context_blocks,
+        term_freq, doc_freq, doc_len, corpus_stats, bm25_topk, postings_topk, cosine_topk, minmax_scores, hash_embed, hash_embed_md5, citations, context_blocks,
         offline_answers, evidence_rank, rule_checks, case_lines, eval_summary, eval_breakdown, page_quality, usable_text_layers,
         image_numbers, page_cache, quality_lines, report_metrics, wire_rows, prompts, answer_errors, default_topk, first_cases,
     )

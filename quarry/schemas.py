@@ -18,6 +18,9 @@ CASES = _struct(
     ordinal=_i, id=_s, question=_s, category=_s, difficulty=_s, answerable=_b,
     expected_citations=T.ArrayType(EVIDENCE), expected_keywords=T.ArrayType(_s), expected_answer_points=T.ArrayType(_s),
 )
+COUNTS = _struct(dl=T.LongType(), terms=T.ArrayType(_s), tf=T.ArrayType(_i))
+STORED = T.StructType([*CHUNKS.fields, *COUNTS.fields, *_struct(block=T.LongType(), at=_i).fields])
+GONE = _struct(doc_id=_s, block=T.LongType(), at=_i, dl=T.LongType(), terms=T.ArrayType(_s))
 INDEX_META = _struct(
     pdf=_s, ocr_lang=_s, ocr_dpi=_i, embedding_provider=_s, embedding_model=_s, chunk_size=_i, overlap=_i,
     created_at=_s, chunk_count=T.LongType(),

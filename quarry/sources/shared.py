@@ -9,6 +9,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+SMALL_BYTES = 1 << 30
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -34,7 +35,25 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     """``df``, written and read back: computed once, however often it is read."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._quarry_path = path
+    return out
+
+
+def drop_table(df: DataFrame) -> None:
+    """Remove a table of ``write_table`` that no later plan reads."""
+    path = getattr(df, "_quarry_path", None)
+    if path:
+        where = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def spread(df: DataFrame, below: int = SMALL_BYTES) -> DataFrame:
+    """``df``, dealt out to all cores if the optimiser takes it to be smaller than ``below``: one row group
+    is one task, and a small file has no more. Larger inputs have row groups enough."""
+    if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) >= below:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
 @atexit.register

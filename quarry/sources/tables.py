@@ -11,11 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas
-from .pdf import _exists
+from . import snapshots
 
 _PAGE = T.StructType([f for f in schemas.PAGES.fields if f.name != "doc_id"])
 _CHUNK = T.StructType([f for f in schemas.CHUNKS.fields if f.name not in ("doc_id", "ordinal")])
-_META = T.StructType([f for f in schemas.INDEX_META.fields])
 
 
 def write_json(path: str | Path, data: object) -> Path:
@@ -70,22 +69,24 @@ def _now() -> str:
     return datetime.now(UTC).isoformat()
 
 
-def save_index(chunks: DataFrame, path: str, metadata: dict) -> dict:
-    """Chunks with their vectors, and one row of metadata with the time and chunk count."""
-    chunks.write.mode("overwrite").parquet(f"{path}/chunks")
-    spark = chunks.sparkSession
-    full = {**metadata, "created_at": _now(), "chunk_count": spark.read.parquet(f"{path}/chunks").count()}
-    row = tuple(full.get(f.name) for f in _META.fields)
-    spark.createDataFrame([row], _META).write.mode("overwrite").parquet(f"{path}/meta")
-    return full
+def save_index(chunks: DataFrame, path: str, metadata: dict, upsert: bool = False) -> dict:
+    """Chunks with their vectors, term counts and postings, and metadata with the time and chunk count, as the next
+    snapshot at ``path``; with ``upsert``, documents of other doc_ids stay as they are."""
+    return snapshots.write(chunks, path, {k: metadata.get(k) for k in (f.name for f in schemas.INDEX_META.fields)}, _now(), upsert)
 
 
 def load_index(spark: SparkSession, path: str) -> tuple[dict, DataFrame]:
-    """(metadata, chunks)."""
-    if not _exists(spark, f"{path}/chunks"):
+    """(metadata, chunks) of the newest snapshot."""
+    meta, rows = open_index(spark, path)
+    return meta, rows.select([f.name for f in schemas.CHUNKS.fields])
+
+
+def open_index(spark: SparkSession, path: str) -> tuple[dict, DataFrame]:
+    """(metadata, chunks with their term counts) of the newest snapshot."""
+    data = snapshots.manifest(spark, path)
+    if not data:
         raise FileNotFoundError(f"no index at {path}; ingest first")
-    meta = spark.read.schema(_META).parquet(f"{path}/meta").first()
-    return (meta.asDict() if meta else {}), spark.read.schema(schemas.CHUNKS).parquet(f"{path}/chunks")
+    return data["metadata"], snapshots.stored(spark, path, data)
 
 
 def export_index_json(spark: SparkSession, path: str, out: str | Path) -> Path:

@@ -8,7 +8,7 @@ from quarry.operators import evaluation, generation
 from quarry.operators.embedding import LocalHashEmbedder
 from quarry.plans import report
 from quarry.plans.engine import Engine
-from quarry.sources import config, pdf, tables
+from quarry.sources import config, pdf, snapshots, tables
 from quarry.streaming import ingest as streaming
 
 PAGES = [
@@ -178,6 +178,71 @@ def test_an_empty_ingest_leaves_the_index(spark, engine, pages):
     assert engine.open_index()[0].count() == 2
 
 
+def found(engine, question, **kw):
+    chunks, embedder = engine.open_index()
+    asked = engine.spark.createDataFrame([("q", question)], "query_id string, question string")
+    return [(r["doc_id"], r["page_start"], r["text"][:9]) for r in engine.search(chunks, asked, embedder, **kw).orderBy("rank").collect()]
+
+
+def test_upsert_writes_the_documents_that_changed_only(spark, engine, pages):
+    embedder, path = LocalHashEmbedder(), engine.settings.index_path
+    other = spark.createDataFrame([("rules", 1, "Điều 9. Nghỉ phép\nNghỉ phép của người khác là chín ngày.")], pages.schema)
+    engine.ingest(pages.union(other), embedder, "local")
+    part = snapshots.manifest(spark, path)["parts"][0]
+    stamp = {f: f.stat().st_mtime_ns for f in (Path(path) / part["name"]).rglob("*.parquet")}
+    new = spark.createDataFrame([("law", 1, "Điều 3. Lương\nLương hai bên định ra."), ("more", 7, "Nghỉ phép có thêm.")], pages.schema)
+    assert engine.ingest(new, embedder, "local", upsert=True)["chunk_count"] == 3
+    assert stamp == {f: f.stat().st_mtime_ns for f in (Path(path) / part["name"]).rglob("*.parquet")}
+    data = snapshots.manifest(spark, path)
+    assert [(p["chunks"], p["gone"]) for p in data["parts"]] == [(3, 0), (2, 2)] and data["version"] == 2
+    whole = Engine(spark, config.Settings(storage_dir=engine.settings.storage_dir + "-whole"))
+    whole.ingest(new.union(other), embedder, "local")
+    asked = spark.createDataFrame([("a", "nghỉ phép"), ("b", "lương chín ngày")], "query_id string, question string")
+    ranked = lambda df: sorted((r["query_id"], r["rank"], r["doc_id"], round(r["score"], 9)) for r in df.collect())
+    both = [(e, e.open_index()[0]) for e in (engine, whole)]
+    assert len({str(ranked(e.search(c, asked, embedder))) for e, c in both}) == 1
+    assert len({str(ranked(e.keyword_search(asked))) for e, _ in both}) == 1  # frequencies and mean length leave out what is gone
+    assert [x[0] for x in found(engine, "nghỉ phép", top_k=1)] == ["more"]
+    assert snapshots.vacuum(spark, path, keep=1) == [] and engine.open_index()[0].count() == 3
+    engine.ingest(new, embedder, "local")
+    assert len(snapshots.vacuum(spark, path, keep=1)) == 2 and engine.open_index()[0].count() == 2
+
+
+def test_a_write_that_fails_leaves_the_old_index(spark, engine, pages, monkeypatch):
+    engine.ingest(pages, LocalHashEmbedder(), "local")
+    before = found(engine, "nghỉ phép")
+
+    def fails(rows):
+        raise OSError("disk full")
+
+    monkeypatch.setattr(snapshots.lexical, "postings", fails)
+    with pytest.raises(OSError):
+        engine.ingest(pages.where("page_number = 1"), LocalHashEmbedder(), "local")
+    assert found(engine, "nghỉ phép") == before and len(before) == 2
+    monkeypatch.undo()
+    commit = snapshots._commit
+    monkeypatch.setattr(snapshots, "_commit", lambda spark, path, data: commit(spark, path, {**data, "version": 1}))
+    with pytest.raises(RuntimeError):  # another writer was first
+        engine.ingest(pages.where("page_number = 1"), LocalHashEmbedder(), "local")
+    assert found(engine, "nghỉ phép") == before
+
+
+def test_search_reads_no_text(spark, engine, pages, monkeypatch):
+    from quarry.operators import grid
+
+    engine.ingest(pages, LocalHashEmbedder(), "local")
+    plans, hybrid = [], grid.hybrid
+
+    def watched(rows, *a):
+        plans.append(rows.select("key", "dl", "terms", "tf", "embedding")._jdf.queryExecution().executedPlan().toString())
+        return hybrid(rows, *a)
+
+    monkeypatch.setattr(grid, "hybrid", watched)
+    monkeypatch.setattr(grid, "counted", lambda *a: 1 / 0)
+    assert found(engine, "Thử việc", top_k=1) == [("law", 1, "Điều 1. T")]
+    assert "ReadSchema" in plans[0] and "text:string" not in plans[0]
+
+
 def test_the_cases_that_come_along(spark):
     path = Path(__file__).parents[1] / "eval/test_cases.yaml"
     assert tables.load_cases(spark, path).where("not answerable").count() == 2

@@ -1,10 +1,14 @@
 import hashlib
 import math
+import os
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import lexical, search
+from quarry.functions.text import tokenize
+from quarry.operators import grid, lexical, search
 from quarry.operators.embedding import LocalHashEmbedder, NativeHashEmbedder, RemoteEmbedder, cosine, make_embedder
 
 CHUNKS = [
@@ -54,16 +58,98 @@ def bm25(docs, query, k1=1.5, b=0.75):
     return out
 
 
+def keyword_index(spark, df, tmp_path, block_bits=None):
+    rows = lexical.numbered(grid.term_counts(df.withColumnRenamed("ordinal", "key")))
+    if block_bits is not None:
+        rows = rows.withColumn("at", (F.col("key") % (1 << block_bits)).cast("int")).withColumn("block", F.col("key") / (1 << block_bits)).withColumn("block", F.col("block").cast("long"))
+    rows.write.mode("overwrite").parquet(f"{tmp_path}/rows")
+    rows = spark.read.parquet(f"{tmp_path}/rows")
+    lexical.postings(rows).write.mode("overwrite").parquet(f"{tmp_path}/postings")
+    return lexical.KeywordIndex.of(rows, spark.read.parquet(f"{tmp_path}/postings"))
+
+
 def test_bm25_counts_repeated_query_terms_and_empty_documents(spark, tmp_path):
     docs = ["a b a c", "b c d", "", "a"]
-    df = spark.createDataFrame(list(enumerate(docs)), "ordinal int, text string")
+    df = spark.createDataFrame(list(enumerate(docs)), "ordinal int, text string").coalesce(1)
     q = spark.createDataFrame([(0, "a b a zz")], "query_id int, question string")
-    want = bm25([d.split() for d in docs], "a b a zz".split())
-    index = lexical.LexicalIndex.build(df, "ordinal")
-    index.write(str(tmp_path))
-    for ix in (None, index, lexical.LexicalIndex.read(spark, str(tmp_path), "ordinal")):
-        got = {r["ordinal"]: r["keyword_raw"] for r in lexical.bm25(df, q, "ordinal", index=ix).collect()}
-        assert got == {i: pytest.approx(s) for i, s in enumerate(want) if s}
+    want = {i: pytest.approx(s) for i, s in enumerate(bm25([d.split() for d in docs], "a b a zz".split())) if s}
+    assert {r["ordinal"]: r["score"] for r in search.best(df, q, 9, "ordinal", "keyword").collect()} == want
+    assert {r["key"]: r["score"] for r in search.keyword_best(keyword_index(spark, df, tmp_path), q, 9).collect()} == want
+    none = search.keyword_best(keyword_index(spark, df.limit(0), tmp_path), q, 9)
+    assert none.count() == 0 and search.keyword_best(keyword_index(spark, df, tmp_path), q.limit(0), 9).count() == 0
+
+
+def test_blocks_that_cannot_matter_are_not_opened(spark, tmp_path):
+    rnd = random.Random(4)
+    docs = [" ".join(rnd.choice("common words all over the place".split()) for _ in range(rnd.randrange(1, 30))) + (" rare" * (i % 97 == 0)) + (" odd" * (i // 64 == 7)) for i in range(2048)]
+    df = spark.createDataFrame(list(enumerate(docs)), "ordinal int, text string").coalesce(3)
+    index = keyword_index(spark, df, tmp_path, block_bits=5)
+    q = spark.createDataFrame([(0, "rare common"), (1, "odd place"), (2, "the the nothing"), (3, "nothing")], "query_id int, question string")
+    asked = grid.Questions.collect(q)
+    opened = {r["q"]: r["n"] for r in index.search(asked, 3, 9)[1].groupBy("q").agg(F.count("*").alias("n")).collect()}
+    by_id = {asked.ids[i].as_py(): n for i, n in opened.items()}
+    assert by_id[0] <= 22 and by_id[1] <= 4 and by_id[2] < 64 and 3 not in by_id  # of 64 blocks, all of which hold a term
+    got = {(r["query_id"], r["rank"]): (r["key"], pytest.approx(r["score"])) for r in search.keyword_best(index, q, 3, 9).collect()}
+    for i, question in enumerate(["rare common", "odd place", "the the nothing", "nothing"]):
+        scores = bm25([d.split() for d in docs], question.split())
+        best = [x for x in sorted(range(len(docs)), key=lambda x: (-round(scores[x], 9), x)) if scores[x]][:3]
+        assert [got[i, r + 1] for r in range(len(best))] == [(x, scores[x]) for x in best] and (i, len(best) + 1) not in got
+
+
+def test_bands_hold_the_best_of_any_scaling():
+    rnd = np.random.default_rng(6)
+    for trial in range(40):
+        n, k = int(rnd.integers(1, 1500)), int(rnd.integers(1, 7))
+        s, w = np.round(rnd.normal(size=n), int(rnd.integers(0, 4))), np.round(rnd.exponential(size=n) * (rnd.random(n) < 0.7), int(rnd.integers(0, 4)))
+        keys = rnd.permutation(n).tolist()
+        parts = [grid.Band(k, (2.02e-9, 1e-8)) for _ in range(3)]
+        for part, own in zip(parts, np.array_split(np.arange(n), 3), strict=True):
+            for at in range(0, len(own), 200):
+                x = own[at : at + 200]
+                x = x[~grid._under(s[x, None], w[x, None], [part])[:, 0]]
+                if len(x):
+                    part.add(s[x], w[x], [keys[i] for i in x])
+        held = {key for part in parts for key in part.keys}
+        for weight in (0.7, 0.01, 0.99):
+            score = np.round((s - s.min()) / 2 * weight + (w - w.min()) / max(w.max(), 1) * (1 - weight), 9)
+            assert {keys[i] for i in sorted(range(n), key=lambda i: (-score[i], keys[i]))[:k]} <= held
+        assert sum(len(p.s) for p in parts) <= n
+
+
+def test_hybrid_ties_and_extremes_over_many_tasks(spark):
+    rnd = random.Random(9)
+    rows = [(i, " ".join(rnd.choice("a b c d e".split()) for _ in range(i % 4)), None if i % 7 == 0 else [float(rnd.randrange(-2, 3)), float(rnd.randrange(-2, 3))]) for i in range(400)]
+    df = spark.createDataFrame(rows, "key int, text string, embedding array<double>").repartition(7)
+    q = spark.createDataFrame([(0, "a b b", [1.0, 0.5]), (1, "e", None), (2, None, [0.0, 1.0]), (3, "zz", [0.0, 0.0])], "query_id int, question string, query_embedding array<double>")
+    got = search.best(df, q, 6, "key", round_to=9).collect()
+    for query, question, vector in [tuple(r) for r in q.collect()]:
+        cos = [0.0 if not v or not vector or not any(v) or not any(vector) else sum(x * y for x, y in zip(v, vector, strict=True)) / math.hypot(*v) / math.hypot(*vector) for _, _, v in rows]
+        kw = bm25([t.split() for _, t, _ in rows], (question or "").split())
+        scale = lambda xs: [0.0 if max(xs) == min(xs) else (x - min(xs)) / (max(xs) - min(xs)) for x in xs]
+        total = [0.7 * a + 0.3 * b for a, b in zip(scale(cos), scale(kw), strict=True)]
+        best = sorted(range(len(rows)), key=lambda i: (-round(total[i], 9), i))[:6]
+        assert [(r["key"], r["score"]) for r in sorted((r for r in got if r["query_id"] == query), key=lambda r: r["rank"])] == [(i, pytest.approx(total[i])) for i in best]
+
+
+def test_blocks_of_questions_are_bounded_by_their_terms(spark):
+    q = spark.range(3000).selectExpr("id as query_id", "'one two' as question")
+    assert len(list(grid.blocks_of(q))) == 3
+    long = spark.range(64).selectExpr("id as query_id", "array_join(transform(sequence(1, 20000), x -> concat('w', x * (id + 1))), ' ') as question")
+    blocks = list(grid.blocks_of(long))
+    assert len(blocks) >= 3 and sum(b.count() for b in blocks) == 64
+
+
+def test_hash_embedder_equals_hashlib_over_a_table(spark):
+    path = "/root/testdata/sf0.001/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test data")
+    docs = spark.read.parquet(path).select("doc_id", tokenize(F.col("text")).alias("tokens"), "text")
+    for r in LocalHashEmbedder().embed(docs).collect():
+        want = np.zeros(256)
+        for t in r["tokens"]:
+            v = int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "big")
+            want[v % 256] += -1 if v & 1 else 1
+        assert np.allclose(r["embedding"], want / (np.sqrt((want * want).sum()) or 1), atol=1e-12)
 
 
 def test_cosine_guards(spark):
