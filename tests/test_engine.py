@@ -1,4 +1,5 @@
 import json
+import uuid
 from pathlib import Path
 
 import pytest
@@ -125,48 +126,119 @@ def test_settings(monkeypatch, tmp_path):
         config.find_default_pdf(tmp_path)
 
 
+class Counted:
+    """Readers that note their calls in a folder, for tasks have no other way to tell."""
+
+    def __init__(self, folder, broken=None):
+        folder.mkdir(exist_ok=True)
+        self.folder, self.readers = folder, _counting(str(folder), broken)
+
+    def calls(self, kind):
+        return sorted(p.name.split("_")[1:-2] for p in self.folder.glob(f"{kind}_*"))
+
+
+def _counting(folder, broken):
+    def note(kind, *what):
+        from pyspark import TaskContext
+
+        Path(folder, "_".join([kind, *map(str, what), f"t{TaskContext.get().partitionId()}", uuid.uuid4().hex])).touch()
+
+    def count(file):
+        note("count")
+        return int(file.read().split()[1])
+
+    def text(file, pages):
+        name = file.read().split()[0].decode()
+        note("text", name, *pages)
+        return [("x" * 400 if name == "good" else "") for _ in pages]
+
+    def render(file, pages, dpi):
+        name = file.read().split()[0].decode()
+        note("render", name, *pages)
+        if broken in pages:
+            raise ValueError("no paper")
+        return [f"{name} {p} {dpi}".encode() for p in pages]
+
+    def ocr(image, lang):
+        note("ocr", *image.decode().split())
+        return f"{lang} {image.decode()}" + " y" * 60 * (int(image.split()[1]) % 2)
+
+    return pdf.Readers(count, text, render, ocr)
+
+
 def test_pdf_fallback_and_cache(spark, tmp_path):
-    folder = tmp_path / "in"
+    folder, cache = tmp_path / "in", str(tmp_path / "cache")
     folder.mkdir()
-    (folder / "good.pdf").write_bytes(b"good")
-    (folder / "scan.pdf").write_bytes(b"scan")
-    read_text = lambda data: ["x" * 400] * 3 if data == b"good" else ["", "", ""]
-    read_ocr = lambda data: ["short", "y" * 90]
-    load = lambda **kw: pdf.load_or_extract(spark, str(folder), str(tmp_path / "cache"), read_text=read_text, read_ocr=read_ocr, **kw)
-    got = load().orderBy("doc_id", "page_number").collect()
+    (folder / "good.pdf").write_bytes(b"good 3")
+    (folder / "scan.pdf").write_bytes(b"scan 2")
+    seen = Counted(tmp_path / "calls")
+    load = lambda **kw: pdf.load_or_extract(spark, str(folder), cache, readers=seen.readers, **kw)
+    got = load(lang="eng").orderBy("doc_id", "page_number").collect()
     assert [(r["doc_id"][-8:], r["page_number"], r["source"], r["warnings"]) for r in got] == [
         ("good.pdf", 1, "pdf_text_layer", []), ("good.pdf", 2, "pdf_text_layer", []), ("good.pdf", 3, "pdf_text_layer", []),
-        ("scan.pdf", 1, "tesseract_ocr", ["low_ocr_text"]), ("scan.pdf", 2, "tesseract_ocr", []),
+        ("scan.pdf", 1, "tesseract_ocr", []), ("scan.pdf", 2, "tesseract_ocr", ["low_ocr_text"]),
     ]
-    boom = lambda data: 1 / 0
-    again = pdf.load_or_extract(spark, str(folder), str(tmp_path / "cache"), read_text=boom, read_ocr=boom)
-    assert again.count() == 5
-    assert cli.ocr_summary(again) == ["Pages: 5 | characters: 1295", "Warning: little text on pages 1"]
-    assert {r["source"] for r in load(force_ocr=True).collect()} == {"tesseract_ocr"}
-
+    assert got[4]["text"] == "eng scan 2 220"
+    before = {k: seen.calls(k) for k in ("count", "text", "render", "ocr")}
+    assert before["text"] == [["good", "1", "2", "3"], ["scan", "1", "2"]] and before["render"] == [["scan", "1", "2"]]
+    (folder / "copy.pdf").write_bytes(b"scan 2")  # the same content under another name
+    again = load(lang="eng")
+    assert again.count() == 7 and before == {k: seen.calls(k) for k in before}
+    assert cli.ocr_summary(again.where("doc_id not like '%copy%'")) == [f"Pages: 5 | characters: {1200 + len(got[3]['text']) + len(got[4]['text'])}", "Warning: little text on pages 2"]
+    (folder / "new.pdf").write_bytes(b"new 1")
+    assert load(lang="eng").count() == 8
+    assert len(seen.calls("count")) == 3 and seen.calls("text")[1:2] == [["new", "1"]] and len(seen.calls("render")) == 2
+    assert load(lang="fra").where("text like 'fra%'").count() == 5 and len(seen.calls("render")) == 2  # images serve another language
+    assert {r["source"] for r in load(force_ocr=True, lang="eng").collect()} == {"tesseract_ocr"}
+    assert len(seen.calls("render")) == 5 and load(lang="eng").count() == 8
+    meta = spark.read.parquet(f"{cache}/meta").orderBy("created_at").collect()
+    assert [r["page_count"] for r in meta] == [5, 7, 8, 8, 8, 8] and meta[0]["pdf"] == str(folder)
+
+
+def test_a_long_scan_is_many_tasks_and_goes_on_where_it_stopped(spark, tmp_path):
+    folder, cache = tmp_path / "in", str(tmp_path / "cache")
+    folder.mkdir()
+    (folder / "scan.pdf").write_bytes(b"scan 23")
+    seen = Counted(tmp_path / "calls", broken=5)
+    kw = dict(pages_a_range=4, ranges_a_wave=2, prefer_text_layer=False)
+    with pytest.raises(Exception, match="no paper"):
+        pdf.load_or_extract(spark, str(folder), cache, readers=seen.readers, **kw)
+    done = {r["page"] for r in spark.read.schema(pdf.PageStore.ROWS).parquet(f"{cache}/rows").collect()}
+    assert 0 < len(done) < 23
+    mended = Counted(tmp_path / "calls2")
+    assert pdf.load_or_extract(spark, str(folder), cache, readers=mended.readers, **kw).count() == 23
+    rendered = [int(p) for call in mended.calls("render") for p in call[1:]]
+    assert sorted(rendered) == sorted(set(range(1, 24)) - done) and len(mended.calls("ocr")) == 23
+    whole = Counted(tmp_path / "calls3")
+    assert pdf.load_or_extract(spark, str(folder), cache + "2", readers=whole.readers, pages_a_range=4, prefer_text_layer=False).count() == 23
+    assert len(whole.calls("render")) == 6 and max(len(c) for c in whole.calls("render")) == 5
+    assert len({p.name.split("_")[-2] for p in (tmp_path / "calls3").glob("render_*")}) == 6  # as many tasks
+
+
+def test_pages_are_rendered_by_range_in_the_tasks_folder(monkeypatch):
+    from io import BytesIO
 
-def test_ocr_renders_in_the_tasks_folder(monkeypatch):
     made = []
 
     def run(command):
+        made.append(command)
         if command[0] == "pdftoppm":
-            assert Path(command[4]).read_bytes() == b"pdf" and command[3] == "200"
-            for n in (10, 9):
-                Path(f"{command[5]}-{n}.png").touch()
-        else:
-            made.append(command)
-            return Path(command[1]).name
-        return ""
+            assert Path(command[8]).read_bytes() == b"pdf" and command[3] == "200"
+            for n in range(int(command[5]), int(command[7]) + 1):
+                Path(f"{command[9]}-{n:02d}.png").write_bytes(b"%d" % n)
+            return ""
+        return Path(command[1]).read_bytes().decode()
 
     monkeypatch.setattr(pdf, "run_command", run)
     monkeypatch.setattr(pdf, "command_exists", lambda name: True)
-    assert pdf.ocr_texts(200, "eng")(b"pdf") == ["p-9.png", "p-10.png"] and made[0][4] == "eng"
+    assert pdf.rendered(BytesIO(b"pdf"), [9, 10, 12], 200) == [b"9", b"10", b"12"] and len(made) == 2
+    assert pdf.ocr_image(b"seen", "eng") == "seen" and made[-1][3:5] == ["-l", "eng"]
     monkeypatch.setattr(pdf, "run_command", lambda command: "")
     with pytest.raises(RuntimeError):
-        pdf.ocr_texts(200, "eng")(b"pdf")
+        pdf.rendered(BytesIO(b"pdf"), [1], 200)
     monkeypatch.setattr(pdf, "command_exists", lambda name: False)
     with pytest.raises(RuntimeError):
-        pdf.ocr_image("x.png", "eng")
+        pdf.ocr_image(b"x", "eng")
 
 
 def test_an_empty_ingest_leaves_the_index(spark, engine, pages):
