@@ -24,6 +24,7 @@ def build_parser() -> argparse.ArgumentParser:
     p.add_argument("--chunk-size", type=int, default=1800)
     p.add_argument("--overlap", type=int, default=250)
     p.add_argument("--local-embeddings", action="store_true")
+    p.add_argument("--add", action="store_true", help="keep the index' other documents, and replace those of the same name")
     p.set_defaults(run=ingest)
     p = commands.add_parser("ask", help="answer a question from the index")
     p.add_argument("question")
@@ -61,7 +62,7 @@ def ingest(args: argparse.Namespace, engine: Engine) -> None:
         pages = pdf.load_or_extract(engine.spark, source, s.pages_path, s.ocr_dpi, s.ocr_lang, args.force_ocr)
         print(*ocr_summary(pages), sep="\n")
     provider = "local" if args.local_embeddings else s.embedding_provider
-    meta = engine.ingest(pages, make_embedder(provider, s.embedding_model), provider, args.chunk_size, args.overlap, source)
+    meta = engine.ingest(pages, make_embedder(provider, s.embedding_model, engine.replies(64)), provider, args.chunk_size, args.overlap, source, upsert=args.add)
     print(f"Index: {s.index_path} ({meta['chunk_count']} chunks, {provider}/{meta['embedding_model']})")
 
 
@@ -70,10 +71,10 @@ def ask(args: argparse.Namespace, engine: Engine) -> None:
     queries = engine.spark.createDataFrame([("q", args.question)], "query_id string, question string")
     found = engine.search(chunks, queries, embedder, args.top_k).cache()
     if args.show_context or args.retrieve_only:
-        print("=== Context ===", *(r["context"] for r in generation.contexts(found, 900).collect()), "", sep="\n")
+        print("Passages found:", *(r["context"] for r in generation.contexts(found, 900).collect()), "", sep="\n")
     if not args.retrieve_only:
         client = generation.openai_client(engine.settings.chat_model, engine.settings.max_output_tokens)
-        row = generation.answers(queries.join(generation.contexts(found), "query_id", "left"), client).first()
+        row = generation.answers(queries.join(generation.contexts(found), "query_id", "left"), client, engine.replies(), engine.answer_kind()).first()
         if row["answer_error"]:
             raise RuntimeError(row["answer_error"])
         print(row["answer"])
@@ -83,13 +84,13 @@ def evaluate(args: argparse.Namespace, engine: Engine) -> None:
     chunks, embedder = engine.open_index(args.local_embeddings)
     k = search.effective_top_k(args.top_k, engine.settings.top_k)
     client = None if args.skip_generation else generation.openai_client(engine.settings.chat_model, engine.settings.max_output_tokens)
-    rows = engine.evaluate(chunks, tables.load_cases(engine.spark, args.cases), embedder, client, k, args.limit).cache()
+    rows = engine.evaluate(chunks, tables.load_cases(engine.spark, args.cases), embedder, client, k, args.limit, replies=engine.replies() if client else None).cache()
     listed = report.report_rows(rows)
     for i, r in enumerate(listed, 1):
         print(f"[{i}/{len(listed)}] {r['case']['id']}: {r['case']['question']}", r["console"], sep="\n")
     summary = evaluation.summary(rows, k).first().asDict()
     made = report.save_reports(engine.settings.reports_dir, listed, summary, k, args.report_prefix)
-    print("\n=== Summary ===", *(f"{key}: {value}" for key, value in summary.items()), "\nReports:", *(f"- {p}" for p in made), sep="\n")
+    print("\nFigures over all cases:", *(f"{key}: {value}" for key, value in summary.items()), "\nReports:", *(f"- {p}" for p in made), sep="\n")
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:

@@ -61,20 +61,24 @@ def split_long(text: Column, max_chars: int, overlap: int) -> Column:
 
 
 def paragraph_rows(pages: DataFrame, spellings=tx.ARTICLE_SPELLINGS, name: str = tx.ARTICLE_NAME) -> DataFrame:
-    """``doc_id, page_number, para_idx, para, current``: paragraphs with the article that is
-    running after each (null before the first header); state crosses pages, not documents."""
-    cleaned = pages.select("doc_id", "page_number", tx.clean_text(F.coalesce("text", F.lit(""))).alias("text")).where("text <> ''")
-    paras = cleaned.select("doc_id", "page_number", F.posexplode(tx.paragraphs(F.col("text"))).alias("para_idx", "para"))
-    upto = Window.partitionBy("doc_id").orderBy("page_number", "para_idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = paras.withColumn("found", tx.last_article(F.col("para"), spellings=spellings, name=name))
-    return found.withColumn("current", F.last("found", ignorenulls=True).over(upto)).drop("found")
+    """``doc_id, page_number, para_idx, current``: paragraphs' places with the article that is
+    running after each (null before the first header); state crosses pages, not documents. Within a page it is found in the page's
+    own row; windows see one slim row a page."""
+    cleaned = shared.spread(pages).select("doc_id", "page_number", tx.clean_text(F.coalesce("text", F.lit(""))).alias("text")).where("text <> ''")
+    found = F.transform(tx.paragraphs(F.col("text")), lambda p: tx.last_article(p, spellings=spellings, name=name))
+    made = shared.write_table(cleaned.select("doc_id", "page_number", found.alias("found")), "headers")
+    last = F.try_element_at(F.filter("found", lambda x: x.isNotNull()), F.lit(-1))
+    before = Window.partitionBy("doc_id").orderBy("page_number").rowsBetween(Window.unboundedPreceding, -1)
+    carried = made.select("doc_id", "page_number", last.alias("last")).select("doc_id", "page_number", F.last("last", ignorenulls=True).over(before).alias("carried"))
+    none = F.array().cast("array<struct<article:string,title:string>>")
+    running = F.aggregate("found", F.struct(F.col("carried").alias("now"), none.alias("all")), lambda a, x: F.struct(F.coalesce(x, a["now"]).alias("now"), F.array_append(a["all"], F.coalesce(x, a["now"])).alias("all")), lambda a: a["all"])
+    rows = made.join(carried, ["doc_id", "page_number"]).select("doc_id", "page_number", F.posexplode(running).alias("para_idx", "current"))
+    return rows
 
 
-def build_chunks(pages: DataFrame, max_chars: int = 1800, overlap: int = 250, spellings=tx.ARTICLE_SPELLINGS, name: str = tx.ARTICLE_NAME, lookahead: bool = True) -> DataFrame:
-    """Chunks of ``pages(doc_id, page_number, text)``: ``doc_id, ordinal, id, text,
-    page_start, page_end, article, title``. ``lookahead=False`` gives a flushed group the
-    article of its own last paragraph instead of that of the paragraph that flushed it. A page
-    is one row: the (doc_id, page_number) pairs must differ."""
+def page_parts(pages: DataFrame, max_chars: int = 1800, overlap: int = 250, spellings=tx.ARTICLE_SPELLINGS, name: str = tx.ARTICLE_NAME, lookahead: bool = True) -> DataFrame:
+    """``doc_id, page_number, last, parts`` of each page that has text: its chunks (``text, own``, the article if the page tells) and its
+    last article. What a page can't tell comes from the pages before it."""
     check_window(max_chars, overlap)
     header = lambda x: tx.last_article(x, spellings=spellings, name=name)
     none = F.lit(None).cast("struct<article:string,title:string>")
@@ -91,11 +95,12 @@ def build_chunks(pages: DataFrame, max_chars: int = 1800, overlap: int = 250, sp
     groups = found.select("doc_id", "page_number", F.coalesce(last(F.col("found")), none).alias("last"), F.transform(spans(F.col("starts"), F.size("paras")), group).alias("groups"))
     headed = groups.withColumn("groups", F.transform("groups", lambda g: F.struct(F.coalesce(header(g["text"]), g["running"]).alias("own"), split_long(g["text"], max_chars, overlap).alias("texts"))))
     part = lambda g: F.transform(g["texts"], lambda p: F.struct(p.alias("text"), g["own"].alias("own")))
-    made = shared.write_table(headed.select("doc_id", "page_number", "last", F.flatten(F.transform("groups", part)).alias("parts")), "chunks")
-    before = Window.partitionBy("doc_id").orderBy("page_number").rowsBetween(Window.unboundedPreceding, -1)
-    slim = made.select("doc_id", "page_number", "last", F.size("parts").alias("n"))
-    ahead = slim.select("doc_id", "page_number", F.last("last", ignorenulls=True).over(before).alias("carried"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    rows = made.drop("last").join(ahead, ["doc_id", "page_number"]).select("doc_id", "page_number", "carried", "base", F.posexplode("parts").alias("at", "part"))
+    return headed.select("doc_id", "page_number", "last", F.flatten(F.transform("groups", part)).alias("parts"))
+
+
+def chunk_rows(pages: DataFrame) -> DataFrame:
+    """Chunks of ``pages(doc_id, page_number, parts, carried, base)``: the article that runs into the page, and how many chunks the document has before it."""
+    rows = pages.select("doc_id", "page_number", "carried", "base", F.posexplode("parts").alias("at", "part"))
     final = F.coalesce("part.own", "carried")
     return rows.withColumn("ordinal", (F.col("base") + F.col("at") + 1).cast("int")).select(
         "doc_id",
@@ -109,6 +114,18 @@ def build_chunks(pages: DataFrame, max_chars: int = 1800, overlap: int = 250, sp
     )
 
 
+def build_chunks(pages: DataFrame, max_chars: int = 1800, overlap: int = 250, spellings=tx.ARTICLE_SPELLINGS, name: str = tx.ARTICLE_NAME, lookahead: bool = True) -> DataFrame:
+    """Chunks of ``pages(doc_id, page_number, text)``: ``doc_id, ordinal, id, text,
+    page_start, page_end, article, title``. ``lookahead=False`` gives a flushed group the
+    article of its own last paragraph instead of that of the paragraph that flushed it. A page
+    is one row: the (doc_id, page_number) pairs must differ."""
+    made = shared.write_table(page_parts(shared.spread(pages), max_chars, overlap, spellings, name, lookahead), "chunks")
+    before = Window.partitionBy("doc_id").orderBy("page_number").rowsBetween(Window.unboundedPreceding, -1)
+    slim = made.select("doc_id", "page_number", "last", F.size("parts").alias("n"))
+    ahead = slim.select("doc_id", "page_number", F.last("last", ignorenulls=True).over(before).alias("carried"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    return chunk_rows(made.drop("last").join(ahead, ["doc_id", "page_number"]))
+
+
 def require_chunks(chunks: DataFrame) -> DataFrame:
     if chunks.isEmpty():
         raise RuntimeError("no chunk could be made from the page texts")

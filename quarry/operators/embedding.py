@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterator
@@ -15,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..sources import shared
+from ..sources.replies import Replies
 
 CACHE_TOKENS = 500_000
 REMOTE_BATCH = 64
@@ -91,26 +94,45 @@ class NativeHashEmbedder(Embedder):
 
 class RemoteEmbedder(Embedder):
     """Vectors from a service. ``make_client`` runs once for each Python worker and returns a
-    function from a list of at most 64 texts to (index, vector) items, in any order."""
+    function from a list of at most 64 texts to (index, vector) items, in any order, one for each text. With ``replies``,
+    vectors come from that store and what it lacks is asked for once; texts that could not be
+    embedded end the call, after the others have been stored."""
 
-    def __init__(self, model_name: str, make_client: Callable[[], Callable[[list[str]], list[tuple[int, list[float]]]]] | None = None):
+    def __init__(self, model_name: str, make_client: Callable[[], Callable[[list[str]], list[tuple[int, list[float]]]]] | None = None, replies: Replies | None = None):
         if make_client is None:
             if not os.getenv("OPENAI_API_KEY"):
                 raise RuntimeError("no API key: set OPENAI_API_KEY, or use the local embedder for an offline smoke test")
             make_client = _openai_embeddings(model_name)
-        self.model_name, self._make_client = model_name, make_client
+        self.model_name, self._make_client, self.replies = model_name, make_client, replies
 
     def embed(self, df: DataFrame, text: str = "text", out: str = "embedding") -> DataFrame:
         make_client = self._make_client
 
+        def vectors(ask: Callable, texts: list[str]) -> list[list[float]]:
+            items = sorted(ask(texts), key=lambda x: x[0])
+            if [i for i, _ in items] != list(range(len(texts))):
+                raise ValueError(f"{len(items)} vectors for {len(texts)} texts")
+            return [list(map(float, vector)) for _, vector in items]
+
+        if self.replies is not None:
+
+            def listed() -> Callable[[list[str]], list[str]]:
+                ask = make_client()
+                return lambda texts: [json.dumps(v) for v in vectors(ask, texts)]
+
+            made = shared.write_table(self.replies.of(df, text, f"embedding:{self.model_name}", listed), "embedded")
+            bad = made.where("reply_error is not null").agg(F.count("*"), F.first("reply_error")).first()
+            if bad[0]:
+                raise RuntimeError(f"{bad[0]} texts could not be embedded: {bad[1]}")
+            return made.withColumn(out, F.from_json("reply", "array<double>")).select(*[c for c in df.columns if c != out], out)
+
         @F.pandas_udf("array<double>")
         def remote(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
             ask = make_client()
             for column in columns:
                 rows: list[list[float]] = []
                 for at in range(0, len(column), REMOTE_BATCH):
-                    items = ask(column.iloc[at : at + REMOTE_BATCH].fillna("").tolist())
-                    rows += [list(map(float, vector)) for _, vector in sorted(items, key=lambda x: x[0])]
+                    rows += vectors(ask, column.iloc[at : at + REMOTE_BATCH].fillna("").tolist())
                 yield pd.Series(rows, index=column.index)
 
         return df.withColumn(out, remote(F.col(text)))
@@ -126,17 +148,17 @@ def _openai_embeddings(model_name: str):
     return make
 
 
-PROVIDERS: dict[str, Callable[[str], Embedder]] = {
-    "local": lambda model: LocalHashEmbedder(),
-    "native": lambda model: NativeHashEmbedder(),
-    "openai": lambda model: RemoteEmbedder(model),
+PROVIDERS: dict[str, Callable[[str, Replies | None], Embedder]] = {
+    "local": lambda model, replies: LocalHashEmbedder(),
+    "native": lambda model, replies: NativeHashEmbedder(),
+    "openai": lambda model, replies: RemoteEmbedder(model, replies=replies),
 }
 
 
-def make_embedder(provider: str, model_name: str = "") -> Embedder:
+def make_embedder(provider: str, model_name: str = "", replies: Replies | None = None) -> Embedder:
     if provider not in PROVIDERS:
         raise ValueError(f"unknown embedding provider: {provider}")
-    return PROVIDERS[provider](model_name)
+    return PROVIDERS[provider](model_name, replies)
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..sources.replies import Replies
 
 SEPARATOR = "\n\n---\n\n"
 SYSTEM = (
@@ -78,9 +79,20 @@ def extractive_client() -> Callable[[str, str], str]:
     return ask
 
 
-def answers(queries: DataFrame, make_client: Callable[[], Callable[[str, str], str]]) -> DataFrame:
+def answers(queries: DataFrame, make_client: Callable[[], Callable[[str, str], str]], replies: Replies | None = None, kind: str = "answer") -> DataFrame:
     """Adds ``answer`` and ``answer_error`` to ``queries(question, context)``. A failing call
-    leaves an empty answer and its error's text; the other rows go on."""
+    leaves an empty answer and its error's text; the other rows go on. With ``replies``, what that store has for the same ``kind``
+    and prompt is not asked again."""
+    asked = queries.withColumn("__prompt", prompt(F.col("question"), F.col("context")))
+    if replies is not None:
+
+        def one_by_one() -> Callable[[list[str]], list[str]]:
+            client = make_client()
+            return lambda prompts: [client(SYSTEM, p).strip() for p in prompts]
+
+        made = replies.of(asked, "__prompt", kind, one_by_one)
+        error = F.when(F.col("reply_error").isNotNull(), F.concat(F.lit("answer_generation error: "), F.col("reply_error")))
+        return made.select(*queries.columns, F.coalesce("reply", F.lit("")).alias("answer"), error.alias("answer_error"))
 
     @F.pandas_udf("struct<answer:string,answer_error:string>")
     def run(prompts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -94,4 +106,4 @@ def answers(queries: DataFrame, make_client: Callable[[], Callable[[str, str], s
                     rows.append(("", f"answer_generation error: {type(e).__name__}: {e}"))
             yield pd.DataFrame(rows, columns=["answer", "answer_error"])
 
-    return queries.withColumn("__a", run(prompt(F.col("question"), F.col("context")))).select(*queries.columns, "__a.answer", "__a.answer_error")
+    return asked.withColumn("__a", run(F.col("__prompt"))).select(*queries.columns, "__a.answer", "__a.answer_error")

@@ -12,6 +12,7 @@ from ..operators import chunking, evaluation, generation, lexical, search
 from ..operators.embedding import Embedder, make_embedder
 from ..sources import snapshots, tables
 from ..sources.config import Settings
+from ..sources.replies import Replies
 
 #: Up to so many questions, the documents found are named in the filter that reads them.
 FEW = 16
@@ -45,7 +46,11 @@ class Engine:
         meta, chunks = tables.open_index(self.spark, path or self.settings.index_path)
         provider = "local" if local else meta.get("embedding_provider") or self.settings.embedding_provider
         model = meta.get("embedding_model") or self.settings.embedding_model
-        return chunks.withColumn("key", _key()), make_embedder(provider, model)
+        return chunks.withColumn("key", _key()), make_embedder(provider, model, self.replies(64))
+
+    def replies(self, batch: int = 1) -> Replies:
+        """The store of what services replied, next to the index."""
+        return Replies(self.spark, f"{self.settings.storage_dir}/replies", batch)
 
     def search(self, chunks: DataFrame, queries: DataFrame, embedder: Embedder, top_k: int | None = None, **kwargs) -> DataFrame:
         """Ranked results of ``queries(query_id, question)``. Chunks of an index are scored by their counts and vectors; only
@@ -74,12 +79,15 @@ class Engine:
         chunks = snapshots.stored(self.spark, path, data).withColumn("key", _key()).select("key", *[c for c in tables.schemas.CHUNKS.names if c != "embedding"])
         return found.join(chunks, "key")
 
-    def ask(self, chunks: DataFrame, queries: DataFrame, embedder: Embedder, make_client: Client, top_k: int | None = None) -> DataFrame:
+    def answer_kind(self) -> str:
+        return f"answer:{self.settings.chat_model}:{self.settings.max_output_tokens}"
+
+    def ask(self, chunks: DataFrame, queries: DataFrame, embedder: Embedder, make_client: Client, top_k: int | None = None, replies: Replies | None = None) -> DataFrame:
         """``query_id, question, context, answer, answer_error``."""
         found = self.search(chunks, queries, embedder, top_k)
-        return generation.answers(queries.join(generation.contexts(found), "query_id", "left"), make_client)
+        return generation.answers(queries.join(generation.contexts(found), "query_id", "left"), make_client, replies, self.answer_kind())
 
-    def evaluate(self, chunks: DataFrame, cases: DataFrame, embedder: Embedder, make_client: Client | None = None, top_k: int | None = None, limit: int | None = None, strict: bool = False) -> DataFrame:
+    def evaluate(self, chunks: DataFrame, cases: DataFrame, embedder: Embedder, make_client: Client | None = None, top_k: int | None = None, limit: int | None = None, strict: bool = False, replies: Replies | None = None) -> DataFrame:
         """The cases with their results, answers and metrics; errors of retrieval end the run,
         those of generation stay in their rows."""
         chosen = search.first_rows(cases, limit, "ordinal")
@@ -91,7 +99,7 @@ class Engine:
         rows = chosen.join(evaluation.results_by_query(found.select(fields)).withColumnRenamed("query_id", "id"), "id", "left")
         if make_client:
             asked = queries.join(generation.contexts(found), "query_id", "left")
-            rows = rows.join(generation.answers(asked, make_client).select(F.col("query_id").alias("id"), "answer", "answer_error"), "id", "left")
+            rows = rows.join(generation.answers(asked, make_client, replies, self.answer_kind()).select(F.col("query_id").alias("id"), "answer", "answer_error"), "id", "left")
         else:
             rows = rows.withColumn("answer", F.lit("")).withColumn("answer_error", F.lit(None).cast("string"))
         return evaluation.rule_checks(rows, strict)

@@ -36,7 +36,7 @@ def norm_text(spark, d):
 
 def tokenize(spark, d):
     t = tx.tokenize(F.col("text"))
-    return _docs(spark, d).select("doc_id", F.size(t).cast("long").alias("n_tokens"), F.array_join(t, " ").alias("tokens"))
+    return shared.spread(_docs(spark, d)).select("doc_id", F.size(t).cast("long").alias("n_tokens"), F.array_join(t, " ").alias("tokens"))
 
 
 def clean_text(spark, d):
@@ -56,8 +56,8 @@ def paragraphs(spark, d):
 
 
 def pack_chunks(spark, d):
-    per_doc = paragraphs(spark, d).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("para_idx", F.length("para").alias("n")))).alias("p"))
-    return per_doc.select("doc_id", F.posexplode(chunking.pack_groups(F.transform("p", lambda x: x["n"]), MAX_CHARS)).alias("para_idx", "grp"))
+    lengths = F.transform(tx.paragraphs(tx.clean_text(F.col("text"))), F.length)
+    return shared.spread(_docs(spark, d)).select("doc_id", F.posexplode(chunking.pack_groups(lengths, MAX_CHARS)).alias("para_idx", "grp"))
 
 
 def split_windows(spark, d):
@@ -154,7 +154,7 @@ def hybrid_topk(spark, d):
 
 
 def hash_embed(spark, d):
-    out = embedding.LocalHashEmbedder().embed(_docs(spark, d).select("doc_id", "text"))
+    out = embedding.LocalHashEmbedder().embed(shared.spread(_docs(spark, d).select("doc_id", "text")))
     return out.select("doc_id", "embedding")
 
 

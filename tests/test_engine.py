@@ -356,5 +356,29 @@ def test_streaming_ingest(spark, pages, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out" / "chunks")).count() == 2
 
 
+def test_pages_in_many_batches_make_the_chunks_of_one(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from quarry import schemas
+    from quarry.operators import chunking
+
+    words = lambda n: " ".join(f"w{i}." for i in range(n))
+    texts = ["no header yet", "Điều 1. One\n" + words(30), words(90), " \n", "Điều 2\n" + words(5), "Điều 3. Three\nx.\n" + words(60), words(3)]
+    rows = [(d, p + 1, t, len(t), "s", []) for d in ("a", "b") for p, t in enumerate(texts if d == "a" else texts[::-1])]
+    pages = spark.createDataFrame(rows, schemas.PAGES)
+    for p in range(1, 8):
+        where = {"a": [p], "b": [2 * p - 1, 2 * p]}  # one page and two pages a batch
+        part = pages.where(F.expr(" or ".join(f"(doc_id = '{d}' and page_number = {n})" for d, own in where.items() for n in own)))
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    q = streaming.ingest_stream(streaming.page_stream(spark, str(tmp_path / "in"), 1), str(tmp_path / "out"), str(tmp_path / "cp"), LocalHashEmbedder(), 120, 20)
+    q.awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out" / "chunks"))
+    assert got.select("batch").distinct().count() >= 6
+    names = [c for c in schemas.CHUNKS.names if c != "embedding"]
+    want = chunking.build_chunks(pages, 120, 20)
+    listed = lambda df: sorted(map(tuple, df.select(names).collect()), key=repr)
+    assert listed(got) == listed(want) and want.where("article is null").count() and want.where("title is not null").count()
+
+
 def test_metric_format():
     assert [report.format_metric(x) for x in (None, 0.5, 3)] == ["n/a", "0.500", "3"]

@@ -205,3 +205,75 @@ def test_top_k_and_limits(spark):
     assert search.first_rows(df, 0, "id").count() == 5 and search.first_rows(df, 2, "id").count() == 2
     with pytest.raises(ValueError):
         search.first_rows(df, -1, "id")
+
+
+def counting(folder, short=(), failing=(), die=None):
+    """A client that notes each text it is asked, in a file of its own."""
+
+    def client():
+        def ask(texts):
+            import uuid
+            from pathlib import Path
+
+            if die in texts and not Path(folder, "died").exists():
+                Path(folder, "died").touch()
+                os._exit(1)  # the worker is lost in mid-task
+            for t in texts:
+                Path(folder, f"{t or 'none'}-{uuid.uuid4().hex}").touch()
+            if set(texts) & set(failing):
+                raise OSError("busy")
+            return [(i, [float(len(t)), 1.0]) for i, t in reversed(list(enumerate(texts)))][: len(texts) - bool(set(texts) & set(short))]
+
+        return ask
+
+    return client
+
+
+def test_replies_are_asked_for_once(spark, tmp_path):
+    from quarry.sources.replies import Replies
+
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    seen = lambda: sorted(p.name.partition("-")[0] for p in calls.iterdir() if "-" in p.name)
+    store = lambda **kw: Replies(spark, str(tmp_path / "replies"), pause=0.0, attempts=2, tasks=2, **kw)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(["a", "bb", "a", "ccc", None])], "i int, text string")
+    made = RemoteEmbedder("m", counting(str(calls)), store()).embed(df)
+    assert {r["i"]: r["embedding"] for r in made.collect()} == {0: [1, 1], 1: [2, 1], 2: [1, 1], 3: [3, 1], 4: [0, 1]}
+    assert seen() == ["a", "bb", "ccc", "none"]
+    more = df.union(spark.createDataFrame([(9, "dddd")], df.schema))
+    assert RemoteEmbedder("m", counting(str(calls)), store()).embed(more).count() == 6 and seen() == ["a", "bb", "ccc", "dddd", "none"]
+    with pytest.raises(RuntimeError, match="2 texts could not be embedded: ValueError: 1 vectors for 2 texts"):
+        RemoteEmbedder("n", counting(str(calls), short=["x"]), store(batch=2)).embed(spark.createDataFrame([("x",), ("y",)], "text string").coalesce(1))
+    with pytest.raises(RuntimeError, match="OSError: busy"):
+        RemoteEmbedder("o", counting(str(calls), failing=["bb"]), store()).embed(df)
+    assert seen().count("bb") == 3 and seen().count("a") == 2  # tried twice, the others stored
+    RemoteEmbedder("o", counting(str(calls)), store()).embed(df)
+    assert seen().count("a") == 2 and seen().count("bb") == 4
+
+
+def test_a_task_that_is_run_again_asks_nothing_twice(tmp_path):
+    """On a cluster of its own, for a task of a local one is not tried again."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    script = tmp_path / "run.py"
+    script.write_text(f"""
+import sys
+sys.path.insert(0, {str(Path(__file__).parent)!r})
+import pyspark.cloudpickle as cp
+import test_search
+cp.register_pickle_by_value(test_search)
+from pyspark.sql import SparkSession
+from quarry.operators.embedding import RemoteEmbedder
+from quarry.sources.replies import Replies
+spark = SparkSession.builder.master("local[2,3]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "file://{tmp_path}/shared").getOrCreate()
+df = spark.createDataFrame([(t,) for t in "abcdefgh"], "text string")
+store = Replies(spark, "{tmp_path}/replies", pause=0.0, concurrency=1, tasks=1)
+print(RemoteEmbedder("m", test_search.counting("{tmp_path}/calls", die="e"), store).embed(df).count())
+""")
+    (tmp_path / "calls").mkdir()
+    out = subprocess.run([sys.executable, str(script)], capture_output=True, text=True, timeout=300, env={**os.environ, "PYTHONPATH": str(Path(__file__).parents[1])})
+    assert out.stdout.split()[-1:] == ["8"], out.stderr[-2000:]
+    assert (tmp_path / "calls" / "died").exists()
+    assert sorted(p.name[0] for p in (tmp_path / "calls").iterdir() if "-" in p.name) == list("abcdefgh")
