@@ -1,6 +1,6 @@
 """Main text of web pages, with site templates removed.
 
-Pages are parsed leniently: comments, declarations and raw-text elements are skipped, end tags
+Pages are parsed leniently and in one pass forward: comments, declarations and raw-text elements are skipped, end tags
 may be missing, attribute values may hold ``>``. Every element subtree is hashed, bottom-up in one pass,
 seeded by its host, and the hashes are counted over the distinct pages of that host:
 
@@ -8,15 +8,18 @@ seeded by its host, and the hashes are counted over the distinct pages of that h
               subtrees outside ``article`` and ``main``, or anywhere if a page has neither
     menu      the same place; element, class and id, and the set of those of its subtrees, without any text, of block
               subtrees whose text is links for four fifths and more (three links at least)
+    shape     what a menu has and the path from the root, of the containers that lie outside the ``article`` or ``main`` of
+              their page, hold none, and are short (``LONG``) or half links; paragraphs and headings are none
     marked    element, class and id of subtrees that name themselves menu, footer, notice, advert, form,
               sidebar, comments or the like
 
-A subtree is a template of its host, and goes, from ``MANY_PAGES`` pages, whatever the host's size (a marked
-one from ``MARKED_PAGES``); on a host of few pages, from ``SHARE`` of them and ``LEAST_PAGES``. Pages of equal main text count
-as one, so a page that was crawled often is not its own template. What recurs inside an article is its text, unless it is marked.
+One rule holds for hosts of all sizes. A shape is a template of its host, and goes, from three distinct pages (two of two); a name counts as one page
+more, so what is marked goes from two. Exact subtrees and menus, which may lie in the text, need eight pages, or half of the host's and three. Pages
+of equal main text count as one, so a page that was crawled often is not its own template. What recurs inside an
+article is its text, unless it is marked.
 
-Where counts say nothing, names decide. Elements that hold no article text in HTML (``nav``, ``footer``,
-``form``, ``script`` and so on) always go; on hosts of less than ``MANY_PAGES`` distinct pages, so does whatever is marked. A class
+Elements that hold no article text in HTML (``nav``, ``footer``, ``form``, ``script`` and so on) always go. A host of one or two
+pages tells nothing by counts: there the name alone decides. A class
 or id marks if all its words are in ``NAMES`` or ``NEUTRAL`` and one is in ``NAMES``: ``share price`` marks nothing.
 
 Counting is pre-aggregated in each task. The templates of all hosts are counted: up to ``BROADCAST_HASHES`` they are
@@ -25,7 +28,9 @@ what joins a page is bounded by the page, however many templates its host has.
 
 The text is all that is left of the page. Every block element is one line: references decoded, white space runs one blank,
 trimmed; empty blocks are left out. ``br`` is white space. Defined results: null or empty html gives an empty text; a page without a host is
-not compared with others; repeated rows get equal texts; depth is not limited.
+not compared with others; repeated rows get equal texts; depth is not limited; an empty table gives an empty result; other columns are not read,
+whatever their names. Parsing takes time in proportion to the page, whatever is left open in it: a quote that nothing closes
+ends the hiding of ``>`` by quotes for the rest of its page.
 """
 
 from __future__ import annotations
@@ -33,7 +38,6 @@ from __future__ import annotations
 import re
 from array import array
 from bisect import bisect_left
-from collections import Counter
 from collections.abc import Container, Iterator
 from html import unescape
 
@@ -46,15 +50,14 @@ from pyspark.sql import functions as F
 from . import _scratch
 from . import _text as tx
 
-MANY_PAGES = 8
-MARKED_PAGES = 2
-SHARE = 0.5
-LEAST_PAGES = 3
+MANY_PAGES, SHARE, LEAST_PAGES = 8, 0.5, 3
+SHAPE_PAGES = 3
+LONG = 1000
 MENU_LINKS, MENU_SHARE = 3, 0.8
 #: Up to so many hashes of all hosts together (4 MB), the templates are broadcast.
 BROADCAST_HASHES = 500_000
 #: Kinds of counted things; a host of many pages is one.
-HOST, EXACT, MENU, MARKED = range(4)
+HOST, EXACT, MENU, MARKED, SHAPE = range(5)
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed".split())
@@ -63,6 +66,7 @@ DROPPED = frozenset("nav aside footer form script style noscript template iframe
 NAMES = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead topbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login search comment comments commentlist disqus replies respond discussion share sharing social related recommended pagination pager toolbar widget skip".split())
 NEUTRAL = frozenset("left right top bottom main primary secondary wrapper wrap container box block inner outer area section site page global bar list item items row links link icons reader user the and by".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
+CONTAINERS = frozenset("address aside center details dialog dir div dl fieldset figure footer form header hgroup menu nav ol search section summary table ul".split())
 WHOLE = frozenset("html body article main #".split())
 #: A start tag of the key ends an open element named in the value.
 ENDS = {
@@ -72,14 +76,15 @@ ENDS = {
 UNSEEN = frozenset("script style head title template noscript iframe".split())
 SCOPES = frozenset("ul ol dl table select body html article section div".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?[a-zA-Z][^<]*\Z|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+_ENDED = frozenset(x for own in ENDS.values() for x in own)
+_NAME, _STOP = re.compile(r"[a-zA-Z][^\s/>]*"), re.compile("[>\"']")
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _WORD, _DIGITS = re.compile(r"[^\W_]+"), re.compile(r"\d+")
 _HOST = r"^(?i)[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
 
 
 class Node:
-    __slots__ = ("tag", "dropped", "marked", "shape", "children", "exact", "frame", "size", "linked", "links")
+    __slots__ = ("tag", "dropped", "marked", "shape", "children", "exact", "frame", "holds", "size", "linked", "links")
 
     def __init__(self, tag: str, dropped: bool = False, marked: bool = False, shape: str = ""):
         self.tag, self.dropped, self.marked, self.shape = tag, dropped, marked, shape
@@ -103,59 +108,107 @@ def _named(tag: str, attributes: str, in_article: bool) -> tuple[bool, str]:
     return marked and tag not in WHOLE - {"article"}, "|".join(shape)
 
 
+def tags(html: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """(start, end, whether an end tag, name, attributes) of the tags in order, name and attributes empty for comments and declarations. Takes
+    ``send(place)`` to go on from there."""
+    at, n, last, quotes = 0, len(html), html.rfind(">"), True
+    while True:
+        start = html.find("<", at)
+        if start < 0:
+            return
+        if start > last:  # nothing is closed from here on
+            odd = [x for x in (html.find("<!", start), html.find("<?", start)) if x >= 0]
+            cut = html.rfind("<")
+            cut = min(odd) if odd else cut if re.match(r"</?[a-zA-Z]", html[cut : cut + 3]) else n
+            if cut < n:
+                yield cut, n, False, "", ""
+            return
+        if html.startswith("<!--", start):
+            over = html.find("-->", start + 4)
+            at = n if over < 0 else over + 3
+            yield start, at, False, "", ""
+            continue
+        if html[start + 1 : start + 2] in ("!", "?"):
+            at = html.find(">", start) + 1
+            yield start, at, False, "", ""
+            continue
+        slash = html.startswith("/", start + 1)
+        name = _NAME.match(html, start + 1 + slash)
+        if name is None:
+            at = start + 1
+            continue
+        end, look = -1, name.end()
+        while quotes:
+            stop = _STOP.search(html, look)
+            if stop is None or stop[0] == ">":
+                end = stop.start() if stop else -1
+                break
+            look = html.find(stop[0], stop.end()) + 1
+            if not look:
+                break
+        if end < 0:
+            quotes, end = False, html.find(">", name.end())
+        at = end + 1
+        to = yield start, at, slash, name[0].lower(), html[name.end() : end]
+        if to is not None:
+            at = to
+            yield at, at, False, "", ""
+
+
 def parse(html: str) -> Node:
     """The page as a tree."""
     root = Node("#")
-    stack, at, n = [root], 0, len(html)
-    opened: Counter = Counter()
+    stack, n = [root], len(html)
+    opened: dict[str, list[int]] = {}  # places in the stack, by element
+    blocks: list[int] = []
+    ends: list[int] = []
+    wholes: list[int] = []
 
     def close(to: int) -> None:
         while len(stack) > to:
-            opened[stack.pop().tag] -= 1
-
-    while at < n:
-        m = _TAG.search(html, at)
-        if m is None:
-            stack[-1].children.append(html[at:])
-            break
-        if m.start() > at:
-            stack[-1].children.append(html[at : m.start()])
-        at = m.end()
-        slash, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        if tag is None:
+            opened[stack.pop().tag].pop()
+        for places in (blocks, ends, wholes):
+            while places and places[-1] >= to:
+                places.pop()
+
+    found, text = tags(html), 0
+    for start, end, slash, tag, attributes in found:
+        if start > text:
+            stack[-1].children.append(html[text:start])
+        text = end
+        if not tag:
             continue
-        tag = tag.lower()
         if slash:
-            if opened[tag]:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == tag:
-                        close(k)
-                        break
-                    if stack[k].tag in WHOLE and tag not in BLOCK:
-                        break
+            at = opened.get(tag)
+            if at and (tag in BLOCK or not wholes or wholes[-1] <= at[-1]):
+                close(at[-1])
             continue
         if tag in BLOCK:
-            for k in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph
-                if stack[k].tag == "p":
-                    close(k)
-                    break
-                if stack[k].tag in BLOCK:
-                    break
-            for k in range(len(stack) - 1, 0, -1) if tag in ENDS else ():
-                if stack[k].tag in ENDS[tag]:
-                    close(k)
-                elif stack[k].tag in SCOPES:
-                    break
-        in_article = opened["article"] + opened["main"] > 0
+            if blocks and stack[blocks[-1]].tag == "p":  # a block ends an open paragraph
+                close(blocks[-1])
+            if tag in ENDS:
+                k = len(ends) - 1
+                while k >= 0 and stack[ends[k]].tag not in SCOPES:
+                    if stack[ends[k]].tag in ENDS[tag]:
+                        close(ends[k])
+                    k -= 1
+        in_article = bool(opened.get("article") or opened.get("main"))
         marked, shape = _named(tag, attributes, in_article)
         node = Node(tag, tag in DROPPED or (tag == "header" and not in_article), marked, shape)
         stack[-1].children.append(node)
         if tag in RAW:
-            over = re.compile(f"</{re.escape(tag)}\\s*>", re.I).search(html, at)
-            at = over.end() if over else n
+            over = re.compile(f"</{re.escape(tag)}\\s*>", re.I).search(html, end)
+            text = over.end() if over else n
+            found.send(text)
         elif tag not in VOID and not (attributes.endswith("/") and tag not in BLOCK):
-            opened[tag] += 1
+            k = len(stack)
+            opened.setdefault(tag, []).append(k)
+            for places, kind in ((blocks, BLOCK), (ends, _ENDED | SCOPES), (wholes, WHOLE)):
+                if tag in kind:
+                    places.append(k)
             stack.append(node)
+    if text < n:
+        stack[-1].children.append(html[text:])
     return root
 
 
@@ -168,7 +221,7 @@ def _seed(host: str) -> int:
 
 
 def host_mark(seed: int) -> int:
-    """What stands among the templates for a host of many pages."""
+    """What stands among the templates for a host of three pages and more."""
     return _print("host", seed)
 
 
@@ -194,6 +247,7 @@ def digest(root: Node, seed: int) -> list[Node]:
     for node in reversed(nodes):
         texts, frames = [], set()
         size = linked = links = 0
+        holds = node.tag in ("article", "main")
         for c in node.children:
             if isinstance(c, str):
                 text = " ".join(c.split())
@@ -202,12 +256,12 @@ def digest(root: Node, seed: int) -> list[Node]:
                     size += len(text)
             else:
                 texts.append(f"\1{c.exact}")
-                size, linked, links = size + c.size, linked + c.linked, links + c.links
+                size, linked, links, holds = size + c.size, linked + c.linked, links + c.links, holds or c.holds
                 if c.tag in BLOCK or c.tag == "a":
                     frames.add(c.frame)
         if node.tag == "a":
             linked, links = size, 1
-        node.size, node.linked, node.links = size, linked, links
+        node.size, node.linked, node.links, node.holds = size, linked, links, holds
         node.exact = _print("\0".join((node.tag, node.shape, *texts)), seed)
         own = () if node.marked or node.dropped else sorted(frames)
         node.frame = _print("\2".join((node.tag, node.shape, *map(str, own))), seed)
@@ -217,10 +271,10 @@ def digest(root: Node, seed: int) -> list[Node]:
 def counted(nodes: list[Node]) -> list[tuple[int, int, Node]]:
     """Kind, hash and node of the subtrees that may be templates."""
     root, out = nodes[0], []
-    has_article = any(x.tag in ("article", "main") for x in nodes)
-    todo = [(root, False)]
+    has_article = root.holds
+    todo = [(root, False, 0)]
     while todo:
-        node, inside = todo.pop()
+        node, inside, path = todo.pop()
         inside = inside or has_article and node.tag in ("article", "main")
         if node.dropped or node.marked:
             out.append((MARKED, node.frame, node))
@@ -230,7 +284,11 @@ def counted(nodes: list[Node]) -> list[tuple[int, int, Node]]:
             out.append((EXACT, node.exact, node))
             if node.links >= MENU_LINKS and node.linked >= MENU_SHARE * node.size:
                 out.append((MENU, node.frame, node))
-        todo += [(c, inside) for c in node.children if isinstance(c, Node)]
+        if has_article and not inside and not node.holds and node.tag in CONTAINERS and node.size and (node.size <= LONG or node.linked * 2 >= node.size):
+            out.append((SHAPE, _print(f"{path}\4{node.frame}"), node))
+        if has_article and not inside and node.tag in BLOCK:
+            path = _print(f"{path}\3{node.tag}\3{node.shape}")
+        todo += [(c, inside, path) for c in node.children if isinstance(c, Node)]
     return out
 
 
@@ -274,8 +332,8 @@ def _lines(root: Node, gone: Container[int]) -> str:
 
 def extract(html: str, template: Container[int] = frozenset(), seed: int = 0, names: bool | None = None) -> str:
     """The main text without the subtrees in ``template``. ``names``: whether whatever is marked goes,
-    and what holds no article text in HTML; by default the latter, and the former unless the host is known to be one of
-    many pages. False leaves all to the templates but what no reader sees."""
+    and what holds no article text in HTML; by default the latter, and the former unless the host is known to have
+    pages to count. False leaves all to the templates but what no reader sees."""
     nodes = digest(parse(html), seed)
     gone = {id(node) for _, h, node in counted(nodes) if h in template}
     marked = names is not False and host_mark(seed) not in template
@@ -286,7 +344,7 @@ def extract(html: str, template: Container[int] = frozenset(), seed: int = 0, na
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """``subtree``: the recurring subtrees of all hosts, and the marks of hosts of many pages."""
+    """``subtree``: the recurring subtrees of all hosts, and the marks of hosts of three pages and more."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in tx.slices(batches, "html"):
@@ -302,11 +360,13 @@ def templates(pages: DataFrame) -> DataFrame:
     known = pages.where("host <> '' and html <> ''").select("host", "html")
     found = known.mapInArrow(emit, "host long, page long, kind int, subtree long")
     counts = found.groupBy("host", "kind", "subtree", "page").count().groupBy("host", "kind", "subtree").agg(F.count("*").alias("n"))  # copies of a page once
-    counts = _scratch.write_table(counts.where((F.col("n") >= min(LEAST_PAGES, MARKED_PAGES, MANY_PAGES)) | (F.col("kind") == HOST)), "subtrees")
+    counts = _scratch.write_table(counts.where((F.col("n") >= 2) | (F.col("kind") == HOST)), "subtrees")
     size = counts.where(F.col("kind") == HOST).select("host", F.col("n").alias("pages"))
-    small = (F.col("kind") != HOST) & (F.col("n") >= LEAST_PAGES) & (F.col("n") >= SHARE * F.col("pages"))
-    many = (F.col("n") >= MANY_PAGES) | ((F.col("kind") == MARKED) & (F.col("n") >= MARKED_PAGES))
-    return counts.join(size, "host").where(many | small).select("subtree").distinct()
+    kind, n, of = F.col("kind"), F.col("n"), F.col("pages")
+    text = kind.isin(EXACT, MENU) & ((n >= MANY_PAGES) | (n >= LEAST_PAGES) & (n >= SHARE * of))
+    shape = (kind == SHAPE) & (n >= F.least(F.lit(SHAPE_PAGES), F.greatest(F.lit(2), of)))
+    name = kind.isin(MARKED, HOST) & (of >= SHAPE_PAGES) & ((kind == HOST) | (n >= SHAPE_PAGES - 1))
+    return counts.join(size, "host").where(text | shape | name).select("subtree").distinct()
 
 
 def _of_pages(rows: DataFrame, found: DataFrame) -> DataFrame:

@@ -345,29 +345,69 @@ def brute_templates(rows):
         pages.setdefault(host, set()).add(page)
         for key in html_extract.subtrees(html, html_extract._seed(host)):
             seen.setdefault((host, *key), set()).add(page)
-    out = {html_extract.host_mark(html_extract._seed(h)) for h, p in pages.items() if len(p) >= 8}
+    out = {html_extract.host_mark(html_extract._seed(h)) for h, p in pages.items() if len(p) >= 3}
     for (host, kind, subtree), p in seen.items():
-        if len(p) >= 8 or (kind == html_extract.MARKED and len(p) >= 2) or (len(p) >= 3 and len(p) >= len(pages[host]) / 2):
+        n, of = len(p), len(pages[host])
+        in_text = kind in (html_extract.EXACT, html_extract.MENU) and (n >= 8 or n >= 3 and 2 * n >= of)
+        if in_text or kind == html_extract.SHAPE and n >= min(3, max(2, of)) or kind == html_extract.MARKED and of >= 3 and n >= 2:
             out.add(subtree)
     return out
 
 
+def renamed(html):
+    """The same page, whose boilerplate tells nothing by its names."""
+    return re.sub(r"<(/?)(nav|footer)\b", r"<\1div", html).replace('class="ad"', 'class="zq7"')
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test data")
 def test_html_templates_of_the_given_pages(spark):
     rows = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("url", "html")
     listed = [tuple(r) for r in rows.collect()]
-    found = {r["subtree"] for r in html_extract.templates(rows.withColumn("host", F.regexp_extract("url", "//([^/]+)", 1))).collect()}
+    host = F.regexp_extract("url", "//([^/]+)", 1)
+    found = {r["subtree"] for r in html_extract.templates(rows.withColumn("host", host)).collect()}
     assert found == brute_templates(listed) and len(found) > 100
-    by_template = withheld = 0
-    for url, html in listed[:300]:
+    bare = spark.createDataFrame([(u, renamed(h)) for u, h in listed], "url string, html string")
+    of_bare = {r["subtree"] for r in html_extract.templates(bare.withColumn("host", host)).collect()}
+    same = by_count = withheld = 0
+    for url, html in listed:
         seed = html_extract._seed(re.match(r"https?://([^/]+)", url)[1])
-        if html_extract.host_mark(seed) not in found:
-            continue
-        article = html_extract.extract(re.search(r"<article>.*</article>", html, re.S)[0])
-        # on a host of many pages the templates alone leave the article, and without them more is left
-        by_template += html_extract.extract(html, found, seed, names=False) == html_extract.extract(html, found, seed) == article
-        withheld += html_extract.extract(html, {html_extract.host_mark(seed)}, seed) != article
-    assert by_template == withheld > 200
+        text = html_extract.extract(html, found, seed)
+        by_count += html_extract.extract(html, found, seed, names=False) == text  # the templates alone leave the same
+        withheld += html_extract.extract(html, found & {html_extract.host_mark(seed)}, seed) != text  # and without them more is left
+        same += html_extract.extract(renamed(html), of_bare, seed) == text
+    assert withheld > 0.9 * len(listed) and by_count > 0.95 * len(listed) and same > 0.95 * len(listed)
+
+
+@pytest.mark.parametrize("most", [0, 500_000])
+def test_html_hosts_of_all_sizes_without_telling_names(spark, monkeypatch, most):
+    monkeypatch.setattr(html_extract, "BROADCAST_HASHES", most)
+    rnd, rows, want = random.Random(11), [], {}
+    words = lambda n: " ".join(rnd.choice("stone river cloud paper light under".split()) + str(rnd.randrange(999)) for _ in range(n))
+    for h, size in enumerate([2, 3, 5, 9, 40]):
+        wrap = rnd.choice(["main", "article"])
+        for i in range(size):
+            lead, parts = words(8), [words(rnd.randrange(5, 300)) for _ in range(rnd.randrange(1, 5))]
+            menu = "".join(f"<li><a href=/{k}>{words(1)}</a>" for k in range(rnd.randrange(4, 9)))
+            html = f"<body><div class=k{h}><ul>{menu}</ul></div><div id=z{h}>{words(9)}</div><p>{lead}</p><{wrap}>{''.join(f'<p>{p}</p><ul><li>{p[:9]}</ul>' for p in parts)}</{wrap}><div><span>{words(4)}</span></div></body>"
+            rows.append((len(rows), f"http://h{h}.example/{i}", html))
+            want[len(rows) - 1] = "\n".join([lead, *(x for p in parts for x in (p, p[:9].rstrip()))])
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
+@pytest.mark.parametrize("unit", ['<a "', "<i>", "<div>", "<b><article><i></b>", "<ul><li>", "<dt><tr>", '<p class="', "<p>", "<table><tr><td>", "<a 'x' \"y> ", "<title>", "<!-", "&", "<", "</i>"])
+def test_html_that_nothing_closes_takes_time_in_proportion(unit):
+    import time
+
+    def took(n):
+        best = float("inf")
+        for _ in range(3):
+            began = time.process_time()
+            html_extract.extract(unit * (n // len(unit)))
+            best = min(best, time.process_time() - began)
+        return best
+
+    assert took(400_000) < 3 * took(200_000) + 0.3
 
 
 @pytest.mark.parametrize("most", [0, 500_000])
