@@ -16,12 +16,11 @@ the driver.
 
 A text is recognised unless most of its distinct characters, and ``STRANGE`` at least, stand in no landmark
 text: then it is in a script that was not learned, and the regressions say nothing about it.
-``keep_known`` drops what is not recognised, and fills in ``lang`` where it is null.
+``keep_known`` keeps it and its label, unless told to drop it; what has no letter goes, and ``lang`` is filled in where it is null.
 
 Defined results: a null text, and one without any letter, is ``und`` with score 0, as is
-every text if no label can be learned. Rows are predicted each for itself, so repeated rows
-get equal results. Extra columns are ignored by ``predict`` and kept by ``keep_known``, which
-goes by letters alone if no label can be learned.
+every text if no label can be learned. An empty table gives an empty result. Rows are predicted each for itself, so repeated rows
+get equal results. Extra columns are ignored by ``predict`` and kept by ``keep_known``, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,6 +39,7 @@ from . import _text as tx
 ORDERS = (1, 2, 3)
 BUCKETS = 4096
 PER_LANG = 300
+FEW_LABELS = 100_000
 LANDMARKS = 160
 RIDGE = 1e-3
 SHARPNESS = 6.0
@@ -149,10 +149,15 @@ class Model:
 def fit(labelled: DataFrame) -> Model:
     """Fit on a bounded sample of ``labelled(doc_id, text, lang)``."""
     named = labelled.where("lang is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    langs = [r["lang"] for r in named.select("lang").distinct().collect()]
-    per_lang = min(PER_LANG, max(20, 20_000 // max(1, len(langs))))
+    counts = named.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("__c"))  # repeated rows are one document
+    many = counts.count()
+    per_lang = min(PER_LANG, max(20, 20_000 // max(1, many)))
+    # under this bound of the hash lie somewhat more rows of a label than are picked, so that no task sorts all of a label's
+    share = (1.5 * per_lang + 100) / F.col("__c")
+    counts = counts.select("lang", F.when(share < 1, (share * float(1 << 64) - float(1 << 63)).cast("long")).alias("__bound"))
     order = Window.partitionBy("lang").orderBy("__h", "doc_id")
-    ids = named.select("lang", "doc_id").distinct().withColumn("__h", F.xxhash64("doc_id", F.lit(11)))
+    hashed = named.select("lang", "doc_id", F.xxhash64("doc_id", F.lit(11)).alias("__h")).join(F.broadcast(counts) if many <= FEW_LABELS else counts, "lang")
+    ids = hashed.where(F.col("__bound").isNull() | (F.col("__h") < F.col("__bound"))).select("lang", "doc_id", "__h").distinct()
     picked = ids.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= per_lang)
     # the picked identifiers are few; texts are then fetched by a filter, without a shuffle of texts
     wanted = {(r["doc_id"]) for r in picked.select("doc_id").collect()}
@@ -208,13 +213,15 @@ def _score(docs: DataFrame, carried: list[str], text: str, model: Model, schema:
     return docs.mapInArrow(score, f"{schema}, lang_pred string, score double, recognised boolean")
 
 
-def keep_known(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` without the texts that are recognised in no language. A null ``lang``, where there is
-    that column, becomes the predicted one; all else stays as it is."""
+def keep_known(docs: DataFrame, model: Model, unlearned: bool = True) -> DataFrame:
+    """``docs`` without the texts that have no letter; with ``unlearned=False`` those in a script that was not learned go too. A null ``lang``,
+    where there is that column, becomes the predicted one if the script was learned; all else stays as it is, a label that the prediction contradicts too."""
     names = docs.columns
     text, lang = f"c{names.index('text')}", f"c{names.index('lang')}" if "lang" in names else None
     base = docs.toDF(*(f"c{i}" for i in range(len(names)))).withColumn(text, F.col(f"c{names.index('text')}").cast("string"))
-    scored = _score(base, base.columns, text, model, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in base.schema.fields)).where("recognised")
+    scored = _score(base, base.columns, text, model, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in base.schema.fields))
+    scored = scored.where((F.col("lang_pred") != UND) | F.col("recognised") if unlearned else F.col("recognised"))
     if lang:
-        scored = scored.withColumn(lang, F.coalesce(lang, F.nullif("lang_pred", F.lit(UND)).cast(base.schema[lang].dataType)))
+        made = F.when(F.col("recognised"), F.nullif("lang_pred", F.lit(UND)).cast(base.schema[lang].dataType))
+        scored = scored.withColumn(lang, F.coalesce(lang, made))
     return scored.select(*base.columns).toDF(*names)

@@ -41,6 +41,35 @@ def test_language_stage_keeps_an_unlabelled_corpus_and_fills_in_labels(spark):
     assert sorted(r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs, DATA).collect()) == [0, 4]
 
 
+def test_language_stage_keeps_scripts_that_were_not_learned(spark):
+    rows = [(i, f"the cat and the dog number {i} are here", "en") for i in range(40)] + [(100, "Кошка и собака сидят у окна и смотрят на улицу", None), (101, "Ещё одна строка по-русски", "ru?"), (102, "12 34 !?", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").where("doc_id <> 101 or lang is not null")
+    from quarry.llm import language_id
+
+    model = language_id.fit(docs.where("doc_id < 100"))
+    kept = {r["doc_id"]: r["lang"] for r in language_id.keep_known(docs, model).collect()}
+    assert kept[100] is None and kept[101] == "ru?" and 102 not in kept and len(kept) == 42
+    assert len(language_id.keep_known(docs, model, unlearned=False).collect()) == 40
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_run_leaves_one_document_of_each_class_and_few_tables(spark, monkeypatch):
+    from quarry.llm import _scratch, near_dedup
+
+    made, drop = [], _scratch.drop_table
+    monkeypatch.setattr(_scratch, "drop_table", lambda df: (made.append(df._quarry_path) if hasattr(df, "_quarry_path") else None, drop(df)))
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    left = {r["doc_id"] for r in corpus_pipeline.run(spark, DATA).select("doc_id").distinct().collect()}
+    classes = near_dedup.classes(docs)
+    label = [c for c in classes.columns if c != "doc_id"][0]
+    survivors = {}
+    for r in classes.collect():
+        survivors.setdefault(r[label], []).append(r["doc_id"] in left)
+    assert max(sum(x) for x in survivors.values()) == 1 and 0.5 * docs.count() < len(left) <= len(survivors)
+    dropped = [p for p in made if any(f"/{name}-" in p for name, _ in corpus_pipeline.STAGES)]
+    assert len(dropped) == len(corpus_pipeline.STAGES) - 2  # of the stages' tables, the last is read by the result
+
+
 def test_line_and_near_stages_carry_clashing_columns(spark, tmp_path):
     passage = "\n".join(f"line {i} of the passage stands here" for i in range(12))
     rows = [(0, passage), (1, passage.replace("line 5", "row 5")), (2, "a text of its own\nwith two lines"), (3, None)]
