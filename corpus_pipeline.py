@@ -5,12 +5,12 @@ decontamination, packing.
 documents that the stage before kept, and its result is written and read again before the
 next. All but the last return the columns of ``docs``; the last returns the placed pieces.
 
-Defined results: documents without any letter, or in a script that was not learned, go, and a null lang becomes the
-predicted one (stage 1; with no label at all to learn from, only texts without a letter go); documents all of whose lines
+Defined results: documents without any letter, null texts among them, go, and a null lang becomes the
+predicted one (stage 1; in a script that was not learned it stays null); documents all of whose lines
 occurred before go, and others lose such passages, however short their lines, with ``n_chars`` renewed (2); of a class of
 near-duplicates the document with the least doc_id stays (3): copies are known by their texts before stage 2 cut them, else
 what it leaves of a copy would pass for a document, and then by the texts they have; documents that hold a
-benchmark item go (4). Null texts have no letter. Extra columns are carried through, whatever their names. Empty tables give empty results.
+benchmark item go (4). Extra columns are carried through, whatever their names. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -56,5 +56,7 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = _scratch.write_table(stage(spark, docs, sf_dir), name)
+        done = _scratch.write_table(stage(spark, docs, sf_dir), name)
+        _scratch.drop_table(docs)  # the stage's input, once its result is written
+        docs = done
     return STAGES[-1][1](spark, docs, sf_dir)
