@@ -153,29 +153,38 @@ def citation(page_start: Column, page_end: Column, article: Column) -> Column:
     return F.concat(F.lit("Trang "), pages, tail)
 
 
-def article_matches(text: Column, expected: Column, strict: bool = False) -> Column:
-    """Whether the normalised ``expected`` is part of the normalised ``text``; empty or null
+def contains_normalized(text: Column, expected: Column, strict: bool = False) -> Column:
+    """Whether ``expected`` is part of ``text``, both normalised; null
     texts match nothing. ``strict`` asks for a border after it, so 3 is not found in 35."""
-    found = F.contains(normalize(text), normalize(expected))
+    found = F.contains(text, expected)
     if strict:
-        quoted = F.concat(F.lit(r"(?U)\Q"), normalize(expected), F.lit(r"\E(?![0-9a-z])"))
-        found = F.regexp(normalize(text), quoted)
-    return F.coalesce((text != "") & found, F.lit(False))
+        found = F.regexp(text, F.concat(F.lit(r"(?U)\Q"), expected, F.lit(r"\E(?![0-9a-z])")))
+    return F.coalesce(found, F.lit(False))
+
+
+def article_matches(text: Column, expected: Column, strict: bool = False) -> Column:
+    """Whether the normalised ``expected`` is part of the normalised ``text``, which must not be empty."""
+    return contains_normalized(nonempty(text), normalize(expected), strict)
+
+
+def nonempty(text: Column) -> Column:
+    """The normalised text, null for an empty one."""
+    return F.when(text != "", normalize(text))
 
 
 def has_citation(answer: Column) -> Column:
     return F.regexp(answer, F.lit(r"(?iU)\[(?:trang|page)\s+\d+"))
 
 
-def is_refusal(answer: Column) -> Column:
-    norm = normalize(answer)
+def is_refusal(answer: Column, normalized: bool = False) -> Column:
+    norm = answer if normalized else normalize(answer)
     out = F.lit(False)
     for phrase in REFUSALS:
         out = out | F.contains(norm, F.lit(phrase))
     return out
 
 
-def keyword_hits(answer: Column, keywords: Column) -> Column:
+def keyword_hits(answer: Column, keywords: Column, normalized: bool = False) -> Column:
     """The normalised keywords that are part of the normalised answer, duplicates kept."""
-    norm = normalize(answer)
+    norm = answer if normalized else normalize(answer)
     return F.filter(F.transform(keywords, normalize), lambda k: F.contains(norm, k))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import chunking, embedding, evaluation, generation, grid, lexical, search
+from ..operators import vectors as vectors_
 from ..sources import pdf, shared, tables
 from . import report
 
@@ -138,6 +139,15 @@ def cosine_topk(spark, d):
     return found.select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
 
 
+def coded_topk(spark, d):
+    """The same by a scan of coded vectors; full ones are fetched for what may be among the nearest."""
+    vectors = _read(spark, d, "embeddings").select("vec_id", "embedding")
+    codes = shared.write_table(vectors_.coded(vectors, "vec_id"), "codes")
+    asked = _questions(spark, d).where(F.col("query_embedding").isNotNull()).select("query_id", "query_embedding")
+    found = vectors_.nearest(vectors, codes, asked, K, "vec_id", round_to=DIGITS)
+    return found.select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
+
+
 def minmax_scores(spark, d):
     first = _read(spark, d, "embeddings").select("vec_id", "label", F.col("embedding")[0].cast("double").alias("x"))
     ends = first.groupBy("label").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
@@ -428,6 +438,7 @@ def oracle_sql() -> dict[str, str]:
         "bm25_topk": f"with {_BM25} select query_id, cast(rank as int) as rank, doc_id, round(kw, 6) as score from (select *, row_number() over (partition by query_id order by round(kw, {DIGITS}) desc, doc_id) as rank from bm) where rank <= {K}",
         "postings_topk": f"with {_BM25} select query_id, cast(rank as int) as rank, doc_id, round(kw, 6) as score from (select *, row_number() over (partition by query_id order by round(kw, {DIGITS}) desc, doc_id) as rank from bm) where rank <= {K}",
         "cosine_topk": f"with q as (select item_id as query_id, cast(embedding as double[]) as qv from benchmark join embeddings on vec_id = item_id), e as (select vec_id, cast(embedding as double[]) as v from embeddings), g as (select query_id, vec_id, {_COS.format(a='v', b='qv')} as s from q cross join e), r as (select *, row_number() over (partition by query_id order by round(s, {DIGITS}) desc, vec_id) as rank from g) select query_id, cast(rank as int) as rank, vec_id, round(s, 6) as score from r where rank <= {K}",
+        "coded_topk": f"with q as (select item_id as query_id, cast(embedding as double[]) as qv from benchmark join embeddings on vec_id = item_id), e as (select vec_id, cast(embedding as double[]) as v from embeddings), g as (select query_id, vec_id, {_COS.format(a='v', b='qv')} as s from q cross join e), r as (select *, row_number() over (partition by query_id order by round(s, {DIGITS}) desc, vec_id) as rank from g) select query_id, cast(rank as int) as rank, vec_id, round(s, 6) as score from r where rank <= {K}",
         "minmax_scores": "select vec_id, label, round(case when hi = lo then 0.0 else (x - lo) / (hi - lo) end, 6) as scaled from (select vec_id, label, x, min(x) over (partition by label) as lo, max(x) over (partition by label) as hi from (select vec_id, label, cast(embedding[1] as double) as x from embeddings))",
         "hybrid_topk": f"with {_HYBRID} select query_id, cast(rank as int) as rank, doc_id, round(score, 6) as score, round(s, 6) as semantic_score, round(k, 6) as keyword_score from hybrid",
         "hash_embed_md5": f"select doc_id, bucket, sum(case when bucket % 2 = 1 then -1 else 1 end)::bigint as weight from (select doc_id, cast(('0x' || right(md5(term), 2)) as int) as bucket from (select doc_id, unnest({_TOKENS.format('text')}) as term from documents)) group by 1, 2",
@@ -459,7 +470,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         hybrid_topk, norm_text, tokenize, clean_text, short_text, paragraphs, pack_chunks, split_windows, article_carry, chunks, index_roundtrip,
-        term_freq, doc_freq, doc_len, corpus_stats, bm25_topk, postings_topk, cosine_topk, minmax_scores, hash_embed, hash_embed_md5, citations, context_blocks,
+        term_freq, doc_freq, doc_len, corpus_stats, bm25_topk, postings_topk, cosine_topk, coded_topk, minmax_scores, hash_embed, hash_embed_md5, citations, context_blocks,
         offline_answers, evidence_rank, rule_checks, case_lines, eval_summary, eval_breakdown, page_quality, usable_text_layers,
         image_numbers, page_cache, quality_lines, report_metrics, wire_rows, prompts, answer_errors, default_topk, first_cases,
     )

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions.text import tokenize
-from quarry.operators import grid, lexical, search
+from quarry.operators import grid, lexical, search, vectors
 from quarry.operators.embedding import LocalHashEmbedder, NativeHashEmbedder, RemoteEmbedder, cosine, make_embedder
 
 CHUNKS = [
@@ -277,3 +277,26 @@ print(RemoteEmbedder("m", test_search.counting("{tmp_path}/calls", die="e"), sto
     assert out.stdout.split()[-1:] == ["8"], out.stderr[-2000:]
     assert (tmp_path / "calls" / "died").exists()
     assert sorted(p.name[0] for p in (tmp_path / "calls").iterdir() if "-" in p.name) == list("abcdefgh")
+
+
+def test_coded_vectors_leave_few_to_be_read(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(3000, 48))
+    v[10] = v[20]
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(9000, None), (9001, []), (9002, [0.0] * 48), (9003, [1.0, 2.0]), (9004, [1.0, None])]
+    df = spark.createDataFrame(rows, "key long, embedding array<double>").repartition(3)
+    vectors.coded(df, "key").write.parquet(str(tmp_path / "codes"))
+    codes = spark.read.parquet(str(tmp_path / "codes"))
+    assert codes.where("d = 0").count() == 4
+    asked = [(0, v[10].tolist()), (1, v[5].tolist()), (2, rng.normal(size=48).tolist()), (3, [0.0] * 48), (4, [2.0, 4.0])]
+    q = spark.createDataFrame(asked, "query_id long, query_embedding array<double>")
+    block = grid.Questions.collect(q)
+    read = {block.ids[r["q"]].as_py(): r["n"] for r in vectors.candidates(codes, block, 5, 9).groupBy("q").agg(F.count("*").alias("n")).collect()}
+    assert all(5 <= read[i] <= 60 for i in (0, 1, 2))  # of 3,005 rows
+    got = {}
+    for r in vectors.nearest(df, codes, q, 5, "key", round_to=9).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["key"], r["score"]))
+    for i, w in asked:
+        cos = {key: 0.0 if not x or None in x or len(x) != len(w) or not any(x) or not any(w) else float(np.dot(x, w) / math.sqrt(np.dot(x, x) * np.dot(w, w))) for key, x in rows}
+        best = sorted(cos, key=lambda key: (-round(cos[key], 9), key))[:5]
+        assert [(k, s) for _, k, s in sorted(got[i])] == [(k, pytest.approx(cos[k])) for k in best]
