@@ -8,13 +8,15 @@ with the query, added up over the trees, are its candidates: a ``share`` of the
 equal standing included. They are scored exactly, in double precision, in an order of
 summation that is the same for every row, so that equal vectors have equal scores.
 
-The share is fitted: on a sample of ``SAMPLE`` rows (those of least hash of vec_id), up to ``ASKED`` of
+The share is fitted: on a sample of ``SAMPLE`` rows (those of least hash of vec_id; fewer if that were over ``HELD`` bytes), the size of a small shard, up to ``ASKED`` of
 them are searched exactly and by the forest, and the least of ``SHARES`` is taken by which ``RECALL`` of the true
-neighbours are found. Every row is indexed.
+neighbours are found. Every row is indexed. Where vectors lie in clusters that is a few rows in a thousand, and the work of a query
+goes with those; where they have none, no hash tells near from far and the share is a fifth and more.
 
 Every task indexes the vectors that it reads, in shards of at most ``SHARD_ROWS``, so the
 index is spread as the table is and nothing is shuffled but each shard's best for each
-query. Queries go out in blocks of ``QUERY_BLOCK``, one after another: a block's answers are
+query. Queries go out in blocks of ``QUERY_BLOCK`` rows and ``HELD`` bytes at most, one after another, for each of which a shard's forest is made
+again (as long as some hundred queries take): a block's answers are
 written and its broadcast is freed before the next is fetched, so the driver holds one block.
 
 Defined results: vectors that are null, zero, empty, or hold a null or non-finite component
@@ -42,11 +44,15 @@ from . import _text as tx
 TREES = 96
 BITS = 32
 SPREAD = 6
-SHARES = (0.02, 0.05, 0.08, 0.11, 0.14, 0.17, 0.2, 0.25, 0.3, 0.4, 0.5, 0.7, 1.0)
+#: Above one part in so many of a shard, entries are counted in an array of the shard's length.
+DENSE = 16
+SHARES = (0.0002, 0.0005, 0.001, 0.002, 0.005, 0.01, 0.02, 0.05, 0.08, 0.11, 0.14, 0.17, 0.2, 0.25, 0.3, 0.4, 0.5, 0.7, 1.0)
 RECALL = 0.94
-SAMPLE, ASKED = 2048, 256
+SAMPLE, ASKED = 1 << 14, 96
 SHARD_ROWS = 1 << 16
 QUERY_BLOCK = 1 << 15
+#: Bytes of vectors on the driver, of a sample or a block of queries.
+HELD = 1 << 26
 NEAR = "query_id long, vec_id long, score double"
 
 
@@ -71,7 +77,7 @@ class Forest:
     """Sorted hash strings of one shard."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        self.ids, self.vectors = ids, vectors
+        self.ids, self.vectors, self.touched = ids, vectors, 0
         self.norms = norms(vectors)
         self.planes = _planes(vectors.shape[1])
         strings = _strings(vectors / self.norms[:, None], self.planes)
@@ -94,16 +100,24 @@ class Forest:
         flat, tree = self.order.ravel(), np.arange(TREES) * n
         for q in range(len(queries)):
             x = int(np.flatnonzero(reached[:, q] >= min(n, SPREAD * enough))[-1])
-            shared, top = np.zeros(n, np.int64), BITS + 1
+            met, shared, top = np.zeros(0, np.int64), np.zeros(0, np.int64), BITS + 1
             while True:  # bits shared with the query, over the prefixes of x bits and more
                 begin, count = (low[x:top, :, q] + tree).ravel(), (high[x:top, :, q] - low[x:top, :, q]).ravel()
                 at = np.arange(count.sum()) + np.repeat(begin - np.cumsum(count) + count, count)
-                shared += np.bincount(flat[at], minlength=n)
-                if x == 0 or np.count_nonzero(shared) >= min(n, SPREAD * enough):
+                self.touched += len(at)
+                if DENSE * (len(at) + len(met)) < n:  # work goes with what lies under the prefixes, not with the shard
+                    met, back = np.unique(np.concatenate((met, flat[at])), return_inverse=True)
+                    shared = np.bincount(back, np.concatenate((shared, np.ones(len(at), np.int64))), len(met)).astype(np.int64)
+                else:
+                    whole = np.bincount(flat[at], minlength=n)
+                    whole[met] += shared
+                    met = np.flatnonzero(whole)
+                    shared = whole[met]
+                if x == 0 or len(met) >= min(n, SPREAD * enough):
                     break
                 x, top = x - 1, x
-            least = max(1, int(np.partition(shared, n - enough)[n - enough])) if n else 1
-            yield np.flatnonzero(shared >= least)
+            least = int(np.partition(shared, len(met) - enough)[len(met) - enough]) if len(met) > enough else 1
+            yield met[shared >= least]
 
     def nearest(self, query_ids: np.ndarray, queries: np.ndarray, k: int, share: float) -> list[tuple[np.ndarray, ...]]:
         lengths = norms(queries)
@@ -163,14 +177,16 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     rows = valid(vectors)
     spark = rows.sparkSession
     queries = rows.where(is_query).groupBy("vec_id").agg(F.min("vector").alias("vector")).select("vec_id", F.size("vector").alias("dim"), "vector")
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    total, widest = rows.agg(F.count("*"), F.coalesce(F.max("dim"), F.lit(1))).first()
+    most = max(1, HELD // (8 * widest))
+    blocks = max(1, -(-queries.count() // min(QUERY_BLOCK, most)))
     dealt = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
-    sample = _arrays(_sample.least_hashed(rows, SAMPLE, rows.count(), 3, "vec_id").toArrow())
+    sample = _arrays(_sample.least_hashed(rows, min(SAMPLE, most), total, 3, "vec_id").toArrow())
     shares = {d: fit_share(i, v, k) for d, (i, v) in sample.items()}
     usual = max(shares.values(), default=1.0)  # for lengths that the sample misses
 
     def one_block(b: int) -> DataFrame:
-        asked = spark.sparkContext.broadcast(_arrays(dealt.where(F.col("block") == b).select("vec_id", "dim", "vector").toArrow()))  # about QUERY_BLOCK rows
+        asked = spark.sparkContext.broadcast(_arrays(dealt.where(F.col("block") == b).select("vec_id", "dim", "vector").toArrow()))  # about QUERY_BLOCK rows, HELD bytes
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: dict[int, list[pa.RecordBatch]] = {}

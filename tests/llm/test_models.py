@@ -336,6 +336,28 @@ def test_html_drops_nothing_but_boilerplate():
     assert html_extract.extract("<p>" + "word " * 300_000).count("word") == 300_000
 
 
+def test_forest_touches_few_rows_of_clustered_vectors():
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(400, 32))
+    vectors = np.repeat(centres, 40, axis=0) + 0.08 * rng.normal(size=(16_000, 32))
+    share = ann.fit_share(np.arange(16_000), vectors, 5)
+    assert share <= 0.005
+    forest = ann.Forest(np.arange(16_000), vectors)
+    asked = np.arange(0, 16_000, 200)
+    unit = vectors / ann.norms(vectors)[:, None]
+    hit = 0
+    for q, found in zip(asked, forest.nearest(asked, vectors[asked], 5, share), strict=True):
+        cos = unit @ unit[q]
+        cos[q] = -2
+        hit += len(set(found[1].tolist()) & set(np.argsort(-cos)[:5].tolist()))
+    assert hit >= 0.9 * 5 * len(asked) and forest.touched < 0.025 * 96 * 16_000 * len(asked)
+    dense, ann.DENSE = ann.DENSE, 0  # both ways of counting find the same
+    few = [np.sort(x).tolist() for x in forest.candidates(unit[asked[:9]], 40)]
+    ann.DENSE = 1 << 40
+    assert few == [np.sort(x).tolist() for x in forest.candidates(unit[asked[:9]], 40)]
+    ann.DENSE = dense
+
+
 def test_one_label_on_most_rows_is_picked_from_without_sorting_it(spark):
     rows = [(i, f"the word number {i} is here", "en" if i % 10 else "fr") for i in range(6000)] + [(7, "again", "en")] * 500
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
