@@ -39,6 +39,8 @@ def _folding() -> tuple[str, str, dict[str, str]]:
         if unicodedata.category(ch) == "Mn":
             marks.append(ch)
             continue
+        if not unicodedata.decomposition(ch):
+            continue
         base = "".join(c for c in unicodedata.normalize("NFD", ch) if unicodedata.category(c) != "Mn")
         if len(base) > 1:
             several[ch] = base

@@ -130,7 +130,7 @@ def postings_topk(spark, d):
 
 def _indexed(spark, d):
     vectors = _read(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    return _docs(spark, d).join(vectors, "doc_id", "left")
+    return shared.spread(_docs(spark, d)).join(vectors, "doc_id", "left")
 
 
 def cosine_topk(spark, d):

@@ -50,7 +50,8 @@ def drop_table(df: DataFrame) -> None:
 
 def spread(df: DataFrame, below: int = SMALL_BYTES) -> DataFrame:
     """``df``, dealt out to all cores if the optimiser takes it to be smaller than ``below``: one row group
-    is one task, and a small file has no more. Larger inputs have row groups enough."""
+    is one task, and a small file has no more. Larger inputs have row groups enough. For tables as they are read, not for joins,
+    whose size the optimiser takes to be the product of their sides'."""
     if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) >= below:
         return df
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
