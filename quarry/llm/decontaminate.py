@@ -20,7 +20,8 @@ before the next is made. Where there are several, the corpus is read once: a bit
 
 Defined results: null and empty texts, and items without words, match nothing; an item of
 fewer than five words is one shingle. Equal items are all reported, rows that repeat an item once. Rows with equal doc_id
-are reported as one. Without items, or documents, there is no row.
+are reported as one. Without items, or documents, there is no row. Other columns are not read by ``matches`` and carried
+through by ``clean``, whatever their names.
 """
 
 from __future__ import annotations

@@ -12,7 +12,7 @@ Defined results: null and empty texts have no lines and come back unchanged, as
 of fewer than ``window`` lines. Rows without doc_id are not compared. Rows with equal doc_id
 count as one document: they lose the same lines (of a shorter row, those it has). Kept lines stay joined by a
 newline where one stood between them, else by a blank; an untouched text is returned byte for byte. Other
-columns are carried through, whatever their names.
+columns are carried through, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations

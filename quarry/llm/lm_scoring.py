@@ -28,7 +28,8 @@ occurrences (so at most 2^20 of them) are broadcast with their counts; for all r
 (text, token) pairs are joined with the vocabulary.
 
 Defined results: a null or empty text is the end alone. Equal rows get equal scores. With no
-training text every token is unknown and all scores are 0. Rows without doc_id are scored.
+training text every token is unknown and all scores are 0. Rows without doc_id are scored. An empty table gives an empty result. Other columns are not read,
+whatever their names, unless the condition that tells training rows names them.
 """
 
 from __future__ import annotations

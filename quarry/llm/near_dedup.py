@@ -25,7 +25,8 @@ pairs in proportion to its size.
 
 Defined results: null texts count as empty; equal texts (empty ones too) are one class; a
 text of one to four words is one shingle. Rows with equal doc_id count as one document, with
-the class of the least. Rows without doc_id are left out.
+the class of the least. Rows without doc_id are left out. An empty table gives an empty
+result. Other columns are not read by ``classes`` and carried through by ``keep_one``, whatever their names.
 """
 
 from __future__ import annotations

@@ -24,7 +24,8 @@ weighted so that the labels keep their ratio in the whole table; learning and sc
 Defined results: null and empty texts have no clause and get the model's base score, as does
 any text if there are no labels of both kinds (0 then). Repeated rows get equal scores. A document
 is labelled toxic if any of its labels says so; of several texts with its doc_id, the one with the least hash is learned.
-Labels that are null, or without a doc_id, are ignored.
+Labels that are null, or without a doc_id, are ignored. An empty table gives an empty result; other columns are not read, whatever
+their names.
 """
 
 from __future__ import annotations
