@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import chunking, evaluation, generation, lexical, search
+from ..operators import chunking, coverage, evaluation, generation, lexical, search
 from ..operators.embedding import Embedder, make_embedder
 from ..sources import snapshots, tables
 from ..sources.config import Settings
@@ -79,6 +79,12 @@ class Engine:
         chunks = snapshots.stored(self.spark, path, data).withColumn("key", _key()).select("key", *[c for c in tables.schemas.CHUNKS.names if c != "embedding"])
         return found.join(chunks, "key")
 
+    def coverage(self, cases: DataFrame, path: str | None = None, strict: bool = False) -> DataFrame:
+        """The cases with the number of the index' chunks that satisfy their evidence, and of their keywords that some chunk
+        holds; ``coverage.ceiling`` of it is the recall that no search over this index exceeds."""
+        _, chunks = tables.open_index(self.spark, path or self.settings.index_path)
+        return coverage.coverage(chunks, cases, strict)
+
     def answer_kind(self) -> str:
         return f"answer:{self.settings.chat_model}:{self.settings.max_output_tokens}"
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import chunking, embedding, evaluation, generation, grid, lexical, search
+from ..operators import chunking, coverage, embedding, evaluation, generation, grid, lexical, search
 from ..operators import vectors as vectors_
 from ..sources import pdf, shared, tables
 from . import report
@@ -207,6 +207,23 @@ def evidence_rank(spark, d):
     return rows.select("query_id", evaluation.first_evidence_rank(F.col("results"), F.col("expected")).alias("first_evidence_rank"))
 
 
+def evidence_coverage(spark, d):
+    """Which of all documents hold what the questions expect: a source, a page, both, or words of the question."""
+    q = F.col("query_id")
+    item = lambda article, page: F.struct(article.cast("string").alias("article"), page.cast("string").alias("page"))
+    src = lambda n: F.concat(F.lit("SRC"), (q % n).cast("string"))
+    words = F.split(F.col("text"), " ")
+    cases = _read(spark, d, "benchmark").select(
+        F.col("item_id").alias("query_id"), "text",
+    ).select(
+        "query_id", F.when(q % 3 == 0, F.array(item(src(20), F.lit(None)), item(F.lit(None), q * 7))).when(q % 3 == 1, F.array(item(src(5), q * 11), item(F.lit(""), F.lit("no number"))))
+        .otherwise(F.array(item(F.get(words, F.lit(1)), F.lit(None)), item(F.lit(None), F.lit(None)))).alias("expected_citations"),
+        F.array(F.get(words, F.lit(0)), F.concat_ws(" ", F.get(words, F.lit(2)), F.get(words, F.lit(3))), F.lit("ZZ no such words")).alias("expected_keywords"),
+    )
+    docs = shared.spread(_docs(spark, d)).select("text", F.col("source").alias("article"), F.col("doc_id").cast("int").alias("page_start"), F.col("doc_id").cast("int").alias("page_end"))
+    return coverage.coverage(docs, cases).select("query_id", "evidence_chunks", "keyword_total", "keywords_present")
+
+
 def _answers(spark, d):
     turns = _read(spark, d, "conversations").where("role = 'assistant'")
     tail = F.when(F.col("turn") % 3 == 0, " [Trang 3]").when(F.col("turn") % 3 == 1, " Không có thông tin.").otherwise("")
@@ -461,6 +478,14 @@ def oracle_sql() -> dict[str, str]:
         "report_metrics": f"select toxic, case when recall_at_{K} is null then 'n/a' else printf('%.3f', recall_at_{K}) end as recall, case when mrr is null then 'n/a' else printf('%.3f', mrr) end as mrr, 'n/a' as none from (select toxic, {summary} group by toxic)",
         "wire_rows": f"with {_HYBRID} select query_id, cast(rank as int) as rank, round(score, 6) as score, round(s, 6) as semantic_score, round(k, 6) as keyword_score, cast(doc_id as int) as page_start, source as article, cast(null as varchar) as title from hybrid join documents using (doc_id)",
         "default_topk": f"with q as (select item_id as query_id, cast(embedding as double[]) as qv from benchmark join embeddings on vec_id = item_id), e as (select vec_id, cast(embedding as double[]) as v from embeddings), g as (select query_id, vec_id, {_COS.format(a='v', b='qv')} as s from q cross join e) select query_id, cast(rank as int) as rank, vec_id from (select *, row_number() over (partition by query_id order by round(s, {DIGITS}) desc, vec_id) as rank from g) where rank <= 3",
+        "evidence_coverage": f"""with c as (select item_id as query_id, item_id % 3 as r, {_NORM.format('split(text, chr(32))[2]')} as word,
+            {_NORM.format('split(text, chr(32))[1]')} as k1, {_NORM.format("concat_ws(' ', split(text, chr(32))[3], split(text, chr(32))[4])")} as k2 from benchmark),
+            n as (select doc_id, {_NORM.format('source')} as s, {_NORM.format('text')} as t from documents),
+            x as (select query_id, (r = 0 and (contains(s, 'src' || query_id % 20) or contains(t, 'src' || query_id % 20) or doc_id = query_id * 7))
+            or (r = 1 and doc_id = query_id * 11 and (contains(s, 'src' || query_id % 5) or contains(t, 'src' || query_id % 5)))
+            or (r = 2 and (contains(s, word) or contains(t, word))) as e, contains(t, k1) as h1, contains(t, k2) as h2, contains(t, 'zz no such words') as h3 from c, n)
+            select query_id, count(*) filter (e) as evidence_chunks, cast(3 as int) as keyword_total,
+            cast(coalesce(bool_or(h1), false) as bigint) + cast(coalesce(bool_or(h2), false) as bigint) + cast(coalesce(bool_or(h3), false) as bigint) as keywords_present from x group by 1""",
         "first_cases": "select doc_id, quality, toxic from labels order by doc_id limit 10",
         "usable_text_layers": "select source as doc_id from documents group by 1 having avg(n_chars) >= 2500 and count(*) filter (n_chars >= 100) >= greatest(3, count(*) // 2)",
     }
@@ -471,7 +496,7 @@ QUERIES = {
     for f in (
         hybrid_topk, norm_text, tokenize, clean_text, short_text, paragraphs, pack_chunks, split_windows, article_carry, chunks, index_roundtrip,
         term_freq, doc_freq, doc_len, corpus_stats, bm25_topk, postings_topk, cosine_topk, coded_topk, minmax_scores, hash_embed, hash_embed_md5, citations, context_blocks,
-        offline_answers, evidence_rank, rule_checks, case_lines, eval_summary, eval_breakdown, page_quality, usable_text_layers,
+        offline_answers, evidence_rank, evidence_coverage, rule_checks, case_lines, eval_summary, eval_breakdown, page_quality, usable_text_layers,
         image_numbers, page_cache, quality_lines, report_metrics, wire_rows, prompts, answer_errors, default_topk, first_cases,
     )
 }
