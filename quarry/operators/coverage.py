@@ -7,7 +7,7 @@ one can't be found by any search, however large its k.
 The normalised phrases of a block of cases make one Aho-Corasick automaton. A text is normalised once, on the JVM side, and goes
 through it once, whatever the number of phrases. Tasks add up what they find, so one row a task and phrase or set of evidence
 moves, and no text. Cases with equal evidence are looked for once. A block holds at most ``BYTES`` of phrases (or one set of
-evidence); more cases are more blocks, each a pass over the chunks.
+evidence); more cases are more blocks, each a pass over the chunks. What was found is written, as it is read twice.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..sources import shared
 
 BYTES = 8 << 20
 _BORDERLESS = frozenset("0123456789abcdefghijklmnopqrstuvwxyz")
@@ -143,7 +144,7 @@ def coverage(chunks: DataFrame, cases: DataFrame, strict: bool = False, block_by
     sets = own.select(F.lit("evidence").alias("kind"), F.col("__items").alias("value")).where("value <> '[]'")
     wanted = sets.union(own.select(F.lit("keyword").alias("kind"), F.explode("__words").alias("value"))).distinct()
     empty = chunks.sparkSession.createDataFrame([], "kind string, value string, n_chunks long")
-    found = reduce(DataFrame.union, (_counts(chunks, block, strict) for block in blocks(wanted, block_bytes)), empty)
+    found = shared.write_table(reduce(DataFrame.union, (_counts(chunks, block, strict) for block in blocks(wanted, block_bytes)), empty), "coverage")
     met = found.where("kind = 'evidence'").select(F.col("value").alias("__items"), F.col("n_chunks").alias("evidence_chunks"))
     said = found.where("kind = 'keyword'").select(F.col("value").alias("__word"), F.lit(1).alias("__there"))
     lists = own.select("__words").distinct().select("__words", F.explode("__words").alias("__word")).join(said, "__word")
