@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import _scratch
+from . import _scratch, _skew
 
 
 def _round(now: DataFrame) -> DataFrame:
-    """One large-star and one small-star step over edges (u, v) with v < u."""
+    """One large-star and one small-star step over edges (u, v) with v < u. Links of hubs are dealt out."""
     both = now.union(now.select("v", "u"))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    low = large.groupBy("u").agg(F.min("v").alias("m"))
-    small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-    return _scratch.write_table(small.union(low.select("u", "m")).distinct(), "edges")
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+    large = _skew.join_counted(both, least, ["u"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    small = _skew.join_counted(large, low, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    return _scratch.write_table(small.union(low.where("n > 0").select("u", "m")).distinct(), "edges")
 
 
 def _ordered(edges: DataFrame) -> DataFrame:

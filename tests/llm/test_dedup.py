@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.llm import _components, decontaminate, line_dedup, near_dedup
+from quarry.llm import _components, _skew, decontaminate, line_dedup, near_dedup
 from quarry.llm import _text as tx
 
 
@@ -144,6 +144,39 @@ def test_line_dedup_equals_brute_force(spark, docs, least, sentences):
     assert line_dedup.dedup(df.where("false")).count() == 0
 
 
+def test_rows_of_hot_keys_are_dealt_out(spark):
+    """One key holds 90 % of the rows, one has just so many that it is dealt out, others have few or no partner."""
+    rows = [(7, i) for i in range(4000)] + [(8, i) for i in range(_skew.SALTS)] + [(k, i) for k in range(100, 400) for i in range(2)] + [(None, 1)]
+    df = spark.createDataFrame(rows, "k long, v long")
+    keyed = df.where("k <> 399").groupBy("k").agg(F.count("*").alias("n"), F.max("v").alias("most"))
+    kept = {c: spark.conf.get(c) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        for c, v in zip(kept, ("-1", "false")):
+            spark.conf.set(c, v)
+        made = _skew.join_counted(df, keyed, ["k"])
+        got = made.withColumn("task", F.spark_partition_id()).collect()
+        assert made._jdf.queryExecution().executedPlan().toString().count("ReusedExchange") >= 1
+    finally:
+        for c, v in kept.items():
+            spark.conf.set(c, v)
+    most = {7: 3999, 8: _skew.SALTS - 1}
+    assert sorted((r["k"], r["v"], r["most"]) for r in got) == sorted((k, v, most.get(k, 1)) for k, v in rows if k not in (399, None))
+    assert max(Counter(r["task"] for r in got if r["k"] == 7).values()) < 0.5 * 4000
+
+
+def test_components_of_a_hub_with_most_links(spark):
+    """A hub in the middle of the identifiers: half its links are to smaller nodes, half to larger ones; and other pairs."""
+    edges = [(1000, i) for i in range(2001) if i != 1000] + [(5000 + 2 * i, 5001 + 2 * i) for i in range(100)]
+    got = dict(tuple(r) for r in _components.components(spark.createDataFrame(edges, "a long, b long")).collect())
+    assert got == {i: 0 for i in range(1, 2001)} | {5001 + 2 * i: 5000 + 2 * i for i in range(100)}
+
+
+def test_line_dedup_of_a_window_in_nearly_all_texts(spark):
+    rows = [(i, f"one two\nthree four\nfive six\nown line {i}") for i in range(300)] + [(300 + i, f"a {i}\nb {i}\nc {i}") for i in range(30)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: t if i == 0 or i >= 300 else f"own line {i}" for i, t in rows}
+
+
 def test_line_dedup_of_odd_rows_and_clashing_columns(spark):
     rows = [(None, "a\nb\nc\nd"), (None, "a\nb\nc\nd"), (1, "a\nb\nc\nd"), (1, "a\nb\nc\nd"), (1, "x"), (2, "p\na\nb\nc"), (3, "a\nb\nc"), (4, None), (5, ""), (6, "a\nb")]
     df = spark.createDataFrame([(i, t, 7, 8, 9, 10) for i, t in rows], "doc_id long, text string, __id int, __gone int, n_lines int, n_chars long")
