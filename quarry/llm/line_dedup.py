@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import _skew
+from . import _scratch, _skew
 from . import _text as tx
 
 WINDOW = 3
@@ -81,12 +81,12 @@ def windows(docs: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS, s
 def repeated(docs: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS, sentences: bool = True) -> DataFrame:
     """``doc_id, positions``: first lines of all later occurrences of repeated windows.
 
-    Counting pre-aggregates in each task; the join back is on the few repeated hashes, and
-    hot ones are dealt out; the list is bounded by its document."""
+    Counting pre-aggregates in each task; the join back is on the few repeated hashes, which are
+    written, as they are read twice; hot ones are dealt out; the list is bounded by its document."""
     all_windows = windows(docs, window, min_words, sentences)
     place = F.struct("doc_id", "pos")
     first = all_windows.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1")
-    later = _skew.join_counted(all_windows, first, ["h1", "h2"]).where(place > F.col("first"))
+    later = _skew.join_counted(all_windows, _scratch.write_table(first, "windows"), ["h1", "h2"]).where(place > F.col("first"))
     return later.groupBy("doc_id").agg(F.collect_set("pos").alias("positions"))
 
 
