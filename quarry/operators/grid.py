@@ -31,6 +31,8 @@ from ..sources import shared
 QUESTIONS = 1024
 #: Cells of the largest matrix.
 CELLS = 1 << 22
+#: Tokens or terms that are worked on at once, and cells of a piece's matrices: what a batch of rows needs besides itself.
+PIECE, PIECE_CELLS = 1 << 18, 1 << 20
 #: Steps of the staircase that rows must pass to be looked at, and rows that are compared at once.
 STEPS, ROWS = 8, 512
 
@@ -57,6 +59,21 @@ def _floats(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return n, starts, flat.to_numpy(zero_copy_only=False).astype(np.float64)
 
 
+def pieces(sizes: np.ndarray, most: int = PIECE, rows: int | None = None) -> Iterator[slice]:
+    """Runs of rows whose ``sizes`` sum to at most ``most`` (a larger row is a run of its own), of at most ``rows`` rows."""
+    ends, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        end = min(end, at + rows) if rows else end
+        yield slice(at, end)
+        at = end
+
+
+def lengths(listed: pa.Array) -> np.ndarray:
+    """Lengths of lists, 0 for nulls."""
+    return pc.fill_null(pc.list_value_length(listed), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 @dataclass
 class Questions:
     """A block of questions: identifiers, terms with their weights, vectors by length."""
@@ -99,25 +116,29 @@ class Questions:
         return spark.createDataFrame(list(enumerate(self.ids.to_pylist())), schema)
 
 
-def term_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The columns of ``docs`` but ``text``, and ``dl``, ``terms`` and ``tf``: each text counted in its own row."""
-    tokens = F.coalesce(tx.tokenize(F.col(text)), F.array().cast("array<string>"))
-    rows = docs.select(*[c for c in docs.columns if c != text], tokens.alias("__tokens"))
-    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in rows.schema.fields[:-1]), *schemas.COUNTS.fields])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+def _counts(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """The tokens in the last column, counted row by row."""
+    for whole in batches:
+        for own in pieces(lengths(whole.column(whole.num_columns - 1))):
+            b = whole.slice(own.start, own.stop - own.start)
             listed = b.column(b.num_columns - 1)
-            dl = pc.list_value_length(listed).to_numpy(zero_copy_only=False).astype(np.int64)
+            dl = lengths(listed)
             coded = listed.flatten().dictionary_encode()
             words = max(1, len(coded.dictionary))
             code, times = np.unique(np.repeat(np.arange(b.num_rows), dl) * words + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
             bounds = pa.array(np.searchsorted(code, np.arange(b.num_rows + 1) * words), pa.int32())
             terms = pa.ListArray.from_arrays(bounds, coded.dictionary.take(pa.array(code % words)))
             tf = pa.ListArray.from_arrays(bounds, pa.array(times, pa.int32()))
-            yield pa.record_batch([*b.columns[:-1], pa.array(dl), terms, tf], names=schema.names)
+            yield pa.record_batch([*b.columns[:-1], pa.array(dl), terms, tf], names=names)
 
-    return rows.mapInArrow(count, schema)
+
+def term_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The columns of ``docs`` but ``text``, and ``dl``, ``terms`` and ``tf``: each text counted in its own row."""
+    tokens = F.coalesce(tx.tokenize(F.col(text)), F.array().cast("array<string>"))
+    rows = docs.select(*[c for c in docs.columns if c != text], tokens.alias("__tokens"))
+    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in rows.schema.fields[:-1]), *schemas.COUNTS.fields])
+    names = schema.names
+    return rows.mapInArrow(lambda batches: _counts(batches, names), schema)
 
 
 def counted(chunks: DataFrame, key: str) -> DataFrame:
@@ -137,8 +158,9 @@ def weigh(rows: DataFrame, asked: Questions, stats: tuple[int, float] | None = N
     def holds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(len(vocabulary.value), np.int64)
         for b in batches:
-            at = pc.index_in(b.column(0).flatten(), value_set=vocabulary.value).drop_null().to_numpy()
-            n += np.bincount(at, minlength=len(n))
+            for own in pieces(lengths(b.column(0))):
+                at = pc.index_in(b.column(0)[own].flatten(), value_set=vocabulary.value).drop_null().to_numpy()
+                n += np.bincount(at, minlength=len(n))
         met = np.flatnonzero(n)
         yield pa.record_batch([pa.array(met), pa.array(n[met])], names=["t", "n"])
 
@@ -154,21 +176,17 @@ def _keyword(b: pa.RecordBatch, asked: Questions, k1: float, b_: float) -> np.nd
     out = np.zeros((n, m))
     if asked.weights is None or not len(asked.vocabulary) or not asked.average > 0:
         return out
-    listed, dl = b.column(2), b.column(1).to_numpy()
-    size = pc.list_value_length(listed).to_numpy(zero_copy_only=False).astype(np.int64)
-    terms = pc.fill_null(pc.index_in(listed.flatten(), value_set=asked.vocabulary), -1).to_numpy(zero_copy_only=False)
-    met = terms >= 0
-    rows, terms, times = np.repeat(np.arange(n), size)[met], terms[met], b.column(3).flatten().to_numpy()[met].astype(np.float64)
-    part = times * (k1 + 1) / (times + k1 * (1 - b_ + b_ * dl[rows] / asked.average))
-    bounds = np.searchsorted(rows, np.arange(n + 1))
-    step = max(1, CELLS // len(asked.vocabulary))
-    for at in range(0, n, step):
-        end = min(n, at + step)
-        own = slice(bounds[at], bounds[end])
-        held, where = np.unique(terms[own], return_inverse=True)
-        x = np.zeros((end - at, len(held)))
-        x[rows[own] - at, where] = part[own]
-        out[at:end] = x @ asked.weights[held]
+    dl = b.column(1).to_numpy()
+    for own in pieces(lengths(b.column(2)), rows=max(1, PIECE_CELLS // len(asked.vocabulary))):
+        listed, times = b.column(2)[own], b.column(3)[own].flatten().to_numpy()
+        terms = pc.fill_null(pc.index_in(listed.flatten(), value_set=asked.vocabulary), -1).to_numpy(zero_copy_only=False)
+        met = terms >= 0
+        rows, terms, times = np.repeat(np.arange(len(listed)), lengths(listed))[met], terms[met], times[met].astype(np.float64)
+        part = times * (k1 + 1) / (times + k1 * (1 - b_ + b_ * dl[own][rows] / asked.average))
+        held, where = np.unique(terms, return_inverse=True)
+        x = np.zeros((len(listed), len(held)))
+        x[rows, where] = part
+        np.matmul(x, asked.weights[held], out=out[own])
     return out
 
 
@@ -273,7 +291,7 @@ def hybrid(rows: DataFrame, asked: Questions, k: int, digits: int | None, weight
         for whole in batches:
             at = 0
             while at < whole.num_rows and len(q.ids):
-                size = max(64, min(CELLS // len(q.ids), upto))
+                size = max(64, min(PIECE_CELLS // len(q.ids), upto))
                 x = whole.slice(at, size)
                 at, upto = at + size, 2 * upto
                 s, w = _semantic(x, q), _keyword(x, q, k1, b)
@@ -320,15 +338,18 @@ def scores(rows: DataFrame, asked: Questions, kind: str, k: int, digits: int | N
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = held.value
-        for x in batches:
-            if not x.num_rows or not len(q.ids):
-                continue
-            s = _semantic(x, q) if kind == "semantic" else np.zeros((x.num_rows, len(q.ids)))
-            w = _keyword(x, q, k1, b) if kind == "keyword" else np.zeros((x.num_rows, len(q.ids)))
-            total = s if kind == "semantic" else np.where(w > 0, w, -np.inf)
-            ranked = np.round(total, digits) if digits else total
-            row, column = _best(ranked, x.column(0), k)
-            yield pa.record_batch([q.ids.take(pa.array(column)), x.column(0).take(pa.array(row)), *(pa.array(v[row, column]) for v in (ranked, total, s, w))], names=names)
+        for whole in batches:
+            size = max(64, CELLS // max(1, len(q.ids)))
+            for at in range(0, whole.num_rows if len(q.ids) else 0, size):
+                x = whole.slice(at, size)
+                total = _semantic(x, q) if kind == "semantic" else _keyword(x, q, k1, b)
+                if kind == "keyword":
+                    total[total <= 0] = -np.inf
+                ranked = np.round(total, digits) if digits else total
+                row, column = _best(ranked, x.column(0), k)
+                found, none = pa.array(total[row, column]), pa.array(np.zeros(len(row)))
+                both = (found, none) if kind == "semantic" else (none, found)
+                yield pa.record_batch([q.ids.take(pa.array(column)), x.column(0).take(pa.array(row)), pa.array(ranked[row, column]), found, *both], names=names)
 
     return rows.select("key", "dl", "terms", "tf", "embedding").mapInArrow(run, schema)
 

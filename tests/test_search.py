@@ -2,8 +2,10 @@ import hashlib
 import math
 import os
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -300,3 +302,40 @@ def test_coded_vectors_leave_few_to_be_read(spark, tmp_path):
         cos = {key: 0.0 if not x or None in x or len(x) != len(w) or not any(x) or not any(w) else float(np.dot(x, w) / math.sqrt(np.dot(x, x) * np.dot(w, w))) for key, x in rows}
         best = sorted(cos, key=lambda key: (-round(cos[key], 9), key))[:5]
         assert [(k, s) for _, k, s in sorted(got[i])] == [(k, pytest.approx(cos[k])) for k in best]
+
+
+def _peak_mb(run):
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def _listed(values, each):
+    return pa.ListArray.from_arrays(pa.array(range(0, len(values) + 1, each), pa.int32()), pa.array(values))
+
+
+def test_a_batch_of_rows_is_worked_on_piece_by_piece():
+    """What a task needs besides the batch does not grow with it: 2,000,000 tokens here, 16 MB an array of numbers."""
+    rows, each = 4096, 500
+    words = np.array([f"w{i}" for i in range(each)])
+    tokens = _listed(np.tile(words, rows), each)
+    counted = pa.Table.from_batches(grid._counts([pa.record_batch([pa.array(range(rows)), tokens], names=["key", "x"])], ["key", "dl", "terms", "tf"])).to_pydict()
+    assert counted["key"] == list(range(rows)) and set(counted["dl"]) == {each} and sorted(counted["terms"][-1]) == sorted(words) and set(counted["tf"][7]) == {1}
+    assert _peak_mb(lambda: [None for _ in grid._counts([pa.record_batch([pa.array(range(rows)), tokens], names=["key", "x"])], ["key", "dl", "terms", "tf"])]) < 40
+    ones, dl = pa.ListArray.from_arrays(tokens.offsets, pa.array(np.ones(rows * each, np.int32))), pa.array(np.full(rows, each))
+    place = np.arange(rows)
+    asked = grid.Questions(pa.array([1, 2]), pa.array(["w0", "w1", "none"]), np.array([[1.0, 0], [0, 2], [1, 1]]))
+    asked.weigh(rows, float(each), np.array([1.0, 2, 0]))
+    batch = pa.record_batch([pa.array(place), dl, tokens, ones, pa.nulls(rows, pa.list_(pa.float64()))], names=["key", "dl", "terms", "tf", "embedding"])
+    assert np.allclose(grid._keyword(batch, asked, 1.5, 0.75), [[asked.weights[0, 0], asked.weights[1, 1]]])
+    assert _peak_mb(lambda: grid._keyword(batch, asked, 1.5, 0.75)) < 8
+
+
+def test_pieces_hold_every_row_once():
+    sizes = np.array([3, 0, 9, 1, 1, 0, 4])
+    assert [(p.start, p.stop) for p in grid.pieces(sizes, 4)] == [(0, 2), (2, 3), (3, 6), (6, 7)]
+    assert [(p.start, p.stop) for p in grid.pieces(sizes, 100, rows=3)] == [(0, 3), (3, 6), (6, 7)]
+    assert list(grid.pieces(np.zeros(0, np.int64))) == []
