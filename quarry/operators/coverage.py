@@ -17,6 +17,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -24,8 +25,11 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..sources import shared
+from . import grid
 
 BYTES = 8 << 20
+#: Bytes of normalised texts that a task looks at at once.
+PIECE = 1 << 20
 _BORDERLESS = frozenset("0123456789abcdefghijklmnopqrstuvwxyz")
 _ITEM = "array<struct<page:int,phrase:string>>"
 _built: dict[tuple, Phrases] = {}
@@ -108,7 +112,7 @@ def _counts(chunks: DataFrame, block: list[tuple[str, str]], strict: bool) -> Da
                 else:
                     by_phrase[known.number[phrase]].append((page, s))
         met, said = Counter(), Counter()
-        for b in batches:
+        for b in _pieces(batches):
             texts, articles = pc.dictionary_encode(b.column("text")), pc.dictionary_encode(b.column("article"))
             in_text, in_article = ([known.found(t or None) for t in c.dictionary.to_pylist()] for c in (texts, articles))
             heard = [spoken.found(t) for t in texts.dictionary.to_pylist()]
@@ -128,6 +132,14 @@ def _counts(chunks: DataFrame, block: list[tuple[str, str]], strict: bool) -> Da
     return slim.mapInArrow(run, "kind string, value string, n long").groupBy("kind", "value").agg(F.sum("n").alias("n_chunks"))
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in runs of rows with about ``PIECE`` bytes of texts and articles, for what is made of them in Python."""
+    for b in batches:
+        size = sum(pc.fill_null(pc.binary_length(b.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("text", "article"))
+        for own in grid.pieces(size, PIECE):
+            yield b.slice(own.start, own.stop - own.start)
+
+
 def _pages(wanted: dict, first: int, last: int) -> Iterable[int]:
     """The pages of first..last that are wanted, whichever of the two is shorter being walked."""
     if last - first < len(wanted):

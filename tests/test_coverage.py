@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,3 +76,10 @@ def test_ceiling(spark):
     made = coverage.coverage(spark.createDataFrame(ROWS, CHUNKS), spark.createDataFrame([("a", True, [("khác", None)], []), ("b", True, [(None, "99")], []), ("c", False, [], [])], CASES))
     assert coverage.ceiling(made).first().asDict() == {"recall_ceiling": 0.5, "covered_case_count": 1, "answerable_case_count": 2}
     assert coverage.ceiling(made.where("id = 'c'")).first()["recall_ceiling"] is None
+
+
+def test_texts_are_looked_at_piece_by_piece():
+    batch = pa.record_batch([pa.array(["x" * 400_000, None, "y" * 700_000, "z" * 2_000_000, ""]), pa.array(["a", "b", None, "c", "d"]), pa.array(range(5))], names=["text", "article", "n"])
+    made = list(coverage._pieces([batch, batch.slice(0, 0)]))
+    assert [b.column("n").to_pylist() for b in made] == [[0, 1], [2], [3], [4]]
+    assert pa.Table.from_batches(made).to_pydict() == pa.Table.from_batches([batch]).to_pydict()
