@@ -67,9 +67,18 @@ def numbered(rows: DataFrame, first_block: int = 0) -> DataFrame:
     return rows.withColumn("block", F.shiftright(place, BLOCK_BITS) + F.lit(first_block)).withColumn("at", place.bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).cast("int"))
 
 
+def _whole_blocks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of whole blocks that hold about ``grid.PIECE`` terms."""
+    block = batch.column(0).to_numpy()
+    starts = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1]))) if len(block) else np.zeros(0, np.int64)
+    bounds = np.append(starts, len(block))
+    for own in grid.pieces(np.add.reduceat(grid.lengths(batch.column(3)), starts) if len(starts) else starts):
+        yield batch.slice(bounds[own.start], bounds[own.stop] - bounds[own.start])
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Postings of the blocks of each batch; a block that two batches share makes two rows a term."""
-    for b in batches:
+    for b in (part for whole in batches for part in _whole_blocks(whole)):
         block, at, dl = (b.column(i).to_numpy() for i in range(3))
         listed = b.column(3)
         size = pc.list_value_length(listed).to_numpy(zero_copy_only=False).astype(np.int64)

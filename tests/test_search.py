@@ -327,6 +327,10 @@ def test_a_batch_of_rows_is_worked_on_piece_by_piece():
     assert _peak_mb(lambda: [None for _ in grid._counts([pa.record_batch([pa.array(range(rows)), tokens], names=["key", "x"])], ["key", "dl", "terms", "tf"])]) < 40
     ones, dl = pa.ListArray.from_arrays(tokens.offsets, pa.array(np.ones(rows * each, np.int32))), pa.array(np.full(rows, each))
     place = np.arange(rows)
+    index = pa.record_batch([pa.array(place >> 8), pa.array((place & 255).astype(np.int32)), dl, tokens, ones], names=["block", "at", "dl", "terms", "tf"])
+    made = list(lexical._blocks([index]))
+    assert sum(b.num_rows for b in made) == rows // 256 * each and {n for b in made for n in b.column(2).to_pylist()} == {256}
+    assert _peak_mb(lambda: [None for _ in lexical._blocks([index])]) < 80
     asked = grid.Questions(pa.array([1, 2]), pa.array(["w0", "w1", "none"]), np.array([[1.0, 0], [0, 2], [1, 1]]))
     asked.weigh(rows, float(each), np.array([1.0, 2, 0]))
     batch = pa.record_batch([pa.array(place), dl, tokens, ones, pa.nulls(rows, pa.list_(pa.float64()))], names=["key", "dl", "terms", "tf", "embedding"])
