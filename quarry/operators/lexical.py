@@ -22,6 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
 from . import grid
 
 K1, B = 1.5, 0.75
@@ -54,7 +55,8 @@ def doc_freq(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def doc_len(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    return grid.term_counts(docs.select(key, text), text).select(key, "dl")
+    """``key, dl``; a text is one row, tokens are counted where they are cut."""
+    return docs.select(key, F.coalesce(F.size(tx.tokenize(F.col(text))), F.lit(0)).cast("long").alias("dl"))
 
 
 def corpus_stats(lengths: DataFrame) -> DataFrame:

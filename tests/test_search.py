@@ -343,3 +343,15 @@ def test_pieces_hold_every_row_once():
     assert [(p.start, p.stop) for p in grid.pieces(sizes, 4)] == [(0, 2), (2, 3), (3, 6), (6, 7)]
     assert [(p.start, p.stop) for p in grid.pieces(sizes, 100, rows=3)] == [(0, 3), (3, 6), (6, 7)]
     assert list(grid.pieces(np.zeros(0, np.int64))) == []
+
+
+def test_lengths_are_those_of_the_counted_texts_and_need_no_python(spark):
+    df = spark.createDataFrame([(1, "Giờ làm việc, giờ LÀM"), (2, ""), (3, None), (4, "..."), (5, "a " * 70000)], "id int, text string")
+    lengths = lexical.doc_len(df, "id")
+    assert dict(lengths.collect()) == {1: 5, 2: 0, 3: 0, 4: 0, 5: 70000} == dict(grid.term_counts(df).select("id", "dl").collect())
+    assert lengths.schema["dl"].dataType.simpleString() == "bigint"
+    assert "MapInArrow" in grid.term_counts(df)._jdf.queryExecution().executedPlan().toString()
+    for made in (lengths, lexical.corpus_stats(lengths)):
+        assert "MapInArrow" not in made._jdf.queryExecution().executedPlan().toString()
+    assert lexical.corpus_stats(lengths).first().asDict() == {"n": 5, "avgdl": 14001.0}
+    assert lexical.corpus_stats(lengths.limit(0)).first().asDict() == {"n": 0, "avgdl": 0.0}
