@@ -355,3 +355,15 @@ def test_lengths_are_those_of_the_counted_texts_and_need_no_python(spark):
         assert "MapInArrow" not in made._jdf.queryExecution().executedPlan().toString()
     assert lexical.corpus_stats(lengths).first().asDict() == {"n": 5, "avgdl": 14001.0}
     assert lexical.corpus_stats(lengths.limit(0)).first().asDict() == {"n": 0, "avgdl": 0.0}
+
+
+def test_a_batch_that_python_gets_is_bounded_in_bytes(spark):
+    """``grid.term_counts`` relies on it: rows of any length make a batch of 64 MB and a row at most."""
+    long = spark.range(0, 2000, 1, 1).select(F.array_repeat(F.lit("abcd"), 12000).alias("tokens"))  # 192 MB
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array([b.nbytes]), pa.array([b.num_rows])], names=["n", "rows"])
+
+    got = long.mapInArrow(sizes, "n long, rows long").collect()
+    assert sum(r["rows"] for r in got) == 2000 and max(r["n"] for r in got) < 80e6
