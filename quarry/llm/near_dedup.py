@@ -160,10 +160,23 @@ def multiset_similarity(keys: np.ndarray, sides: np.ndarray, rows: np.ndarray, n
     return np.where(high > 0, low / np.maximum(high, 1), 1.0)
 
 
-def _texts(docs: DataFrame, needed: DataFrame) -> DataFrame:
-    """``id, text`` of the documents in ``needed(id)``, written. A bitmap of fixed size
-    (``BITMAP_BITS``), broadcast, lets through the needed identifiers and few others, so
-    texts that are not needed are not shuffled; where it would be over half full, a join decides instead."""
+def _repeat(rows: DataFrame, *keys: str) -> bool:
+    return not rows.groupBy(*keys).count().where("count > 1").isEmpty()
+
+
+def _once(texts: DataFrame) -> DataFrame:
+    """Each different text of an identifier once."""
+    return texts.groupBy("id", F.unhex(F.md5("text")).alias("copy")).agg(F.first("text").alias("text")).select("id", "text")
+
+
+def _texts(docs: DataFrame, needed: DataFrame, once: bool = False) -> DataFrame:
+    """``id, text`` of the documents in ``needed(id)``, written; with ``once``, which costs a shuffle of them, no row
+    twice. A bitmap of fixed size (``BITMAP_BITS``), broadcast, lets through the needed identifiers and few others, so
+    texts that are not needed are not shuffled; where it would be over half full, a join decides instead.
+
+    Joins with the result are to be merged: files of copies are many times smaller than their rows, so
+    Spark, which goes by the files, would broadcast texts that the driver can't hold."""
+    only = _once if once else lambda x: x
     text = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     bit = F.pmod(F.xxhash64("id"), F.lit(BITMAP_BITS))
     words = needed.select((bit / 64).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
@@ -171,7 +184,7 @@ def _texts(docs: DataFrame, needed: DataFrame) -> DataFrame:
     bits = np.zeros(BITMAP_BITS // 64, tx.U64)
     bits[table["w"].to_numpy(np.int64)] = table["b"].to_numpy(np.int64).view(tx.U64)
     if np.bitwise_count(bits).sum() > BITMAP_BITS // 2:
-        return _scratch.write_table(text.join(needed, "id", "left_semi"), "texts")
+        return _scratch.write_table(only(text.join(needed, "id", "left_semi")), "texts")
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,13 +193,14 @@ def _texts(docs: DataFrame, needed: DataFrame) -> DataFrame:
             ok = np.flatnonzero(shared.value[(at >> tx.U64(6)).astype(np.int64)] >> (at & tx.U64(63)) & tx.U64(1))
             yield b.take(pa.array(ok)).select(["id", "text"])
 
-    return _scratch.write_table(text.withColumn("bit", bit).mapInArrow(pick, "id long, text string"), "texts")
+    return _scratch.write_table(only(text.withColumn("bit", bit).mapInArrow(pick, "id long, text string")), "texts")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """Pairs ``a, b`` whose exact similarity reaches the threshold, with it."""
-    held = _texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    both = pairs.join(held.select(F.col("id").alias("a"), F.col("text").alias("text")), "a").join(held.select(F.col("id").alias("b"), F.col("text").alias("other")), "b")
+def verify(pairs: DataFrame, docs: DataFrame, threshold: float, once: bool = False) -> DataFrame:
+    """Pairs ``a, b`` whose exact similarity reaches the threshold, with it. ``once``: identifiers of ``docs`` repeat."""
+    held = _texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), once)
+    side = lambda key, name: held.select(F.col("id").alias(key), F.col("text").alias(name)).hint("merge")
+    both = pairs.join(side("a", "text"), "a").join(side("b", "other"), "b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in tx.slices(batches, most=1 << 20):
@@ -274,7 +288,7 @@ def _across(members: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     others = dealt.where("label <> top").select("key", "doc_id", "label", F.lit(0).alias("side"), mine("nl").alias("i"), every("nr").alias("j"))
     all_members = dealt.select("key", "doc_id", "label", F.lit(1).alias("side"), every("nl").alias("i"), mine("nr").alias("j"))
-    rows = others.unionByName(all_members).join(_scratch.write_table(_elements(held), "elements"), F.col("doc_id") == F.col("id"))
+    rows = others.unionByName(all_members).join(_scratch.write_table(_elements(held), "elements").hint("merge"), F.col("doc_id") == F.col("id"))
 
     def meet(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -309,6 +323,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, class_id``: one row per row of ``docs`` with a doc_id. The class is named by
     its least doc_id."""
     rows = _scratch.write_table(signed_rows(docs), "signatures")
+    once = _repeat(rows, "doc_id")
     copies = rows.groupBy("copy").agg(F.min("doc_id").alias("rep"))
     reps = rows.join(copies.select("copy", F.col("rep").alias("doc_id")), ["doc_id", "copy"], "left_semi")
     reps = reps.groupBy("doc_id").agg(F.min_by(F.struct("sig", "bands"), "copy").alias("x")).select("doc_id", "x.*")
@@ -319,7 +334,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     in_bucket = _scratch.write_table(members.join(buckets, "key"), "buckets")  # members of buckets with others only
     star = in_bucket.select("doc_id", F.explode(F.array_distinct("hubs")).alias("hub")).where("doc_id <> hub")
     tested = _scratch.write_table(_likely(star.select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct(), reps, threshold), "pairs")
-    links = verify(tested, docs, threshold)
+    links = verify(tested, docs, threshold, once)
     short = _components.shortened(links)
     labels = short.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("label"))
 
@@ -330,13 +345,13 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     open_members = labelled.join(mixed, "key", "left_semi")
     few = open_members.where(F.col("n") <= SMALL_BUCKET).groupBy("key").agg(F.collect_list(F.struct("label", "doc_id")).alias("m"))
     few = few.select(F.explode(F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: y["label"] > x["label"]), lambda y: F.struct(F.least(x["doc_id"], y["doc_id"]).alias("a"), F.greatest(x["doc_id"], y["doc_id"]).alias("b")))))).alias("p")).select("p.a", "p.b").distinct()
-    rest = _likely(few.join(tested, ["a", "b"], "left_anti"), reps, threshold)
+    rest = _likely(few.join(tested.hint("merge"), ["a", "b"], "left_anti"), reps, threshold)
     rest = _scratch.write_table(rest, "pairs")
-    found = verify(rest, docs, threshold)
+    found = verify(rest, docs, threshold, once)
     more = found.select("a", "b")
     many = _scratch.write_table(open_members.where(F.col("n") > SMALL_BUCKET), "open")
     if not many.isEmpty():
-        held = _texts(docs, many.select(F.col("doc_id").alias("id")).distinct())
+        held = _texts(docs, many.select(F.col("doc_id").alias("id")).distinct(), once)
         more = more.union(_scratch.write_table(_across(many, held, threshold), "links"))
         _scratch.drop_table(held)
     for read in (reps, tested, rest, labelled, many):
@@ -370,11 +385,15 @@ def _firsts(docs: DataFrame, found: DataFrame) -> DataFrame:
 def before_cuts(docs: DataFrame, originals: DataFrame) -> DataFrame:
     """``doc_id, text`` of the documents whose text is what is left of their original: it differs
     from that of the same doc_id in ``originals``, and its words, one at least, stand there in the same order."""
-    text = lambda df, name: df.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias(name))
-    now = text(docs, "left")
-    changed = now.select("id", F.md5("left").alias("h")).join(text(originals, "t").select("id", F.md5("t").alias("h0")), "id").where("h <> h0").select("id").distinct()
+    slim = lambda df: df.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    now = slim(docs)
+    prints = lambda df, k: df.groupBy("id").agg(F.min(F.md5("text")).alias(f"lo{k}"), F.max(F.md5("text")).alias(f"hi{k}"), F.count("*").alias(f"n{k}"))
+    # some text of the identifier here differs from one there; rows of equal identifiers never meet in pairs
+    changed = prints(now, 0).join(prints(slim(originals), 1), "id").where("least(lo0, lo1) <> greatest(hi0, hi1)").select("id", F.expr("n0 > 1 or n1 > 1").alias("repeats"))
     changed = _scratch.write_table(changed, "changed")
-    both = _texts(originals, changed).join(now, "id")
+    once = not changed.where("repeats").isEmpty()
+    held = _texts(originals, changed.select("id"), once)
+    both = held.hint("merge").join((_once(now.join(changed.select("id"), "id", "left_semi")) if once else now).withColumnRenamed("text", "left"), "id")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

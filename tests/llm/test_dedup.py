@@ -255,3 +255,73 @@ def test_index_finds_every_fingerprint_within_the_radius():
     w, item = index.near(probes, 20)
     d = np.bitwise_count(probes[:, None] ^ index.prints[None, :])
     assert set(zip(w.tolist(), item.tolist())) == set(zip(*map(list, np.nonzero(d <= decontaminate.RADIUS))))
+
+
+def watch_writes(monkeypatch):
+    """Plans and row counts of the tables that are written from now on, by name."""
+    from quarry.llm import _scratch
+
+    write, seen = _scratch.write_table, []
+
+    def watched(df, name):
+        out = write(df, name)
+        seen.append((name, df._jdf.queryExecution().executedPlan().toString(), out.count()))
+        return out
+
+    monkeypatch.setattr(_scratch, "write_table", watched)
+    return seen
+
+
+def below_broadcasts(plan):
+    depth = lambda line: re.search(r"\w|$", line).start()
+    top = None
+    for line in plan.splitlines():
+        top = None if top is not None and depth(line) <= top else top
+        if top is not None:
+            yield line
+        elif "BroadcastExchange" in line:
+            top = depth(line)
+
+
+def cut_and_whole(rng):
+    """Originals, near copies and exact ones among them, and what is left of every other of them."""
+    base = [" ".join(words(rng, 60)) for _ in range(6)]
+    whole = [t for b in base for t in (b, b, *near_copies(rng, b.split(), 3, 2))]
+    return whole, [" ".join(t.split()[:25]) if i % 2 else t for i, t in enumerate(whole)]
+
+
+def test_near_dedup_never_broadcasts_texts(spark, docs, monkeypatch):
+    whole, left = cut_and_whole(random.Random(21))
+    monkeypatch.setattr(near_dedup, "SMALL_BUCKET", 2)
+    seen = watch_writes(monkeypatch)
+    cut = docs(*left)
+    near_dedup.keep_one(cut, whole=near_dedup.before_cuts(cut, docs(*whole))).collect()
+    carrying = [(name, plan) for name, plan, _ in seen if name in ("links", "whole")]
+    assert {name for name, _ in carrying} == {"links", "whole"}
+    # by their files, which copies make small, tables of texts look as if the driver could hold them
+    assert not [name for name, plan in carrying if any(re.search(r"\b(text|left|elements)#", line) for line in below_broadcasts(plan))]
+
+
+def test_repeated_rows_do_not_multiply_in_near_dedup(spark, docs, monkeypatch):
+    whole, left = cut_and_whole(random.Random(22))
+    cut, originals = docs(*left), docs(*whole)
+    four = lambda df: df.unionByName(df).unionByName(df).unionByName(df)
+    seen = watch_writes(monkeypatch)
+
+    def kept(a, b):
+        seen.clear()
+        ids = sorted(r["doc_id"] for r in near_dedup.keep_one(a, whole=near_dedup.before_cuts(a, b)).collect())
+        return ids, [(name, n) for name, _, n in seen if name in ("texts", "whole", "links")]
+
+    once, tables = kept(cut, originals)
+    repeated, many = kept(four(cut), four(originals))
+    assert repeated == sorted(4 * once) and any(n for _, n in tables)
+    assert many == tables  # 16 times the texts, and 256 times the pairs, when each row met each of its identifier's
+
+
+def test_before_cuts_knows_rows_of_one_identifier_that_differ(spark):
+    rows = [(0, "a b c d"), (0, "a b c d"), (1, "x y z"), (1, "u v w"), (2, "same text"), (3, "p q")]
+    now = [(0, "a b c d"), (0, "a c"), (1, "x z"), (1, "v"), (2, "same text"), (3, "q p")]
+    make = lambda x: spark.createDataFrame(x, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["text"]) for r in near_dedup.before_cuts(make(now), make(rows)).collect())
+    assert got == [(0, "a b c d"), (1, "u v w"), (1, "x y z")]
